@@ -116,9 +116,9 @@ def format_size(size: Column) -> Column:
     """Bytes as text with one decimal: ``1536`` -> ``1.5 KB``."""
     value, out = size.cast("double"), None
     for unit in ("B", "KB", "MB", "GB"):
-        text = F.format_string(f"%.1f {unit}", value)
+        text = F.format_string(f"%.1f {unit}", F.bround(value, 1))
         small = value < 1024
         out = F.when(small, text) if out is None else out.when(small, text)
         value = value / 1024
-    return out.otherwise(F.format_string("%.1f TB", value))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(value, 1)))
 
