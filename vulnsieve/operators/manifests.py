@@ -17,7 +17,7 @@ from vulnsieve.catalog.patterns import MANIFEST_FILES
 
 BLANKS = " \t\r\x0b\f"  # a line never holds \n
 INDENT = r"[ \t\r\x0B\f]*"
-PIECE = 1 << 32  # line numbers within a piece stay below this
+PIECE = 1 << 32  # places a later section after every line of an earlier one
 
 # Line patterns of the formats.
 REQUIREMENT = r"^([a-zA-Z0-9_.-]+)\s*(?:[=<>!~]+\s*([0-9][0-9a-zA-Z.*-]*))?"
@@ -41,10 +41,9 @@ def _dep(line_no: Column, name: Column, version: Column, dep_type: Column | None
         (F.lit(None).cast("string") if dep_type is None else dep_type).alias("dep_type"))
 
 
-def _lines(text: Column, piece: Column | None = None) -> Column:
-    """``array<struct<n, s>>``: numbered, trimmed lines of a text or of one piece of it."""
-    base = F.lit(0).cast("long") if piece is None else piece.cast("long") * PIECE
-    return F.transform(F.split(text, "\n", -1), lambda s, i: F.struct((base + i).alias("n"), _trim(s).alias("s")))
+def _lines(text: Column) -> Column:
+    """``array<struct<n, s>>``: numbered, trimmed lines of a text."""
+    return F.transform(F.split(text, "\n", -1), lambda s, i: F.struct(i.cast("long").alias("n"), _trim(s).alias("s")))
 
 
 def _pieces(content: Column, boundary: str, is_open: Callable[[Column], Column],
@@ -55,9 +54,13 @@ def _pieces(content: Column, boundary: str, is_open: Callable[[Column], Column],
     whether it is open.
     """
     cut = F.split(content, rf"\n(?={boundary})", -1)
-    return F.flatten(F.transform(F.transform(cut, _lines), lambda ls: (
-        F.when(is_open(F.get(ls, F.lit(0)).getField("s")), F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))))
-        .otherwise(closed(ls)))))
+
+    def wanted(ls: Column, piece: Column) -> Column:
+        opened = is_open(F.get(ls, F.lit(0)).getField("s"))
+        kept = F.when(opened, F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1)))).otherwise(closed(ls))
+        return F.transform(kept, lambda l: F.struct((piece * PIECE + l.getField("n")).alias("n"), l.getField("s").alias("s")))
+
+    return F.flatten(F.transform(F.transform(cut, _lines), lambda ls, i: wanted(ls, i.cast("long"))))
 
 
 def requirements(content: Column) -> Column:
@@ -99,14 +102,15 @@ def _json_sections(content: Column, sections: list[str]) -> Column:
     """Entries of JSON objects as dependencies; a text that is no JSON has none."""
     schema = ", ".join(f"`{s}` map<string,string>" for s in sections)
     parsed = F.from_json(content, schema)
-    per_section = []
-    for i, section in enumerate(sections):
+
+    def entries_of(i: int, section: str) -> Column:
         entries = F.coalesce(F.map_entries(parsed.getField(section)),
                              F.array().cast("array<struct<key:string,value:string>>"))
-        per_section.append(F.transform(entries, lambda e, j, i=i, section=section: _dep(
+        return F.transform(entries, lambda e, j: _dep(
             F.lit(i * PIECE) + j, e.getField("key"),
-            _empty_to_null(F.regexp_replace(e.getField("value"), F.lit("[^0-9.]"), F.lit(""))), F.lit(section))))
-    return F.concat(*per_section)
+            _empty_to_null(F.regexp_replace(e.getField("value"), F.lit("[^0-9.]"), F.lit(""))), F.lit(section)))
+
+    return F.concat(*[entries_of(i, section) for i, section in enumerate(sections)])
 
 
 def package_json(content: Column) -> Column:

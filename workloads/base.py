@@ -122,7 +122,7 @@ def cve_raw(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.startswith("o_orderpriority", F.lit("1")), "CRITICAL").when(
         F.startswith("o_orderpriority", F.lit("2")), "HIGH").when(
         F.startswith("o_orderpriority", F.lit("3")), "MEDIUM").otherwise("LOW")
-    metric = F.struct(F.struct((F.col("o_totalprice") / 100000).alias("baseScore"), level.alias("baseSeverity"),
+    metric = F.struct(F.struct((F.col("o_totalprice") / 1000).alias("baseScore"), level.alias("baseSeverity"),
                                F.lit("CVSS:3.1/AV:N").alias("vectorString")).alias("cvssData"))
     metrics = F.when(F.col("o_orderstatus") != "P", F.struct(F.array(metric).alias("cvssMetricV31")))
     weak = F.array(F.struct(F.array(entry("en", _pick(CWE_IDS, key)), entry("en", F.lit("NVD-CWE-noinfo"))).alias("description")))
@@ -141,7 +141,7 @@ CVE_SQL = f"""cve AS (
   SELECT 'CVE-' || strftime(o_orderdate, '%Y') || '-' || o_orderkey AS cve_id,
     substr(o_orderpriority || ' flaw reported by customer ' || o_custkey || '. ' || repeat('Details follow. ', 40), 1, 500)
       AS description,
-    CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 100000 END AS cvss_score,
+    CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1000 END AS cvss_score,
     CASE WHEN o_orderstatus <> 'P' THEN CASE substr(o_orderpriority, 1, 1)
       WHEN '1' THEN 'CRITICAL' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM' ELSE 'LOW' END END AS cvss_severity,
     CASE WHEN o_orderstatus <> 'P' THEN 'CVSS:3.1/AV:N' END AS cvss_vector,
