@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnsieve.functions.urls import version_key
+from vulnsieve.operators.skew import salted_join
 
 PAGE_LIMIT, REPO_PAGE_LIMIT = 50, 30  # fixed values: most results of one look-up
 
@@ -177,38 +178,54 @@ def enrich_kev(findings: DataFrame, kev: DataFrame) -> DataFrame:
 
 # ── dependencies with OSV ───────────────────────────────────────────────────
 
-def version_affected(version: Column, ranges: Column) -> Column:
-    """Whether a version lies in any range (introduced <= version < fixed).
+BELOW_ALL, ABOVE_ALL = "", "~"  # bounds of version keys
 
-    No version or no range: affected.  A missing bound leaves that side open.
+
+def range_keys(ranges: Column) -> Column:
+    """Ranges as ``array<struct<low, high>>`` of version keys; a missing bound is open."""
+    return F.transform(ranges, lambda r: F.struct(
+        F.coalesce(version_key(r.introduced), F.lit(BELOW_ALL)).alias("low"),
+        F.coalesce(version_key(r.fixed), F.lit(ABOVE_ALL)).alias("high")))
+
+
+def key_affected(key: Column, keys: Column) -> Column:
+    """Whether a version key lies in any range (low <= key < high).  No key or no range: affected.
+
+    Nearly all records have one range; that case is two plain comparisons.
     """
-    key = version_key(version)
-    inside = F.exists(ranges, lambda r: (
-        (r.introduced.isNull() | (key >= version_key(r.introduced)))
-        & (r.fixed.isNull() | (key < version_key(r.fixed)))))
-    return version.isNull() | (F.size(ranges) == 0) | inside
+    first = F.get(keys, F.lit(0))
+    one = (key >= F.coalesce(first.low, F.lit(BELOW_ALL))) & (key < F.coalesce(first.high, F.lit(ABOVE_ALL)))
+    many = F.exists(keys, lambda r: (key >= r.low) & (key < r.high))
+    return key.isNull() | F.when(F.size(keys) <= 1, one).otherwise(many)
+
+
+NO_VERSION = "\0"  # stands for a missing version in join keys
+VULNS_PER_SALT, DEPS_PER_SALT = 1_000, 1_000_000
 
 
-def match_osv(deps: DataFrame, osv: DataFrame) -> DataFrame:
+def match_osv(
+    deps: DataFrame, osv: DataFrame, vulns_per_salt: int = VULNS_PER_SALT, deps_per_salt: int = DEPS_PER_SALT,
+) -> DataFrame:
     """One row per dependency and vulnerability that affects its version.
 
     Popular packages occur in very many projects, so the range test runs once per
     distinct (ecosystem, name, version); the distinct is partial before its shuffle.
-    Its result joins back on the same key, where adaptive execution may split a hot
-    key of the dependency side.
+    Versions and bounds are turned into comparable keys before they meet, so a pair
+    costs two comparisons.  Packages with many records, and versions with many
+    dependents, are salted.
     """
-    key = ["ecosystem", "name", "version"]
-    vulns = osv.select(
-        "ecosystem", F.col("package").alias("name"), "vuln_id", "summary", "severity", "cve_ids", "affected_ranges")
-    versions = deps.select(*key).distinct()
-    affected = versions.join(vulns, ["ecosystem", "name"]).filter(
-        version_affected(F.col("version"), F.col("affected_ranges")))
-    left, right = deps.alias("d"), affected.alias("v")
-    same = ((F.col("d.ecosystem") == F.col("v.ecosystem")) & (F.col("d.name") == F.col("v.name"))
-            & F.col("d.version").eqNullSafe(F.col("v.version")))
-    return left.join(right, same).select(
-        "d.project", "d.name", F.coalesce("d.version", F.lit("unknown")).alias("package_version"), "d.ecosystem",
-        "v.vuln_id", "v.summary", "v.severity", "v.cve_ids", "v.affected_ranges")
+    package, exact = ["ecosystem", "name"], ["ecosystem", "name", "_version"]
+    vulns = osv.filter(F.col("package").isNotNull()).select(
+        "ecosystem", F.col("package").alias("name"), "vuln_id", "summary", "severity", "cve_ids", "affected_ranges",
+        range_keys(F.col("affected_ranges")).alias("_keys"))
+    rows = deps.select("project", *package, "version", F.coalesce("version", F.lit(NO_VERSION)).alias("_version"))
+    versions = rows.select(*exact).distinct().withColumn(
+        "_key", F.when(F.col("_version") != NO_VERSION, version_key(F.col("_version"))))
+    affected = salted_join(versions, vulns, package, F.col("vuln_id"), vulns_per_salt).filter(
+        key_affected(F.col("_key"), F.col("_keys"))).drop("_key", "_keys")
+    return salted_join(affected, rows, exact, F.col("project"), deps_per_salt).select(
+        "project", "name", F.coalesce("version", F.lit("unknown")).alias("package_version"), "ecosystem",
+        "vuln_id", "summary", "severity", "cve_ids", "affected_ranges")
 
 
 def annotate_deps(deps: DataFrame, vulns: DataFrame) -> DataFrame:

@@ -1,0 +1,29 @@
+"""Joins in which one key may hold a large share of one side."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def salted_join(
+    side: DataFrame, crowded: DataFrame, keys: Sequence[str], spread_by: Column, rows_per_salt: int, how: str = "inner",
+) -> DataFrame:
+    """``side`` joined to ``crowded`` on ``keys``, crowded keys cut into pieces.
+
+    Keys with more than ``rows_per_salt`` rows in ``crowded`` are counted first (a
+    partial aggregate).  Their rows are dealt over salts by the hash of ``spread_by``
+    and the matching rows of ``side`` are repeated once per salt; all other keys join
+    as they are.  At most rows / ``rows_per_salt`` keys can be crowded, so the table
+    of crowded keys is bounded and small enough to broadcast.  The result is whole.
+    """
+    keys = list(keys)
+    pieces = F.ceil(F.col("_n") / F.lit(rows_per_salt)).cast("int")
+    hot = F.broadcast(crowded.groupBy(*keys).agg(F.count("*").alias("_n")).filter(
+        F.col("_n") > rows_per_salt).select(*keys, pieces.alias("_salts")))
+    one = F.coalesce("_salts", F.lit(1))
+    dealt = crowded.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), one).cast("int")).drop("_salts")
+    repeated = side.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    return repeated.join(dealt, [*keys, "_salt"], how).drop("_salt")

@@ -114,7 +114,7 @@ def _pick(options: list[str], index) -> F.Column:
 
 def cve_raw(spark: SparkSession, d: str) -> DataFrame:
     """One feed document per order."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"))
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     describe = F.concat(F.col("o_orderpriority"), F.lit(" flaw reported by customer "), F.col("o_custkey"), F.lit(". "),
                         F.repeat(F.lit("Details follow. "), 40))
@@ -153,7 +153,7 @@ CVE_SQL = f"""cve AS (
 
 def kev_raw(spark: SparkSession, d: str) -> DataFrame:
     """One catalogue document per urgent order; ids of finished ones are lower-case."""
-    o = table(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    o = spread(table(spark, d, "orders")).filter(F.col("o_orderpriority") == "1-URGENT")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     cve_id = F.concat(F.lit("CVE-"), F.substring(day, 1, 4), F.lit("-"), F.col("o_orderkey"))
     entry = F.struct(
@@ -181,7 +181,7 @@ KEV_SQL = """kev AS (
 
 def osv_raw(spark: SparkSession, d: str) -> DataFrame:
     """One feed document per part: a package, a range and a severity text."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"))
     key, size = F.col("p_partkey"), F.col("p_size")
     word = F.when(size >= 40, "critical").when(size >= 30, "High").when(size >= 20, "MEDIUM").when(size >= 10, "low").otherwise("none")
     fixed = F.concat((size / 10).cast("int"), F.lit("."), size % 10, F.lit(".0"))
@@ -224,7 +224,7 @@ OSV_SQL = f"""osv AS (
 
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
     """Orders as projects, parts as their packages; returned lines have no version."""
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem"))
     version = F.concat_ws(".", F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.lit("0"))
     return li.select(
         F.concat(F.lit("order-"), F.col("l_orderkey")).alias("project"),

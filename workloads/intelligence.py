@@ -364,7 +364,7 @@ _OSV_FROM_MANIFESTS = f"""osv_m AS (SELECT 'OSV-' || p_partkey AS vuln_id, p_par
 
 def manifest_osv(spark, d):
     """Vulnerability rows per part for the packages the manifests name."""
-    p = B.table(spark, d, "part")
+    p = B.spread(B.table(spark, d, "part"))
     key = F.col("p_partkey")
     fixed = F.concat_ws(".", F.col("p_size") % 4, key % 40)
     return p.select(
