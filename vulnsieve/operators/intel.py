@@ -219,11 +219,13 @@ def match_osv(
         "ecosystem", F.col("package").alias("name"), "vuln_id", "summary", "severity", "cve_ids", "affected_ranges",
         range_keys(F.col("affected_ranges")).alias("_keys"))
     rows = deps.select("project", *package, "version", F.coalesce("version", F.lit(NO_VERSION)).alias("_version"))
-    versions = rows.select(*exact).distinct().withColumn(
+    counted = rows.groupBy(*exact).agg(F.count("*").alias("_n"))
+    versions = counted.withColumn(
         "_key", F.when(F.col("_version") != NO_VERSION, version_key(F.col("_version"))))
-    affected = salted_join(versions, vulns, package, F.col("vuln_id"), vulns_per_salt).filter(
-        key_affected(F.col("_key"), F.col("_keys"))).drop("_key", "_keys")
-    return salted_join(affected, rows, exact, F.col("project"), deps_per_salt).select(
+    affected = salted_join(
+        versions.withColumnRenamed("_n", "_dependents"), vulns, package, F.col("vuln_id"), vulns_per_salt,
+    ).filter(key_affected(F.col("_key"), F.col("_keys"))).drop("_key", "_keys").withColumnRenamed("_dependents", "_n")
+    return salted_join(affected, rows, exact, F.col("project"), deps_per_salt, sizes=counted).select(
         "project", "name", F.coalesce("version", F.lit("unknown")).alias("package_version"), "ecosystem",
         "vuln_id", "summary", "severity", "cve_ids", "affected_ranges")
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def salted_join(
-    side: DataFrame, crowded: DataFrame, keys: Sequence[str], spread_by: Column, rows_per_salt: int, how: str = "inner",
+    side: DataFrame, crowded: DataFrame, keys: Sequence[str], spread_by: Column, rows_per_salt: int,
+    sizes: DataFrame | None = None, how: str = "inner",
 ) -> DataFrame:
     """``side`` joined to ``crowded`` on ``keys``, crowded keys cut into pieces.
 
@@ -18,12 +19,20 @@ def salted_join(
     and the matching rows of ``side`` are repeated once per salt; all other keys join
     as they are.  At most rows / ``rows_per_salt`` keys can be crowded, so the table
     of crowded keys is bounded and small enough to broadcast.  The result is whole.
+
+    ``sizes`` may give the counts (``keys, _n``); a ``_n`` column in ``side`` is the
+    count of its key and saves the look-up there.
     """
     keys = list(keys)
+    if sizes is None:
+        sizes = crowded.groupBy(*keys).agg(F.count("*").alias("_n"))
     pieces = F.ceil(F.col("_n") / F.lit(rows_per_salt)).cast("int")
-    hot = F.broadcast(crowded.groupBy(*keys).agg(F.count("*").alias("_n")).filter(
-        F.col("_n") > rows_per_salt).select(*keys, pieces.alias("_salts")))
+    hot = F.broadcast(sizes.filter(F.col("_n") > rows_per_salt).select(*keys, pieces.alias("_salts")))
     one = F.coalesce("_salts", F.lit(1))
     dealt = crowded.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), one).cast("int")).drop("_salts")
-    repeated = side.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    if "_n" in side.columns:
+        counted = side.withColumn("_salts", pieces).drop("_n")
+    else:
+        counted = side.join(hot, keys, "left")
+    repeated = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
     return repeated.join(dealt, [*keys, "_salt"], how).drop("_salt")
