@@ -52,8 +52,10 @@ def read_code_files(
         F.array(*[F.lit(d) for d in P.SKIP_DIRS]))
     files = listed.filter(F.col("_metadata.file_size") <= P.MAX_FILE_BYTES).filter(~skipped)
     if max_files is not None:
-        first = files.select(_local_path().alias("keep")).orderBy(F.split("keep", "/", -1)).limit(max_files)
-        files = files.join(F.broadcast(first), _local_path() == F.col("keep"), "left_semi")  # max_files paths
+        # Only the last path that fits is fetched; the cut then prunes the listing too.
+        parts = F.split(_local_path(), "/", -1)
+        last = files.select(parts.alias("p")).orderBy("p").limit(max_files).agg(F.max("p")).first()[0]
+        files = files.filter(parts <= F.array(*[F.lit(x) for x in last or [""]]))
     numbered = files.select(
         F.xxhash64(_local_path()).alias("file_id"), _local_path().alias("path"), "content")
     return decode_content(numbered) if decode else numbered
