@@ -115,6 +115,7 @@ def test_kev_enrichment(spark):
     kev = spark.createDataFrame([("cve-a", "v", "p", "2020", "Known"), ("CVE-b", "v", "p", "2020", "Known"), ("", "v", "p", "2020", "x")],
                                 "cve_id string, vendor string, product string, date_added string, known_ransomware string")
     rows = {r.file_id: r for r in intel.enrich_kev(intel.enrich_cve(found, cve, vuln_classes(spark)), kev).collect()}
+    assert rows == {r.file_id: r for r in intel.enrich_findings(found, cve, kev, vuln_classes(spark)).collect()}
     assert [c.cve_id for c in rows[1].related_cves] == ["CVE-B", "CVE-A"] and rows[1].total_known_cves == 2
     assert rows[1].severity == "critical" and rows[1].kev_id == "CVE-B" and rows[1].message.startswith("[ACTIVELY EXPLOITED] m — ")
     assert rows[2].severity == "low" and rows[2].kev_id is None and rows[2].total_known_cves == 1 and rows[3].related_cves == []

@@ -146,21 +146,19 @@ def clean_files(files: DataFrame, findings: DataFrame) -> DataFrame:
     return files.select("file_id", "path").join(findings.select("file_id"), "file_id", "left_anti")
 
 
-def scan_summary(n_total: DataFrame, findings: DataFrame, rules_total: int, ml: bool, rules: bool, flow: bool) -> DataFrame:
+def scan_summary(files: DataFrame, findings: DataFrame, rules_total: int, ml: bool, rules: bool, flow: bool) -> DataFrame:
     """One row: file and finding totals, engine switches and the exit code.
 
-    ``n_total`` is the file table; both inputs are reduced to one row before they meet.
+    Both inputs are reduced to one row before they meet; of ``files`` only the rows are
+    counted.  A Spark job scans every file or fails, so no file is left with an error.
     """
-    files_row = n_total.agg(
-        F.count("*").alias("files_total"),
-        F.count_if(F.col("content").isNotNull()).alias("files_scanned"),
-        F.count_if(F.col("content").isNull()).alias("errors"),
-    )
+    files_row = files.agg(F.count("*").alias("files_total"))
     findings_row = findings.agg(
         F.count("*").alias("total_findings"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_ORDER])
     return files_row.crossJoin(F.broadcast(findings_row)).select(
-        "*",
+        "files_total", F.col("files_total").alias("files_scanned"), F.lit(0).cast("long").alias("errors"),
+        "total_findings", *SEVERITY_ORDER,
         F.lit(ml).alias("ml_enabled"), F.lit(rules).alias("rules_enabled"), F.lit(flow).alias("flow_enabled"),
         F.lit(rules_total).cast("int").alias("total_rules"),
         F.when(F.col("critical") > 0, 2).when(F.col("total_findings") > 0, 1).otherwise(0).alias("exit_code"),

@@ -137,9 +137,12 @@ def cve_context(cve: DataFrame, classes: DataFrame, k: int = 3) -> DataFrame:
         F.size("_rows").alias("total_known_cves"))
 
 
-def enrich_cve(findings: DataFrame, cve: DataFrame, classes: DataFrame, k: int = 3, as_of: str = "") -> DataFrame:
+def enrich_cve(
+    findings: DataFrame, cve: DataFrame, classes: DataFrame, k: int = 3, as_of: str = "", context: DataFrame | None = None,
+) -> DataFrame:
     """Adds ``related_cves``, ``total_known_cves``, ``data_source`` and ``lookup_time``."""
-    context = F.broadcast(cve_context(cve, classes, k))  # at most one row per class
+    context = cve_context(cve, classes, k) if context is None else context
+    context = F.broadcast(context.select("cwe_id", "related_cves", "total_known_cves"))  # at most one row per class
     kind = "array<struct<cve_id:string,description:string,cvss_score:double,published:string>>"
     return findings.join(context, "cwe_id", "left").withColumns({
         "related_cves": F.coalesce("related_cves", F.array().cast(kind)),
@@ -149,21 +152,33 @@ def enrich_cve(findings: DataFrame, cve: DataFrame, classes: DataFrame, k: int =
     })
 
 
-def enrich_kev(findings: DataFrame, kev: DataFrame) -> DataFrame:
+def _kev_hits(lists: DataFrame, kev: DataFrame) -> DataFrame:
+    """``_ids, _hit``: per comma-joined list of CVE ids the first one in the catalogue."""
+    wanted = lists.select("_ids", F.posexplode(F.split("_ids", ",")).alias("pos", "kev_id"))
+    known = kev.filter(F.col("cve_id") != "").select(
+        F.upper("cve_id").alias("kev_id"), F.struct("vendor", "product", "date_added", "known_ransomware").alias("kev_match"))
+    return wanted.join(known, "kev_id").groupBy("_ids").agg(
+        F.min_by(F.struct("kev_id", "kev_match"), F.struct("pos", "kev_match")).alias("_hit"))
+
+
+def _related_ids() -> Column:
+    return F.concat_ws(",", F.transform("related_cves", lambda c: F.upper(c.cve_id)))
+
+
+def enrich_kev(findings: DataFrame, kev: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """Findings with a related CVE in the known-exploited catalogue become critical.
 
-    The look-up runs once per distinct list of related CVEs, not per finding: lists
-    are few (one per class) and their partial ``distinct`` shrinks before the shuffle.
-    Sides are joined without hints, so their measured sizes decide.
+    The look-up runs per list of related CVEs, not per finding.  ``context`` (see
+    ``cve_context``) holds those lists already, at most one per class: with it the
+    findings are neither read twice nor shuffled.  Without it the lists are the
+    distinct ones of the findings, and the joins carry no hint, so that measured
+    sizes decide.
     """
-    ids = F.transform("related_cves", lambda c: F.upper(c.cve_id))
-    keyed = findings.withColumn("_ids", F.concat_ws(",", ids))
-    lists = keyed.select("_ids").filter(F.col("_ids") != "").distinct()
-    wanted = lists.select("_ids", F.posexplode(F.split("_ids", ",")).alias("pos", "kev_id"))
-    known = kev.filter(F.col("cve_id") != "").groupBy(F.upper("cve_id").alias("kev_id")).agg(
-        F.max_by(F.struct("vendor", "product", "date_added", "known_ransomware"), "date_added").alias("kev_match"))
-    first = wanted.join(known, "kev_id").groupBy("_ids").agg(
-        F.min_by(F.struct("kev_id", "kev_match"), "pos").alias("_hit"))
+    keyed = findings.withColumn("_ids", _related_ids())
+    if context is None:
+        first = _kev_hits(keyed.select("_ids").filter(F.col("_ids") != "").distinct(), kev)
+    else:
+        first = F.broadcast(_kev_hits(context.select(_related_ids().alias("_ids")).distinct(), kev))
     hit = F.col("_hit").isNotNull()
     warning = F.concat(
         F.lit("[ACTIVELY EXPLOITED] "), F.col("message"), F.lit(" — This vulnerability pattern matches "),
@@ -176,6 +191,12 @@ def enrich_kev(findings: DataFrame, kev: DataFrame) -> DataFrame:
     }).drop("_ids", "_hit")
 
 
+def enrich_findings(findings: DataFrame, cve: DataFrame, kev: DataFrame, classes: DataFrame, k: int = 3, as_of: str = "") -> DataFrame:
+    """CVE and KEV context in one pass over the findings: two broadcast joins of at most one row per class."""
+    context = cve_context(cve, classes, k)
+    return enrich_kev(enrich_cve(findings, cve, classes, k, as_of, context), kev, context)
+
+
 # ── dependencies with OSV ───────────────────────────────────────────────────
 
 BELOW_ALL, ABOVE_ALL = "", "~"  # bounds of version keys

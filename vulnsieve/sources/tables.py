@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def code_from_table(df: DataFrame, file_id: str | Column, path: str | Column, text: str | Column) -> DataFrame:
-    """``file_id, path, content`` from any table that holds texts; only those columns are read."""
+    """``file_id, path, content`` from any table that holds texts; only those columns are read.
+
+    A null text is a file that could not be read: it counts as a file without findings.
+    It is not filtered here, so jobs over ids and paths never touch the text column.
+    """
     def col(c):
         return F.col(c) if isinstance(c, str) else c
 
@@ -15,7 +19,7 @@ def code_from_table(df: DataFrame, file_id: str | Column, path: str | Column, te
         col(file_id).cast("long").alias("file_id"),
         col(path).cast("string").alias("path"),
         col(text).alias("content"),
-    ).filter(F.col("content").isNotNull())
+    )
 
 
 def seeded_corpus(documents: DataFrame, snippets: DataFrame, n_snippets: int) -> DataFrame:

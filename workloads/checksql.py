@@ -6,6 +6,8 @@ and the line of a match is counted from the gaps and matches before it.
 
 from __future__ import annotations
 
+import re
+
 from vulnsieve.catalog import patterns as P
 from vulnsieve.functions import matching as M
 from vulnsieve.operators import detect as D
@@ -23,8 +25,53 @@ def matches(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, {lit(pattern)})"
 
 
+LOOKAROUND = re.compile(r"\(\?<?![^()]*\)")
+_PREFIX = "lower(before || earlier)"
+
+
+def _rest(pattern: str) -> str:
+    return f"regexp_matches(rest, {lit('(?i)^(?:' + pattern + ')')})"
+
+
+def _shorter(pattern: str) -> tuple[str, str]:
+    """A look-ahead after blanks: where it fails, one blank less is matched, if there is one."""
+    fails = _rest(pattern)
+    return (f"(NOT {fails} OR regexp_matches(matched, '\\s$'))",
+            f"CASE WHEN {fails} THEN substr(matched, 1, length(matched) - 1) ELSE matched END")
+
+
+def _line_above(pattern: str) -> tuple[str, str]:
+    """A look-ahead over the rest of the line: where it fails, the match ends before the last line end in its blanks."""
+    fails = _rest(pattern)
+    return (f"(NOT {fails} OR regexp_matches(matched, '\\n\\s*$'))",
+            f"CASE WHEN {fails} THEN regexp_replace(matched, '\\n[^\\S\\n]*$', '') ELSE matched END")
+
+
+def _tail(head: str, pattern: str) -> tuple[str, str]:
+    """A look-ahead inside the match, right after ``head``."""
+    tail = f"substr(matched || rest, 1 + length(regexp_extract(matched, {lit('(?i)^' + head)})))"
+    return f"NOT regexp_matches({tail}, {lit('(?i)^(?:' + pattern + ')')})", "matched"
+
+
+# rule -> which matches of the pattern without its look-around stay, and what text they keep
+LOOKAROUND_SQL = {
+    "XSS001": _shorter("['\"]<"), "XSS007": _shorter("escape"), "SSR002": _shorter("['\"]https?://"),
+    "SSR005": _shorter("['\"]\\s*https?://"), "SSR006": _shorter("['\"]https?://"),
+    "XSS011": (f"NOT {_rest('[\'\"]<')}", "matched"),
+    "XSS012": _line_above(".*escape|.*sanitize|.*encode"),
+    "DES002": _line_above(r".*Loader\s*=\s*yaml\.SafeLoader|.*safe_load"),
+    "DES005": _line_above(".*ValidatingObjectInputStream"),
+    "BOF001": (f"NOT ends_with({_PREFIX}, 'strn')", "matched"), "BOF002": (f"NOT ends_with({_PREFIX}, 'strn')", "matched"),
+    "BOF004": (f"NOT {_rest('.*snprintf')}", "matched"),
+    "RNG001": (f"NOT (ends_with({_PREFIX}, 'secrets.') OR ends_with({_PREFIX}, 'secure'))", "matched"),
+    "PTH004": _tail(r"send_file\s*\(\s*", ".*realpath|.*abspath|.*resolve"),
+    "PTH005": _tail(r"res\.sendFile\s*\(\s*", ".*resolve|.*normalize"),
+}
+
+
 def portable(pattern: str) -> str:
-    """The pattern with the flags of the check engine (its lines end at \\n only)."""
+    """The pattern with the flags of the check engine (its lines end at \\n only), without look-around."""
+    pattern = LOOKAROUND.sub("", pattern)
     for ours, theirs in ((M.RULE_FLAGS, "(?im)"), (M.NOCASE_DOTALL_FLAGS, "(?is)"),
                          (M.DOTALL_FLAGS, "(?s)"), (M.EXACT_FLAGS, "")):
         if pattern.startswith(ours):
@@ -128,6 +175,11 @@ def found(checks: list[D.Check]) -> str:
             f"({c.ordinal}, {c.vuln_class}, {lit(c.severity)}, {lit(float(c.confidence))}, {lit(c.source)}, "
             f"{lit(c.rule_id)}, {lit(c.message)}, {lit(portable(c.pattern))}, {lit(_pattern_gate(c))})"
             for c in with_pattern)
+        special = [c.rule_id for c in with_pattern if c.rule_id in LOOKAROUND_SQL]
+        kept = " ".join(f"WHEN {lit(r)} THEN {LOOKAROUND_SQL[r][0]}" for r in special)
+        kept = f"CASE rule_id {kept} ELSE true END" if special else "true"
+        kept_text = " ".join(f"WHEN {lit(r)} THEN {LOOKAROUND_SQL[r][1]}" for r in special)
+        kept_text = f"CASE rule_id {kept_text} ELSE matched END" if special else "matched"
         gates = sorted({_pattern_gate(c) for c in with_pattern})
         gate = " OR ".join(f"(gate = {lit(g)} AND {g})" for g in gates)
         parts.append(f"""probes(ordinal, vuln_class, severity, confidence, source, rule_id, message, pattern, gate) AS (
@@ -138,11 +190,13 @@ hits AS (
 each AS (SELECT *, unnest(range(0, len(ms))) AS i FROM hits),
 placed AS (
   SELECT *, array_to_string(gs[1:i+1], '') AS before, array_to_string(ms[1:i], '') AS earlier, ms[i+1] AS matched FROM each),
+looked AS (
+  SELECT *, substr(content, 1 + length(before) + length(earlier) + length(matched)) AS rest FROM placed),
+around AS (SELECT * REPLACE ({kept_text} AS matched) FROM looked WHERE {kept}),
 by_pattern AS (
   SELECT file_id, path, vuln_class, 1 + {count_newlines('before')} + {count_newlines('earlier')} AS line, message,
-    severity, confidence, source, rule_id, matched, ordinal, i,
-    substr(content, 1 + length(before) + length(earlier) + length(matched)) AS rest
-  FROM placed)""")
+    severity, confidence, source, rule_id, matched, ordinal, i, rest
+  FROM around)""")
     unions = ["SELECT * FROM by_pattern"] if with_pattern else []
     unions += [
         f"SELECT file_id, path, {c.vuln_class}, 0, {lit(c.message)}, {lit(c.severity)}, {lit(float(c.confidence))}, "

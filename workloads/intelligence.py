@@ -15,7 +15,7 @@ from vulnsieve.sources.dimensions import vuln_classes
 from workloads import base as B
 from workloads import checksql as S
 from workloads.base import AS_OF, lit, query
-from workloads.scanning import PORTABLE, _SCANNED
+from workloads.scanning import _SCANNED
 
 # ── manifests ───────────────────────────────────────────────────────────────
 # Check SQL: lines with numbers, section state by a window over the lines.
@@ -312,7 +312,7 @@ exploited AS (SELECT cwe_id, arg_min(cve_id, r) AS kev_id FROM top3 WHERE cve_id
   coalesce(related, '') AS related, coalesce(total_known_cves, 0) AS total_known_cves, 'NIST NVD' AS data_source, '"""
   + AS_OF + "' AS lookup_time FROM scanned LEFT JOIN context USING (cwe_id)"))
 def enrich_cve(spark, d):
-    found = scan(B.code(spark, d), PORTABLE)
+    found = scan(B.code(spark, d))
     rows = intel.enrich_cve(found, cve(spark, d), vuln_classes(spark), as_of=AS_OF)
     return rows.select("file_id", "line", "vuln_class", F.concat_ws(",", "related_cves.cve_id").alias("related"),
                        "total_known_cves", "data_source", "lookup_time")
@@ -324,8 +324,8 @@ def enrich_cve(spark, d):
     || kev_id || ', which is in the CISA Known Exploited Vulnerabilities catalog.' END AS message
 FROM scanned LEFT JOIN exploited USING (cwe_id)"""))
 def enrich_kev(spark, d):
-    found = scan(B.code(spark, d), PORTABLE)
-    rows = intel.enrich_kev(intel.enrich_cve(found, cve(spark, d), vuln_classes(spark)), kev(spark, d))
+    found = scan(B.code(spark, d))
+    rows = intel.enrich_findings(found, cve(spark, d), kev(spark, d), vuln_classes(spark))
     return rows.select("file_id", "line", "vuln_class", "kev_id", "severity", "message")
 
 
@@ -419,7 +419,7 @@ FROM repos LEFT JOIN repo_code ON repo_code.repo = full_name LEFT JOIN repo_deps
 LEFT JOIN repo_adv ON repo_adv.repo = full_name"""))
 def combine_repo(spark, d):
     files = B.code(spark, d)
-    per_file = fnd.file_counts(files, scan(files, PORTABLE)).withColumn(
+    per_file = fnd.file_counts(files, scan(files)).withColumn(
         "repo", F.concat(F.lit("org/Supplier#"), F.lpad((F.col("file_id") % 100).cast("string"), 9, "0")))
     totals = scan_dependencies(B.manifests(spark, d), manifest_osv(spark, d)).summary.withColumn(
         "project", F.concat(F.lit("org/Supplier#"), F.lpad(F.substring("project", 2, 20), 9, "0")))

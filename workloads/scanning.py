@@ -17,7 +17,6 @@ from workloads import base as B
 from workloads import checksql as S
 from workloads.base import lit, query
 
-PORTABLE = [r for r in RULES if not r.lookaround]
 LOOKAROUND = [r for r in RULES if r.lookaround]
 
 
@@ -33,12 +32,12 @@ def _register_rules(name, rules, corpus, corpus_sql):
 
 
 for _class in range(11):
-    _own = [r for r in PORTABLE if r.vuln_class == _class and not r.rule_id.startswith("AUT")]
+    _own = [r for r in RULES if r.vuln_class == _class and not r.rule_id.startswith("AUT")]
     _register_rules(f"rules_class_{_class:02d}", _own, B.code, B.CODE_SQL)
 _register_rules("rules_secret_formats", [r for r in RULES if r.rule_id.startswith("AUT")], B.code, B.CODE_SQL)
-_register_rules("rule_scan", PORTABLE, B.code, B.CODE_SQL)
-_register_rules("rule_scan_documents", PORTABLE, B.documents, B.DOCUMENTS_SQL)
-_register_rules("rule_scan_pages", PORTABLE, B.pages, B.PAGES_SQL)
+_register_rules("rule_scan", RULES, B.code, B.CODE_SQL)
+_register_rules("rule_scan_documents", RULES, B.documents, B.DOCUMENTS_SQL)
+_register_rules("rule_scan_pages", RULES, B.pages, B.PAGES_SQL)
 _SECRETS = [r for r in RULES if r.vuln_class == 4]
 query("secret_scan_documents", S.with_ctes(
     B.DOCUMENTS_SQL, S.found(D.rule_checks(_SECRETS)), select=S.FINDING_SELECT + " FROM found"),
@@ -48,10 +47,8 @@ query("secret_scan_conversations", S.with_ctes(
 )(lambda spark, d: rounded(D.secret_scan(B.turns(spark, d))))
 
 
-@query("rule_scan_lookaround")
-def rule_scan_lookaround(spark, d):
-    """The rules the check engine cannot run; the tests compare them with plain Python."""
-    return rounded(D.rule_scan(B.code(spark, d), LOOKAROUND))
+# The check engine has no look-around: the SQL tests the text around each match instead.
+_register_rules("rule_scan_lookaround", LOOKAROUND, B.code, B.CODE_SQL)
 
 
 # ── flow and reverse ────────────────────────────────────────────────────────
@@ -72,11 +69,8 @@ _register_checks("decompiled_artifacts", D.decompiled_checks(), D.decompiled_art
 _register_checks("reverse_scan", D.reverse_checks(), D.reverse_scan)
 
 # `import random` is no finding when a comment calls it secure: the check looks at the rest of the text
-_IMPORTS_PORTABLE = [
-    D.Check(c.ordinal, c.vuln_class, c.severity, c.confidence, c.source, c.message, c.gate,
-            c.pattern.replace(r"(?!\s*#.*?secure)", "")) for c in D.import_checks()]
 query("import_scan", S.with_ctes(
-    B.CODE_SQL, S.found(_IMPORTS_PORTABLE),
+    B.CODE_SQL, S.found(D.import_checks()),
     select="SELECT file_id, path, line, matched AS import_text, message FROM found "
            r"WHERE NOT (starts_with(message, 'random module') AND regexp_matches(rest, '^\s*#.*?secure'))"),
 )(lambda spark, d: D.import_scan(B.code(spark, d)))
@@ -210,7 +204,7 @@ def ecosystems(spark, d):
 
 # ── findings ────────────────────────────────────────────────────────────────
 
-_ALL_CHECKS = D.rule_checks(PORTABLE) + D.flow_checks() + D.reverse_checks()
+_ALL_CHECKS = D.rule_checks(RULES) + D.flow_checks() + D.reverse_checks()
 _FOUND = [B.CODE_SQL, S.found(_ALL_CHECKS)]
 _SCANNED = [*_FOUND, S.MERGED, B.CLASSES_SQL, """scanned AS (
   SELECT m.*, name AS vulnerability_name, cwe_id, owasp, remediation FROM merged m JOIN classes c USING (vuln_class)
@@ -219,7 +213,7 @@ _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' T
 
 
 def scanned(spark, d):
-    return scan(B.code(spark, d), PORTABLE)
+    return scan(B.code(spark, d), RULES)
 
 
 def _sql(select, ctes=_SCANNED):
@@ -229,17 +223,17 @@ def _sql(select, ctes=_SCANNED):
 @query("union_findings", _sql(S.FINDING_SELECT + " FROM found", _FOUND))
 def union_findings(spark, d):
     files = B.code(spark, d)
-    return rounded(fnd.union_findings(D.rule_scan(files, PORTABLE), D.flow_scan(files), D.reverse_scan(files)))
+    return rounded(fnd.union_findings(D.rule_scan(files, RULES), D.flow_scan(files), D.reverse_scan(files)))
 
 
 @query("merge_findings", _sql(S.FINDING_SELECT + " FROM merged", [*_FOUND, S.MERGED]))
 def merge_findings(spark, d):
-    return rounded(fnd.merge_findings(detect_all(B.code(spark, d), PORTABLE)))
+    return rounded(fnd.merge_findings(detect_all(B.code(spark, d), RULES)))
 
 
 @query("threshold", _sql(S.FINDING_SELECT + " FROM merged WHERE confidence >= 0.7", [*_FOUND, S.MERGED]))
 def threshold(spark, d):
-    return rounded(fnd.threshold(fnd.merge_findings(detect_all(B.code(spark, d), PORTABLE)), 0.7))
+    return rounded(fnd.threshold(fnd.merge_findings(detect_all(B.code(spark, d), RULES)), 0.7))
 
 
 @query("module_switches", S.with_ctes(
@@ -341,11 +335,11 @@ def clean_files(spark, d):
   0 AS errors, count(*) AS total_findings, count(*) FILTER (severity = 'critical') AS critical,
   count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium,
   count(*) FILTER (severity = 'low') AS low, false AS ml_enabled, true AS rules_enabled, true AS flow_enabled,
-  """ + str(len(PORTABLE)) + """ AS total_rules,
+  """ + str(len(RULES)) + """ AS total_rules,
   CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 2 WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code
 FROM scanned"""))
 def scan_summary(spark, d):
-    return fnd.scan_summary(B.code(spark, d), scanned(spark, d), len(PORTABLE), ml=False, rules=True, flow=True)
+    return fnd.scan_summary(B.code(spark, d), scanned(spark, d), len(RULES), ml=False, rules=True, flow=True)
 
 
 @query("findings_by_file", _sql("""SELECT path, line, vulnerability_name, upper(severity) AS severity,
@@ -365,15 +359,15 @@ def rules_summary(spark, d):
 
 
 @query("rule_hits", S.with_ctes(
-    B.CODE_SQL, S.found(D.rule_checks(PORTABLE)), B.values("rules", "rule_id, vuln_class, message", [
-        (r.rule_id, r.vuln_class, r.message) for r in PORTABLE]),
+    B.CODE_SQL, S.found(D.rule_checks(RULES)), B.values("rules", "rule_id, vuln_class, message", [
+        (r.rule_id, r.vuln_class, r.message) for r in RULES]),
     select="SELECT r.rule_id, r.message, count(f.rule_id) AS n FROM rules r LEFT JOIN found f USING (rule_id) "
            "WHERE r.vuln_class IN (0, 4) GROUP BY 1, 2"))
 def rule_hits(spark, d):
     """Hits of the catalogue rows of two classes, zero where a rule never matched."""
-    rules = rule_catalog(spark, PORTABLE)
+    rules = rule_catalog(spark, RULES)
     chosen = rules_by_class(rules, 0).unionByName(rules_by_class(rules, 4)).select("rule_id", "message")
-    hits = D.rule_scan(B.code(spark, d), PORTABLE).groupBy("rule_id").agg(F.count("*").alias("n"))
+    hits = D.rule_scan(B.code(spark, d), RULES).groupBy("rule_id").agg(F.count("*").alias("n"))
     return F.broadcast(chosen).join(hits, "rule_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
