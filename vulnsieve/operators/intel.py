@@ -224,39 +224,61 @@ NO_VERSION = "\0"  # stands for a missing version in join keys
 VULNS_PER_SALT, DEPS_PER_SALT = 1_000, 1_000_000
 
 
+def _exact(deps: DataFrame) -> DataFrame:
+    return deps.withColumn("_version", F.coalesce("version", F.lit(NO_VERSION)))
+
+
+PACKAGE, EXACT = ["ecosystem", "name"], ["ecosystem", "name", "_version"]
+
+
+def affected_versions(deps: DataFrame, osv: DataFrame, vulns_per_salt: int = VULNS_PER_SALT) -> DataFrame:
+    """One row per distinct (ecosystem, name, version) and vulnerability that affects it.
+
+    Popular packages occur in very many projects, so versions are made distinct first
+    (``_n`` dependents each, a partial aggregate).  Versions and bounds are turned into
+    comparable keys before they meet, so a pair costs two comparisons.  Packages with
+    many records are salted.
+    """
+    versions = _exact(deps).groupBy(*EXACT).agg(F.count("*").alias("_dependents")).withColumn(
+        "_key", F.when(F.col("_version") != NO_VERSION, version_key(F.col("_version"))))
+    vulns = osv.filter(F.col("package").isNotNull()).select(
+        "ecosystem", F.col("package").alias("name"), "vuln_id", "summary", "severity", "cve_ids", "affected_ranges",
+        range_keys(F.col("affected_ranges")).alias("_keys"))
+    return salted_join(versions, vulns, PACKAGE, F.col("vuln_id"), vulns_per_salt).filter(
+        key_affected(F.col("_key"), F.col("_keys"))).drop("_key", "_keys")
+
+
 def match_osv(
     deps: DataFrame, osv: DataFrame, vulns_per_salt: int = VULNS_PER_SALT, deps_per_salt: int = DEPS_PER_SALT,
 ) -> DataFrame:
     """One row per dependency and vulnerability that affects its version.
 
-    Popular packages occur in very many projects, so the range test runs once per
-    distinct (ecosystem, name, version); the distinct is partial before its shuffle.
-    Versions and bounds are turned into comparable keys before they meet, so a pair
-    costs two comparisons.  Packages with many records, and versions with many
-    dependents, are salted.
+    Joins ``affected_versions`` back to the dependencies; versions with very many
+    dependents are salted.
     """
-    package, exact = ["ecosystem", "name"], ["ecosystem", "name", "_version"]
-    vulns = osv.filter(F.col("package").isNotNull()).select(
-        "ecosystem", F.col("package").alias("name"), "vuln_id", "summary", "severity", "cve_ids", "affected_ranges",
-        range_keys(F.col("affected_ranges")).alias("_keys"))
-    rows = deps.select("project", *package, "version", F.coalesce("version", F.lit(NO_VERSION)).alias("_version"))
-    counted = rows.groupBy(*exact).agg(F.count("*").alias("_n"))
-    versions = counted.withColumn(
-        "_key", F.when(F.col("_version") != NO_VERSION, version_key(F.col("_version"))))
-    affected = salted_join(
-        versions.withColumnRenamed("_n", "_dependents"), vulns, package, F.col("vuln_id"), vulns_per_salt,
-    ).filter(key_affected(F.col("_key"), F.col("_keys"))).drop("_key", "_keys").withColumnRenamed("_dependents", "_n")
-    return salted_join(affected, rows, exact, F.col("project"), deps_per_salt, sizes=counted).select(
+    rows = _exact(deps.select("project", *PACKAGE, "version"))
+    sizes = rows.groupBy(*EXACT).agg(F.count("*").alias("_n"))
+    affected = affected_versions(deps, osv, vulns_per_salt).withColumnRenamed("_dependents", "_n")
+    return salted_join(affected, rows, EXACT, F.col("project"), deps_per_salt, sizes=sizes).select(
         "project", "name", F.coalesce("version", F.lit("unknown")).alias("package_version"), "ecosystem",
         "vuln_id", "summary", "severity", "cve_ids", "affected_ranges")
 
 
-def annotate_deps(deps: DataFrame, vulns: DataFrame) -> DataFrame:
-    """Every dependency with its number of vulnerabilities."""
-    key = ["project", "ecosystem", "name"]
-    counts = vulns.groupBy(*key).agg(F.count("*").alias("n_vulnerabilities"))
-    return deps.join(counts, key, "left").withColumn(
-        "n_vulnerabilities", F.coalesce("n_vulnerabilities", F.lit(0).cast("long"))
+def annotate_deps(
+    deps: DataFrame, osv: DataFrame, vulns_per_salt: int = VULNS_PER_SALT, deps_per_salt: int = DEPS_PER_SALT,
+) -> DataFrame:
+    """Every dependency with its number of vulnerabilities.
+
+    Counted per distinct version before the dependencies come in, so the pairs of
+    dependencies and vulnerabilities are never built.
+    """
+    counts = affected_versions(deps, osv, vulns_per_salt).groupBy(*EXACT).agg(
+        F.count("*").alias("_count"), F.first("_dependents").alias("_n"))
+    rows = _exact(deps)
+    sizes = rows.groupBy(*EXACT).agg(F.count("*").alias("_n"))
+    marked = salted_join(counts, rows, EXACT, F.col("project"), deps_per_salt, sizes=sizes, how="right")
+    return marked.select(
+        *deps.columns, F.coalesce("_count", F.lit(0).cast("long")).alias("n_vulnerabilities"),
     ).withColumn("is_vulnerable", F.col("n_vulnerabilities") > 0)
 
 
