@@ -235,16 +235,18 @@ def affected_versions(deps: DataFrame, osv: DataFrame, vulns_per_salt: int = VUL
     """One row per distinct (ecosystem, name, version) and vulnerability that affects it.
 
     Popular packages occur in very many projects, so versions are made distinct first
-    (``_n`` dependents each, a partial aggregate).  Versions and bounds are turned into
-    comparable keys before they meet, so a pair costs two comparisons.  Packages with
-    many records are salted.
+    (a partial aggregate).  Versions and bounds are turned into comparable keys before
+    they meet, so a pair costs two comparisons.  Packages with many records or many
+    versions are salted.
     """
-    versions = _exact(deps).groupBy(*EXACT).agg(F.count("*").alias("_dependents")).withColumn(
+    versions = _exact(deps).select(*EXACT).distinct().withColumn(
         "_key", F.when(F.col("_version") != NO_VERSION, version_key(F.col("_version"))))
     vulns = osv.filter(F.col("package").isNotNull()).select(
         "ecosystem", F.col("package").alias("name"), "vuln_id", "summary", "severity", "cve_ids", "affected_ranges",
         range_keys(F.col("affected_ranges")).alias("_keys"))
-    return salted_join(versions, vulns, PACKAGE, F.col("vuln_id"), vulns_per_salt).filter(
+    pairs = salted_join(
+        versions, vulns, PACKAGE, F.col("vuln_id"), vulns_per_salt, side_spread_by=F.col("_version"))
+    return pairs.filter(
         key_affected(F.col("_key"), F.col("_keys"))).drop("_key", "_keys")
 
 
@@ -258,7 +260,7 @@ def match_osv(
     """
     rows = _exact(deps.select("project", *PACKAGE, "version"))
     sizes = rows.groupBy(*EXACT).agg(F.count("*").alias("_n"))
-    affected = affected_versions(deps, osv, vulns_per_salt).withColumnRenamed("_dependents", "_n")
+    affected = affected_versions(deps, osv, vulns_per_salt)
     return salted_join(affected, rows, EXACT, F.col("project"), deps_per_salt, sizes=sizes).select(
         "project", "name", F.coalesce("version", F.lit("unknown")).alias("package_version"), "ecosystem",
         "vuln_id", "summary", "severity", "cve_ids", "affected_ranges")
@@ -273,7 +275,7 @@ def annotate_deps(
     dependencies and vulnerabilities are never built.
     """
     counts = affected_versions(deps, osv, vulns_per_salt).groupBy(*EXACT).agg(
-        F.count("*").alias("_count"), F.first("_dependents").alias("_n"))
+        F.count("*").alias("_count"))
     rows = _exact(deps)
     sizes = rows.groupBy(*EXACT).agg(F.count("*").alias("_n"))
     marked = salted_join(counts, rows, EXACT, F.col("project"), deps_per_salt, sizes=sizes, how="right")

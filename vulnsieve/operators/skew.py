@@ -8,31 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _crowded_keys(sizes: DataFrame, keys: list[str], rows_per_salt: int, name: str) -> DataFrame:
+    """Keys with more than ``rows_per_salt`` rows and their number of pieces.
+
+    There are at most rows / ``rows_per_salt`` of them, so the table is small enough to
+    broadcast whatever the data.
+    """
+    pieces = F.ceil(F.col("_n") / F.lit(rows_per_salt)).cast("int")
+    return F.broadcast(sizes.filter(F.col("_n") > rows_per_salt).select(*keys, pieces.alias(name)))
+
+
+def _deal(df: DataFrame, hot: DataFrame, keys: list[str], spread_by: Column, pieces: str, salt: str) -> DataFrame:
+    return df.join(hot, keys, "left").withColumn(
+        salt, F.pmod(F.xxhash64(spread_by), F.coalesce(pieces, F.lit(1))).cast("int")).drop(pieces)
+
+
+def _repeat(df: DataFrame, hot: DataFrame, keys: list[str], pieces: str, salt: str) -> DataFrame:
+    return df.join(hot, keys, "left").withColumn(
+        salt, F.explode(F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1))).drop(pieces)
+
+
 def salted_join(
     side: DataFrame, crowded: DataFrame, keys: Sequence[str], spread_by: Column, rows_per_salt: int,
-    sizes: DataFrame | None = None, how: str = "inner",
+    sizes: DataFrame | None = None, side_spread_by: Column | None = None, how: str = "inner",
 ) -> DataFrame:
     """``side`` joined to ``crowded`` on ``keys``, crowded keys cut into pieces.
 
-    Keys with more than ``rows_per_salt`` rows in ``crowded`` are counted first (a
-    partial aggregate).  Their rows are dealt over salts by the hash of ``spread_by``
-    and the matching rows of ``side`` are repeated once per salt; all other keys join
-    as they are.  At most rows / ``rows_per_salt`` keys can be crowded, so the table
-    of crowded keys is bounded and small enough to broadcast.  The result is whole.
+    Rows per key of ``crowded`` are counted first (a partial aggregate; ``sizes`` may
+    give the counts as ``keys, _n``).  Rows of keys with more than ``rows_per_salt`` are
+    dealt over salts by the hash of ``spread_by`` and the matching rows of ``side`` are
+    repeated once per salt; all other keys join as they are.  The result is whole.
 
-    ``sizes`` may give the counts (``keys, _n``); a ``_n`` column in ``side`` is the
-    count of its key and saves the look-up there.
+    With ``side_spread_by`` the keys of ``side`` may be crowded too and are dealt the
+    same way.  Then every row may meet many others, so the number of partitions is kept
+    fixed: by their few bytes adaptive execution would put them all into one task.
     """
-    keys = list(keys)
+    keys, on = list(keys), [*keys, "_salt"]
     if sizes is None:
         sizes = crowded.groupBy(*keys).agg(F.count("*").alias("_n"))
-    pieces = F.ceil(F.col("_n") / F.lit(rows_per_salt)).cast("int")
-    hot = F.broadcast(sizes.filter(F.col("_n") > rows_per_salt).select(*keys, pieces.alias("_salts")))
-    one = F.coalesce("_salts", F.lit(1))
-    dealt = crowded.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), one).cast("int")).drop("_salts")
-    if "_n" in side.columns:
-        counted = side.withColumn("_salts", pieces).drop("_n")
-    else:
-        counted = side.join(hot, keys, "left")
-    repeated = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
-    return repeated.join(dealt, [*keys, "_salt"], how).drop("_salt")
+    hot = _crowded_keys(sizes, keys, rows_per_salt, "_pieces")
+    left = _repeat(side, hot, keys, "_pieces", "_salt")
+    right = _deal(crowded, hot, keys, spread_by, "_pieces", "_salt")
+    if side_spread_by is not None:
+        hot_side = _crowded_keys(side.groupBy(*keys).agg(F.count("*").alias("_n")), keys, rows_per_salt, "_parts")
+        on.append("_part")
+        partitions = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = _deal(left, hot_side, keys, side_spread_by, "_parts", "_part").repartition(partitions, *on)
+        right = _repeat(right, hot_side, keys, "_parts", "_part").repartition(partitions, *on)
+    return left.join(right, on, how).drop("_salt", "_part")
