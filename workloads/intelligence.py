@@ -407,16 +407,19 @@ def first_vulns(spark, d):
 _REPO_OF_FILE = "'org/Supplier#' || lpad((file_id % 100)::VARCHAR, 9, '0')"
 
 
-@query("combine_repo", S.with_ctes(*_SCANNED, *_PROJECT_CTES, B.REPOS_SQL, B.ADVISORIES_SQL, f"""
+_REPO_CTES = [*_SCANNED, *_PROJECT_CTES, B.REPOS_SQL, B.ADVISORIES_SQL, f"""
 found_per_file AS (SELECT c.file_id, count(s.file_id) AS n FROM code c LEFT JOIN scanned s USING (file_id) GROUP BY 1),
 repo_code AS (SELECT {_REPO_OF_FILE} AS repo, sum(n)::BIGINT AS code_findings, count(*) AS files_scanned FROM found_per_file GROUP BY 1),
 repo_deps AS (SELECT 'org/Supplier#' || lpad(substr(project, 2), 9, '0') AS repo, * FROM dep_totals),
-repo_adv AS (SELECT repo, count(*) AS advisories FROM advisories GROUP BY 1)""",
-    select="""SELECT full_name AS repo, stars, language, coalesce(code_findings, 0) AS code_findings,
+repo_adv AS (SELECT repo, count(*) AS advisories FROM advisories GROUP BY 1),
+combined AS (SELECT full_name AS repo, stars, language, coalesce(code_findings, 0) AS code_findings,
   coalesce(vulnerable_dependencies, 0) AS dep_vulnerabilities, coalesce(advisories, 0) AS advisories,
   coalesce(files_scanned, 0) AS files_scanned, coalesce(total_dependencies, 0) AS total_dependencies
 FROM repos LEFT JOIN repo_code ON repo_code.repo = full_name LEFT JOIN repo_deps ON repo_deps.repo = full_name
-LEFT JOIN repo_adv ON repo_adv.repo = full_name"""))
+LEFT JOIN repo_adv ON repo_adv.repo = full_name)"""]
+
+
+@query("combine_repo", S.with_ctes(*_REPO_CTES, select="SELECT * FROM combined"))
 def combine_repo(spark, d):
     files = B.code(spark, d)
     per_file = fnd.file_counts(files, scan(files)).withColumn(
@@ -426,12 +429,12 @@ def combine_repo(spark, d):
     return intel.combine_repo(repos(spark, d), per_file, totals, advisories(spark, d))
 
 
-@query("repo_summary")
+@query("repo_summary", S.with_ctes(*_REPO_CTES, select="SELECT repo, code_findings, dep_vulnerabilities, advisories, files_scanned FROM combined"))
 def repo_summary(spark, d):
-    """The whole repository report through the plan, with all rules."""
-    owner = F.concat(F.lit("org/Supplier#"), F.lpad((F.crc32("path") % 100).cast("string"), 9, "0"))
-    combined = scan_repositories(
-        repos(spark, d), B.code(spark, d),
-        B.manifests(spark, d).withColumn("project", F.concat(F.lit("org/Supplier#"), F.lpad(F.substring("project", 2, 20), 9, "0"))),
-        manifest_osv(spark, d), advisories(spark, d), owner)
-    return intel.repo_summary(combined)
+    """The repository report through the plan; a file's repository follows from the number in its path."""
+    number = F.regexp_extract("path", r"src/m(\d+)", 1).cast("long") % 100
+    owner = F.concat(F.lit("org/Supplier#"), F.lpad(number.cast("string"), 9, "0"))
+    named = B.manifests(spark, d).withColumn(
+        "project", F.concat(F.lit("org/Supplier#"), F.lpad(F.substring("project", 2, 20), 9, "0")))
+    return intel.repo_summary(scan_repositories(
+        repos(spark, d), B.code(spark, d), named, manifest_osv(spark, d), advisories(spark, d), owner))
