@@ -38,6 +38,7 @@ _register_rules("rules_secret_formats", [r for r in RULES if r.rule_id.startswit
 _register_rules("rule_scan", RULES, B.code, B.CODE_SQL)
 _register_rules("rule_scan_documents", RULES, B.documents, B.DOCUMENTS_SQL)
 _register_rules("rule_scan_pages", RULES, B.pages, B.PAGES_SQL)
+_register_rules("rule_scan_conversations", RULES, B.turns, B.TURNS_SQL)
 _SECRETS = [r for r in RULES if r.vuln_class == 4]
 query("secret_scan_documents", S.with_ctes(
     B.DOCUMENTS_SQL, S.found(D.rule_checks(_SECRETS)), select=S.FINDING_SELECT + " FROM found"),
