@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnsieve.llm import bpe, exact_dedup, pii
+from vulnsieve.llm import bpe, exact_dedup, language_id, pii, simhash
+from vulnsieve.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +43,21 @@ def op1(spark, d):
         F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
 
 
+@query("op2_language_id")
+def op2(spark, d):
+    docs = table(spark, d, "documents")
+    model = language_id.train(docs.filter(fold("doc_id", 3) != 1))
+    found = language_id.predicted(docs, model)
+    return docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), found.alias("found")).select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+@query("op7_simhash")
+def op7(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op8_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
