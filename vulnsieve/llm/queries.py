@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnsieve.llm import bpe, exact_dedup, language_id, pii, simhash
+from vulnsieve.llm import bpe, exact_dedup, language_id, pii, simhash, url_filter
 from vulnsieve.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,48 @@ def op2(spark, d):
         "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+URL_RULES = [url_filter.Rule(*r) for r in (
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))]
+#: Hosts with one of these labels are listed; the list holds the canonical URLs of their pages.
+LISTED_LABELS = ("adult-x", "cheap-pills", "spam-farm")
+
+
+def _url_sql() -> str:
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    fits = lambda r: (f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')")
+    by_length = sorted(URL_RULES, key=lambda r: -len(r.name))
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in by_length) + " END"
+    return f"""
+    WITH cut AS (
+      SELECT page_id, url,
+        coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+        list_sort(list_filter(string_split(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), ''), '&'),
+          lambda p: p <> '' AND split_part(p, '=', 1) NOT IN ({quoted(url_filter.TRACKING)}))) AS args
+      FROM pages),
+    named AS (
+      SELECT page_id, host, path, CASE WHEN host <> '' THEN
+        regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\\.', '') || rtrim(path, '/')
+        || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS canonical,
+        {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS ruled
+      FROM cut),
+    listed AS (
+      SELECT DISTINCT canonical FROM named
+      WHERE len(list_filter(string_split(host, '.'), lambda x: x IN ({quoted(LISTED_LABELS)}))) > 0)
+    SELECT page_id, host, path, rule, canonical, coalesce(ruled,
+      CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM named"""
+
+
+@query("op4_url_filter", _url_sql())
+def op4(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    listed = pages.filter(F.arrays_overlap(
+        F.split(url_filter.host_of(F.col("url")), r"\."), F.array(*map(F.lit, LISTED_LABELS))))
+    return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict", "canonical")
+
+
 @query("op7_simhash")
 def op7(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents")).select(
