@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnsieve.llm import bpe, exact_dedup, language_id, pii, simhash, url_filter
+from vulnsieve.llm import bpe, exact_dedup, exact_topk, language_id, pii, simhash, url_filter
 from vulnsieve.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,22 @@ def op2(spark, d):
         "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+@query("op3_exact_topk", """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS vector FROM embeddings
+      WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vector::DOUBLE[], c.vector::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""")
+def op3(spark, d):
+    rows = table(spark, d, "embeddings").filter(exact_topk.usable(F.col("embedding")))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 64))
+    return exact_topk.top_k(rows.select("vec_id", whole.alias("vector")), F.col("vec_id") % 20 == 0, k=20)
+
+
 URL_RULES = [url_filter.Rule(*r) for r in (
     ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))]
 #: Hosts with one of these labels are listed; the list holds the canonical URLs of their pages.
