@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, text: str, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch holding about ``limit`` bytes of text each, so that what is
     derived from them stays small however long the texts are."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         if size and size + n > limit:

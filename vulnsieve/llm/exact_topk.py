@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def _group(queries: pa.Table, vectors: pa.Table, k: int, slices: int, cutoffs: b
     empty = pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
     if not queries.num_rows or not vectors.num_rows:
         return empty
-    width = max(pa.compute.max(pa.compute.list_value_length(t.column("vector"))).as_py() or 0 for t in (queries, vectors))
+    width = max(pc.max(pc.list_value_length(t.column("vector"))).as_py() or 0 for t in (queries, vectors))
     ids = vectors.column("vec_id").to_numpy()
     order = np.argsort(ids, kind="stable")  # smaller positions are smaller ids
     ids = ids[order]
