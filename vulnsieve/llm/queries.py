@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnsieve.llm import bpe, exact_dedup, exact_topk, language_id, pii, simhash, url_filter
+from vulnsieve.llm import bpe, exact_dedup, exact_topk, language_id, packing, pii, simhash, url_filter
 from vulnsieve.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,11 @@ def op4(spark, d):
     return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
+@query("op6_packing")
+def op6(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"), BYTE_BPE)
+
+
 @query("op7_simhash")
 def op7(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents")).select(
