@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnsieve.llm import bpe, exact_dedup, exact_topk, language_id, packing, pii, simhash, url_filter
+from vulnsieve.llm import bpe, exact_dedup, exact_topk, language_id, packing, pii, simhash, toxicity, url_filter
 from vulnsieve.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,15 @@ def op8(spark, d):
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op9_toxicity")
+def op9(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.fit(docs, labels.filter(fold("doc_id", 5) != 0).select("doc_id", "toxic"))
+    return toxicity.toxic_passages(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", toxicity.is_toxic(F.col("score")).alias("predicted"),
+        F.size("passages").alias("n_passages"), "evidence")
+
+
 @query("op10_bpe")
 def op10(spark, d):
     return bpe.round_trip(table(spark, d, "documents"), BYTE_BPE)
