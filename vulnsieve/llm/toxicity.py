@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from vulnsieve.llm.common import whole_text, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
-STEM_LENGTHS = range(2, 8)
+ADDRESS = re.compile(r"[@0-9]")
+STEM_LENGTHS = range(4, 8)
 EULER = 0.5772156649
 CACHED = 300_000
 
@@ -88,7 +89,9 @@ class ToxicityModel:
 
     def token_score(self, token: str) -> float:
         """Log-odds of the longest known prefix of the token's most toxic run of letters, less
-        the drift that makes ordinary text score below zero."""
+        the drift that makes ordinary text score below zero.  Addresses and numbers are no words."""
+        if ADDRESS.search(token):
+            return -self.drift
         best = None
         for word in LETTERS.findall(token.lower()):
             value = next((self.odds[s] for s in reversed(stems(word)) if s in self.odds), 0.0)
@@ -99,7 +102,14 @@ class ToxicityModel:
         if self._cache is None:
             self._cache = _Scores(self)
         tokens = text.split()
-        return np.fromiter(map(self._cache.__getitem__, tokens), np.float64, len(tokens))
+        scores = np.fromiter(map(self._cache.__getitem__, tokens), np.float64, len(tokens))
+        # a token that comes again says nothing new
+        seen: set[str] = set()
+        for i in np.flatnonzero(scores > 0).tolist():
+            if tokens[i] in seen:
+                scores[i] = -self.drift
+            seen.add(tokens[i])
+        return scores
 
     def passages(self, text: str, most_expected: float = 0.05) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of tokens, and the significant segments ``(start, end, evidence)`` in tokens.
@@ -147,32 +157,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def _word_odds(nodes: list[tuple[str, int, int]], n_toxic: int, n_clean: int, prior: float, least_z: float) -> dict[str, float]:
-    """Log-odds of every prefix that differs from its parent's; parents come first.
+    """Log-odds of every prefix; parents come first.
 
     Counts are numbers of texts.  The prior of a prefix is ``prior`` texts, split between the
-    classes as its parent is; a difference below ``least_z`` standard errors is no difference.
+    classes as its parent is.  Of the difference to the parent's log-odds only what exceeds
+    ``least_z`` standard errors is believed, so words of a few texts weigh little.
     """
     every: dict[str, float] = {}
-    kept: dict[str, float] = {}
     total = n_toxic + n_clean
     for name, toxic, clean in sorted(nodes, key=lambda x: (len(x[0]), x[0])):
         bare = name.rstrip(" ")
         longer = [s for s in (bare[:n] for n in reversed(STEM_LENGTHS) if n < len(bare)) if s in every]
         parent = every[longer[0]] if longer else 0.0
         q = 1 / (1 + math.exp(-parent))
-        a = toxic + prior * q * 2 * n_toxic / total
-        b = clean + prior * (1 - q) * 2 * n_clean / total
-        value = math.log(a / n_toxic) - math.log(b / n_clean)
-        if abs(value) < least_z * math.sqrt(1 / a + 1 / b):
-            value = 0.0
-        every[name] = value
-        kept[name] = max(-1.0, value)
-    return kept
+        a = toxic + 0.5 + prior * q * 2 * n_toxic / total
+        b = clean + 0.5 + prior * (1 - q) * 2 * n_clean / total
+        change = math.log(a / n_toxic) - math.log(b / n_clean) - parent
+        sure = max(0.0, abs(change) - least_z * math.sqrt(1 / a + 1 / b))
+        every[name] = parent + math.copysign(sure, change)
+    return {name: max(-1.0, value) for name, value in every.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        fit_rows: int = 20_000, most_nodes: int = 200_000, least_texts: int = 4, prior: float = 2.0, least_z: float = 2.5,
-        drift: float = 0.15) -> ToxicityModel:
+        fit_rows: int = 20_000, most_nodes: int = 200_000, least_texts: int = 4, prior: float = 2.0, least_z: float = 2.0,
+        drift: float = 0.3) -> ToxicityModel:
     """Learns from ``labels`` (``id_col, label_col``) and the texts of ``docs``.
 
     At most ``fit_rows`` labelled rows are used, up to half of each class, picked by a hash of
