@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnsieve.llm import bpe, exact_dedup, exact_topk, language_id, packing, pii, simhash, toxicity, url_filter
+from vulnsieve.llm import bpe, exact_dedup, exact_topk, language_id, packing, pii, simhash, suffix_lm, toxicity, url_filter
 from vulnsieve.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,15 @@ def op4(spark, d):
     return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
+@query("op5_suffix_lm")
+def op5(spark, d):
+    docs = table(spark, d, "documents")
+    model = suffix_lm.train(docs, fold("doc_id", 7) != 2)
+    return suffix_lm.score(docs, model).select(
+        "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query("op6_packing")
 def op6(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), BYTE_BPE)
