@@ -129,7 +129,7 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int = 8192, cells: in
                     if pairs:
                         yield tile_links()
                     key, own, pairs = code[start], [], []
-                run = values[start:end]
+                run = values[start:end].view(np.uint64)  # bit counts of signed numbers are those of their size
                 if not probes[start]:
                     own.append(run)
                     continue
@@ -142,7 +142,7 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int = 8192, cells: in
                     x, y = np.nonzero(near)
                     a, b = mine[x], other[y]
                     differ = a != b
-                    pairs += zip(a[differ].tolist(), b[differ].tolist())
+                    pairs += zip(a[differ].view(np.int64).tolist(), b[differ].view(np.int64).tolist())
                     if len(pairs) > 1_000_000:
                         pairs = list(_forest(pairs).items())
         if pairs:
