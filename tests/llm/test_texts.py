@@ -1,0 +1,194 @@
+"""Operators on single texts against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from vulnsieve.llm import bpe, language_id, pii, toxicity
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+ODD = ["", " ", "   ", "\n\n x  y ", "a" * 3000, "<|endoftext|>", "x<|endoftext|> <|endoftext|>y", "don't  it's 12½ ²", "\x1c\x85\xa0 z",
+       "日本語 テスト", "é" * 400, "\U0001F600 \U0001F468‍\U0001F469", "tab\tand\r\nline", "a b\nc", "x \ny", "x\n y"]
+
+
+def plain_base(text):
+    """The four base patterns as they are stated, with the plain engine."""
+    out = []
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    out += [("email", m.start(), m.end()) for m in re.finditer(email, text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab.@-+%_ 0123456789()\né", max_size=60))
+def test_base_spans(text):
+    assert pii.base_spans(text) == plain_base(text)
+
+
+def test_spans_and_scores():
+    text = "Call +1 (415) 555-0199 now, card 4111 1111 1111 1111, iban GB82 WEST 1234 5698 7654 32, host 10.0.0.1, a@b.co@c.de"
+    found = {k: text[s:e] for k, s, e, _ in pii.scan(text)}
+    assert found == {"phone": "+1 (415) 555-0199", "card": "4111 1111 1111 1111", "iban": "GB82 WEST 1234 5698 7654 32",
+                     "ip": "10.0.0.1", "email": "a@b.co"}
+    rated = {k: v for k, _, _, v in pii.scan(text)}
+    assert rated["phone"] > pii.START["phone"] and rated["card"] > pii.START["card"]
+    assert not pii.scan("GB82 WEST 1234 5698 7654 33, 4111 1111 1111 1112, 078-05-1120")
+    assert [k for k, *_ in pii.scan("my ssn is 078-05-1120")] == ["ssn"]
+    assert [k for k, *_ in pii.scan('token = "9c8b45435718dcc700c184a7e303cdc6"')] == ["secret"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab.@-+ 0123456789\n", max_size=60))
+def test_redacted_text_holds_no_base_span(text):
+    once = pii.redacted(text)
+    assert not [s for s in pii.base_spans(once) if s not in pii.base_spans(pii.redacted(once))]
+    for kind, s, e in pii.base_spans(text):
+        assert f"[{kind.upper()}]" in once or "[" in once
+
+
+def test_long_digits_and_runs():
+    for text in ("1" * 50_000, "1." * 20_000, "+1" + "-" * 50_000, "@" * 20_000, "a" * 50_000 + "@"):
+        pii.scan(text)
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_bpe_odd(text):
+    tool = bpe.codec(PATH)
+    ids = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert tool.encode(text) == tool.pack(ids)
+    assert tool.decode(tool.pack(ids)) == LIBRARY.decode(ids, skip_special_tokens=False)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="aehinrst T.,'\n", max_size=80))
+def test_bpe_any(text):
+    tool = bpe.codec(PATH)
+    ids = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert tool.encode(text) == tool.pack(ids) and tool.decode(tool.encode(text)) == text
+
+
+def test_bpe_caches_do_not_matter(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 5)
+    tool, rng = bpe.Codec(PATH), random.Random(3)
+    for _ in range(200):
+        text = " ".join("".join(rng.choices("abcdehinrst", k=rng.randint(1, 9))) for _ in range(20))
+        assert tool.encode(text) == tool.pack(LIBRARY.encode(text, add_special_tokens=False).ids)
+
+
+def test_bpe_queries_rows(spark, docs_of):
+    docs = docs_of((1, None), (1, None), (2, "a <|endoftext|>"), (3, "x" * 200_000), (None, "th é"), extra=True)
+    rows = bpe.round_trip(docs, PATH).collect()
+    assert len(rows) == 5
+    for r in rows:
+        text = {1: "", 2: "a <|endoftext|>", 3: "x" * 200_000, None: "th é"}[r.doc_id]
+        ids = LIBRARY.encode(text, add_special_tokens=False).ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+    back = bpe.decode(bpe.encode(docs, PATH), PATH).filter("doc_id = 2").first()
+    assert back.text == "a <|endoftext|>"
+
+
+def test_pii_rows(spark, docs_of):
+    docs = docs_of(None, "", "mail a@b.co", "mail a@b.co", extra=True)
+    rows = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    assert rows[0] == rows[1] == [] and rows[2] == rows[3] and rows[2][0].start == 5
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns
+    assert {r.doc_id: r.text for r in clean.collect()} == {0: None, 1: "", 2: "mail [EMAIL]", 3: "mail [EMAIL]"}
+    assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def plain_segments(scores):
+    """Repeatedly take the best-scoring run, then look left and right of it."""
+    if not len(scores):
+        return []
+    total = np.concatenate([[0], np.cumsum(scores)])
+    best = max(((total[j] - total[i], -(j - i), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)))
+    if best[0] <= 0:
+        return []
+    _, _, i, j = best
+    right = [(s + j, e + j, x) for s, e, x in plain_segments(scores[j:])]
+    return plain_segments(scores[:i]) + [(i, j, best[0])] + right
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-9, 9), max_size=18))
+def test_maximal_segments(scores):
+    # uneven fractions rule out ties between runs
+    values = np.array([s + 0.01 * zlib.crc32(bytes([i])) / 2**32 for i, s in enumerate(scores)])
+    found = toxicity.maximal_segments(values)
+    plain = plain_segments(values)
+    assert [(s, e) for s, e, _ in found] == [(s, e) for s, e, _ in plain]
+    assert np.allclose([x for *_, x in found], [x for *_, x in plain])
+
+
+def test_toxicity_learns_stems(spark, docs_of):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    items, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = [word() for _ in range(40)]
+        if bad:
+            for _ in range(4):
+                words[rng.randrange(40)] = "snarl" + rng.choice(["ig", "er", "ing", "ed", "y", "ous", "ish", "ly", "um"])
+        items.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs = docs_of(*items, (9000, None), (9001, ""), extra=True)
+    known = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    rows = {r.doc_id: r for r in toxicity.toxic_passages(docs, model).collect()}
+    held = [x for x in labels if x[0] % 5 == 0]
+    assert np.mean([(rows[i].score >= 0.5) == bool(y) for i, y in held]) > 0.97
+    assert rows[9000].score == rows[9001].score < 0.5 and rows[9000].passages == []
+    assert toxicity.toxic_passages(docs.limit(0), model).count() == 0
+    empty = toxicity.fit(docs, known.limit(0))
+    assert all(r.score < 0.5 for r in toxicity.toxic_passages(docs, empty).collect())
+
+
+def test_language_counts_against_plain(spark, docs_of):
+    texts = [("en", "The cat. The hat"), ("de", "Der Hut, DER Bär"), ("en", "that"), (None, "zzz"), ("de", None)]
+    docs = docs_of(*[(i, t, lang) for i, (lang, t) in enumerate(texts)], extra=True)
+    model = language_id.train(docs)
+    assert model.langs == ["de", "en"] and np.allclose(np.exp(model.log_prob).sum(axis=1), 1)
+    rows = {r.doc_id: r for r in docs.select("doc_id", language_id.predicted(docs, model).alias("f")).selectExpr("doc_id", "f.*").collect()}
+    assert [rows[i].lang for i in range(5)][:3] == ["en", "de", "en"]
+    assert rows[4].lang == "und" and rows[4].score == 0
+    und = docs_of("1234 --", "", None)
+    assert {r.f.lang for r in und.select(language_id.predicted(und, model).alias("f")).collect()} == {"und"}
+    kept = language_id.keep_identified(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 3}
+    none = language_id.train(docs.limit(0))
+    assert {r.f.lang for r in docs.select(language_id.predicted(docs, none).alias("f")).collect()} == {"und"}
+
+
+def test_language_pieces_do_not_matter(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abc é.1", k=rng.randint(0, 300))) for _ in range(30)]
+    prob = np.log(np.random.default_rng(0).dirichlet(np.ones(1 << 15), 3))
+    model = language_id.LanguageModel(["a", "b", "c"], np.log(np.ones(3) / 3), prob, 3, 1 << 15)
+    whole = model.predict(texts)
+    monkeypatch.setattr(language_id, "PIECE", 17)
+    parts = model.predict(texts)
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
