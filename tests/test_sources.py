@@ -27,13 +27,19 @@ def test_read_code_files(spark, tmp_path):
     write(tmp_path, "notes.txt", "n")
     write(tmp_path, "node_modules/m/i.js", "n")
     write(tmp_path, "b/vendor/v.go", "n")
-    write(tmp_path, "big.c", b"x" * (5 * 1024 * 1024 + 1))
+    write(tmp_path, "big.c", b"x" * (6 * 1024 * 1024))
     write(tmp_path, "limit.c", b"x" * (5 * 1024 * 1024))
     rows = {os.path.relpath(r.path, tmp_path): r.content for r in src.read_code_files(spark, str(tmp_path)).collect()}
-    assert sorted(rows) == ["a.JS", "b/sp ace+%.go", "b/z.py", "latin.php", "limit.c"]
+    assert sorted(rows) == ["a.JS", "b/sp ace+%.go", "b/z.py", "big.c", "latin.php", "limit.c"]
+    assert len(rows["big.c"]) == 6 * 1024 * 1024
+    limit = 5 * 1024 * 1024
+    small = src.read_code_files(spark, str(tmp_path), max_bytes=limit).select("path").collect()
+    assert len(small) == 5
+    assert [tuple(r)[1:] for r in src.skipped_files(spark, str(tmp_path), limit).collect()] == [
+        (6 * 1024 * 1024, f"larger than {limit} bytes")]
     assert rows["b/z.py"] == "os.system(1)\nx\ny" and rows["latin.php"] == "café"
     flat = src.read_code_files(spark, str(tmp_path), recursive=False).select("path").collect()
-    assert sorted(os.path.relpath(r.path, tmp_path) for r in flat) == ["a.JS", "latin.php", "limit.c"]
+    assert sorted(os.path.relpath(r.path, tmp_path) for r in flat) == ["a.JS", "big.c", "latin.php", "limit.c"]
     first = src.read_code_files(spark, str(tmp_path), max_files=2).select("path").collect()
     assert sorted(os.path.relpath(r.path, tmp_path) for r in first) == ["a.JS", "b/sp ace+%.go"]
     only = src.read_code_files(spark, str(tmp_path), extensions=[".php"], max_files=None).collect()
@@ -43,6 +49,12 @@ def test_read_code_files(spark, tmp_path):
         str(tmp_path / p) for p in rows)
 
 
+def test_many_files_are_all_read(spark, tmp_path):
+    for i in range(10_001):
+        (tmp_path / f"f{i}.py").write_text("x")
+    assert src.read_code_files(spark, str(tmp_path), decode=False).select("path").count() == 10_001
+
+
 def test_skipped_names_above_the_root_do_not_count(spark, tmp_path):
     write(tmp_path, "build/project/a.py", "x")
     assert src.read_code_files(spark, str(tmp_path / "build" / "project")).count() == 1
@@ -51,7 +63,7 @@ def test_skipped_names_above_the_root_do_not_count(spark, tmp_path):
 def test_pruned_before_reading(spark, tmp_path):
     write(tmp_path, "a.py", "x")
     write(tmp_path, "venv/b.py", "x")
-    plan = src.read_code_files(spark, str(tmp_path), max_files=None)._jdf.queryExecution().executedPlan().toString()
+    plan = src.read_code_files(spark, str(tmp_path), max_bytes=10)._jdf.queryExecution().executedPlan().toString()
     scan_line = next(line for line in plan.split("\n") if "FileScan binaryFile" in line)
     assert "file_size" in scan_line and "arrays_overlap" in scan_line
 

@@ -58,7 +58,7 @@ def test_feeds_defaults_and_broken_json(spark):
     cve = feeds.flatten_cve(json_table(spark, '{"vulnerabilities":[{"cve":{}},{"cve":{"id":"C","descriptions":[{"lang":"en","value":"'
                                        + "x" * 600 + '"}],"weaknesses":[{"description":[{"value":"CWE-1"},{"value":"Other"}]}]}}]}')).collect()
     by_id = {r.cve_id: r for r in cve}
-    assert by_id["Unknown"].cwe_ids == [] and by_id["Unknown"].published == "" and len(by_id["C"].description) == 500
+    assert by_id["Unknown"].cwe_ids == [] and by_id["Unknown"].published == "" and len(by_id["C"].description) == 600
     assert by_id["C"].cwe_ids == ["CWE-1"]
     osv = feeds.flatten_osv(json_table(spark, '{"vulns":[{"id":"O","severity":[{"type":"CVSS_V3","score":"low/high"}],"affected":['
                                        '{"package":{"name":"a","ecosystem":"E"},"ranges":[{"events":[{"introduced":"1"},{"fixed":"2"},{"introduced":"3"}]},{"events":[]}]},'

@@ -17,14 +17,12 @@ EXTENSION_LANGUAGE = {
     ".php": "php", ".rb": "ruby", ".go": "go", ".rs": "rust",
 }
 
-# ── fixed values: directories never scanned, size and count limits ──────────
+# ── fixed values: directories never scanned ─────────────────────────────────
 SKIP_DIRS = [
     "node_modules", ".git", "__pycache__", ".venv", "venv", "env", ".env", "dist", "build",
     ".tox", ".mypy_cache", ".pytest_cache", "vendor", "target", "bin", "obj",
     ".idea", ".vscode", ".vs", "coverage", ".next",
 ]
-MAX_FILE_BYTES = 5 * 1024 * 1024
-MAX_FILES = 10_000
 
 # ── fixed values: language by content (pattern, anchor), in tie order ───────
 CONTENT_LANGUAGE = {
@@ -173,7 +171,6 @@ REVERSE_CONFIDENCE = 0.6
 BINARY_SUFFIXES = [".pyc", ".so", ".dll", ".exe", ".bin", ".class"]
 BINARY_MARKERS = ["password=", "secret=", "api_key=", "bearer "]
 BINARY_HEAD_BYTES = 1024
-BINARY_SCAN_BYTES = 5 * 1024 * 1024
 BINARY_STRING = r"[ -~]{4,}"
 BINARY_MESSAGE = "Potential hardcoded secret found in binary: '{}...'"
 

@@ -338,9 +338,9 @@ def reverse_scan(files: DataFrame) -> DataFrame:
 def binary_strings(files: DataFrame) -> DataFrame:
     """Embedded secrets of binaries.  ``files``: ``file_id, path, content binary``.
 
-    Bytes are read as Latin-1, one character per byte, from the first 5 MiB.
+    Bytes are read as Latin-1, one character per byte; the whole file is scanned.
     """
     is_binary = sql_binary("path", f"substring(content, 1, {P.BINARY_HEAD_BYTES})")
-    latin1 = F.decode(F.substring("content", 1, P.BINARY_SCAN_BYTES), "ISO-8859-1")
+    latin1 = F.decode("content", "ISO-8859-1")
     texts = files.filter(is_binary).select("file_id", "path", latin1.alias("content"))
     return run_checks(texts, binary_checks("true"))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from vulnsieve.functions.urls import version_key
 from vulnsieve.operators.skew import salted_join
 
-PAGE_LIMIT, REPO_PAGE_LIMIT = 50, 30  # fixed values: most results of one look-up
-
 
 def top_n(df: DataFrame, n: int, order: list[Column], per: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows in an order, overall or per key.
@@ -35,16 +33,17 @@ def search_cve_keyword(cve: DataFrame, keyword: str, severity: str | None = None
         cve = cve.filter(F.contains(text, F.lit(word)))
     if severity:
         cve = cve.filter(F.col("cvss_severity") == severity.upper())
-    return top_n(cve, min(n, PAGE_LIMIT), _newest())
+    return top_n(cve, n, _newest())
 
 
 def search_cve_cwe(cve: DataFrame, cwe: str, n: int = 10) -> DataFrame:
     cwe = "CWE-" + cwe.replace("CWE-", "")
-    return top_n(cve.filter(F.array_contains("cwe_ids", cwe)), min(n, PAGE_LIMIT), _newest())
+    return top_n(cve.filter(F.array_contains("cwe_ids", cwe)), n, _newest())
 
 
-def get_cve(cve: DataFrame, cve_id: str) -> DataFrame:
-    return cve.filter(F.col("cve_id") == cve_id).limit(1)
+def get_cve(cve: DataFrame, *cve_ids: str) -> DataFrame:
+    """The newest record of each of the named CVEs."""
+    return top_n(cve.filter(F.col("cve_id").isin(*cve_ids)), 1, _newest(), per=["cve_id"])
 
 
 def recent_cve(cve: DataFrame, days: int, as_of: str, severity: str | None = None, n: int = 20) -> DataFrame:
@@ -53,7 +52,7 @@ def recent_cve(cve: DataFrame, days: int, as_of: str, severity: str | None = Non
     found = cve.filter(F.col("published").between(F.date_sub(day, days).cast("string"), day.cast("string")))
     if severity:
         found = found.filter(F.col("cvss_severity") == severity.upper())
-    return top_n(found, min(n, PAGE_LIMIT), _newest())
+    return top_n(found, n, _newest())
 
 
 def cve_search(cve: DataFrame, query: str, by_cwe: bool = False, n: int = 10) -> DataFrame:
@@ -80,8 +79,10 @@ def recent_kev(kev: DataFrame, days: int, as_of: str) -> DataFrame:
     return kev.filter(_added_since(days, as_of))
 
 
-def kev_lookup(kev: DataFrame, cve_id: str) -> DataFrame:
-    return top_n(kev.filter(F.upper("cve_id") == cve_id.upper()), 1, [F.col("date_added"), F.col("cve_id")])
+def kev_lookup(kev: DataFrame, *cve_ids: str) -> DataFrame:
+    """The first catalogue entry of each of the named CVEs, whatever their case."""
+    found = kev.withColumn("_id", F.upper("cve_id")).filter(F.col("_id").isin(*[c.upper() for c in cve_ids]))
+    return top_n(found, 1, [F.col("date_added"), F.col("cve_id")], per=["_id"]).drop("_id")
 
 
 def kev_stats(kev: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -93,11 +94,13 @@ def kev_stats(kev: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 
 
 def threat_report(kev: DataFrame, as_of: str, days: int = 30, n: int = 5) -> DataFrame:
-    """The newest entries with the catalogue totals beside each."""
+    """The newest entries with the catalogue totals beside each; the totals alone if none is new."""
     rows = top_n(recent_kev(kev, days, as_of), n, [F.col("date_added").desc(), F.col("cve_id")]).select(
         "cve_id", F.concat_ws("/", "vendor", "product").alias("vendor_product"),
         F.substring("description", 1, 70).alias("summary"), "date_added")
-    return rows.crossJoin(F.broadcast(kev_stats(kev, as_of, days)))  # both sides are a handful of rows
+    # one row of totals beside the few newest ones
+    return kev_stats(kev, as_of, days).join(F.broadcast(rows), F.lit(True), "left").select(
+        *rows.columns, "total_known_exploited", "added_recently", "ransomware_associated")
 
 
 # ── other look-ups ──────────────────────────────────────────────────────────
@@ -115,7 +118,7 @@ def search_repos(repos: DataFrame, query: str, language: str | None = None, sort
     if language:
         repos = repos.filter(F.lower("language") == language.lower())
     key = {"stars": "stars", "forks": "forks", "updated": "updated_at"}[sort]
-    return top_n(repos, min(n, REPO_PAGE_LIMIT), [F.col(key).desc(), F.col("full_name")]).select(
+    return top_n(repos, n, [F.col(key).desc(), F.col("full_name")]).select(
         "full_name", F.substring("description", 1, 200).alias("description"), "language", "stars",
         F.col("html_url").alias("url"))
 

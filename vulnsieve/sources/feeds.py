@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vulnsieve import schemas
 
-DETAIL_CHARS, CVE_REFERENCES, OSV_REFERENCES, DATE_CHARS = 500, 5, 3, 10  # fixed values
+DATE_CHARS = 10  # fixed value
 
 
 _RANGES = "array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>"
@@ -29,13 +29,13 @@ def flatten_cve(raw: DataFrame, json: str = "json") -> DataFrame:
     metric = F.get(F.col("metrics.cvssMetricV31"), F.lit(0)).cvssData
     weaknesses = F.flatten(F.transform("weaknesses", lambda w: F.transform(w.description, lambda d: d.value)))
     references = F.transform(
-        F.slice("references", 1, CVE_REFERENCES),
+        "references",
         lambda r: F.struct(
             _text(r.url).alias("url"), _text(r.source).alias("source"),
             _or_empty(r.tags, "array<string>").alias("tags")))
     return cve.select(
         _text("id", "Unknown").alias("cve_id"),
-        F.substring(_text(F.get(english, F.lit(0)).value), 1, DETAIL_CHARS).alias("description"),
+        _text(F.get(english, F.lit(0)).value).alias("description"),
         metric.baseScore.alias("cvss_score"),
         metric.baseSeverity.alias("cvss_severity"),
         metric.vectorString.alias("cvss_vector"),
@@ -65,11 +65,11 @@ def flatten_osv(raw: DataFrame, json: str = "json") -> DataFrame:
         _text("id").alias("vuln_id"),
         F.filter(_or_empty("aliases", "array<string>"), lambda a: F.startswith(a, F.lit("CVE-"))).alias("cve_ids"),
         _text("summary").alias("summary"),
-        F.substring(_text("details"), 1, DETAIL_CHARS).alias("details"),
+        _text("details").alias("details"),
         level.otherwise(F.lit("UNKNOWN")).alias("severity"),
         F.get(vectors, F.size(vectors) - 1).alias("cvss_vector"),
         _or_empty(F.transform(
-            F.slice("references", 1, OSV_REFERENCES),
+            "references",
             lambda r: F.struct(_text(r.type).alias("type"), _text(r.url).alias("url"))),
             "array<struct<type:string,url:string>>").alias("references"),
         _text("published").alias("published"), _text("modified").alias("modified"),

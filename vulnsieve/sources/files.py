@@ -33,24 +33,20 @@ def read_code_files(
     path: str,
     recursive: bool = True,
     extensions: Collection[str] | None = None,
-    max_files: int | None = P.MAX_FILES,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
     decode: bool = True,
 ) -> DataFrame:
     """``file_id, path, content`` of the code files under a directory (or of one file).
 
-    Files of other extensions, inside skipped directories or above 5 MiB are pruned
-    from the listing, before any content is read.  ``max_files`` keeps the first files
-    in path order, part by part; None keeps all.
+    Files of other extensions or inside skipped directories are pruned from the listing,
+    before any content is read.  All others are read, unless the caller sets a limit:
+    ``max_bytes`` leaves larger files out (``skipped_files`` lists them), ``max_files`` keeps
+    the first files in path order, part by part, for which the listing is sorted once.
     """
-    wanted = sorted(extensions or set(P.EXTENSION_LANGUAGE))
-    glob = "*{" + ",".join(_any_case(e) for e in wanted) + "}"
-    listed = _listing(spark, path, glob, recursive)
-    root = path.rstrip("/")
-    below = F.substring(_local_path(), len(root.split(":", 1)[-1].replace("//", "/")) + 1, 1 << 20)
-    skipped = F.arrays_overlap(
-        F.slice(F.split(below, "/", -1), 1, F.greatest(F.size(F.split(below, "/", -1)) - 1, F.lit(0))),
-        F.array(*[F.lit(d) for d in P.SKIP_DIRS]))
-    files = listed.filter(F.col("_metadata.file_size") <= P.MAX_FILE_BYTES).filter(~skipped)
+    files = _code_listing(spark, path, recursive, extensions)
+    if max_bytes is not None:
+        files = files.filter(F.col("_metadata.file_size") <= max_bytes)
     if max_files is not None:
         # Only the last path that fits is fetched; the cut then prunes the listing too.
         parts = F.split(_local_path(), "/", -1)
@@ -61,12 +57,32 @@ def read_code_files(
     return decode_content(numbered) if decode else numbered
 
 
+def skipped_files(
+    spark: SparkSession, path: str, max_bytes: int, recursive: bool = True, extensions: Collection[str] | None = None,
+) -> DataFrame:
+    """``path, size, reason`` of the code files that ``max_bytes`` leaves out; no content is read."""
+    size = F.col("_metadata.file_size")
+    return _code_listing(spark, path, recursive, extensions).filter(size > max_bytes).select(
+        _local_path().alias("path"), size.alias("size"), F.lit(f"larger than {max_bytes} bytes").alias("reason"))
+
+
+def _code_listing(spark: SparkSession, path: str, recursive: bool, extensions: Collection[str] | None) -> DataFrame:
+    wanted = sorted(extensions or set(P.EXTENSION_LANGUAGE))
+    glob = "*{" + ",".join(_any_case(e) for e in wanted) + "}"
+    listed = _listing(spark, path, glob, recursive)
+    root = path.rstrip("/")
+    below = F.substring(_local_path(), len(root.split(":", 1)[-1].replace("//", "/")) + 1, 1 << 20)
+    skipped = F.arrays_overlap(
+        F.slice(F.split(below, "/", -1), 1, F.greatest(F.size(F.split(below, "/", -1)) - 1, F.lit(0))),
+        F.array(*[F.lit(d) for d in P.SKIP_DIRS]))
+    return listed.filter(~skipped)
+
+
 def decode_content(files: DataFrame) -> DataFrame:
     """Bytes to text: UTF-8 where valid, else Latin-1; all line ends become LF."""
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(
         F.decode("content", "ISO-8859-1"))
-    small = F.octet_length("content") <= P.MAX_FILE_BYTES
-    return files.filter(small).withColumn("content", text).withColumn("content", fold_line_ends(F.col("content")))
+    return files.withColumn("content", text).withColumn("content", fold_line_ends(F.col("content")))
 
 
 def order_files(files: DataFrame) -> DataFrame:
@@ -75,12 +91,14 @@ def order_files(files: DataFrame) -> DataFrame:
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """``project, path, file_name, content``: manifests at the root or one directory below."""
-    names = [name for name, _ in P.MANIFEST_FILES]
-    listed = _listing(spark, root, "{" + ",".join(names) + "}", recursive=True)
-    base = root.rstrip("/").split(":", 1)[-1].replace("//", "/")
-    below = F.split(F.substring(_local_path(), len(base) + 2, 1 << 20), "/", -1)
+    names = "{" + ",".join(name for name, _ in P.MANIFEST_FILES) + "}"
+    base = root.rstrip("/")
+    # two levels are listed, not the tree below them
+    listed = [_listing(spark, f"{base}/{level}", names, recursive=False) for level in ("", "*/")]
+    local = base.split(":", 1)[-1].replace("//", "/")
+    below = F.split(F.substring(_local_path(), len(local) + 2, 1 << 20), "/", -1)
     at_root = F.size(below) == 1
     one_down = (F.size(below) == 2) & ~F.get(below, F.lit(0)).isin(P.MANIFEST_SKIP_DIRS)
-    return listed.filter(at_root | one_down).select(
-        F.lit(base).alias("project"), F.concat_ws("/", below).alias("path"),
+    return listed[0].filter(at_root).select("*", "_metadata").unionByName(listed[1].filter(one_down).select("*", "_metadata")).select(
+        F.lit(local).alias("project"), F.concat_ws("/", below).alias("path"),
         F.element_at(below, -1).alias("file_name"), F.col("content").cast("string").alias("content"))

@@ -34,13 +34,3 @@ def seeded_corpus(documents: DataFrame, snippets: DataFrame, n_snippets: int) ->
         F.concat(F.lit("src/m"), F.col("doc_id"), F.col("ext")).alias("path"),
         F.concat(F.col("code"), F.lit("\n"), F.col("text")).alias("content"),
     )
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spreads a table of very few files over the cores; large tables stay as they are.
-
-    Scanning is CPU-bound per row.  A table of at least as many files as cores is
-    already spread by its own input splits and is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vulnsieve.catalog.classes import CLASS_ROWS
 from vulnsieve.catalog.snippets import corpus_snippets
-from vulnsieve.sources.tables import code_from_table, seeded_corpus, spread
+from vulnsieve.sources.tables import code_from_table, seeded_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,7 +63,7 @@ SNIPPETS = corpus_snippets()
 
 def code(spark: SparkSession, d: str) -> DataFrame:
     snippets = spark.createDataFrame(SNIPPETS, "snippet_id int, ext string, code string")
-    return seeded_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), snippets, len(SNIPPETS))
+    return seeded_corpus(table(spark, d, "documents").select("doc_id", "text"), snippets, len(SNIPPETS))
 
 
 CODE_SQL = values("snippets", "snippet_id, ext, code", SNIPPETS) + f""",
@@ -73,7 +73,7 @@ code AS (
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return code_from_table(docs, "doc_id", F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(".txt")), "text")
 
 
@@ -81,14 +81,14 @@ DOCUMENTS_SQL = "code AS (SELECT doc_id AS file_id, 'doc/' || doc_id || '.txt' A
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return code_from_table(spread(table(spark, d, "pages")), "page_id", "url", "html")
+    return code_from_table(table(spark, d, "pages"), "page_id", "url", "html")
 
 
 PAGES_SQL = "code AS (SELECT page_id AS file_id, url AS path, html AS content FROM pages)"
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    talk = spread(table(spark, d, "conversations"))
+    talk = table(spark, d, "conversations")
     return code_from_table(
         talk, F.col("conv_id") * 1000 + F.col("turn"), F.concat(F.lit("chat/"), F.col("conv_id")), "text")
 
@@ -114,7 +114,7 @@ def _pick(options: list[str], index) -> F.Column:
 
 def cve_raw(spark: SparkSession, d: str) -> DataFrame:
     """One feed document per order."""
-    o = spread(table(spark, d, "orders"))
+    o = table(spark, d, "orders")
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     describe = F.concat(F.col("o_orderpriority"), F.lit(" flaw reported by customer "), F.col("o_custkey"), F.lit(". "),
                         F.repeat(F.lit("Details follow. "), 40))
@@ -139,7 +139,7 @@ def cve_raw(spark: SparkSession, d: str) -> DataFrame:
 
 CVE_SQL = f"""cve AS (
   SELECT 'CVE-' || strftime(o_orderdate, '%Y') || '-' || o_orderkey AS cve_id,
-    substr(o_orderpriority || ' flaw reported by customer ' || o_custkey || '. ' || repeat('Details follow. ', 40), 1, 500)
+    o_orderpriority || ' flaw reported by customer ' || o_custkey || '. ' || repeat('Details follow. ', 40)
       AS description,
     CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1000 END AS cvss_score,
     CASE WHEN o_orderstatus <> 'P' THEN CASE substr(o_orderpriority, 1, 1)
@@ -153,7 +153,7 @@ CVE_SQL = f"""cve AS (
 
 def kev_raw(spark: SparkSession, d: str) -> DataFrame:
     """One catalogue document per urgent order; ids of finished ones are lower-case."""
-    o = spread(table(spark, d, "orders")).filter(F.col("o_orderpriority") == "1-URGENT")
+    o = table(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     cve_id = F.concat(F.lit("CVE-"), F.substring(day, 1, 4), F.lit("-"), F.col("o_orderkey"))
     entry = F.struct(
@@ -181,7 +181,7 @@ KEV_SQL = """kev AS (
 
 def osv_raw(spark: SparkSession, d: str) -> DataFrame:
     """One feed document per part: a package, a range and a severity text."""
-    p = spread(table(spark, d, "part"))
+    p = table(spark, d, "part")
     key, size = F.col("p_partkey"), F.col("p_size")
     word = F.when(size >= 40, "critical").when(size >= 30, "High").when(size >= 20, "MEDIUM").when(size >= 10, "low").otherwise("none")
     fixed = F.concat((size / 10).cast("int"), F.lit("."), size % 10, F.lit(".0"))
@@ -210,7 +210,7 @@ def osv_raw(spark: SparkSession, d: str) -> DataFrame:
 OSV_SQL = f"""osv AS (
   SELECT 'OSV-' || p_partkey AS vuln_id, 'pkg' || p_partkey AS package,
     {lit(ECOSYSTEMS)}[p_partkey % {len(ECOSYSTEMS)} + 1] AS ecosystem, 'CVE-2001-' || p_partkey AS cve_ids,
-    p_name || ' may be abused' AS summary, substr(repeat(p_brand || ' ', 100), 1, 500) AS details,
+    p_name || ' may be abused' AS summary, repeat(p_brand || ' ', 100) AS details,
     CASE WHEN p_size >= 40 THEN 'CRITICAL' WHEN p_size >= 30 THEN 'HIGH' WHEN p_size >= 20 THEN 'MEDIUM'
       WHEN p_size >= 10 THEN 'LOW' ELSE 'UNKNOWN' END AS severity,
     'CVSS:3.1/last' AS cvss_vector,
@@ -224,7 +224,7 @@ OSV_SQL = f"""osv AS (
 
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
     """Orders as projects, parts as their packages; returned lines have no version."""
-    li = spread(table(spark, d, "lineitem"))
+    li = table(spark, d, "lineitem")
     version = F.concat_ws(".", F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.lit("0"))
     return li.select(
         F.concat(F.lit("order-"), F.col("l_orderkey")).alias("project"),
@@ -315,7 +315,7 @@ MANIFEST_TEMPLATES = [
 
 def manifests(spark: SparkSession, d: str) -> DataFrame:
     kinds = spark.createDataFrame(MANIFEST_TEMPLATES, "kind int, file_name string, path string, template string")
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     n = len(MANIFEST_TEMPLATES)
     filled = F.replace(F.replace("template", F.lit("@ID@"), F.col("doc_id").cast("string")), F.lit("@TEXT@"), F.col("text"))
     return docs.join(F.broadcast(kinds), F.col("doc_id") % n == F.col("kind")).select(

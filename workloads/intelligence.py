@@ -165,7 +165,7 @@ def _cve_out(df):
 
 
 @query("flatten_cve", f"""WITH {B.CVE_SQL} SELECT {_CVE_COLUMNS},
-  (SELECT string_agg('https://ref/' || o_orderkey || '/' || i || ' vendor Patch', ';' ORDER BY i) FROM range(1, 6) t(i)) AS refs FROM cve""")
+  (SELECT string_agg('https://ref/' || o_orderkey || '/' || i || ' vendor Patch', ';' ORDER BY i) FROM range(1, 7) t(i)) AS refs FROM cve""")
 def flatten_cve(spark, d):
     refs = F.transform("references", lambda r: F.concat_ws(" ", r.url, r.source, F.concat_ws(",", r.tags)))
     found = cve(spark, d).withColumn("refs", F.concat_ws(";", refs))
@@ -175,7 +175,7 @@ def flatten_cve(spark, d):
 
 @query("flatten_osv", f"""WITH {B.OSV_SQL} SELECT vuln_id, package, ecosystem, cve_ids, summary, details, severity, cvss_vector,
   CASE WHEN has_range THEN introduced || '<' || coalesce(fixed, '') ELSE '' END AS ranges,
-  'WEB https://osv/' || p_partkey || '/1;WEB https://osv/' || p_partkey || '/2;WEB https://osv/' || p_partkey || '/3' AS refs,
+  'WEB https://osv/' || p_partkey || '/1;WEB https://osv/' || p_partkey || '/2;WEB https://osv/' || p_partkey || '/3;WEB https://osv/' || p_partkey || '/4' AS refs,
   published, modified FROM osv""")
 def flatten_osv(spark, d):
     ranges = F.transform("affected_ranges", lambda r: F.concat(r.introduced, F.lit("<"), F.coalesce(r.fixed, F.lit(""))))
@@ -207,6 +207,8 @@ def flatten_advisories(spark, d):
 
 # ── look-ups ────────────────────────────────────────────────────────────────
 
+#: Ids looked up: the first orders, in whatever year they were placed.
+_IDS = [f"CVE-{year}-{order}" for year in range(1992, 1999) for order in range(15)]
 _NEWEST = "ORDER BY published DESC, cve_id LIMIT"
 
 
@@ -224,11 +226,9 @@ def search_cve_cwe(spark, d):
     return _cve_out(intel.search_cve_cwe(cve(spark, d), "CWE-79"))
 
 
-@query("get_cve", f"WITH {B.CVE_SQL} SELECT {_CVE_COLUMNS} FROM cve WHERE cve_id IN (SELECT min(cve_id) FROM cve)")
+@query("get_cve", f"WITH {B.CVE_SQL} SELECT {_CVE_COLUMNS} FROM cve WHERE cve_id IN ({', '.join(map(lit, _IDS))})")
 def get_cve(spark, d):
-    feed = cve(spark, d)
-    first = feed.agg(F.min("cve_id")).first()[0]
-    return _cve_out(intel.get_cve(feed, first))
+    return _cve_out(intel.get_cve(cve(spark, d), *_IDS))
 
 
 @query("recent_cve", f"""WITH {B.CVE_SQL} SELECT {_CVE_COLUMNS} FROM cve WHERE published BETWEEN '1998-11-01' AND '1998-12-01'
@@ -239,12 +239,13 @@ def recent_cve(spark, d):
 
 @query("cve_search", f"""WITH {B.CVE_SQL}
 SELECT * FROM (SELECT 'cwe' AS kind, {_CVE_COLUMNS} FROM cve WHERE cwe_id = 'CWE-22' {_NEWEST} 10)
-UNION ALL SELECT * FROM (SELECT 'keyword', {_CVE_COLUMNS} FROM cve WHERE contains(lower(description), 'low') {_NEWEST} 10)""")
+UNION ALL SELECT * FROM (SELECT 'keyword', {_CVE_COLUMNS} FROM cve WHERE contains(lower(description), 'low') {_NEWEST} 10)
+UNION ALL SELECT * FROM (SELECT 'id', {_CVE_COLUMNS} FROM cve WHERE cve_id = 'CVE-1997-1')""")
 def cve_search(spark, d):
     feed = cve(spark, d)
     tagged = lambda kind, df: _cve_out(df).withColumn("kind", F.lit(kind))
     return tagged("cwe", intel.cve_search(feed, "CWE-22", by_cwe=True)).unionByName(
-        tagged("keyword", intel.cve_search(feed, "LOW"))).unionByName(tagged("id", intel.cve_search(feed, "cve-0000-1")))
+        tagged("keyword", intel.cve_search(feed, "LOW"))).unionByName(tagged("id", intel.cve_search(feed, "cve-1997-1")))
 
 
 @query("search_kev", f"WITH {B.KEV_SQL} SELECT {_KEV_COLUMNS} FROM kev WHERE contains(lower(concat_ws(' ', vendor, product, name, "
@@ -258,10 +259,9 @@ def recent_kev(spark, d):
     return intel.recent_kev(kev(spark, d), 90, AS_OF)
 
 
-@query("kev_lookup", f"WITH {B.KEV_SQL} SELECT {_KEV_COLUMNS} FROM kev WHERE upper(cve_id) = (SELECT min(upper(cve_id)) FROM kev)")
+@query("kev_lookup", f"WITH {B.KEV_SQL} SELECT {_KEV_COLUMNS} FROM kev WHERE upper(cve_id) IN ({', '.join(map(lit, _IDS))})")
 def kev_lookup(spark, d):
-    feed = kev(spark, d)
-    return intel.kev_lookup(feed, feed.agg(F.min(F.lower("cve_id"))).first()[0])
+    return intel.kev_lookup(kev(spark, d), *_IDS)
 
 
 @query("kev_stats", f"""WITH {B.KEV_SQL} SELECT count(*) AS total_known_exploited,
@@ -274,8 +274,8 @@ def kev_stats(spark, d):
 @query("threat_report", f"""WITH {B.KEV_SQL}, t AS (SELECT count(*) AS total_known_exploited,
   count(*) FILTER (date_added >= '1998-11-01') AS added_recently,
   count(*) FILTER (lower(known_ransomware) = 'known') AS ransomware_associated FROM kev)
-SELECT r.*, t.* FROM (SELECT cve_id, vendor || '/' || product AS vendor_product, substr(description, 1, 70) AS summary, date_added
-  FROM kev WHERE date_added >= '1998-11-01' ORDER BY date_added DESC, cve_id LIMIT 5) r, t""")
+SELECT r.*, t.* FROM t LEFT JOIN (SELECT cve_id, vendor || '/' || product AS vendor_product, substr(description, 1, 70) AS summary, date_added
+  FROM kev WHERE date_added >= '1998-11-01' ORDER BY date_added DESC, cve_id LIMIT 5) r ON true""")
 def threat_report(spark, d):
     return intel.threat_report(kev(spark, d), AS_OF)
 
@@ -288,7 +288,7 @@ def ecosystem_vulns(spark, d):
 
 @query("search_repos", f"""WITH {B.REPOS_SQL} SELECT full_name, substr(description, 1, 200) AS description, language, stars,
   html_url AS url FROM repos WHERE contains(lower(full_name || ' ' || description), 'tools') AND language = 'Go'
-ORDER BY stars DESC, full_name LIMIT 30""")
+ORDER BY stars DESC, full_name LIMIT 100""")
 def search_repos(spark, d):
     return intel.search_repos(repos(spark, d), "tools", "go", n=100)
 
@@ -364,7 +364,7 @@ _OSV_FROM_MANIFESTS = f"""osv_m AS (SELECT 'OSV-' || p_partkey AS vuln_id, p_par
 
 def manifest_osv(spark, d):
     """Vulnerability rows per part for the packages the manifests name."""
-    p = B.spread(B.table(spark, d, "part"))
+    p = B.table(spark, d, "part")
     key = F.col("p_partkey")
     fixed = F.concat_ws(".", F.col("p_size") % 4, key % 40)
     return p.select(

@@ -176,15 +176,16 @@ def parse_urls(spark, d):
     return docs.select("doc_id", parse_repo_url(F.col("url")).alias("p")).select("doc_id", "p.*")
 
 
-@query("decode_content", """SELECT doc_id, lang, length(text) AS chars, contains(text, chr(13)) AS has_cr FROM documents""")
+@query("decode_content", """SELECT doc_id, lang, md5(text) AS digest, length(text) AS chars, contains(text, chr(13)) AS has_cr FROM documents""")
 def decode_content(spark, d):
     """English texts as UTF-8 bytes, others as Latin-1 bytes, with CRLF line ends; both must come back whole."""
-    docs = B.spread(B.table(spark, d, "documents").select("doc_id", "lang", "text"))
+    docs = B.table(spark, d, "documents").select("doc_id", "lang", "text")
     latin = (F.col("lang") != "en") & (F.decode(F.encode("text", "ISO-8859-1"), "ISO-8859-1") == F.col("text"))
     crlf = F.replace("text", F.lit("\n"), F.lit("\r\n"))
     raw = docs.select("doc_id", "lang", F.when(latin, F.encode(crlf, "ISO-8859-1")).otherwise(F.encode(crlf, "UTF-8")).alias("content"))
     return src.decode_content(raw).select(
-        "doc_id", "lang", F.length("content").cast("long").alias("chars"), F.contains("content", F.lit("\r")).alias("has_cr"))
+        "doc_id", "lang", F.md5("content").alias("digest"), F.length("content").cast("long").alias("chars"),
+        F.contains("content", F.lit("\r")).alias("has_cr"))
 
 
 @query("code_from_table", f"WITH {B.PAGES_SQL} SELECT * FROM code")
