@@ -1,5 +1,6 @@
 """Manifests, feeds, joins, metrics, splits, samples and models on small inputs."""
 
+import json
 import random
 
 import pytest
@@ -70,6 +71,37 @@ def test_feeds_defaults_and_broken_json(spark):
     assert (repo.default_branch, repo.stars, repo.license, repo.visibility) == ("main", 0, "Unknown", "public")
 
 
+def osv_record(number, **affected):
+    package = {"package": {"name": "a", "ecosystem": "E"}, **affected}
+    return json.dumps({"vulns": [{"id": number, "affected": [package]}]})
+
+
+def test_osv_intervals(spark):
+    pairs = [{"introduced": "0"}, {"fixed": "1.2"}, {"introduced": "2.0"}, {"fixed": "2.3"}]
+    git = {"type": "GIT", "events": [{"introduced": "0"}, {"fixed": "9f3c1"}]}
+    own = {"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "0.5"}]}
+    osv = feeds.flatten_osv(json_table(
+        spark, osv_record("pairs", ranges=[{"type": "SEMVER", "events": pairs}]),
+        osv_record("swapped", ranges=[{"type": "SEMVER", "events": pairs[2:] + pairs[:2]}]),
+        osv_record("git", ranges=[git, own]), osv_record("only_git", ranges=[git]),
+        osv_record("last", ranges=[{"type": "SEMVER", "events": [{"introduced": "0"}, {"last_affected": "0.9"}]}]),
+        osv_record("listed", versions=["7.7"]), osv_record("all"),
+        osv_record("pre", ranges=[{"type": "SEMVER", "events": [{"introduced": "0"}, {"fixed": "1.0.0"}]}])))
+    versions = ["1.0", "1.2", "2.1", "2.3", "0.4", "0.9", "2.1", "7.7", "1.0.0-rc1", "1.0.0+build5", None]
+    deps = spark.createDataFrame([(f"p{i}", "a", v, "E") for i, v in enumerate(versions)], "project string, name string, version string, ecosystem string")
+    got = {}
+    for r in intel.match_osv(deps, osv).collect():
+        got.setdefault(r.vuln_id, set()).add(r.package_version)
+    every = {v or "unknown" for v in versions}
+    pre = {"1.0.0-rc1"}
+    assert got["pairs"] == got["swapped"] == {"1.0", "2.1", "0.4", "0.9", "1.0.0+build5", "unknown"} | pre
+    assert got["git"] == {"0.4", "unknown"} and got["last"] == {"0.4", "0.9", "unknown"}
+    assert got["listed"] == {"7.7", "unknown"} and got["all"] == every and got["only_git"] == {"unknown"}
+    assert got["pre"] == {"0.4", "0.9", "unknown"} | pre
+    counts = {r.project: r.n_vulnerabilities for r in intel.annotate_deps(deps, osv).collect()}
+    assert counts == {f"p{i}": sum((v or "unknown") in s for s in got.values()) for i, v in enumerate(versions)}
+
+
 OSV = ("vuln_id string, package string, ecosystem string, cve_ids array<string>, summary string, severity string, "
        "affected_ranges array<struct<introduced:string,fixed:string>>")
 

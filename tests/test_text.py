@@ -83,6 +83,10 @@ def test_version_keys_compare_by_value(spark):
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
     assert len(set(column(spark, ["1", "1.0", "v1.0.0", "01"], version_key(F.col("s"))))) == 1
     assert column(spark, [None], version_key(F.col("s"))) == [None]
+    ordered = ["0.9", "1.0.dev3", "1.0.0-alpha.2", "1.0a10", "1.0b1", "1.0.0-rc1", "1.0-rc10", "1.0.0+build5", "1.0.post1", "1.0.0.1", "1.0.1-rc1", "1.0.1"]
+    keys = column(spark, ordered, version_key(F.col("s")))
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    assert len(set(column(spark, ["2.0.0", "2.0+5", ">=2.0", "2.*"], version_key(F.col("s"))))) == 1
 
 
 def plain_tokens(text):

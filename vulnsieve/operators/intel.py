@@ -205,22 +205,35 @@ def enrich_findings(findings: DataFrame, cve: DataFrame, kev: DataFrame, classes
 BELOW_ALL, ABOVE_ALL = "", "~"  # bounds of version keys
 
 
-def range_keys(ranges: Column) -> Column:
-    """Ranges as ``array<struct<low, high>>`` of version keys; a missing bound is open."""
-    return F.transform(ranges, lambda r: F.struct(
-        F.coalesce(version_key(r.introduced), F.lit(BELOW_ALL)).alias("low"),
-        F.coalesce(version_key(r.fixed), F.lit(ABOVE_ALL)).alias("high")))
+def interval_keys(osv: DataFrame) -> Column:
+    """``array<struct<low, high>>`` of version keys, low inclusive, high exclusive.
 
+    From ``intervals`` (see ``flatten_osv``); a table without them states its intervals as
+    ``affected_ranges``, none meaning every version.
+    """
+    if "intervals" not in osv.columns:
+        ranges = F.transform("affected_ranges", lambda r: F.struct(
+            F.coalesce(version_key(r.introduced), F.lit(BELOW_ALL)).alias("low"),
+            F.coalesce(version_key(r.fixed), F.lit(ABOVE_ALL)).alias("high")))
+        return F.when(F.size("affected_ranges") > 0, ranges).otherwise(
+            F.array(F.struct(F.lit(BELOW_ALL).alias("low"), F.lit(ABOVE_ALL).alias("high"))))
+    return F.transform("intervals", lambda r: F.struct(
+        F.when(r.introduced == "0", F.lit(BELOW_ALL)).otherwise(F.coalesce(version_key(r.introduced), F.lit(BELOW_ALL))).alias("low"),
+        # the least text above a key: includes the key itself
+        F.coalesce(version_key(r.fixed), F.concat(version_key(r.last_affected), F.lit("\0")), F.lit(ABOVE_ALL)).alias("high")))
 
-def key_affected(key: Column, keys: Column) -> Column:
-    """Whether a version key lies in any range (low <= key < high).  No key or no range: affected.
 
-    Nearly all records have one range; that case is two plain comparisons.
-    """
-    first = F.get(keys, F.lit(0))
-    one = (key >= F.coalesce(first.low, F.lit(BELOW_ALL))) & (key < F.coalesce(first.high, F.lit(ABOVE_ALL)))
-    many = F.exists(keys, lambda r: (key >= r.low) & (key < r.high))
-    return key.isNull() | F.when(F.size(keys) <= 1, one).otherwise(many)
+def listed_keys(osv: DataFrame) -> Column:
+    """Keys of the versions a record lists one by one."""
+    if "versions" not in osv.columns:
+        return F.array().cast("array<string>")
+    return F.transform("versions", version_key)
+
+
+def key_affected(key: Column, keys: Column, listed: Column) -> Column:
+    """Whether a version key lies in any interval or is listed.  No version: affected."""
+    inside = F.exists(keys, lambda r: (key >= r.low) & (key < r.high))
+    return key.isNull() | inside | F.array_contains(listed, key)
 
 
 NO_VERSION = "\0"  # stands for a missing version in join keys
@@ -246,11 +259,11 @@ def affected_versions(deps: DataFrame, osv: DataFrame, vulns_per_salt: int = VUL
         "_key", F.when(F.col("_version") != NO_VERSION, version_key(F.col("_version"))))
     vulns = osv.filter(F.col("package").isNotNull()).select(
         "ecosystem", F.col("package").alias("name"), "vuln_id", "summary", "severity", "cve_ids", "affected_ranges",
-        range_keys(F.col("affected_ranges")).alias("_keys"))
+        interval_keys(osv).alias("_keys"), listed_keys(osv).alias("_listed"))
     pairs = salted_join(
         versions, vulns, PACKAGE, F.col("vuln_id"), vulns_per_salt, side_spread_by=F.col("_version"))
     return pairs.filter(
-        key_affected(F.col("_key"), F.col("_keys"))).drop("_key", "_keys")
+        key_affected(F.col("_key"), F.col("_keys"), F.col("_listed"))).drop("_key", "_keys", "_listed")
 
 
 def match_osv(

@@ -52,7 +52,8 @@ OSV_FEED = _struct(vulns=T.ArrayType(_struct(
     references=T.ArrayType(_struct(type=_S, url=_S)),
     affected=T.ArrayType(_struct(
         package=_struct(name=_S, ecosystem=_S),
-        ranges=T.ArrayType(_struct(type=_S, events=T.ArrayType(_struct(introduced=_S, fixed=_S)))),
+        ranges=T.ArrayType(_struct(type=_S, events=T.ArrayType(_struct(introduced=_S, fixed=_S, last_affected=_S)))),
+        versions=T.ArrayType(_S),
     )),
 )))
 

@@ -6,11 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnsieve import schemas
+from vulnsieve.functions.urls import version_key
 
 DATE_CHARS = 10  # fixed value
 
 
-_RANGES = "array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>"
+_RANGES = "array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>"
+INTERVALS = "array<struct<introduced:string,fixed:string,last_affected:string>>"
+
+
+def _intervals(events: Column) -> Column:
+    """The events of one range, in version order, as intervals.
+
+    Each ``introduced`` is closed by the next ``fixed`` (exclusive) or ``last_affected``
+    (inclusive); what is never closed stays open.  A leading end without a start begins below
+    all versions.
+    """
+    ordered = F.array_sort(F.flatten(F.transform(events, lambda e: F.filter(F.array(*[
+        F.struct(F.when(e.getField(kind) == "0", F.lit("")).otherwise(version_key(e.getField(kind))).alias("key"),
+                 F.lit(place).alias("place"), e.getField(kind).alias("version"))
+        for place, kind in enumerate(("fixed", "introduced", "last_affected"))]), lambda x: x.version.isNotNull()))))
+
+    def interval(low, fixed, last):
+        return F.array(F.struct(low.alias("introduced"), fixed.alias("fixed"), last.alias("last_affected")))
+
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(True).alias("leading"), F.lit(False).alias("open"), none.alias("low"), F.array().cast(INTERVALS).alias("out"))
+
+    def step(acc, e):
+        starts = e.place == 1
+        closes = ~starts & (acc.open | acc.leading)
+        fixed, last = F.when(e.place == 0, e.version), F.when(e.place == 2, e.version)
+        return F.struct(
+            F.lit(False).alias("leading"), starts.alias("open"),
+            F.when(starts & acc.open, acc.low).when(starts, e.version).alias("low"),
+            F.when(closes, F.concat(acc.out, interval(acc.low, fixed, last))).otherwise(acc.out).alias("out"))
+
+    return F.aggregate(ordered, start, step, lambda acc: F.when(
+        acc.open, F.concat(acc.out, interval(acc.low, none, none))).otherwise(acc.out))
 
 
 def _text(column: str | Column, default: str = "") -> Column:
@@ -48,8 +81,10 @@ def flatten_cve(raw: DataFrame, json: str = "json") -> DataFrame:
 def flatten_osv(raw: DataFrame, json: str = "json") -> DataFrame:
     """One row per OSV record and affected package.
 
-    A record without affected packages keeps one row with null package; ranges are
-    those of the row's package.
+    A record without affected packages keeps one row with null package; ranges are those of
+    the row's package.  ``affected_ranges`` is what a report shows; ``intervals`` and
+    ``versions`` say what is affected: commit ranges are left out, and a package with neither
+    ranges nor versions is affected as a whole (one open interval).
     """
     record = raw.select(F.explode(F.from_json(json, schemas.OSV_FEED).vulns).alias("v")).select("v.*")
     vectors = F.transform(F.filter("severity", lambda s: s.type == "CVSS_V3"), lambda s: _text(s.score))
@@ -81,10 +116,18 @@ def flatten_osv(raw: DataFrame, json: str = "json") -> DataFrame:
         F.transform(F.flatten(F.transform(own, lambda a: _or_empty(a.ranges, _RANGES))), lambda r: F.struct(
             last_of(r.events, "introduced").alias("introduced"), last_of(r.events, "fixed").alias("fixed"))),
         lambda r: r.introduced.isNotNull() | r.fixed.isNotNull())
+    all_ranges = F.flatten(F.transform(own, lambda a: _or_empty(a.ranges, _RANGES)))
+    versions = F.array_distinct(F.flatten(F.transform(own, lambda a: _or_empty(a.versions, "array<string>"))))
+    stated = F.flatten(F.transform(F.filter(all_ranges, lambda r: F.coalesce(r.type, F.lit("")) != "GIT"),
+                                   lambda r: _intervals(_or_empty(r.events, "array<struct<introduced:string,fixed:string,last_affected:string>>"))))
+    empty = (F.size(all_ranges) == 0) & (F.size(versions) == 0)
+    null = F.lit(None).cast("string")
+    whole = F.array(F.struct(null.alias("introduced"), null.alias("fixed"), null.alias("last_affected")))
     return rows.select(
         "vuln_id", F.col("p.name").alias("package"), F.col("p.ecosystem").alias("ecosystem"),
         "cve_ids", "summary", "details", "severity", "cvss_vector",
         _or_empty(ranges, "array<struct<introduced:string,fixed:string>>").alias("affected_ranges"),
+        F.when(empty, whole).otherwise(_or_empty(stated, INTERVALS)).alias("intervals"), _or_empty(versions, "array<string>").alias("versions"),
         "references", "published", "modified",
     )
 

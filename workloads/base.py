@@ -180,17 +180,31 @@ KEV_SQL = """kev AS (
 
 
 def osv_raw(spark: SparkSession, d: str) -> DataFrame:
-    """One feed document per part: a package, a range and a severity text."""
+    """One feed document per part: a package, its ranges or versions, and a severity text.
+
+    Six kinds in turn: one pair, two pairs, an inclusive end, a commit range beside versions,
+    listed versions, a commit range alone.  Some have no range at all.
+    """
     p = table(spark, d, "part")
     key, size = F.col("p_partkey"), F.col("p_size")
     word = F.when(size >= 40, "critical").when(size >= 30, "High").when(size >= 20, "MEDIUM").when(size >= 10, "low").otherwise("none")
     fixed = F.concat((size / 10).cast("int"), F.lit("."), size % 10, F.lit(".0"))
-    event = lambda a, b: F.struct(a.cast("string").alias("introduced"), b.cast("string").alias("fixed"))
-    null = F.lit(None)
-    events = F.when(size % 5 == 0, F.array(event(F.lit("0"), null))).otherwise(
-        F.array(event(F.lit("0"), null), event(F.lit("0.0.1"), null), event(null, fixed)))
-    ranges = F.when(size % 7 == 0, F.array().cast("array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>")
-                    ).otherwise(F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))))
+    null = F.lit(None).cast("string")
+    event = lambda a=null, b=null, c=null: F.struct(
+        a.cast("string").alias("introduced"), b.cast("string").alias("fixed"), c.cast("string").alias("last_affected"))
+    ranged = lambda kind, *events: F.struct(F.lit(kind).alias("type"), F.array(*events).alias("events"))
+    kinds = "array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>"
+    none = F.array().cast(kinds)
+    commit = ranged("GIT", event(F.lit("0")), event(b=F.lit("9f3c1e")))
+    one = F.when(size % 5 == 0, F.array(ranged("SEMVER", event(F.lit("0"))))).otherwise(
+        F.array(ranged("SEMVER", event(F.lit("0.0.1")), event(b=fixed))))
+    two = F.array(ranged("SEMVER", event(F.lit("0")), event(b=F.lit("2.5.0")), event(F.lit("4.0.0")), event(b=F.lit("5.20.0"))))
+    last = F.array(ranged("ECOSYSTEM", event(F.lit("1.10.0")), event(c=F.lit("3.30.0"))))
+    mixed = F.array(commit, ranged("ECOSYSTEM", event(F.lit("0")), event(b=fixed)))
+    kind = key % 6
+    ranges = F.when(size % 7 == 0, none).when(kind == 0, one).when(kind == 1, two).when(kind == 2, last).when(
+        kind == 3, mixed).when(kind == 4, none).otherwise(F.array(commit))
+    listed = F.when(kind == 4, F.array(F.lit("1.7.0"), F.lit("3.8.0"), F.lit("7.9.0-rc1"))).otherwise(F.array().cast("array<string>"))
     record = F.struct(
         F.concat(F.lit("OSV-"), key).alias("id"), F.concat(F.col("p_name"), F.lit(" may be abused")).alias("summary"),
         F.repeat(F.concat(F.col("p_brand"), F.lit(" ")), 100).alias("details"),
@@ -203,7 +217,7 @@ def osv_raw(spark: SparkSession, d: str) -> DataFrame:
             F.lit("WEB").alias("type"), F.concat(F.lit("https://osv/"), key, F.lit("/"), i).alias("url"))).alias("references"),
         F.array(F.struct(
             F.struct(F.concat(F.lit("pkg"), key).alias("name"), _pick(ECOSYSTEMS, key).alias("ecosystem")).alias("package"),
-            ranges.alias("ranges"))).alias("affected"))
+            ranges.alias("ranges"), listed.alias("versions"))).alias("affected"))
     return p.select(F.to_json(F.struct(F.array(record).alias("vulns"))).alias("json"))
 
 
@@ -214,18 +228,28 @@ OSV_SQL = f"""osv AS (
     CASE WHEN p_size >= 40 THEN 'CRITICAL' WHEN p_size >= 30 THEN 'HIGH' WHEN p_size >= 20 THEN 'MEDIUM'
       WHEN p_size >= 10 THEN 'LOW' ELSE 'UNKNOWN' END AS severity,
     'CVSS:3.1/last' AS cvss_vector,
-    p_size % 7 <> 0 AS has_range,
-    CASE WHEN p_size % 5 = 0 THEN '0' ELSE '0.0.1' END AS introduced,
-    CASE WHEN p_size % 5 <> 0 THEN (p_size // 10) || '.' || (p_size % 10) || '.0' END AS fixed,
+    p_partkey % 6 AS kind, p_size % 7 <> 0 AS has_range,
+    (p_size // 10) || '.' || (p_size % 10) || '.0' AS fixed,
     '2001-01-01' AS published, '2002-01-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS modified,
     p_partkey, p_size
-  FROM part)"""
+  FROM part),
+intervals(vuln_id, low, high, last) AS (
+  SELECT vuln_id, CASE WHEN p_size % 5 = 0 THEN '0' ELSE '0.0.1' END, CASE WHEN p_size % 5 <> 0 THEN fixed END, NULL
+    FROM osv WHERE has_range AND kind = 0
+  UNION ALL SELECT vuln_id, '0', '2.5.0', NULL FROM osv WHERE has_range AND kind = 1
+  UNION ALL SELECT vuln_id, '4.0.0', '5.20.0', NULL FROM osv WHERE has_range AND kind = 1
+  UNION ALL SELECT vuln_id, '1.10.0', NULL, '3.30.0' FROM osv WHERE has_range AND kind = 2
+  UNION ALL SELECT vuln_id, '0', fixed, NULL FROM osv WHERE has_range AND kind = 3
+  UNION ALL SELECT vuln_id, '0', NULL, NULL FROM osv WHERE NOT has_range AND kind <> 4),
+listed(vuln_id, version) AS (
+  SELECT vuln_id, unnest(['1.7.0', '3.8.0', '7.9.0-rc1']) FROM osv WHERE kind = 4)"""
 
 
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as projects, parts as their packages; returned lines have no version."""
+    """Orders as projects, parts as their packages; returned lines have no version, some a pre-release."""
     li = table(spark, d, "lineitem")
-    version = F.concat_ws(".", F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.lit("0"))
+    version = F.concat(F.col("l_linenumber"), F.lit("."), F.col("l_quantity").cast("int"), F.lit(".0"),
+                       F.when(F.col("l_orderkey") % 4 == 0, "-rc1").otherwise(""))
     return li.select(
         F.concat(F.lit("order-"), F.col("l_orderkey")).alias("project"),
         F.concat(F.lit("pkg"), F.col("l_partkey")).alias("name"),
@@ -238,7 +262,8 @@ def dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 DEPS_SQL = f"""deps AS (
   SELECT 'order-' || l_orderkey AS project, 'pkg' || l_partkey AS name,
-    CASE WHEN l_returnflag <> 'R' THEN l_linenumber || '.' || l_quantity::INT || '.0' END AS version,
+    CASE WHEN l_returnflag <> 'R' THEN l_linenumber || '.' || l_quantity::INT || '.0'
+      || CASE WHEN l_orderkey % 4 = 0 THEN '-rc1' ELSE '' END END AS version,
     {lit(ECOSYSTEMS)}[l_partkey % {len(ECOSYSTEMS)} + 1] AS ecosystem, l_linenumber AS line_no
   FROM lineitem)"""
 

