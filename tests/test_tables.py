@@ -136,9 +136,8 @@ def test_crowded_keys_are_salted_and_whole(spark):
     counts = {}
     for row in intel.match_osv(deps, osv).collect():
         counts[row.project] = counts.get(row.project, 0) + 1
-    for salts in ({}, {"vulns_per_salt": 3, "deps_per_salt": 7}):
-        got = {r.project: r.n_vulnerabilities for r in intel.annotate_deps(deps, osv, **salts).collect()}
-        assert len(got) == 300 and {p: n for p, n in got.items() if n} == counts
+    got = {r.project: r.n_vulnerabilities for r in intel.annotate_deps(deps, osv).collect()}
+    assert len(got) == 300 and {p: n for p, n in got.items() if n} == counts
     left = spark.range(50).select((F.col("id") % 5).alias("k"), F.col("id").alias("a"))
     right = spark.range(90).select(F.when(F.col("id") < 70, 0).otherwise(F.col("id") % 7).cast("long").alias("k"), F.col("id").alias("b"))
     assert sorted(map(tuple, salted_join(left, right, ["k"], F.col("b"), 4).collect())) == sorted(map(tuple, left.join(right, "k").collect()))

@@ -282,19 +282,59 @@ def match_osv(
         "vuln_id", "summary", "severity", "cve_ids", "affected_ranges")
 
 
-def annotate_deps(
-    deps: DataFrame, osv: DataFrame, vulns_per_salt: int = VULNS_PER_SALT, deps_per_salt: int = DEPS_PER_SALT,
-) -> DataFrame:
-    """Every dependency with its number of vulnerabilities.
+def _disjoint(keys: Column) -> Column:
+    """Intervals of one record, overlapping and touching ones merged: a version lies in one at most."""
+    kind = "array<struct<low:string,high:string>>"
+
+    def step(out, r):
+        last = F.get(out, F.size(out) - 1)
+        joined = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))),
+                          F.array(F.struct(last.low.alias("low"), F.greatest(last.high, r.high).alias("high"))))
+        return F.when((F.size(out) > 0) & (r.low <= last.high), joined).otherwise(F.concat(out, F.array(r)))
+
+    return F.aggregate(F.array_sort(F.filter(keys, lambda r: r.low < r.high)), F.array().cast(kind), step)
 
-    Counted per distinct version before the dependencies come in, so the pairs of
-    dependencies and vulnerabilities are never built.
+
+def version_counts(deps: DataFrame, osv: DataFrame) -> DataFrame:
+    """``ecosystem, name, _version, _count``: records that affect each distinct version, if any.
+
+    No pair of version and record is built.  Every record gives +1 and -1 at the bounds of its
+    intervals, summed per bound; a running sum in key order gives the count at each version.  It
+    runs within the versions of one leading number, to which the total of all smaller ones is
+    carried, so packages with many versions are cut.  A dependency without a version is
+    affected by every record of its package.
     """
-    counts = affected_versions(deps, osv, vulns_per_salt).groupBy(*EXACT).agg(
-        F.count("*").alias("_count"))
-    rows = _exact(deps)
-    sizes = rows.groupBy(*EXACT).agg(F.count("*").alias("_n"))
-    marked = salted_join(counts, rows, EXACT, F.col("project"), deps_per_salt, sizes=sizes, how="right")
+    point = F.transform(listed_keys(osv), lambda k: F.struct(k.alias("low"), F.concat(k, F.lit("\0")).alias("high")))
+    vulns = osv.filter(F.col("package").isNotNull()).select(
+        "ecosystem", F.col("package").alias("name"), _disjoint(F.concat(interval_keys(osv), point)).alias("r"))
+    ends = F.flatten(F.transform("r", lambda r: F.array(
+        F.struct(r.low.alias("_key"), F.lit(1).alias("delta")), F.struct(r.high.alias("_key"), F.lit(-1).alias("delta")))))
+    major = F.regexp_extract("_key", "^[0-9]*", 0)
+    deltas = vulns.select(*PACKAGE, F.explode(ends).alias("e")).select(*PACKAGE, "e.*").filter(
+        F.col("_key") != ABOVE_ALL).groupBy(*PACKAGE, "_key").agg(F.sum("delta").alias("delta")).withColumn("_major", major)
+    versions = _exact(deps).select(*EXACT).distinct()
+    none = F.col("_version") == NO_VERSION
+    keyed = versions.filter(~none).withColumn("_key", version_key(F.col("_version"))).withColumn("_major", major)
+    totals = deltas.groupBy(*PACKAGE, "_major").agg(F.sum("delta").alias("_sum"), F.lit(0).alias("_need"))
+    needed = keyed.select(*PACKAGE, "_major").distinct().select("*", F.lit(0).cast("long").alias("_sum"), F.lit(1).alias("_need"))
+    smaller = Window.partitionBy(*PACKAGE).orderBy("_major", "_need").rowsBetween(Window.unboundedPreceding, -1)
+    below = totals.unionByName(needed).groupBy(*PACKAGE, "_major").agg(F.sum("_sum").alias("_sum"), F.max("_need").alias("_need"))
+    carried = below.withColumn("_carry", F.coalesce(F.sum("_sum").over(smaller), F.lit(0))).filter("_need = 1").select(
+        *PACKAGE, "_major", "_carry")
+    null = F.lit(None).cast("string")
+    line = deltas.select(*PACKAGE, "_major", "_key", "delta", null.alias("_version")).unionByName(
+        keyed.select(*PACKAGE, "_major", "_key", F.lit(0).cast("long").alias("delta"), "_version"))
+    order = Window.partitionBy(*PACKAGE, "_major").orderBy("_key", F.col("_version").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    counted = line.withColumn("_run", F.sum("delta").over(order)).filter(F.col("_version").isNotNull()).join(
+        carried, [*PACKAGE, "_major"]).select(*EXACT, (F.col("_run") + F.col("_carry")).alias("_count"))
+    every = osv.filter(F.col("package").isNotNull()).groupBy("ecosystem", F.col("package").alias("name")).agg(F.count("*").alias("_count"))
+    return counted.unionByName(versions.filter(none).join(every, PACKAGE).select(*EXACT, "_count")).filter("_count > 0")
+
+
+def annotate_deps(deps: DataFrame, osv: DataFrame) -> DataFrame:
+    """Every dependency with its number of vulnerabilities, counted once per distinct version."""
+    marked = _exact(deps).join(version_counts(deps, osv), EXACT, "left")
     return marked.select(
         *deps.columns, F.coalesce("_count", F.lit(0).cast("long")).alias("n_vulnerabilities"),
     ).withColumn("is_vulnerable", F.col("n_vulnerabilities") > 0)
