@@ -357,21 +357,27 @@ manifests AS (
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    """Eleven scores per vector; the vector's label is its one true class."""
+    """Eleven scores per vector, each from every eleventh value; the vector's label is its one true class.
+
+    Values are summed as whole thousandths, so both engines give the same scores.
+    """
     e = table(spark, d, "embeddings")
-    return e.select(
-        F.col("vec_id").alias("sample_id"), "label",
-        F.posexplode(F.slice("embedding", 1, 11)).alias("class_id", "x"),
-    ).select(
-        "sample_id", "class_id", F.floor(F.col("x").cast("double") * 50 + 50).cast("double").alias("cents"),
-        (F.col("label") == F.col("class_id")).cast("int").alias("label"),
-    ).select("sample_id", "class_id", (F.col("cents") / 100).alias("prob"), "label")
+    value = F.transform("embedding", lambda x, i: F.struct((i % 11).alias("c"), F.floor(x.cast("double") * 1000).alias("v")))
+    of_class = lambda c: F.aggregate(
+        F.filter("values", lambda s: s.c == c), F.lit(0).cast("long"), lambda acc, s: acc + s.v)
+    sums = F.transform(F.sequence(F.lit(0), F.lit(10)), of_class)
+    prob = F.least(F.greatest((F.col("x") + 1500) / 3000, F.lit(0.0)), F.lit(1.0))
+    return e.select("vec_id", "label", value.alias("values")).select(
+        F.col("vec_id").alias("sample_id"), "label", F.posexplode(sums).alias("class_id", "x"),
+    ).select("sample_id", "class_id", prob.alias("prob"), (F.col("label") == F.col("class_id")).cast("int").alias("label"))
 
 
 SCORES_SQL = """scores AS (
-  SELECT vec_id AS sample_id, i - 1 AS class_id, floor(embedding[i]::DOUBLE * 50 + 50) / 100 AS prob,
-    (label = i - 1)::INT AS label
-  FROM embeddings, (SELECT unnest(range(1, 12)) AS i))"""
+  SELECT vec_id AS sample_id, c AS class_id,
+    least(greatest((sum(floor(embedding[i]::DOUBLE * 1000)::BIGINT) + 1500) / 3000, 0), 1)::DOUBLE AS prob,
+    (any_value(label) = c)::INT AS label
+  FROM embeddings, (SELECT unnest(range(0, 11)) AS c), (SELECT unnest(range(1, 65)) AS i) WHERE (i - 1) % 11 = c
+  GROUP BY vec_id, c)"""
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:

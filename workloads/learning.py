@@ -88,21 +88,21 @@ encoded AS (SELECT file_id, list_resize(ids, {max_length}, 0) AS input_ids, list
   len(ids) AS used FROM framed)"""]
 
 
-@query("encode", S.with_ctes(*_encoded_sql(B.CODE_SQL, 128), select="""SELECT file_id, array_to_string(input_ids, ' ') AS input_ids,
+@query("encode", S.with_ctes(*_encoded_sql(B.CODE_SQL, 2048), select="""SELECT file_id, array_to_string(input_ids, ' ') AS input_ids,
   array_to_string(token_type_ids, ' ') AS token_type_ids, used::BIGINT AS real_tokens FROM encoded"""))
 def encode(spark, d):
-    rows = tokens.encode(B.code(spark, d), max_length=128)
+    rows = tokens.encode(B.code(spark, d), max_length=2048)
     return rows.select(
         "file_id", F.concat_ws(" ", F.col("input_ids").cast("array<string>")).alias("input_ids"),
         F.concat_ws(" ", F.col("token_type_ids").cast("array<string>")).alias("token_type_ids"),
         F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, m: a + m).alias("real_tokens"))
 
 
-@query("decode_ids", S.with_ctes(*_encoded_sql(B.CODE_SQL, 128), """ids AS (SELECT file_id, unnest(range(0, len(input_ids))) AS pos,
+@query("decode_ids", S.with_ctes(*_encoded_sql(B.CODE_SQL, 2048), """ids AS (SELECT file_id, unnest(range(0, len(input_ids))) AS pos,
   unnest(input_ids) AS token_id FROM encoded)""", select="""SELECT file_id, coalesce(string_agg(token, ' ' ORDER BY pos)
   FILTER (token_id > 5), '') AS text FROM ids JOIN vocab USING (token_id) GROUP BY 1"""))
 def decode_ids(spark, d):
-    return tokens.decode_ids(tokens.encode(B.code(spark, d), max_length=128), tokens.vocabulary(spark))
+    return tokens.decode_ids(tokens.encode(B.code(spark, d), max_length=2048), tokens.vocabulary(spark))
 
 
 @query("vocabulary", S.with_ctes(*_tokens_sql(B.TURNS_SQL), B.values("fixed", "token", [(w,) for w in _REAL]), f"""

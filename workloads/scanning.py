@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnsieve.catalog import patterns as P
@@ -364,11 +367,12 @@ def rules_summary(spark, d):
     B.CODE_SQL, S.found(D.rule_checks(RULES)), B.values("rules", "rule_id, vuln_class, message", [
         (r.rule_id, r.vuln_class, r.message) for r in RULES]),
     select="SELECT r.rule_id, r.message, count(f.rule_id) AS n FROM rules r LEFT JOIN found f USING (rule_id) "
-           "WHERE r.vuln_class IN (0, 4) GROUP BY 1, 2"))
+           "GROUP BY 1, 2"))
 def rule_hits(spark, d):
-    """Hits of the catalogue rows of two classes, zero where a rule never matched."""
+    """Hits of the catalogue rows, class by class, zero where a rule never matched."""
     rules = rule_catalog(spark, RULES)
-    chosen = rules_by_class(rules, 0).unionByName(rules_by_class(rules, 4)).select("rule_id", "message")
+    classes = sorted({r.vuln_class for r in RULES})
+    chosen = reduce(DataFrame.unionByName, [rules_by_class(rules, c) for c in classes]).select("rule_id", "message")
     hits = D.rule_scan(B.code(spark, d), RULES).groupBy("rule_id").agg(F.count("*").alias("n"))
     return F.broadcast(chosen).join(hits, "rule_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
