@@ -334,14 +334,20 @@ def metrics_table(spark, d):
 
 # ── models ──────────────────────────────────────────────────────────────────
 
+def labelled_texts(spark, d):
+    """The given texts with the given labels: class 0 is quality, class 1 is toxic."""
+    texts = B.table(spark, d, "documents").select("doc_id", "text")
+    return texts.join(B.labelled(spark, d), "doc_id").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("code"), "labels")
+
+
 @query("train_and_score")
 def train_and_score(spark, d):
-    """Trains on generated samples of the documents' ids and scores every document."""
-    classifier, _ = learn.train(samples(spark, d), regs=(0.01,), max_iter=5, features=1 << 12)
-    return learn.score(classifier, B.code(spark, d))
+    """Trains on the labelled documents and scores every document."""
+    classifier, _ = learn.train(labelled_texts(spark, d))
+    return learn.score(classifier, B.documents(spark, d))
 
 
 @query("train_and_evaluate")
 def train_and_evaluate(spark, d):
-    classifier, test = learn.train(samples(spark, d), regs=(0.01, 0.1), max_iter=5, features=1 << 12)
+    classifier, test = learn.train(labelled_texts(spark, d))
     return learn.evaluate(learn.labelled_scores(classifier, test), vuln_classes(spark))
