@@ -90,10 +90,10 @@ PAGES_SQL = "code AS (SELECT page_id AS file_id, url AS path, html AS content FR
 def turns(spark: SparkSession, d: str) -> DataFrame:
     talk = table(spark, d, "conversations")
     return code_from_table(
-        talk, F.col("conv_id") * 1000 + F.col("turn"), F.concat(F.lit("chat/"), F.col("conv_id")), "text")
+        talk, F.col("conv_id") * 1_000_000_000 + F.col("turn"), F.concat(F.lit("chat/"), F.col("conv_id")), "text")
 
 
-TURNS_SQL = ("code AS (SELECT conv_id * 1000 + turn AS file_id, 'chat/' || conv_id AS path, text AS content "
+TURNS_SQL = ("code AS (SELECT conv_id * 1000000000 + turn AS file_id, 'chat/' || conv_id AS path, text AS content "
              "FROM conversations)")
 
 # ── dimensions ──────────────────────────────────────────────────────────────
