@@ -14,6 +14,7 @@ from vulnsieve.llm.common import whole_text, written
 
 BITS, QUARTERS, SIDE = 64, 4, 32
 SEED = 42
+FREQUENT = 1000
 
 
 def simhash(text: bytes, width: int = 3) -> int:
@@ -186,15 +187,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one node, so copies never meet in one task and never make pairs.
     """
     rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = written(rows.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "nodes")
+    nodes = written(rows.groupBy("fingerprint").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "nodes")
     linked = components(links(nodes, radius)).select(F.col("node").alias("fingerprint"), "root")
     linked = linked.union(linked.select(F.col("root"), F.col("root")).distinct())
     members = linked.join(nodes, "fingerprint")
     best = members.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = linked.join(best, "root").select("fingerprint", "component_id")
     named = nodes.join(labels, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+        "fingerprint", F.coalesce("component_id", "least").alias("component_id"), "copies")
+    # fingerprints with a thousandth of all rows, a thousand at most, are resolved where their rows are
+    many = F.col("copies") * FREQUENT >= rows.count()
+    frequent = written(named.filter(many).select("fingerprint", "component_id"), "frequent")
+    head = rows.join(F.broadcast(frequent), "fingerprint")
+    tail = rows.join(F.broadcast(frequent), "fingerprint", "left_anti").join(
+        named.filter(~many).select("fingerprint", "component_id"), "fingerprint")
+    return head.unionByName(tail).select(id_col, "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
