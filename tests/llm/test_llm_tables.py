@@ -105,6 +105,17 @@ def test_near_copies(spark, docs_of):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_with_null_and_repeated_ids(spark, docs_of):
+    base = " ".join(random_texts(8, 60, 30))
+    alone, other, third = "quite another text", "nothing like the rest of it", "a third one of its own"
+    docs = docs_of((3, base), (7, base.upper()), (7, alone), (None, base.title()), (None, other), (None, third), (None, third))
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, base), (7, alone), (None, other), (None, third)], key=str)
+    same = docs_of((5, base), (5, base.upper()), (6, other), (None, alone), (None, alone.upper()))
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.keep_one(same).collect()]
+    assert sorted(kept, key=str) == sorted([(5, base.lower()), (6, other), (None, alone)], key=str)
+
+
 @pytest.mark.parametrize("tile_rows", [3, 8192])
 def test_links_in_tiles(spark, tile_rows):
     rng, prints = random.Random(6), set()

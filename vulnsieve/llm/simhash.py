@@ -7,7 +7,7 @@ from itertools import accumulate, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnsieve.llm.common import whole_text, written
@@ -204,8 +204,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return head.unionByName(tail).select(id_col, "fingerprint", "component_id")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Key of a row: id and SHA-256 of the text; null ids come after all others."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
+                    F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256)).alias("digest"))
+
+
+def keep_least(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each component, all columns kept; ``marks`` has ``key, component``.
+
+    ``component`` is the key of the row that stays.  Rows are told apart by id and text, so a null
+    or repeated id never takes another text with it; of rows that repeat both, one stays.
+    """
+    names, key = docs.columns, row_key(id_col, text_col)
+    left = docs.select(F.struct(*names).alias("row"), key.alias("key"))
+    left = left.select("row", "key.id", "key.digest")
+
+    def those(part: DataFrame) -> DataFrame:
+        return part.select(F.col("key.id").alias("other_id"), F.col("key.digest").alias("other")).distinct()
+
+    on = F.col("id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other"))
+    stay = marks.filter(F.col("key") == F.col("component"))
+    twice = written(stay.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    gone = those(marks.filter(F.col("key") != F.col("component")).select("key").union(twice.select("key")))
+    out = left.join(gone, on, "left_anti").select("row.*")
+    if twice.isEmpty():
+        return out
+    one = left.join(those(twice), on, "left_semi").groupBy("id", "digest").agg(F.min("row").alias("row"))
+    return out.unionByName(one.select("row.*"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the one with the smallest id, all columns kept."""
-    marks = near_duplicates(docs, id_col, text_col, radius, width)
-    drop = marks.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_drop")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["_drop"]), "left_anti")
+    """One row of ``docs`` for each component: that with the smallest id, of equal ids with the least digest."""
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    marks = written(near_duplicates(keyed, "key", "text", radius, width), "marks")
+    return keep_least(docs, marks.select("key", F.col("component_id").alias("component")), id_col, text_col)
