@@ -56,6 +56,14 @@ def test_spans_and_scores():
     assert [k for k, *_ in pii.scan('token = "9c8b45435718dcc700c184a7e303cdc6"')] == ["secret"]
 
 
+def test_long_secrets():
+    for n in (256, 257, 5000):
+        text = 'token = "' + ("9c8bX45435z718dcc700c184" * n)[:n] + '" end'
+        assert [k for k, *_ in pii.scan(text)] == ["secret"]
+        assert "9c8b" not in pii.redacted(text)
+    assert pii.scan('token="' * 50_000) == []  # linear in the text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab.@-+ 0123456789\n", max_size=60))
 def test_redacted_text_holds_no_base_span(text):
