@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnsieve.llm import bpe, exact_dedup, exact_topk, language_id, packing, pii, simhash, suffix_lm, toxicity, url_filter
+from vulnsieve.llm import (
+    bpe, exact_dedup, exact_topk, language_id, level_products, line_quality, packing, pii, simhash, spelling, suffix_lm, toxicity,
+    url_filter)
 from vulnsieve.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +153,126 @@ def op9(spark, d):
 @query("op10_bpe")
 def op10(spark, d):
     return bpe.round_trip(table(spark, d, "documents"), BYTE_BPE)
+
+
+def _lines_sql(rules: line_quality.LineRules = line_quality.LineRules()) -> str:
+    words = r"'[^\x20\x09-\x0D]+'"
+    hits = lambda pattern: f"len(regexp_extract_all(line, '{pattern}'))"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT rid, doc_id, text, regexp_extract_all(text, {words}) AS words FROM d),
+    grams AS (
+      SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS gram
+      FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+    twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+    covered AS (
+      SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + o AS at FROM twice, range(5) r(o)) GROUP BY rid),
+    cut AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+    judged AS (
+      SELECT *, (separators >= {rules.least_separators} AND separators * {rules.words_a_separator} >= n)
+        OR (n <= {rules.phrase_words} AND regexp_matches(line, '{rules.boilerplate}'))
+        OR (n <= {rules.heading_words} AND NOT regexp_matches(line, '{rules.sentence_mark}'))
+        OR (shouts > 0 AND shouts * {rules.words_a_shout} >= n) OR symbols * {rules.chars_a_symbol} >= chars AS failed
+      FROM (
+        SELECT rid, line, len(regexp_extract_all(line, {words})) AS n,
+          length(array_to_string(regexp_extract_all(line, {words}), '')) AS chars,
+          {hits(rules.separators)} AS separators, {hits(rules.shout)} AS shouts, {hits(rules.symbols)} AS symbols
+        FROM cut)
+      WHERE n > 0),
+    lines AS (
+      SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines,
+        coalesce(sum(chars) FILTER (failed), 0)::BIGINT AS lost_chars
+      FROM judged GROUP BY rid),
+    counted AS (
+      SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n_dup_lines, 0) AS n_dup_lines,
+        coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n_failed_lines, 0) AS n_failed_lines,
+        coalesce(l.lost_chars, 0) AS lost_chars
+      FROM w LEFT JOIN lines l USING (rid) LEFT JOIN covered c USING (rid)),
+    based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
+    SELECT *, NOT base_failed AND NOT lost_chars * 100 > word_chars * 50 AS kept FROM based"""
+
+
+@query("op11_line_quality", _lines_sql())
+def op11(spark, d):
+    return line_quality.judge(table(spark, d, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_chars",
+        "base_failed", "kept")
+
+
+@query("op12_source_divergence", """
+    WITH d AS (
+      SELECT row_number() OVER () AS rid, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+      FROM documents),
+    t AS (
+      SELECT rid, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM d),
+    kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 30),
+    langs AS (
+      SELECT l.lang, count(k.term) AS v, coalesce(sum(k.total), 0) AS size
+      FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k USING (lang) GROUP BY l.lang),
+    n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+    groups AS (
+      SELECT g.lang, g.source, coalesce(sum(n.n), 0) AS size
+      FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+    p AS (
+      SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (g.size + 5 * l.v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (k.total + 5)) // (l.size + 5 * l.v)::HUGEINT AS q
+      FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN n ON (n.lang, n.source, n.term) = (g.lang, g.source, k.term)),
+    pairs AS (
+      SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    parts AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs x ON (x.lang, x.source, x.item) = (a.lang, a.source, b.source)
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+    ranked AS (
+      SELECT lang, source, part, item, value::BIGINT AS value,
+        row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM parts)
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""")
+def op12(spark, d):
+    return level_products.divergence(table(spark, d, "documents"))
+
+
+@query("op13_spelling", """
+    WITH RECURSIVE poly AS MATERIALIZED (
+      SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, b)
+        ORDER BY b) AS steps FROM range(256) r(b)),
+    runs AS (
+      SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+        FROM documents) GROUP BY ALL),
+    hashed AS (
+      SELECT run, n, xor(list_reduce(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: unicode(c)::BIGINT),
+        lambda crc, u: CASE WHEN u < 128 THEN xor(crc // 256, steps[xor(crc, u) % 256 + 1])
+          ELSE xor(xor(crc // 256, steps[xor(crc, 195) % 256 + 1]) // 256,
+                   steps[xor(xor(crc // 256, steps[xor(crc, 195) % 256 + 1]), u - 64) % 256 + 1]) END,
+        4294967295::BIGINT), 4294967295::BIGINT) AS h
+      FROM runs, poly),
+    spelt AS (
+      SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+    words AS MATERIALIZED (
+      SELECT word, sum(n)::BIGINT AS n FROM spelt GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+    cuts AS MATERIALIZED (
+      SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS (
+      SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+      UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+    best AS (
+      SELECT word, count(*) AS n_near, max(n) AS form_n, min(other) FILTER (at_most = n) AS form
+      FROM (SELECT *, max(n) OVER (PARTITION BY word) AS at_most FROM near) GROUP BY word),
+    found AS MATERIALIZED (
+      SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * w.n THEN b.form END AS form,
+        CASE WHEN b.form_n >= 2 * w.n THEN b.form_n END AS form_n
+      FROM words w LEFT JOIN best b USING (word)),
+    chain AS (
+      SELECT word, word AS root, form AS next FROM found
+      UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN found f ON c.next = f.word)
+    SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM found f JOIN chain c ON c.word = f.word WHERE c.next IS NULL""")
+def op13(spark, d):
+    return spelling.variants(table(spark, d, "documents"))
