@@ -11,36 +11,45 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from vulnsieve.llm import exact_dedup, language_id, packing, pii, similar  # noqa: E402
-from vulnsieve.llm.common import fold, written  # noqa: E402
+from vulnsieve.llm import exact_dedup, language_id, packing, pii, simhash  # noqa: E402
+from vulnsieve.llm.common import fold, named, written  # noqa: E402
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language is less likely than not."""
+    """Drops documents without a letter (null texts too) and those whose language is less likely than not.
+
+    Where no document has a language nothing is learned, and only texts without a letter go.
+    """
     model = language_id.train(docs.filter(fold("doc_id", 3) != 1))
     return language_id.keep_identified(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays; null texts count as empty, null ids as least."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a 5-word Jaccard similarity of 0.8 or more the document with the smallest id stays."""
-    return similar.keep_one(docs)
+    """Of texts linked by fingerprints of 3-word shingles 2 or fewer bits apart the document with the smallest id stays.
+
+    Null texts count as empty and null ids come last; of rows that repeat id and text one stays.
+    """
+    return simhash.keep_one(docs, radius=2, width=3)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts; ``n_chars`` follows the new text."""
+    """Replaces personal data in the texts; ``n_chars`` follows the new text.  Every row stays, null texts stay null."""
     clean = pii.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return clean.select(*docs.columns)
+    return clean.select(*map(named, docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of at most 2,048 tokens; every kept token has one."""
+    """Token pieces and their places in sequences of at most 2,048 tokens; every kept token has one.
+
+    A null text is packed as the empty one: its end token alone.  Repeated rows are packed each.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vulnsieve.llm import bpe, exact_dedup, exact_topk, packing, pii, similar, simhash, suffix_lm, url_filter
+from vulnsieve.llm import bpe, exact_dedup, exact_topk, packing, pii, simhash, suffix_lm, url_filter
 from vulnsieve.llm.common import fold
 
 PATH = bpe_path = corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")
@@ -116,60 +116,35 @@ def test_near_copies_with_null_and_repeated_ids(spark, docs_of):
     assert sorted(kept, key=str) == sorted([(5, base.lower()), (6, other), (None, alone)], key=str)
 
 
-def plain_similar(texts):
-    """Components of texts whose five-word Jaccard similarity is 0.8 or more, by brute force."""
-    sets = []
-    for t in texts:
-        words = (t or "").encode().lower().split()
-        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))})
-    parent = list(range(len(texts)))
+def odd_columns(df):
+    """Columns with a dot, a backtick, a map, and text ids, as a stage may meet them."""
+    return df.selectExpr("cast(doc_id AS string) AS doc_id", "text", "lang", "source", "n_chars", "map('k', n_chars) AS m",
+                         "source AS `a.b`", "source AS `c``d`", "named_struct('text', 1) AS node", "1 AS `key`")
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for i, a in enumerate(sets):
-        for j in range(i):
-            both = len(a & sets[j])
-            if 9 * both >= 4 * (len(a) + len(sets[j])):
-                x, y = root(i), root(j)
-                parent[max(x, y)] = min(x, y)
-    return [root(i) for i in range(len(texts))]
-
-
-@pytest.mark.parametrize("hot", [4, 64])
-def test_similar_texts(spark, docs_of, monkeypatch, hot):
-    monkeypatch.setattr(similar, "HOT", hot)
-    rng, texts = random.Random(12), []
-    line = "this line stands in many of the texts and is the same everywhere"
-    for n in [3, 5, 9, 40, 90, 200, 300] * 3 + [120]:
-        base = [f"w{rng.randrange(3000)}" for _ in range(n)] + (line.split() if n % 2 == 0 else [])
-        for _ in range(90 if n == 120 else rng.randint(1, 6)):
-            now = list(base)
-            for _ in range(rng.randint(0, 1 + n // 40)):  # on both sides of 0.8
-                now[rng.randrange(len(now))] = f"w{rng.randrange(3000)}"
-            texts.append(" ".join(now))
-    texts += [texts[0].upper(), texts[30], None, "", "  ", "a", "A", "b"]
-    roots = plain_similar(texts)
-    assert len(texts) - len(set(roots)) > 60
-    docs = docs_of(*texts, extra=True)
-    kept = similar.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(roots))
-    assert similar.keep_one(docs.limit(0)).count() == 0
-
-
-def test_pipeline_drops_near_copies_by_similarity(spark, docs_of):
-    words = [f"w{i}" for i in range(120)]
-    near, far = list(words), list(words)
-    near[10] = near[70] = "x"  # 106 of 126 shingles in common
-    far[20] = far[45] = far[80] = far[100] = "y"
-    docs = docs_of((3, " ".join(words)), (7, " ".join(near)), (7, "alone"), (None, " ".join(words).upper()),
-                   (None, "other"), (8, " ".join(far)), (9, "twice"), (9, "twice"))
-    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
-    assert sorted((str(r.doc_id), r.text[:8]) for r in kept) == sorted(
-        [("3", "w0 w1 w2"), ("7", "alone"), ("None", "other"), ("8", "w0 w1 w2"), ("9", "twice")])
+def test_stages_take_any_columns(spark, docs_of):
+    base = " ".join(random_texts(8, 60, 30))
+    docs = odd_columns(docs_of((3, base), (7, base.upper()), (7, base.upper()), (None, "zwei drei vier"), (None, "zwei drei vier"),
+                               (8, None), (9, ""), (10, "!!"), (11, "jo@ex.com is here")))
+    exact = exact_dedup.drop_duplicates(docs)
+    near = simhash.keep_one(docs)
+    assert exact.columns == near.columns == docs.columns
+    got = [(r.doc_id, r.text, r["a.b"], r["c`d"]) for r in exact.collect()]
+    assert sorted(got, key=str) == sorted([("3", base, "s", "s"), ("7", base.upper(), "s", "s"), (None, "zwei drei vier", "s", "s"),
+                                           ("9", "", "s", "s"), ("10", "!!", "s", "s"), ("11", "jo@ex.com is here", "s", "s")], key=str)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "")
+        assert kept.columns == docs.columns
+    left = {(r.doc_id, r.text) for r in kept.collect()}
+    assert left == {("3", base), (None, "zwei drei vier"), ("11", "[EMAIL] is here")}
+    assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, kept, "").collect()} == {"3", None, "11"}
+
+
+def test_nothing_learned_keeps_texts(spark, docs_of):
+    docs = docs_of((1, "some words", None), (2, "12 !", None), (3, None, None), (4, "ü", None), (5, "", None))
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
 
 
 @pytest.mark.parametrize("tile_rows", [3, 8192])

@@ -1,6 +1,7 @@
 """Operators on single texts against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -175,28 +176,81 @@ def test_toxicity_learns_stems(spark, docs_of):
     assert all(r.score < 0.5 for r in toxicity.toxic_passages(docs, empty).collect())
 
 
-def test_language_counts_against_plain(spark, docs_of):
-    texts = [("en", "The cat. The hat"), ("de", "Der Hut, DER Bär"), ("en", "that"), (None, "zzz"), ("de", None)]
+def plain_grams(text, orders, buckets):
+    """Buckets of the n-grams of a text, one character after the other."""
+    folded = [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32] * orders
+    mix = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F]
+    out = []
+    for i in range(len(text.lower())):
+        if folded[i] == folded[i + 1] == 32:
+            continue
+        mixed = 0x165667B1
+        for o in range(orders):
+            mixed = (mixed ^ folded[i + o]) * mix[o % 4] % 2**32
+            mixed ^= mixed >> 15
+            out.append((mixed * mix[0] % 2**32) >> (32 - buckets.bit_length() + 1))
+    return out
+
+
+def plain_languages(training, texts, orders=3, buckets=1 << 15, smoothing=0.5):
+    counts = {}
+    for text, lang in training:
+        if lang is not None:
+            counts.setdefault(lang, []).append(text or "")
+    langs = sorted(counts)
+    if not langs:
+        return [("und", 0.0)] * len(texts)
+    rows = sum(map(len, counts.values()))
+    cells = {lang: np.bincount(np.array(sum((plain_grams(t, orders, buckets) for t in counts[lang]), []), int), minlength=buckets) + smoothing
+             for lang in langs}
+    out = []
+    for text in texts:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        grams = plain_grams(text, orders, buckets)
+        sums = [math.log(len(counts[x]) / rows) + float(np.log(cells[x][grams] / cells[x].sum()).sum()) for x in langs]
+        best = max(range(len(langs)), key=lambda i: (sums[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums)))
+    return out
+
+
+@pytest.mark.parametrize("part_langs", [1, 2, 128])
+def test_languages_against_plain(spark, docs_of, part_langs):
+    rng = random.Random(part_langs)
+    texts = [("en", "The cat. The hat"), ("de", "Der Hut, DER Bär"), ("en", "that"), (None, "zzz"), ("de", None), ("fr", ""),
+             ("xx", "one text"), ("yy", "one text"), (None, "one text"), (None, "1234 --"), (None, None), ("en", "The cat. The hat")]
+    texts += [(rng.choice(["en", "de", "fr", None]), "".join(rng.choices("abcé ü.", k=rng.randint(0, 60)))) for _ in range(60)]
     docs = docs_of(*[(i, t, lang) for i, (lang, t) in enumerate(texts)], extra=True)
-    model = language_id.train(docs)
-    assert model.langs == ["de", "en"] and np.allclose(np.exp(model.log_prob).sum(axis=1), 1)
-    rows = {r.doc_id: r for r in docs.select("doc_id", language_id.predicted(docs, model).alias("f")).selectExpr("doc_id", "f.*").collect()}
-    assert [rows[i].lang for i in range(5)][:3] == ["en", "de", "en"]
-    assert rows[4].lang == "und" and rows[4].score == 0
-    und = docs_of("1234 --", "", None)
-    assert {r.f.lang for r in und.select(language_id.predicted(und, model).alias("f")).collect()} == {"und"}
+    model = language_id.train(docs, part_langs=part_langs)
+    assert model.langs == ["de", "en", "fr", "xx", "yy"]
+    plain = plain_languages([(t, lang) for lang, t in texts], [t for _, t in texts])
+    rows = docs.select("doc_id", language_id.predicted(docs, model).alias("f")).selectExpr("doc_id", "f.*").collect()
+    for r in rows:
+        assert r.lang == plain[r.doc_id][0], texts[r.doc_id]
+        assert abs(r.score - plain[r.doc_id][1]) < 1e-9
     kept = language_id.keep_identified(docs, model)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 3}
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, (lang, p) in enumerate(plain) if lang != "und" and p >= 0.5}
     none = language_id.train(docs.limit(0))
     assert {r.f.lang for r in docs.select(language_id.predicted(docs, none).alias("f")).collect()} == {"und"}
+    assert docs.limit(0).select(language_id.predicted(docs, model).alias("f")).count() == 0
+
+
+def test_many_languages(spark, docs_of):
+    docs = docs_of(*[(i, "".join(chr(0x4E00 + 50 * i + j) for j in range(30)), f"l{i:03}") for i in range(300)])
+    model = language_id.train(docs)
+    assert len(model.langs) == 300 and len(model.parts) == 3
+    found = docs.select("lang", language_id.predicted(docs, model).alias("f")).collect()
+    assert all(r.lang == r.f.lang for r in found)
 
 
 def test_language_pieces_do_not_matter(monkeypatch):
     rng = random.Random(2)
     texts = ["".join(rng.choices("abc é.1", k=rng.randint(0, 300))) for _ in range(30)]
     prob = np.log(np.random.default_rng(0).dirichlet(np.ones(1 << 15), 3))
-    model = language_id.LanguageModel(["a", "b", "c"], np.log(np.ones(3) / 3), prob, 3, 1 << 15)
-    whole = model.predict(texts)
+    model = language_id.LanguagePart(["a", "b", "c"], np.log(np.ones(3) / 3), prob, 3, 1 << 15)
+    whole = model.score(texts)
     monkeypatch.setattr(language_id, "PIECE", 17)
-    parts = model.predict(texts)
-    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
+    parts = model.score(texts)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()

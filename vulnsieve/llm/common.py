@@ -16,14 +16,29 @@ from vulnsieve.session import checkpoint_dir
 _FOLDERS: dict[int, str] = {}
 
 
+def named(name: str) -> Column:
+    """The column of that very name, also one with a dot or a backtick in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct."""
+    return F.struct(*map(named, df.columns))
+
+
+def one_of(row: str) -> Column:
+    """Of several rows (structs) always the same one, whatever types they hold, maps included."""
+    return F.min_by(row, F.sha2(F.to_json(row), 256))
+
+
 def fold(id_col: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
-    col = F.col(id_col) if isinstance(id_col, str) else id_col
+    col = named(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
 def whole_text(text_col: str) -> Column:
-    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(named(text_col).cast("string"), F.lit(""))
 
 
 def _remove(spark: SparkSession, folder: str) -> None:

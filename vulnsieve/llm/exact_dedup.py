@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnsieve.llm.common import whole_text, written
+from vulnsieve.llm.common import named, one_of, row_of, whole_text, written
 
 
 def _cut(counts: dict[bytes, int], counters: int) -> dict[bytes, int]:
@@ -44,55 +44,74 @@ def frequent_digests(digests: DataFrame, counters: int = 1024) -> list[bytes]:
     return [key for key, n in rows if n > least and n > 1]
 
 
+def _winners(rows: DataFrame) -> DataFrame:
+    """``digest, keep_id, group_size, repeats`` of rows ``doc_id, digest``; a null id is the least one."""
+    per_id = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
+    return per_id.groupBy("digest").agg(
+        F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("n", order).alias("repeats"))
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256))
+
+
+def _split(docs: DataFrame, id_col: str, text_col: str, counters: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, digest`` of all rows, and the winners of the frequent digests (at most ``counters``)."""
+    rows = written(docs.select(named(id_col).alias("doc_id"), _digest(text_col).alias("digest")), "digests")
+    found = docs.sparkSession.createDataFrame([(key,) for key in frequent_digests(rows, counters)], "digest binary")
+    return rows, written(_winners(rows.join(F.broadcast(found), "digest", "left_semi")), "frequent")
+
+
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
     """``id_col, digest, keep_id, group_size, repeats, kept`` for every row of ``docs``.
 
     Texts are equal when their bytes are; ``digest`` is their SHA-256.  Of equal texts the
-    row with the largest id stays.  A null text counts as empty, a null id as the least one.
-    Rows that repeat both id and text are one document stored several times: all of them
-    carry ``kept`` alike and ``repeats`` says how many there are.  An empty table gives no row.
+    row with the largest id stays, of text ids the last in order.  A null text counts as empty, a
+    null id as the least one.  Rows that repeat both id and text are one document stored several
+    times: all of them carry ``kept`` alike and ``repeats`` says how many there are.  An empty
+    table gives no row.
 
     A digest found frequent by ``frequent_digests`` is verified by an exact count, and its
     winner is broadcast (at most ``counters`` rows): its copies never meet in one task.  All
     other digests are counted before the shuffle and joined back.
     """
-    rows = written(docs.select(
-        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256)).alias("digest")), "digests")
-    spark = docs.sparkSession
-    found = spark.createDataFrame([(key,) for key in frequent_digests(rows, counters)], "digest binary")
-
-    def winners(part: DataFrame) -> DataFrame:
-        per_id = part.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
-        best = F.max_by("n", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-        return per_id.groupBy("digest").agg(
-            F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), best.alias("repeats"))
-
-    frequent = written(winners(rows.join(F.broadcast(found), "digest", "left_semi")), "frequent")
+    rows, frequent = _split(docs, id_col, text_col, counters)
     head = rows.join(F.broadcast(frequent), "digest")
     rest = rows.join(F.broadcast(frequent), "digest", "left_anti")
-    tail = rest.join(winners(rest), "digest")
-    return head.unionByName(tail).select(
+    return head.unionByName(rest.join(_winners(rest), "digest")).select(
         F.col("doc_id").alias(id_col), "digest", "keep_id", "group_size", "repeats",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each distinct text, with all their columns."""
-    marks = written(mark_duplicates(docs, id_col, text_col, counters), "marks")
-    names = docs.columns
-    digest = F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256))
-    left = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
-
-    def without(drop: DataFrame) -> DataFrame:
-        drop = drop.select(F.col(id_col).alias("drop_id"), F.col("digest").alias("drop_digest")).distinct()
-        on = F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("digest") == F.col("drop_digest"))
-        return left.join(drop, on, "left_anti").select("row.*")
-
-    again = marks.filter(F.col("kept") & (F.col("repeats") > 1))
-    out = without(marks.filter(~F.col("kept") | (F.col("repeats") > 1)))
-    if again.isEmpty():
-        return out
-    twice = again.select(F.col(id_col).alias("drop_id"), F.col("digest").alias("drop_digest")).distinct()
-    on = F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("digest") == F.col("drop_digest"))
-    one = left.join(twice, on, "left_semi").groupBy("id", "digest").agg(F.min("row").alias("row"))
-    return out.unionByName(one.select("row.*"))
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns.
+
+    Null texts and ids, ties and repeats are treated as in ``mark_duplicates``; of rows that repeat
+    id and text one stays, always the same.  Columns of any name and type are handed through.  An
+    empty table gives an empty one.
+
+    Copies of frequent digests are removed where they are read, by the broadcast winners; only the
+    other rows are shuffled, against the ids and digests that go.
+    """
+    rows, frequent = _split(docs, id_col, text_col, counters)
+    rest = rows.join(F.broadcast(frequent), "digest", "left_anti")
+    marks = written(rest.join(_winners(rest).filter("group_size > 1"), "digest"), "marks")
+    left = docs.select(row_of(docs).alias("row"), named(id_col).alias("id"), _digest(text_col).alias("digest"))
+    won = F.broadcast(frequent.select("digest", "keep_id", F.col("repeats").alias("times")))
+    left = left.join(won, "digest", "left").filter("times IS NULL OR id <=> keep_id").drop("keep_id")
+
+    def key(part: DataFrame) -> DataFrame:
+        return part.select(F.col("doc_id").alias("other_id"), F.col("digest").alias("other")).distinct()
+
+    on = F.col("id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other"))
+    tail = left.filter("times IS NULL").join(
+        key(marks.filter("NOT doc_id <=> keep_id OR repeats > 1")), on, "left_anti")
+    out = left.filter("times = 1").select("row").unionByName(tail.select("row"))
+    again = key(marks.filter("doc_id <=> keep_id AND repeats > 1"))
+    often = frequent.filter("repeats > 1")
+    if not often.isEmpty() or not again.isEmpty():
+        several = left.filter("times > 1").select("row", "id", "digest").unionByName(
+            left.filter("times IS NULL").join(again, on, "left_semi").select("row", "id", "digest"))
+        out = out.unionByName(several.groupBy("id", "digest").agg(one_of("row").alias("row")).select("row"))
+    return out.select("row.*")

@@ -31,7 +31,7 @@ def term_counts(docs: DataFrame, text_col: str, group_cols: tuple[str, str]) ->
         def rows():
             for (lang, source), (n, docs) in held.items():
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(n)), pa.array([source] * len(n)), pa.array(list(n), pa.binary()),
+                    pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.binary()),
                     pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())],
                     ["lang", "source", "term", "n", "docs"])
 

@@ -6,13 +6,15 @@ The scan of one text is plain Python over ``str``; Spark cuts the table into tas
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnsieve.llm.common import whole_text
+from vulnsieve.llm.common import named, whole_text
 
 #: Kinds in the order in which spans are listed; the first four are kept whatever their score.
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn", "imei")
@@ -140,8 +142,12 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
     """
     base = base_spans(text)
     out = [(k, s, e, _rated(text, k, s, e)) for k, s, e in base]
+    # the base spans that start before an added one ends overlap it if the furthest end among them does
+    places = sorted((s, e) for _, s, e in base)
+    starts, ends = [s for s, _ in places], list(accumulate((e for _, e in places), max))
     for kind, s, e in _proposed(text):
-        if all(e <= bs or s >= be for _, bs, be in base):
+        before = bisect_left(starts, e)
+        if not before or ends[before - 1] <= s:
             score = _rated(text, kind, s, e)
             if score >= LEAST:
                 out.append((kind, s, e, score))
@@ -182,7 +188,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             found = [[dict(zip(names, span)) for span in scan(text)] for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPANS_ARROW)], [id_col, "spans"])
 
-    return docs.select(F.col(id_col), whole_text(text_col).alias("_text")).mapInArrow(
+    return docs.select(named(id_col), whole_text(text_col).alias("_text")).mapInArrow(
         scan_batches, f"`{id_col}` {kind}, spans {SPANS}")
 
 
@@ -192,9 +198,9 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced; null stays null, all columns stay."""
+    """``docs`` with personal data in ``text_col`` replaced; null stays null, all columns and rows stay."""
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else redacted(t))
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return docs.withColumn(text_col, clean(named(text_col)))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnsieve.llm.common import whole_text, written
+from vulnsieve.llm.common import named, one_of, row_of, whole_text, written
 
 BITS, QUARTERS, SIDE = 64, 4, 32
 SEED = 42
@@ -42,14 +42,14 @@ def simhash(text: bytes, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``id_col, fingerprint`` (a signed long) for every row; a null text counts as empty."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             values = np.array([simhash(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], [id_col, "fingerprint"])
 
-    return docs.select(F.col(id_col), whole_text(text_col).cast("binary").alias("_text")).mapInArrow(
+    return docs.select(named(id_col), whole_text(text_col).cast("binary").alias("_text")).mapInArrow(
         run, f"`{id_col}` {kind}, fingerprint long")
 
 
@@ -206,36 +206,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def row_key(id_col: str, text_col: str) -> Column:
     """Key of a row: id and SHA-256 of the text; null ids come after all others."""
-    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
+    return F.struct(named(id_col).isNull().alias("no_id"), named(id_col).alias("id"),
                     F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256)).alias("digest"))
 
 
-def keep_least(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each component, all columns kept; ``marks`` has ``key, component``.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest id, of equal ids with the least digest.
 
-    ``component`` is the key of the row that stays.  Rows are told apart by id and text, so a null
-    or repeated id never takes another text with it; of rows that repeat both, one stays.
+    Null texts count as empty and null ids as larger than all others.  Rows are told apart by id and
+    text, so a null or repeated id never takes another text with it; of rows that repeat both, one
+    stays, always the same.  Columns of any name and type are handed through.  An empty table gives
+    an empty one.
     """
-    names, key = docs.columns, row_key(id_col, text_col)
-    left = docs.select(F.struct(*names).alias("row"), key.alias("key"))
-    left = left.select("row", "key.id", "key.digest")
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), named(text_col).alias("text"))
+    marks = written(near_duplicates(keyed, "key", "text", radius, width), "marks")
+    left = docs.select(row_of(docs).alias("row"), row_key(id_col, text_col).alias("key")).select("row", "key.id", "key.digest")
 
     def those(part: DataFrame) -> DataFrame:
         return part.select(F.col("key.id").alias("other_id"), F.col("key.digest").alias("other")).distinct()
 
     on = F.col("id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other"))
-    stay = marks.filter(F.col("key") == F.col("component"))
+    stay = marks.filter(F.col("key") == F.col("component_id"))
     twice = written(stay.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
-    gone = those(marks.filter(F.col("key") != F.col("component")).select("key").union(twice.select("key")))
-    out = left.join(gone, on, "left_anti").select("row.*")
-    if twice.isEmpty():
-        return out
-    one = left.join(those(twice), on, "left_semi").groupBy("id", "digest").agg(F.min("row").alias("row"))
-    return out.unionByName(one.select("row.*"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
-    """One row of ``docs`` for each component: that with the smallest id, of equal ids with the least digest."""
-    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    marks = written(near_duplicates(keyed, "key", "text", radius, width), "marks")
-    return keep_least(docs, marks.select("key", F.col("component_id").alias("component")), id_col, text_col)
+    gone = those(marks.filter(F.col("key") != F.col("component_id")).select("key").union(twice.select("key")))
+    out = left.join(gone, on, "left_anti").select("row")
+    if not twice.isEmpty():
+        several = left.join(those(twice), on, "left_semi").groupBy("id", "digest").agg(one_of("row").alias("row"))
+        out = out.unionByName(several.select("row"))
+    return out.select("row.*")
