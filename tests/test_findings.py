@@ -2,9 +2,10 @@
 
 from vulnsieve import schemas
 from vulnsieve.catalog.rules import RULES
-from vulnsieve.operators import detect, findings as fnd
-from vulnsieve.plans.scan import detect_all, scan
+from vulnsieve.operators import detect, file_scan as fs, findings as fnd
+from vulnsieve.plans.scan import detect_all, scan, scan_by_file
 from vulnsieve.sources.dimensions import class_lookup, rule_catalog, vuln_classes
+from workloads import base as B
 
 
 def finding(file_id=1, vuln_class=2, line=3, message="m", severity="low", confidence=0.6, source="a", seq=0):
@@ -126,12 +127,43 @@ def test_dimensions(spark):
     assert {r.vuln_class: r.class_severity for r in rows} == {3: "high", 99: "medium"}
 
 
-def test_one_shuffle_and_no_text_in_it(files_of):
+def test_no_shuffle_in_a_scan(files_of):
     plan = scan(files_of(("a.py", "x")))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    shuffled = plan[plan.index("Exchange hashpartitioning"):]
-    partial = shuffled[shuffled.index("partial_max_by"):].split("\n")[0]
-    assert "content" not in partial
+    assert "hashpartitioning" not in plan and "Sort" not in plan
+
+
+def test_scan_by_file_equals_the_shuffled_merge(spark, files_of):
+    snippets = [(f"s{i}{ext}", code) for i, ext, code in B.SNIPPETS]
+    lines = "\n".join(code for *_, code in B.SNIPPETS)
+    files = files_of(*snippets, ("all.py", lines), ("all.js", lines), ("twice.py", "\n".join([lines] * 3)), ("a.py", ""), ("b.py", None),
+                     ("marks.py", "eval(x) \ufdd0 \ufdd1 eval(y)\n\ufdd2"), ("x.so", "password = hidden\0secret_key_1234"),
+                     ("routes.py", "@app.route('/admin/keys')\n@app.route('/open')"), ("one.c", "strcpy(a, b); strcpy(c, d);"))
+    merged = fnd.merge_findings(detect_all(files))
+    scanned = scan_by_file(files, at=0.0)
+    rows = scanned.findings().select(*fnd.FINDING_COLUMNS)
+    assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(map(repr, map(tuple, merged.select(*rows.columns).collect())))
+    assert rows.filter("source like '% + %'").count() > 0 and rows.filter("line = 0").count() > 0
+    found = scan(files)
+    ranked = {(r.file_id, r.vuln_class, r.line): r.position for r in fnd.rank_findings(found).collect()}
+    by_file = scan_by_file(files)
+    assert {(r.file_id, r.vuln_class, r.line): r.position for r in by_file.findings(position=True).collect()} == ranked
+    old = {r.file_id: (r["count"], [(f.line, f.vuln_class, f.message) for f in r.findings]) for r in fnd.file_results(files, found).collect()}
+    new = {r.file_id: (r["count"], [(f.line, f.vuln_class, f.message) for f in r.findings]) for r in by_file.results().collect()}
+    assert old == new
+    assert sorted(r.path for r in fs.clean_files(by_file.files).collect()) == sorted(r.path for r in fnd.clean_files(files, found).collect())
+    assert sorted(map(tuple, fs.file_counts(by_file.files).collect())) == sorted(map(tuple, fnd.file_counts(files, found).collect()))
+    assert fs.scan_summary(by_file.files, 7, True, True, False).first() == fnd.scan_summary(files, found, 7, True, True, False).first()
+    assert scan_by_file(files.limit(0)).findings().count() == 0
+
+
+def test_scan_merges_model_scores(spark, files_of):
+    files = files_of(("a.py", "eval(x)"), ("b.py", "fine"))
+    scores = spark.createDataFrame([(0, "a.py", 5, 0.9, 1.0), (1, "b.py", 0, 0.8, 0.9), (1, "b.py", 1, 0.3, 1.0)],
+                                   "file_id long, path string, class_id int, prob double, confidence double")
+    found = scan(files, model_scores=scores).collect()
+    model = sorted((r.path, r.vuln_class, r.line) for r in found if r.source == "ml_model")
+    assert model == [("a.py", 5, 0), ("b.py", 0, 0)]
+    assert any(r.source != "ml_model" for r in found)
 
 
 def test_unmerged_scan_equals_the_modules_apart(files_of):

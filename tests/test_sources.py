@@ -6,8 +6,9 @@ import os
 from pyspark.sql import functions as F
 
 from vulnsieve.catalog.rules import RULES
-from vulnsieve.operators import findings as fnd, reports
-from vulnsieve.plans.scan import scan
+from vulnsieve.operators import file_scan as fs, findings as fnd, reports
+from vulnsieve.plans.deps import scan_dependencies
+from vulnsieve.plans.scan import scan, scan_by_file
 from vulnsieve.session import checkpoint_dir
 from vulnsieve.sources import files as src
 from vulnsieve.streaming.incremental import read_code_stream, scan_stream
@@ -77,16 +78,47 @@ def test_read_manifests(spark, tmp_path):
 
 def test_reports(spark, tmp_path, files_of):
     files = files_of(("a.py", "os.system(x)\nimport random"), ("b.txt", "clean"))
+    scanned = scan_by_file(files)
     found = scan(files)
-    summary = fnd.scan_summary(files, found, len(RULES), False, True, True)
-    reports.write_json_report(found, summary, str(tmp_path / "report"))
+    totals = reports.write_json_report(scanned, str(tmp_path / "report"), len(RULES))
+    assert totals["files_total"] == 2 and totals["total_findings"] == found.count()
     assert spark.read.json(str(tmp_path / "report" / "findings")).count() == found.count()
     document = json.loads(spark.read.text(str(tmp_path / "report" / "summary")).first().value)
-    assert document["scan_summary"]["files_total"] == 2 and document["report_metadata"]["format"] == "json"
+    assert document["scan_summary"] == fnd.scan_summary(files, found, len(RULES), False, True, True).first().asDict()
+    assert document["scan_summary"] == fs.scan_summary(scanned.files, len(RULES), False, True, True).first().asDict()
+    assert document["report_metadata"]["format"] == "json"
     rows = reports.findings_by_file(found).collect()
     assert rows[0].severity == "CRITICAL" and rows[0].confidence.endswith("%") and rows[0].fix
-    reports.write_dep_json(files, files, summary, str(tmp_path / "deps"))
-    assert sorted(p.name for p in (tmp_path / "deps").iterdir()) == ["dependencies", "summary", "vulnerabilities"]
+    empty = reports.write_json_report(scan_by_file(files.limit(0)), str(tmp_path / "none"), len(RULES))
+    assert empty["files_total"] == empty["total_findings"] == 0
+    assert json.loads(spark.read.text(str(tmp_path / "none" / "summary")).first().value)["scan_summary"]["exit_code"] == 0
+
+
+def test_report_reads_the_corpus_once(spark, tmp_path, files_of):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    files = files_of(*[(f"f{i}.py", "eval(x)\n" * i) for i in range(9)])
+    counted = files.mapInArrow(seen, files.schema)
+    reports.write_json_report(scan_by_file(counted), str(tmp_path / "once"), len(RULES))
+    assert reads.value == 9
+
+
+def test_dependency_report(spark, tmp_path):
+    manifests = spark.createDataFrame([("p", "requirements.txt", "requirements.txt", "a==1\nb"), ("q", "Gemfile", "Gemfile", "")],
+                                      "project string, path string, file_name string, content string")
+    osv = spark.createDataFrame([("1", "a", "PyPI", [], "s", "H", [(None, "2")])],
+                                "vuln_id string, package string, ecosystem string, cve_ids array<string>, summary string, severity string, "
+                                "affected_ranges array<struct<introduced:string,fixed:string>>")
+    reports.write_dep_json(scan_dependencies(manifests, osv), str(tmp_path / "deps"))
+    read = {n: spark.read.json(str(tmp_path / "deps" / n)).collect() for n in ("dependencies", "summary", "vulnerabilities")}
+    assert sorted((r.name, r.n_vulnerabilities) for r in read["dependencies"]) == [("a", 1), ("b", 0)]
+    assert [(r.project, r.vuln_id) for r in read["vulnerabilities"]] == [("p", "1")]
+    assert sorted((r.project, r.total_dependencies) for r in read["summary"]) == [("p", 2), ("q", 0)]
 
 
 def test_stream_equals_batch(spark, tmp_path, files_of):

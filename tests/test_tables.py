@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vulnsieve.operators import intel, learn, manifests as man, metrics, split
-from vulnsieve.operators.skew import salted_join
+from vulnsieve.operators.prefix import interval_join, running_sums
 from vulnsieve.plans.deps import scan_dependencies
 from vulnsieve.plans.train import train_and_evaluate
 from vulnsieve.sources import feeds
@@ -126,21 +126,70 @@ def test_osv_ranges(spark):
     assert {r.fix for r in report if r.vuln_id in "23"} == {None, "No fix available"}
 
 
-def test_crowded_keys_are_salted_and_whole(spark):
+def test_crowded_packages_are_whole(spark):
     random.seed(1)
     osv = osv_table(spark, *[(str(i), "hot" if i % 3 else f"p{i}", [(None, f"{i % 5}.0")]) for i in range(60)])
-    deps = dep_table(spark, *[(f"j{i}", "hot" if i % 3 else f"p{random.randrange(60)}", f"{i % 4}.1") for i in range(300)])
-    plain = sorted(map(str, intel.match_osv(deps, osv).collect()))
-    salted = sorted(map(str, intel.match_osv(deps, osv, vulns_per_salt=3, deps_per_salt=7).collect()))
-    assert plain == salted and len(plain) > 1000
-    counts = {}
-    for row in intel.match_osv(deps, osv).collect():
-        counts[row.project] = counts.get(row.project, 0) + 1
-    got = {r.project: r.n_vulnerabilities for r in intel.annotate_deps(deps, osv).collect()}
-    assert len(got) == 300 and {p: n for p, n in got.items() if n} == counts
-    left = spark.range(50).select((F.col("id") % 5).alias("k"), F.col("id").alias("a"))
-    right = spark.range(90).select(F.when(F.col("id") < 70, 0).otherwise(F.col("id") % 7).cast("long").alias("k"), F.col("id").alias("b"))
-    assert sorted(map(tuple, salted_join(left, right, ["k"], F.col("b"), 4).collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    versions = [(f"j{i}", "hot" if i % 3 else f"p{random.randrange(60)}", random.choice([f"{i % 4}.1", "3.1", None])) for i in range(300)]
+    got = sorted((r.project, r.vuln_id) for r in intel.match_osv(dep_table(spark, *versions), osv).collect())
+    package = {str(i): "hot" if i % 3 else f"p{i}" for i in range(60)}
+    plain = sorted((p, v) for p, n, version in versions for v in package
+                   if package[v] == n and (version is None or float(version) < int(v) % 5))
+    assert got == plain and len(plain) > 1000
+    counts = {r.project: r.n_vulnerabilities for r in intel.annotate_deps(dep_table(spark, *versions), osv).collect()}
+    assert counts == {p: sum(x == p for x, _ in plain) for p, *_ in versions}
+
+
+@pytest.fixture(params=[True, False])
+def slicing(spark, request):
+    """Range partitions merged by adaptive execution, and kept as they are dealt."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    if not request.param:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
+def test_running_sums(spark, slicing):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "a", f"k{rng.randrange(30)}"]), i, rng.choice([None, 1, 2, -3]), 1) for i in range(700)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "k string, at int, v long, one int")
+    got = {r["at"]: (r.s, r.n) for r in running_sums(df, ["k"], [F.col("at").desc()], {"s": "v", "n": "one"}).collect()}
+    plain, sums = {}, {}
+    for k, at, v, one in sorted(rows, key=lambda r: -r[1]):
+        s, n = sums.get(k, (0, 0))
+        sums[k] = plain[at] = (s + (v or 0), n + one)
+    assert got == plain
+    alone = running_sums(df, [], [F.col("at")], {"n": "one"}).collect()
+    assert {r["at"]: r.n for r in alone} == {i: i + 1 for i in range(700)}
+    assert running_sums(df.limit(0), ["k"], [F.col("at")], {"n": "one"}).count() == 0
+
+
+def test_interval_join(spark, slicing):
+    rng = random.Random(5)
+    points = [(rng.choice(["hot", "hot", "x", "y", None]), rng.choice([None, *range(12)]), i) for i in range(150)] + [("hot", 5, 900)] * 3
+    spans = [(rng.choice(["hot", "hot", "x", "z", None]), rng.choice([None, *range(12)]), rng.choice([None, *range(15)]), i) for i in range(120)]
+    left = spark.createDataFrame(points, "k string, at int, p long")
+    right = spark.createDataFrame(spans, "k string, low int, high int, s long")
+    joined = interval_join(left, right, ["k"], "at", "low", "high")
+    got = sorted((r.k, r["at"], r.low, r.high, r.p, r.s) for r in joined.collect())
+    plain = sorted((k, at, low, high, p, s) for k, at, p in points for key, low, high, s in spans
+                   if k == key and None not in (k, at, low, high) and low <= at < high)
+    assert got == plain and len(plain) > 1000
+    assert interval_join(left.limit(0), right, ["k"], "at", "low", "high").count() == 0
+    assert interval_join(left, right.limit(0), ["k"], "at", "low", "high").count() == 0
+
+
+def test_matching_pairs_only_what_matches(spark):
+    """One package, very many versions and records of one version each: the pairs are those of the result."""
+    n = 400
+    osv = osv_table(spark, *[(str(i), "hot", [(f"{i}.0", f"{i}.5")]) for i in range(n)])
+    deps = dep_table(spark, *[(f"j{i}", "hot", f"{i}.1") for i in range(n)])
+    plan = intel.match_osv(deps, osv)
+    assert plan.count() == n
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_kev_enrichment(spark):
@@ -166,7 +215,19 @@ def test_dependency_totals(spark):
     assert rows == {"p": (1, 2, 1), "q": (1, 0, 0)}
 
 
-def test_auc_with_ties_and_slices(spark):
+def test_auc_of_hot_and_distinct_scores(spark, slicing):
+    """A class with one score for all, one with all scores distinct."""
+    scores = spark.range(40_000).select(
+        F.col("id").alias("sample_id"), (F.col("id") % 2).cast("int").alias("class_id"),
+        F.when(F.col("id") % 2 == 0, 0.5).otherwise(F.col("id") / 40_000).alias("prob"),
+        F.when(F.col("id") % 2 == 0, F.col("id") % 3 == 0).otherwise(F.col("id") > 10_000).cast("int").alias("label"))
+    got = {r.class_id: r.auc for r in metrics.roc_auc(scores, 2).collect()}
+    assert got == {0: 0.5, 1: 1.0}
+    points = metrics.roc_points(scores).groupBy("class_id").agg(F.count("*").alias("n"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
+    assert {r.class_id: (r.n, r.tp, r.fp) for r in points.collect()} == {0: (1, 6667, 13333), 1: (20_000, 15_000, 5_000)}
+
+
+def test_auc_with_ties(spark, slicing):
     random.seed(3)
     rows = [(i, c, random.choice([0.0, 0.25, 0.25, 0.5, random.random()]), int(random.random() < (0 if c == 2 else 0.4)))
             for i in range(200) for c in range(3)]
@@ -179,9 +240,8 @@ def test_auc_with_ties_and_slices(spark):
             return 0.5
         return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
 
-    for slices in (1, 4, 64):
-        got = {r.class_id: r.auc for r in metrics.roc_auc(scores, slices, 4).collect()}
-        assert all(abs(got[c] - plain(c)) < 1e-9 for c in range(3)) and got[3] == 0.5 and got[2] == 0.5
+    got = {r.class_id: r.auc for r in metrics.roc_auc(scores, 4).collect()}
+    assert all(abs(got[c] - plain(c)) < 1e-9 for c in range(3)) and got[3] == 0.5 and got[2] == 0.5
 
 
 def test_metrics_without_positives(spark):

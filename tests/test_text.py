@@ -130,7 +130,7 @@ def test_encode_and_decode(spark, files_of):
             want, mask = plain_encode(text, max_length, special, padding)
             assert (rows[i].input_ids, rows[i].attention_mask) == (want, mask), text
             assert len(rows[i].token_type_ids) == len(want)
-    back = {r.file_id: r.text for r in tokens.decode_ids(tokens.encode(files, max_length=16), tokens.vocabulary(spark)).collect()}
+    back = {r.file_id: r.text for r in tokens.decode_ids(tokens.encode(files, max_length=16)).collect()}
     assert back[0] == "" and back[2] == " ".join(["x"] * 14)
 
 

@@ -211,21 +211,25 @@ def with_features(files: DataFrame, flow: bool, controls: bool, sources: bool) -
     return df.withColumn("has_source", F.expr(_has_source())) if sources else df
 
 
-def matches(files: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """Raw matches: ``file_id, path, ordinal, match_idx, line, matched_text``."""
+def featured(files: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """``with_features`` for what the gates of these checks look at."""
     ordinals = [c.ordinal for c in checks]
 
     def within(low: int, high: int) -> bool:
         return any(low <= o < high for o in ordinals)
 
-    rows = with_features(
+    return with_features(
         files,
         flow=within(CALL_BASE, BINARY_BASE) or within(IMPORT_BASE, IMPORT_BASE + 1000),
         controls=within(CONTROL_BASE, BINARY_BASE),
         sources=within(FLOW_BASE, CONTROL_BASE),
     )
+
+
+def matches(files: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """Raw matches: ``file_id, path, ordinal, match_idx, line, matched_text``."""
     probes = [M.Probe(c.ordinal, c.gate, c.pattern) for c in checks]
-    return M.match_scan(rows, probes, text="content", keep=["file_id", "path"])
+    return M.match_scan(featured(files, checks), probes, text="content", keep=["file_id", "path"])
 
 
 def _check_table(df: DataFrame, checks: Sequence[Check]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnsieve.functions.urls import version_key
-from vulnsieve.operators.skew import salted_join
+from vulnsieve.operators.prefix import interval_join, running_sums
+from vulnsieve.scratch import written
 
 
 def top_n(df: DataFrame, n: int, order: list[Column], per: list[str] | None = None) -> DataFrame:
@@ -230,56 +231,52 @@ def listed_keys(osv: DataFrame) -> Column:
     return F.transform("versions", version_key)
 
 
-def key_affected(key: Column, keys: Column, listed: Column) -> Column:
-    """Whether a version key lies in any interval or is listed.  No version: affected."""
-    inside = F.exists(keys, lambda r: (key >= r.low) & (key < r.high))
-    return key.isNull() | inside | F.array_contains(listed, key)
-
-
 NO_VERSION = "\0"  # stands for a missing version in join keys
-VULNS_PER_SALT, DEPS_PER_SALT = 1_000, 1_000_000
+PACKAGE, EXACT = ["ecosystem", "name"], ["ecosystem", "name", "_version"]
+VULNERABILITY = ["vuln_id", "summary", "severity", "cve_ids", "affected_ranges"]
 
 
 def _exact(deps: DataFrame) -> DataFrame:
     return deps.withColumn("_version", F.coalesce("version", F.lit(NO_VERSION)))
 
 
-PACKAGE, EXACT = ["ecosystem", "name"], ["ecosystem", "name", "_version"]
+def _affected_intervals(osv: DataFrame) -> Column:
+    """Disjoint intervals of version keys a record affects; a listed version is an interval of its own."""
+    point = F.transform(listed_keys(osv), lambda k: F.struct(k.alias("low"), F.concat(k, F.lit("\0")).alias("high")))
+    return _disjoint(F.concat(interval_keys(osv), point))
 
 
-def affected_versions(deps: DataFrame, osv: DataFrame, vulns_per_salt: int = VULNS_PER_SALT) -> DataFrame:
+def affected_versions(deps: DataFrame, osv: DataFrame) -> DataFrame:
     """One row per distinct (ecosystem, name, version) and vulnerability that affects it.
 
-    Popular packages occur in very many projects, so versions are made distinct first
-    (a partial aggregate).  Versions and bounds are turned into comparable keys before
-    they meet, so a pair costs two comparisons.  Packages with many records or many
-    versions are salted.
+    Popular packages occur in very many projects, so versions are made distinct first (a
+    partial aggregate).  Versions and bounds become comparable keys, which ``interval_join``
+    sweeps: only versions inside an interval are paired with its record.  The intervals of a
+    record are disjoint, so a pair is found once.  A dependency without a version is affected
+    by every record of its package.
     """
     versions = _exact(deps).select(*EXACT).distinct().withColumn(
         "_key", F.when(F.col("_version") != NO_VERSION, version_key(F.col("_version"))))
-    vulns = osv.filter(F.col("package").isNotNull()).select(
-        "ecosystem", F.col("package").alias("name"), "vuln_id", "summary", "severity", "cve_ids", "affected_ranges",
-        interval_keys(osv).alias("_keys"), listed_keys(osv).alias("_listed"))
-    pairs = salted_join(
-        versions, vulns, PACKAGE, F.col("vuln_id"), vulns_per_salt, side_spread_by=F.col("_version"))
-    return pairs.filter(
-        key_affected(F.col("_key"), F.col("_keys"), F.col("_listed"))).drop("_key", "_keys", "_listed")
-
-
-def match_osv(
-    deps: DataFrame, osv: DataFrame, vulns_per_salt: int = VULNS_PER_SALT, deps_per_salt: int = DEPS_PER_SALT,
-) -> DataFrame:
+    versions = written(versions, "versions")
+    records = written(osv.filter(F.col("package").isNotNull()).select(
+        "ecosystem", F.col("package").alias("name"), *VULNERABILITY, _affected_intervals(osv).alias("_keys"),
+        F.monotonically_increasing_id().alias("_record")), "records")
+    bounds = records.select(*PACKAGE, "_record", F.explode("_keys").alias("r")).select(
+        *PACKAGE, "_record", F.col("r.low").alias("_low"), F.col("r.high").alias("_high"))
+    swept = interval_join(versions, bounds, PACKAGE, "_key", "_low", "_high").select(*EXACT, "_record")
+    whole = versions.filter("_key IS NULL").join(records.select(*PACKAGE, "_record"), PACKAGE).select(*EXACT, "_record")
+    return swept.unionByName(whole).join(records.select("_record", *VULNERABILITY), "_record").drop("_record")
+
+
+def match_osv(deps: DataFrame, osv: DataFrame) -> DataFrame:
     """One row per dependency and vulnerability that affects its version.
 
-    Joins ``affected_versions`` back to the dependencies; versions with very many
-    dependents are salted.
+    ``affected_versions`` joined back to the dependencies: every pair met is a row of the
+    result, and adaptive execution cuts versions with very many dependents.
     """
     rows = _exact(deps.select("project", *PACKAGE, "version"))
-    sizes = rows.groupBy(*EXACT).agg(F.count("*").alias("_n"))
-    affected = affected_versions(deps, osv, vulns_per_salt)
-    return salted_join(affected, rows, EXACT, F.col("project"), deps_per_salt, sizes=sizes).select(
-        "project", "name", F.coalesce("version", F.lit("unknown")).alias("package_version"), "ecosystem",
-        "vuln_id", "summary", "severity", "cve_ids", "affected_ranges")
+    return affected_versions(deps, osv).join(rows, EXACT).select(
+        "project", "name", F.coalesce("version", F.lit("unknown")).alias("package_version"), "ecosystem", *VULNERABILITY)
 
 
 def _disjoint(keys: Column) -> Column:
@@ -299,35 +296,23 @@ def version_counts(deps: DataFrame, osv: DataFrame) -> DataFrame:
     """``ecosystem, name, _version, _count``: records that affect each distinct version, if any.
 
     No pair of version and record is built.  Every record gives +1 and -1 at the bounds of its
-    intervals, summed per bound; a running sum in key order gives the count at each version.  It
-    runs within the versions of one leading number, to which the total of all smaller ones is
-    carried, so packages with many versions are cut.  A dependency without a version is
-    affected by every record of its package.
+    intervals, summed per bound; a running sum in key order (``running_sums``) gives the count
+    at each version.  A dependency without a version is affected by every record of its package.
     """
-    point = F.transform(listed_keys(osv), lambda k: F.struct(k.alias("low"), F.concat(k, F.lit("\0")).alias("high")))
     vulns = osv.filter(F.col("package").isNotNull()).select(
-        "ecosystem", F.col("package").alias("name"), _disjoint(F.concat(interval_keys(osv), point)).alias("r"))
+        "ecosystem", F.col("package").alias("name"), _affected_intervals(osv).alias("r"))
     ends = F.flatten(F.transform("r", lambda r: F.array(
         F.struct(r.low.alias("_key"), F.lit(1).alias("delta")), F.struct(r.high.alias("_key"), F.lit(-1).alias("delta")))))
-    major = F.regexp_extract("_key", "^[0-9]*", 0)
     deltas = vulns.select(*PACKAGE, F.explode(ends).alias("e")).select(*PACKAGE, "e.*").filter(
-        F.col("_key") != ABOVE_ALL).groupBy(*PACKAGE, "_key").agg(F.sum("delta").alias("delta")).withColumn("_major", major)
+        F.col("_key") != ABOVE_ALL).groupBy(*PACKAGE, "_key").agg(F.sum("delta").alias("delta"))
     versions = _exact(deps).select(*EXACT).distinct()
     none = F.col("_version") == NO_VERSION
-    keyed = versions.filter(~none).withColumn("_key", version_key(F.col("_version"))).withColumn("_major", major)
-    totals = deltas.groupBy(*PACKAGE, "_major").agg(F.sum("delta").alias("_sum"), F.lit(0).alias("_need"))
-    needed = keyed.select(*PACKAGE, "_major").distinct().select("*", F.lit(0).cast("long").alias("_sum"), F.lit(1).alias("_need"))
-    smaller = Window.partitionBy(*PACKAGE).orderBy("_major", "_need").rowsBetween(Window.unboundedPreceding, -1)
-    below = totals.unionByName(needed).groupBy(*PACKAGE, "_major").agg(F.sum("_sum").alias("_sum"), F.max("_need").alias("_need"))
-    carried = below.withColumn("_carry", F.coalesce(F.sum("_sum").over(smaller), F.lit(0))).filter("_need = 1").select(
-        *PACKAGE, "_major", "_carry")
-    null = F.lit(None).cast("string")
-    line = deltas.select(*PACKAGE, "_major", "_key", "delta", null.alias("_version")).unionByName(
-        keyed.select(*PACKAGE, "_major", "_key", F.lit(0).cast("long").alias("delta"), "_version"))
-    order = Window.partitionBy(*PACKAGE, "_major").orderBy("_key", F.col("_version").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    counted = line.withColumn("_run", F.sum("delta").over(order)).filter(F.col("_version").isNotNull()).join(
-        carried, [*PACKAGE, "_major"]).select(*EXACT, (F.col("_run") + F.col("_carry")).alias("_count"))
+    line = deltas.select(*PACKAGE, "_key", "delta", F.lit(None).cast("string").alias("_version")).unionByName(
+        versions.filter(~none).select(*PACKAGE, version_key(F.col("_version")).alias("_key"),
+                                      F.lit(0).cast("long").alias("delta"), "_version"))
+    # the bounds at a version's key come before it
+    swept = running_sums(line, PACKAGE, [F.col("_key"), F.col("_version").asc_nulls_first()], {"_count": "delta"})
+    counted = swept.filter(F.col("_version").isNotNull()).select(*EXACT, "_count")
     every = osv.filter(F.col("package").isNotNull()).groupBy("ecosystem", F.col("package").alias("name")).agg(F.count("*").alias("_count"))
     return counted.unionByName(versions.filter(none).join(every, PACKAGE).select(*EXACT, "_count")).filter("_count > 0")
 
@@ -368,11 +353,21 @@ def first_vulns(vulns: DataFrame, n: int = 20) -> DataFrame:
     return top_n(vulns, n, [F.col("name"), F.col("vuln_id")], per=["project"])
 
 
-def combine_repo(repos: DataFrame, file_counts: DataFrame, dep_totals: DataFrame, advisories: DataFrame) -> DataFrame:
+def _listed(rows: DataFrame, key: str, order: list[str], columns: dict[str, str], name: str) -> DataFrame:
+    """One row per key with its rows as an ordered array of structs."""
+    row = F.struct(F.struct(*order).alias("_order"), F.struct(*[F.col(c).alias(n) for n, c in columns.items()]).alias("_row"))
+    return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["_row"]).alias(name))
+
+
+def combine_repo(
+    repos: DataFrame, file_counts: DataFrame, dep_totals: DataFrame, advisories: DataFrame, vulns: DataFrame | None = None, n: int = 20,
+) -> DataFrame:
     """Per repository: code findings, files, dependency totals and advisories.
 
-    ``file_counts``: ``repo, n``; ``dep_totals``: ``project, …``; every input is reduced
-    to one row per repository before the joins.
+    ``file_counts``: ``repo, n``; ``dep_totals``: ``project, …``; every input is reduced to one row per
+    repository before the joins.  With ``vulns`` (see ``match_osv``) two lists come along: the first ``n``
+    ``vulnerabilities`` by package and id, of which every task hands on ``n`` a repository at most, and
+    all advisories as ``advisory_list``, by id.
     """
     code = file_counts.groupBy("repo").agg(
         F.sum("n").alias("code_findings"), F.count("*").alias("files_scanned"))
@@ -381,11 +376,19 @@ def combine_repo(repos: DataFrame, file_counts: DataFrame, dep_totals: DataFrame
         F.col("project").alias("repo"), "total_dependencies",
         F.col("vulnerable_dependencies").alias("dep_vulnerabilities"))
     zero = F.lit(0).cast("long")
+    parts, lists = [code, totals, known], []
+    if vulns is not None:
+        first = first_vulns(vulns, n).select(F.col("project").alias("repo"), "name", "package_version", "vuln_id", "severity", "summary")
+        parts += [
+            _listed(first, "repo", ["name", "vuln_id"], {"package": "name", "version": "package_version", "vuln_id": "vuln_id",
+                                                         "severity": "severity", "summary": "summary"}, "vulnerabilities"),
+            _listed(advisories, "repo", ["ghsa_id"], {c: c for c in ("ghsa_id", "cve_id", "severity", "summary")}, "advisory_list")]
+        lists = [F.coalesce(c, F.array()).alias(c) for c in ("vulnerabilities", "advisory_list")]
     joined = repos.select(F.col("full_name").alias("repo"), "stars", "language")
-    for part in (code, totals, known):
+    for part in parts:
         joined = joined.join(part, "repo", "left")
     counts = ["code_findings", "dep_vulnerabilities", "advisories", "files_scanned", "total_dependencies"]
-    return joined.select("repo", "stars", "language", *[F.coalesce(c, zero).alias(c) for c in counts])
+    return joined.select("repo", "stars", "language", *[F.coalesce(c, zero).alias(c) for c in counts], *lists)
 
 
 def repo_summary(combined: DataFrame) -> DataFrame:

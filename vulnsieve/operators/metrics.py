@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnsieve.catalog.classes import NUM_CLASSES
+from vulnsieve.operators.prefix import running_sums
 
 
 def _class_ids(spark: SparkSession, num_classes: int) -> DataFrame:
@@ -69,49 +70,24 @@ def metrics_table(per_class: DataFrame, classes: DataFrame, auc: DataFrame | Non
     return table.withColumns({c: F.round(c, 4) for c in ("precision", "recall", "f1", "auc")})
 
 
-def roc_points(scores: DataFrame, slices: int = 64) -> DataFrame:
+def roc_points(scores: DataFrame) -> DataFrame:
     """Cumulative counts down the score order: ``class_id, prob, pos, neg, tp, fp``.
 
-    Equal scores are one point.  A class is not summed up in one task: its distinct
-    scores are cut into ``slices`` ranges of about equal size, each is summed on its
-    own and starts from the total of the ranges above it.  Where the cuts fall does
-    not change the result; they are fetched (classes x slices numbers) so that both
-    uses of them see the same cuts.
+    Equal scores are one point, counted before the shuffle, so a score that very many
+    samples share is no hot spot; ``running_sums`` cuts classes with many distinct scores.
     """
     points = scores.groupBy("class_id", "prob").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    fractions = [i / slices for i in range(1, slices)]
-    if fractions:
-        cuts = points.groupBy("class_id").agg(F.percentile_approx("prob", fractions, 1000).alias("cuts")).collect()
-    else:
-        cuts = []
-    spark = scores.sparkSession
-    table = spark.createDataFrame(
-        [(row.class_id, sorted(set(row.cuts))) for row in cuts], "class_id int, cuts array<double>")
-    sliced = points.join(F.broadcast(table), "class_id", "left").select(
-        "class_id", "prob", "pos", "neg",
-        F.coalesce(F.size(F.filter("cuts", lambda c: c > F.col("prob"))), F.lit(0)).alias("slice"))
-    above = Window.partitionBy("class_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sliced.groupBy("class_id", "slice").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
-        "class_id", "slice",
-        F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"),
-        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("class_id", "slice").orderBy(F.col("prob").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return sliced.withColumns({"_tp": F.sum("pos").over(inside), "_fp": F.sum("neg").over(inside)}).join(
-        F.broadcast(totals), ["class_id", "slice"]  # classes x slices rows
-    ).select(
-        "class_id", "prob", "pos", "neg",
-        (F.col("_tp") + F.col("p0")).alias("tp"), (F.col("_fp") + F.col("n0")).alias("fp"))
-
-
-def roc_auc(scores: DataFrame, slices: int = 64, num_classes: int = NUM_CLASSES) -> DataFrame:
+    return running_sums(points, ["class_id"], [F.col("prob").desc()], {"tp": "pos", "fp": "neg"})
+
+
+def roc_auc(scores: DataFrame, num_classes: int = NUM_CLASSES) -> DataFrame:
     """Area under the ROC curve per class by trapezoids; 0.5 where one label is missing.
 
     Equal scores form one segment, so the area does not depend on their order.
     """
     pos, neg, tp = F.col("pos").cast("double"), F.col("neg").cast("double"), F.col("tp").cast("double")
-    area = roc_points(scores, slices).groupBy("class_id").agg(
+    area = roc_points(scores).groupBy("class_id").agg(
         F.sum(neg * (2 * tp - pos)).alias("area2"), F.sum(pos).alias("p"), F.sum(neg).alias("n"))
     value = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area2") / (2 * F.col("p") * F.col("n"))).otherwise(0.5)
     return _class_ids(scores.sparkSession, num_classes).join(area, "class_id", "left").select(

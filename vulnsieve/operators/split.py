@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vulnsieve.operators.prefix import running_sums
+
 PARTS = ("train", "val", "test")
 
 
@@ -26,8 +28,8 @@ def split_dataset(
     The permutation orders rows by MD5 of their (unique) id.  Rows are counted per
     leading hex digits of the hash (16^digits buckets, however large the table); the
     running total places every bucket, and only the two buckets a cut point falls
-    into are ranked row by row.  All other rows get their part from the bucket table
-    without a shuffle.
+    into are ranked row by row, by ``running_sums``.  All other rows get their part from the
+    bucket table without a shuffle.
     """
     if abs(sum(ratios) - 1.0) > 1e-6:
         raise ValueError("ratios must sum to 1")
@@ -50,7 +52,6 @@ def split_dataset(
     placed = keyed.join(F.broadcast(buckets.withColumn("whole", whole)), "_b")
     columns = [F.col(c) for c in df.columns]
     easy = placed.filter("whole").select(*columns, part(F.col("first")).alias("part"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    cut = placed.filter("NOT whole").withColumn("_pos", F.col("first") + rank - 1).select(
-        *columns, part(F.col("_pos")).alias("part"))
+    cut = running_sums(placed.filter("NOT whole").withColumn("_one", F.lit(1)), ["_b"], [F.col("_h"), F.col(key)], {"_no": "_one"})
+    cut = cut.select(*columns, part(F.col("first") + F.col("_no") - 1).alias("part"))
     return easy.unionByName(cut)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +23,11 @@ def token_array(content: Column) -> Column:
         lambda t: ~first(t).isin(list(L.BLANKS)))
 
 
-def token_type(token: str = "token") -> Column:
-    """Type of a token column by its first characters (0 keyword … 9 unknown)."""
+def sql_token_type(token: str) -> str:
+    """SQL: the type of a token by its first characters (0 keyword … 9 unknown)."""
     first = f"substring({token}, 1, 1)"
     two = f"substring({token}, 1, 2)"
-    return F.expr(f"""CASE
+    return f"""CASE
         WHEN {sql_in(first, ['"', "'"])} AND length({token}) > 1 THEN {_TYPE['string']}
         WHEN {first} = '#' OR {two} IN ('//', '/*') THEN {_TYPE['comment']}
         WHEN {first} BETWEEN '0' AND '9' OR ({first} = '.' AND substring({token}, 2, 1) BETWEEN '0' AND '9')
@@ -34,7 +36,11 @@ def token_type(token: str = "token") -> Column:
         WHEN {sql_in(first, '(){}[];,.@')} THEN {_TYPE['delimiter']}
         WHEN {first} BETWEEN 'a' AND 'z' OR {first} BETWEEN 'A' AND 'Z' OR {first} IN ('_', '$') THEN
             CASE WHEN {sql_in(token, L.ALL_KEYWORDS)} THEN {_TYPE['keyword']} ELSE {_TYPE['identifier']} END
-        ELSE {_TYPE['unknown']} END""")
+        ELSE {_TYPE['unknown']} END"""
+
+
+def token_type(token: str = "token") -> Column:
+    return F.expr(sql_token_type(token))
 
 
 def _with_types(tokens: DataFrame) -> DataFrame:
@@ -78,6 +84,25 @@ def lookup_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
 
 
+BUCKETS = 1 << 13
+
+
+def _word_ids(words: Sequence[str]) -> Column:
+    """The vocabulary as a literal: words and their ids, in buckets by the checksum of the word.
+
+    Stated as JSON, which the optimizer folds to an array once; a literal array of many thousand
+    structs would be planned element by element.  Of equal words the last has the id.
+    """
+    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for word, i in {word: i for i, word in enumerate(words)}.items():
+        buckets[zlib.crc32(word.encode()) % BUCKETS].append({"w": word, "i": i})
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<w:string,i:int>>>")
+
+
+def _word_list(words: Sequence[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(list(words))), "array<string>")
+
+
 def encode(
     files: DataFrame,
     words: Sequence[str] | None = None,
@@ -87,38 +112,32 @@ def encode(
 ) -> DataFrame:
     """``file_id, input_ids, token_type_ids, attention_mask`` (arrays of int).
 
-    Words outside the vocabulary become one id per character.  Positions travel with
-    the ids, so the arrays do not depend on the order rows arrive in; a group is at
-    most ``max_length`` tokens of at most ``max_length`` characters.
+    Words outside the vocabulary become one id per character.  Everything happens inside the row: a
+    token's id is looked up in the literal vocabulary, so no token is exploded, joined or regrouped.
     """
     words = L.vocabulary_words() if words is None else list(words)
     ids = {word: i for i, word in enumerate(words)}
     pad, unk, cls, sep = (ids[t] for t in L.SPECIAL_TOKENS[:4])
     unknown_type = _TYPE["unknown"]
-    char_ids = F.array(*[F.lit(ids.get(chr(c), unk)) for c in range(32, 127)])
-
-    def char_id(c: Column) -> Column:
-        return F.when(F.ascii(c).between(32, 126), F.element_at(char_ids, F.ascii(c) - 31)).otherwise(F.lit(unk))
-
+    letters = F.array(*[F.lit(ids.get(chr(c), unk)) for c in range(32, 127)])
     kept = max_length - 2 if add_special_tokens else max_length
-    tokens = files.select(
-        "file_id", F.posexplode_outer(F.slice(token_array(F.col("content")), 1, kept)).alias("pos", "token"))
-    known = lookup_tokens(_with_types(tokens), vocabulary(files.sparkSession, words))
-    by_char = F.transform(F.split(F.substring("token", 1, max_length), "", -1), char_id)
-    pieces = known.select(
-        "file_id", "pos", "type",
-        F.when(F.col("token_id").isNotNull(), F.array("token_id")).otherwise(by_char).alias("ids"))
-    ordered = pieces.groupBy("file_id").agg(F.sort_array(F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct("pos", "ids", "type")))).alias("pieces"))
-
-    def framed(middle: Column, head: int, tail: int) -> Column:
-        parts = [F.array(F.lit(head)), middle, F.array(F.lit(tail))] if add_special_tokens else [middle]
-        return F.slice(F.concat(*parts), 1, max_length)
-
-    input_ids = framed(F.flatten(F.transform("pieces", lambda p: p.getField("ids"))), cls, sep)
-    type_ids = framed(F.flatten(F.transform(
-        "pieces", lambda p: F.array_repeat(p.getField("type"), F.size(p.getField("ids"))))), unknown_type, unknown_type)
-    out = ordered.select("file_id", input_ids.alias("input_ids"), type_ids.alias("token_type_ids"))
+    rows = files.select("file_id", F.slice(token_array(F.col("content")), 1, kept).alias("_tokens"),
+                        _word_ids(words).alias("_words"), letters.alias("_letters"))
+    # a token is known, or its characters are looked up one by one
+    known = f"get(filter(get(_words, cast(crc32(cast(token AS binary)) % {BUCKETS} AS int)), e -> e.w = token), 0).i"
+    by_char = (f"transform(split(substring(token, 1, {max_length}), '', -1), c -> "
+               f"CASE WHEN ascii(c) BETWEEN 32 AND 126 THEN get(_letters, ascii(c) - 32) ELSE {unk} END)")
+    piece = (f"transform(array({known}), id -> named_struct('ids', CASE WHEN id IS NULL THEN {by_char} ELSE array(id) END, "
+             f"'type', {sql_token_type('token')}))[0]")
+    pieces = rows.select("file_id", F.expr(f"transform(_tokens, token -> {piece})").alias("_pieces"))
+
+    def framed(middle: str, head: int, tail: int) -> Column:
+        whole = f"concat(array({head}), {middle}, array({tail}))" if add_special_tokens else middle
+        return F.expr(f"slice({whole}, 1, {max_length})")
+
+    out = pieces.select(
+        "file_id", framed("flatten(transform(_pieces, p -> p.ids))", cls, sep).alias("input_ids"),
+        framed("flatten(transform(_pieces, p -> array_repeat(p.type, size(p.ids))))", unknown_type, unknown_type).alias("token_type_ids"))
     mask = F.array_repeat(F.lit(1), F.size("input_ids"))
     if not padding:
         return out.withColumn("attention_mask", mask)
@@ -131,15 +150,13 @@ def encode(
     )
 
 
-def decode_ids(encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids") -> DataFrame:
-    """``file_id, text``: ids back to words, special tokens dropped, joined by blanks.
+def decode_ids(encoded: DataFrame, words: Sequence[str] | None = None, ids: str = "input_ids") -> DataFrame:
+    """``file_id, text``: ids back to words, special tokens dropped, joined by blanks, inside the row.
 
-    A group is one encoded sequence, at most the sequence length.
+    An id outside the vocabulary is the unknown token, which is a special one.
     """
-    unknown = L.SPECIAL_TOKENS[1]
-    words = encoded.select("file_id", F.posexplode_outer(ids).alias("pos", "token_id")).join(
-        F.broadcast(vocab), "token_id", "left"
-    ).withColumn("token", F.coalesce("token", F.lit(unknown)))
-    kept = F.when(F.col("pos").isNotNull() & ~F.col("token").isin(L.SPECIAL_TOKENS), F.struct("pos", "token"))
-    return words.groupBy("file_id").agg(F.sort_array(F.collect_list(kept)).alias("_w")).select(
-        "file_id", F.concat_ws(" ", F.transform("_w", lambda w: w.getField("token"))).alias("text"))
+    words = L.vocabulary_words() if words is None else list(words)
+    rows = encoded.select("file_id", F.col(ids).alias("_ids"), _word_list(words).alias("_words"))
+    found = F.expr("transform(_ids, i -> get(_words, i))")
+    return rows.select("file_id", F.concat_ws(" ", F.filter(
+        found, lambda w: w.isNotNull() & ~w.isin(L.SPECIAL_TOKENS))).alias("text"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vulnsieve.catalog.patterns import MANIFEST_FILES
-from vulnsieve.operators import findings as fnd, intel, manifests as man
+from vulnsieve.operators import file_scan as fs, intel, manifests as man
 from vulnsieve.plans.deps import scan_dependencies
 from vulnsieve.plans.repos import scan_repositories
-from vulnsieve.plans.scan import scan
+from vulnsieve.plans.scan import scan, scan_by_file
 from vulnsieve.sources import feeds
 from vulnsieve.sources.dimensions import vuln_classes
 
@@ -393,7 +393,10 @@ _PROJECT_MATCH = f"""dep_hits AS (SELECT d.project, d.name, d.ecosystem, count(v
   GROUP BY ALL),
 dep_totals AS (SELECT m.project, m.files_found, count(h.name) AS total_dependencies,
   count(*) FILTER (h.n > 0) AS vulnerable_dependencies FROM (SELECT project, count(*) AS files_found FROM manifests GROUP BY 1) m
-  LEFT JOIN dep_hits h USING (project) GROUP BY ALL)"""
+  LEFT JOIN dep_hits h USING (project) GROUP BY ALL),
+dep_vulns AS (SELECT d.project, d.name, coalesce(d.version, 'unknown') AS package_version, v.vuln_id, 'HIGH' AS severity
+  FROM distinct_deps d JOIN osv_m v ON d.ecosystem = v.ecosystem AND d.name = v.package
+    AND (d.version IS NULL OR {_parts('d.version')} < {_parts('v.fixed')}))"""
 _PROJECT_CTES = [*_MANIFEST_CTES, _ALL_DEPS, _DISTINCT, _OSV_FROM_MANIFESTS, _PROJECT_MATCH]
 
 
@@ -432,14 +435,30 @@ FROM repos LEFT JOIN repo_code ON repo_code.repo = full_name LEFT JOIN repo_deps
 LEFT JOIN repo_adv ON repo_adv.repo = full_name)"""]
 
 
-@query("combine_repo", S.with_ctes(*_REPO_CTES, select="SELECT * FROM combined"))
+_REPO_DETAIL = """repo_vulns AS (SELECT 'org/Supplier#' || lpad(substr(project, 2), 9, '0') AS repo,
+    string_agg(name || '@' || package_version || ' ' || vuln_id || ' ' || severity, ',' ORDER BY name, vuln_id) AS vulnerabilities
+  FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY name, vuln_id) AS r FROM dep_vulns) WHERE r <= 20 GROUP BY 1),
+repo_advs AS (SELECT repo, string_agg(ghsa_id || ' ' || cve_id || ' ' || severity || ' ' || summary, ',' ORDER BY ghsa_id) AS advisory_list
+  FROM advisories GROUP BY 1)"""
+
+
+def _supplier(number):
+    return F.concat(F.lit("org/Supplier#"), F.lpad(number, 9, "0"))
+
+
+@query("combine_repo", S.with_ctes(*_REPO_CTES, _REPO_DETAIL, select="""SELECT combined.*, coalesce(vulnerabilities, '') AS vulnerabilities,
+  coalesce(advisory_list, '') AS advisory_list FROM combined LEFT JOIN repo_vulns USING (repo) LEFT JOIN repo_advs USING (repo)"""))
 def combine_repo(spark, d):
-    files = B.code(spark, d)
-    per_file = fnd.file_counts(files, scan(files)).withColumn(
-        "repo", F.concat(F.lit("org/Supplier#"), F.lpad((F.col("file_id") % 100).cast("string"), 9, "0")))
-    totals = scan_dependencies(B.manifests(spark, d), manifest_osv(spark, d)).summary.withColumn(
-        "project", F.concat(F.lit("org/Supplier#"), F.lpad(F.substring("project", 2, 20), 9, "0")))
-    return intel.combine_repo(repos(spark, d), per_file, totals, advisories(spark, d))
+    """The repository report with its detail: totals, the first 20 vulnerabilities and the advisories."""
+    per_file = fs.file_counts(scan_by_file(B.code(spark, d)).files).withColumn("repo", _supplier((F.col("file_id") % 100).cast("string")))
+    named = B.manifests(spark, d).withColumn("project", _supplier(F.substring("project", 2, 20)))
+    done = scan_dependencies(named, manifest_osv(spark, d))
+    rows = intel.combine_repo(repos(spark, d), per_file, done.summary, advisories(spark, d), done.vulnerabilities)
+    return rows.withColumns({
+        "vulnerabilities": F.array_join(F.transform("vulnerabilities", lambda v: F.concat(
+            v.package, F.lit("@"), v.version, F.lit(" "), v.vuln_id, F.lit(" "), v.severity)), ","),
+        "advisory_list": F.array_join(F.transform("advisory_list", lambda a: F.concat_ws(
+            " ", a.ghsa_id, a.cve_id, a.severity, a.summary)), ",")})
 
 
 @query("repo_summary", S.with_ctes(*_REPO_CTES, select="SELECT repo, code_findings, dep_vulnerabilities, advisories, files_scanned FROM combined"))

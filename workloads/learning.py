@@ -102,7 +102,7 @@ def encode(spark, d):
   unnest(input_ids) AS token_id FROM encoded)""", select="""SELECT file_id, coalesce(string_agg(token, ' ' ORDER BY pos)
   FILTER (token_id > 5), '') AS text FROM ids JOIN vocab USING (token_id) GROUP BY 1"""))
 def decode_ids(spark, d):
-    return tokens.decode_ids(tokens.encode(B.code(spark, d), max_length=2048), tokens.vocabulary(spark))
+    return tokens.decode_ids(tokens.encode(B.code(spark, d), max_length=2048))
 
 
 @query("vocabulary", S.with_ctes(*_tokens_sql(B.TURNS_SQL), B.values("fixed", "token", [(w,) for w in _REAL]), f"""

@@ -11,8 +11,8 @@ from vulnsieve.catalog import patterns as P
 from vulnsieve.catalog.rules import RULES
 from vulnsieve.functions import text as X
 from vulnsieve.functions.urls import parse_repo_url
-from vulnsieve.operators import detect as D, findings as fnd, reports
-from vulnsieve.plans.scan import detect_all, scan
+from vulnsieve.operators import detect as D, file_scan as fs, findings as fnd, reports
+from vulnsieve.plans.scan import detect_all, scan, scan_by_file
 from vulnsieve.sources import files as src
 from vulnsieve.sources.dimensions import class_lookup, ecosystem_of, rule_catalog, rules_by_class, vuln_classes
 
@@ -280,7 +280,7 @@ def class_lookups(spark, d):
 @query("rank_findings", _sql(f"SELECT file_id, vuln_class, line, row_number() OVER (PARTITION BY file_id ORDER BY {_RANK}, "
                              "confidence DESC, seq) AS position FROM scanned"))
 def rank_findings(spark, d):
-    return fnd.rank_findings(scanned(spark, d)).select("file_id", "vuln_class", "line", "position")
+    return scan_by_file(B.code(spark, d), RULES).findings(position=True).select("file_id", "vuln_class", "line", "position")
 
 
 @query("order_findings", _sql(f"SELECT path, vuln_class, line, severity FROM scanned ORDER BY path, {_RANK}, confidence DESC, seq"))
@@ -319,21 +319,21 @@ def breakdown(spark, d):
 
 @query("file_counts", _sql("SELECT c.file_id, c.path, count(s.file_id) AS n FROM code c LEFT JOIN scanned s USING (file_id) GROUP BY 1, 2"))
 def file_counts(spark, d):
-    return fnd.file_counts(B.code(spark, d), scanned(spark, d))
+    return fs.file_counts(scan_by_file(B.code(spark, d), RULES).files)
 
 
 @query("file_results", _sql(f"""SELECT c.file_id, c.path, count(s.file_id)::INT AS count,
   coalesce(string_agg(s.line || ':' || s.vuln_class, ',' ORDER BY {_RANK}, s.confidence DESC, s.seq), '') AS findings
 FROM code c LEFT JOIN scanned s USING (file_id) GROUP BY 1, 2"""))
 def file_results(spark, d):
-    rows = fnd.file_results(B.code(spark, d), scanned(spark, d))
+    rows = scan_by_file(B.code(spark, d), RULES).results()
     return rows.withColumn("findings", F.concat_ws(",", F.transform(
         "findings", lambda f: F.concat_ws(":", f.line, f.vuln_class))))
 
 
 @query("clean_files", _sql("SELECT file_id, path FROM code WHERE file_id NOT IN (SELECT file_id FROM scanned)"))
 def clean_files(spark, d):
-    return fnd.clean_files(B.code(spark, d), scanned(spark, d))
+    return fs.clean_files(scan_by_file(B.code(spark, d), RULES).files)
 
 
 @query("scan_summary", _sql("""SELECT (SELECT count(*) FROM code) AS files_total, (SELECT count(*) FROM code) AS files_scanned,
@@ -344,7 +344,7 @@ def clean_files(spark, d):
   CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 2 WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code
 FROM scanned"""))
 def scan_summary(spark, d):
-    return fnd.scan_summary(B.code(spark, d), scanned(spark, d), len(RULES), ml=False, rules=True, flow=True)
+    return fs.scan_summary(scan_by_file(B.code(spark, d), RULES).files, len(RULES), ml=False, rules=True, flow=True)
 
 
 @query("findings_by_file", _sql("""SELECT path, line, vulnerability_name, upper(severity) AS severity,
@@ -386,3 +386,22 @@ def model_findings(spark, d):
         F.col("sample_id").alias("file_id"), F.concat(F.lit("vec/"), "sample_id").alias("path"), "class_id", "prob",
         F.lit(0.9).alias("confidence"))
     return rounded(fnd.model_findings(rows, vuln_classes(spark)).drop("rule_id", "matched_text", "seq"))
+
+
+_MODEL = f"""{B.SCORES_SQL}, model AS (
+  SELECT sample_id AS file_id, path, class_id AS vuln_class, 0 AS line, 'ML model detected potential ' || name AS message,
+    severity, prob * 0.9::DOUBLE AS confidence, 'ml_model' AS source, '' AS rule_id, '' AS matched_text,
+    class_id::BIGINT * {D.SEQ_STEP} AS seq
+  FROM scores JOIN classes ON class_id = vuln_class JOIN code ON file_id = sample_id WHERE prob >= 0.5)"""
+_BOTH = S.MERGED.replace("found", "from_both").replace("merged AS", "merged_all AS")
+
+
+@query("scan_with_model", S.with_ctes(*_FOUND, B.CLASSES_SQL, _MODEL, f"""from_both AS (
+  SELECT {', '.join(fnd.FINDING_COLUMNS)} FROM found UNION ALL SELECT {', '.join(fnd.FINDING_COLUMNS)} FROM model)""", _BOTH,
+    select=S.FINDING_SELECT + " FROM merged_all WHERE confidence >= 0.5"))
+def scan_with_model(spark, d):
+    """The scan of the corpus merged with model scores: the vectors' scores stand for those of the files they share a number with."""
+    files = B.code(spark, d)
+    scores = B.scores(spark, d).withColumnRenamed("sample_id", "file_id").join(files.select("file_id", "path"), "file_id").select(
+        "file_id", "path", "class_id", "prob", F.lit(0.9).alias("confidence"))
+    return rounded(scan(files, RULES, model_scores=scores).select(*fnd.FINDING_COLUMNS))
