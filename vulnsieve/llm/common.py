@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +32,35 @@ def one_of(row: str) -> Column:
     return F.min_by(row, F.sha2(F.to_json(row), 256))
 
 
+FILTER_BLOCKS, FILTER_WORDS = 1 << 17, 4  # blocks of four 64-bit words: 33 million bits
+
+
+def _probe(keys: list[Column]) -> tuple[Column, list[Column]]:
+    """Block of a key and a one-bit mask for each word of the block."""
+    bits = F.xxhash64(F.lit(1), *keys)
+    masks = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+             for i in range(FILTER_WORDS)]
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BLOCKS)), masks
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` (nulls are equal) are not among those of ``gone``, as an anti-join gives them.
+
+    A Bloom filter of ``gone`` of a fixed size, some 5 MB, is broadcast, so rows that surely stay are
+    not shuffled; the others meet ``gone`` in an exact join.  Where very many keys go, the filter
+    lets through fewer rows and the join has more to do; the result is the same.
+    """
+    block, masks = _probe([F.col(k) for k in keys])
+    words = [f"_word{i}" for i in range(FILTER_WORDS)]
+    bloom = gone.groupBy(block.alias("_block")).agg(*[F.bit_or(m).alias(w) for w, m in zip(words, masks)])
+    seen = rows.withColumn("_block", block).join(F.broadcast(bloom), "_block", "left")
+    possible = reduce(lambda a, b: a & b, [F.coalesce(F.col(w).bitwiseAND(m) == m, F.lit(False)) for w, m in zip(words, masks)])
+    other = gone.select(*[F.col(k).alias(f"_gone{i}") for i, k in enumerate(keys)]).distinct()
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_gone{i}")) for i, k in enumerate(keys)])
+    tested = seen.filter(possible).join(other, on, "left_anti")
+    return seen.filter(~possible).select(*rows.columns).unionByName(tested.select(*rows.columns))
+
+
 def fold(id_col: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     col = named(id_col) if isinstance(id_col, str) else id_col

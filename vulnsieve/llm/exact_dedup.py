@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnsieve.llm.common import named, one_of, row_of, whole_text, written
+from vulnsieve.llm.common import named, one_of, row_of, whole_text, without, written
 
 
 def _cut(counts: dict[bytes, int], counters: int) -> dict[bytes, int]:
@@ -91,8 +91,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id and text one stays, always the same.  Columns of any name and type are handed through.  An
     empty table gives an empty one.
 
-    Copies of frequent digests are removed where they are read, by the broadcast winners; only the
-    other rows are shuffled, against the ids and digests that go.
+    Copies of frequent digests are removed where they are read, by the broadcast winners.  Ids and
+    digests of the other rows are shuffled; of whole rows only those that may go (``without``).
     """
     rows, frequent = _split(docs, id_col, text_col, counters)
     rest = rows.join(F.broadcast(frequent), "digest", "left_anti")
@@ -102,16 +102,15 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.join(won, "digest", "left").filter("times IS NULL OR id <=> keep_id").drop("keep_id")
 
     def key(part: DataFrame) -> DataFrame:
-        return part.select(F.col("doc_id").alias("other_id"), F.col("digest").alias("other")).distinct()
-
-    on = F.col("id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other"))
-    tail = left.filter("times IS NULL").join(
-        key(marks.filter("NOT doc_id <=> keep_id OR repeats > 1")), on, "left_anti")
-    out = left.filter("times = 1").select("row").unionByName(tail.select("row"))
-    again = key(marks.filter("doc_id <=> keep_id AND repeats > 1"))
-    often = frequent.filter("repeats > 1")
-    if not often.isEmpty() or not again.isEmpty():
-        several = left.filter("times > 1").select("row", "id", "digest").unionByName(
-            left.filter("times IS NULL").join(again, on, "left_semi").select("row", "id", "digest"))
+        return part.select(F.col("doc_id").alias("id"), "digest")
+
+    tail = left.filter("times IS NULL").select("row", "id", "digest")
+    out = left.filter("times = 1").select("row").unionByName(
+        without(tail, key(marks.filter("NOT doc_id <=> keep_id OR repeats > 1")), ["id", "digest"]).select("row"))
+    again = key(marks.filter("doc_id <=> keep_id AND repeats > 1")).distinct()
+    if not frequent.filter("repeats > 1").isEmpty() or not again.isEmpty():
+        mine, other = tail.alias("mine"), again.alias("other")
+        on = F.col("mine.id").eqNullSafe(F.col("other.id")) & (F.col("mine.digest") == F.col("other.digest"))
+        several = left.filter("times > 1").select("row", "id", "digest").unionByName(mine.join(other, on, "left_semi"))
         out = out.unionByName(several.groupBy("id", "digest").agg(one_of("row").alias("row")).select("row"))
     return out.select("row.*")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnsieve.llm.common import named, one_of, row_of, whole_text, written
+from vulnsieve.llm.common import named, one_of, row_of, whole_text, without, written
 
 BITS, QUARTERS, SIDE = 64, 4, 32
 SEED = 42
@@ -223,14 +223,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     left = docs.select(row_of(docs).alias("row"), row_key(id_col, text_col).alias("key")).select("row", "key.id", "key.digest")
 
     def those(part: DataFrame) -> DataFrame:
-        return part.select(F.col("key.id").alias("other_id"), F.col("key.digest").alias("other")).distinct()
+        return part.select("key.id", "key.digest").distinct()
 
-    on = F.col("id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other"))
     stay = marks.filter(F.col("key") == F.col("component_id"))
     twice = written(stay.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
     gone = those(marks.filter(F.col("key") != F.col("component_id")).select("key").union(twice.select("key")))
-    out = left.join(gone, on, "left_anti").select("row")
+    out = without(left, gone, ["id", "digest"]).select("row")
     if not twice.isEmpty():
-        several = left.join(those(twice), on, "left_semi").groupBy("id", "digest").agg(one_of("row").alias("row"))
+        mine, other = left.alias("mine"), those(twice).alias("other")
+        on = F.col("mine.id").eqNullSafe(F.col("other.id")) & (F.col("mine.digest") == F.col("other.digest"))
+        several = mine.join(other, on, "left_semi").groupBy("id", "digest").agg(one_of("row").alias("row"))
         out = out.unionByName(several.select("row"))
     return out.select("row.*")
