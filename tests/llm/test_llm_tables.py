@@ -259,7 +259,7 @@ def test_suffix_lm(spark, docs_of, monkeypatch):
     texts = random_texts(7, 150, 40) + ["one fixed line of words that comes again", None, "", "Never Seen Wörter"] * 20
     docs = docs_of(*texts, (None, "x"), (3, texts[3]), extra=True)
     monkeypatch.setattr(suffix_lm, "FLUSH", 50)
-    model = suffix_lm.train(docs, fold("doc_id", 7) != 2)
+    model = suffix_lm.train(docs, fold("doc_id", 7) != 2, least_context=10)
     rows = suffix_lm.score(docs, model).collect()
     assert len(rows) == len(texts) + 2
     ids = [*range(len(texts)), None, 3]
@@ -277,9 +277,9 @@ def test_suffix_lm(spark, docs_of, monkeypatch):
         assert (r.n_tokens, r.n_known) == (len(tokens), sum(counts[w] > 0 for w in tokens))
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in tokens), rel_tol=1e-9)
     line = by_id[150]
-    assert line.score > 0.5 * line.base_score  # a repeated line is far likelier than its words
+    assert line.score > 0.7 * line.base_score  # a repeated line is far likelier than its words
     # few words looked up in the task: the same result through the join
-    small = suffix_lm.train(docs, fold("doc_id", 7) != 2, frequent=1)
+    small = suffix_lm.train(docs, fold("doc_id", 7) != 2, least_context=10, frequent=1)
     again = {r.doc_id: r for r in suffix_lm.score(docs, small).collect()}
     assert all(math.isclose(again[i].base_score, by_id[i].base_score, rel_tol=1e-9) for i in by_id)
     assert suffix_lm.score(docs.limit(0), model).count() == 0
@@ -287,54 +287,110 @@ def test_suffix_lm(spark, docs_of, monkeypatch):
     assert all(r.score == r.base_score == 0 and r.n_known == 0 for r in suffix_lm.score(docs, none).collect())
 
 
+def plain_tree(texts, least_context, least_count, divergence, types=0.5, depth=3):
+    """States and edges from plain counts: {context: share left}, {(context, word): probability}, and the walk."""
+    counts = [collections.Counter() for _ in range(depth + 1)]
+    for t in texts:
+        tokens = [*(t or "").encode().lower().split(), b""]
+        for i in range(len(tokens)):
+            for d in range(depth + 1):
+                if i >= d:
+                    counts[d][tuple(tokens[i - d:i + 1])] += 1
+    total, kinds = sum(counts[0].values()), len(counts[0])
+    root = lambda w: (counts[0][(w,)] + 1) / (total + kinds + 1)
+    states, edges = {}, {}
+
+    def probability(context, word):
+        for k in range(len(context), 0, -1):
+            own = context[-k:]
+            if own in states:
+                if (own, word) in edges:
+                    return edges[own, word]
+                return states[own] * probability(own[1:], word)
+        return root(word)
+
+    for d in range(1, depth + 1):
+        follow = collections.defaultdict(dict)
+        for string, n in counts[d].items():
+            if n >= least_count and counts[d - 1][string[:-1]] >= least_context:
+                follow[string[:-1]][string[-1]] = n
+        new_states, new_edges = {}, {}
+        for context, nexts in follow.items():
+            n, seen = counts[d - 1][context], sum(nexts.values())
+            lower = {x: probability(context[1:], x) for x in nexts}
+            rest, lower_rest = (n - seen) / n, max(1e-12, 1 - sum(lower.values()))
+            far = sum(k / n * math.log(k / n / lower[x]) for x, k in nexts.items())
+            far += rest * math.log(rest / lower_rest) if rest > 0 else 0
+            if far >= divergence:
+                left, whole = n - seen + types * len(nexts), n + types * len(nexts)
+                new_states[context] = left / whole
+                new_edges |= {(context, x): (k + left * lower[x]) / whole for x, k in nexts.items()}
+        states |= new_states
+        edges |= new_edges
+    return states, edges, probability
+
+
+@pytest.mark.parametrize("head", [1_000_000, 7, 1])
+def test_suffix_tree_against_plain(spark, docs_of, monkeypatch, head):
+    """All states and the score of every text, whether they are looked up on the spot or joined."""
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(pool, [1 / (i + 1) for i in range(12)], k=rng.randint(0, 40))) for _ in range(120)]
+    texts += ["alpha beta gamma delta epsilon"] * 30 + ["Alpha BETA gamma zeta eta"] * 25 + ["w1 w2 w1 w2 w1"] * 9 + ["new words only", None, "w1"]
+    docs = docs_of(*texts, (None, "w0 w1"), (3, texts[3]), (3, "beta gamma delta"), extra=True)
+    monkeypatch.setattr(suffix_lm, "PAIRS", 100)
+    trained = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    learned = [texts[i] for i in trained]
+    extra = [(i, t) for i, t in ((None, "w0 w1"), (3, texts[3]), (3, "beta gamma delta"))
+             if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+    learned += [t for _, t in extra]
+    model = suffix_lm.train(docs, fold("doc_id", 7) != 2, least_context=12, least_count=3, divergence=0.08, head=head)
+    states, edges, probability = plain_tree(learned, 12, 3, 0.08)
+    assert [sum(len(c) == d for c in states) for d in (1, 2, 3)] == [s.count() for s in model.states]
+    assert min(sum(len(c) == d for c in states) for d in (1, 2, 3)) > 2
+    assert sum(e.count() for e in model.edges) == len(edges)
+    got = collections.defaultdict(list)
+    for r in suffix_lm.score(docs, model).collect():
+        got[r.doc_id].append(r.score)
+    want = collections.defaultdict(list)
+    for i, t in [*enumerate(texts), (None, "w0 w1"), (3, texts[3]), (3, "beta gamma delta")]:
+        tokens = [*(t or "").encode().lower().split(), b""]
+        want[i].append(sum(math.log10(probability(tuple(tokens[max(0, j - 3):j]), w)) for j, w in enumerate(tokens)))
+    assert got.keys() == want.keys()
+    for i in want:
+        assert np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-9), i
+
+
 def test_suffix_tree_is_a_distribution():
-    """Probabilities of all symbols after any context add up to one, and match a walk by hand."""
-    rng = np.random.default_rng(1)
-    letters = 6
-    text = rng.integers(2, letters + 2, 3000)
-    text[::17] = 2
-    text[1::17] = 3
-    text[2::17] = 4
-    strings = [collections.Counter() for _ in range(3)]
-    for n in (2, 3, 4):
-        for i in range(len(text) - n + 1):
-            key = 0
-            for x in text[i:i + n]:
-                key = key << suffix_lm.BITS | int(x)
-            strings[n - 2][key] += 1
-    counts = [{k: v for k, v in s.items() if v >= 5} for s in strings]
-    single = np.bincount(text, minlength=letters + 2).astype(float)
-    tokens = len(text)
-    tree = suffix_lm.build_tree(counts, single, tokens, letters, 0.05).prepare()
-    root = (single + 1) / (tokens + letters + 1)
-    assert len(tree.states[0]) > 0
-    for context in ([2], [2, 3], [5, 2, 3], [7, 7, 7], [4, 5, 6]):
-        total = 0.0
-        for x in range(1, letters + 2):
-            gain = tree.gains(np.array([*context, x], np.uint32))[-1]
-            total += root[x] * 10**gain
-        unseen = (tokens + letters + 1 - (single[1:] + 1).sum()) / (tokens + letters + 1)
-        other = 10 ** tree.gains(np.array([*context, suffix_lm.OTHER], np.uint32))[-1]
-        assert abs(total + unseen * other - 1) < 1e-6
-
-
-def test_frequent_strings_are_counted_exactly(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(suffix_lm, "CHUNK", 300)
-    texts = random_texts(9, 200, 40)
-    docs = docs_of(*texts).repartition(5)
-    seen = {}
-    monkeypatch.setattr(suffix_lm, "build_tree", lambda counts, *a: seen.setdefault("counts", counts))
-    model = suffix_lm.train(docs, F.lit(True))
-    names = {i: w for w, i in model.letters.items()}
-    for d in range(suffix_lm.DEPTH):
-        plain = collections.Counter()
-        for t in texts:
-            tokens = [*t.encode().split(), suffix_lm.ENDS]
-            for i in range(len(tokens) - d - 1):
-                plain[tuple(tokens[i:i + d + 2])] += 1
-        frequent = {k: n for k, n in plain.items() if n >= 4 and all(w in model.letters for w in k)}
-        own = {tuple(names[key >> suffix_lm.BITS * j & 0xFFFF] for j in range(d + 1, -1, -1)): n for key, n in seen["counts"][d].items()}
-        assert own == frequent
+    learned = ["a b c a b d"] * 9 + ["a c", "b d d"] * 6
+    states, _, probability = plain_tree(learned, 5, 2, 0.01)
+    words = {w for t in learned for w in [*t.encode().split(), b""]}
+    unseen = 1 / (sum(len(t.split()) + 1 for t in learned) + len(words) + 1)
+    for context in [(), *states, (b"a", b"x"), (b"a", b"b", b"c")]:
+        left = probability(context, b"never seen")
+        assert math.isclose(sum(probability(context, w) for w in words) + left, 1, rel_tol=1e-9)
+        assert context or math.isclose(left, unseen)
+
+
+def test_states_grow_with_the_corpus(spark, docs_of):
+    rng = random.Random(6)
+    pool = [f"v{i}" for i in range(300)]
+    texts = [" ".join(f"{w} then{w}" for w in rng.choices(pool, [1 / (i + 1) for i in range(300)], k=40)) for _ in range(160)]
+    sizes = [sum(s.count() for s in suffix_lm.train(docs_of(*texts[:n]), F.lit(True)).states) for n in (40, 160)]
+    assert sizes[1] > 2.5 * sizes[0] > 0
+
+
+def test_keys_are_those_of_spark(spark):
+    words = [b"a", b"", "é".encode(), b"x" * 70, b"the"]
+    df = spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(words)], "w binary, i int").selectExpr("i", "xxhash64(w) AS k")
+    mine = np.array([suffix_lm.word_key(w) for w in words], np.uint64)
+    rows = {r.i: r.k for r in df.collect()}
+    assert [rows[i] for i in range(5)] == mine.view(np.int64).tolist()
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in zip(mine.view(np.int64), mine[::-1].view(np.int64))], "a long, b long")
+    assert [r.k for r in pairs.selectExpr("xxhash64(a, b) AS k").collect()] == suffix_lm.longer(mine, mine[::-1]).view(np.int64).tolist()
+    tokens, bounds = suffix_lm.token_keys([b"B a", b"", b"a  b\n"])
+    assert bounds.tolist() == [0, 3, 4, 7] and tokens[1] == tokens[4] and tokens[2] == tokens[3] == suffix_lm.END_KEY
+    assert [(at.tolist(), len(k)) for at, k in suffix_lm.contexts_of(tokens)] == [([1, 2, 5, 6], 4), ([2, 6], 2), ([], 0)]
 
 
 # ── packing ─────────────────────────────────────────────────────────────────

@@ -5,10 +5,12 @@ The symbols are lower-cased words and the end of a text.  A state is a context o
 of its longest suffix state, and is smoothed by it.  The root is the add-one distribution of
 single words.  A text is scored by the longest suffix state before every token.
 
-Word counts grow with the corpus and stay distributed.  Contexts are made of strings that hold
-a given share of all tokens, so their number is bounded whatever the corpus; they are found by
-two passes: what is frequent as a whole is frequent in some chunk of it, and what is frequent
-in some chunk is then counted exactly.
+Words, contexts, states and edges are tables that grow with the corpus.  Strings of words are
+known by 64-bit hashes, built word by word as Spark's ``xxhash64`` does.  They are counted level
+by level: a string counts only if the context before its last word is frequent, which a filter
+of a fixed size tells where the text is read, without a miss.  The divergence test is an
+aggregate per context.  When texts are scored, the most frequent states and edges (a fixed
+number) are looked up on the spot; what a filter finds possibly among the others is joined.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +26,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnsieve.llm.common import slices, whole_text, written
+from vulnsieve.llm.common import named, slices, whole_text, written
 
-DEPTH = 3  # words in the longest context; with the next word they fill a 64-bit key
-BITS = 16
-LETTERS = (1 << BITS) - 2  # words that may stand in a context, the most frequent ones
-OTHER, END = 0, 1  # symbols of all other words and of the end of a text
+DEPTH = 3  # words in the longest context
+SEED = 42  # of Spark's xxhash64
 ENDS = b""  # no word is empty: stands for the end
 FLUSH = 400_000
-CHUNK = 4_000_000  # tokens of a chunk
+PAIRS = 2_000_000  # occurrences counted in a task before they are handed on
+FILTER_BITS = 26
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (  # fixed values: the primes of XXH64
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -39,21 +43,86 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def keys_of(symbols: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For contexts of 1, 2, … words: positions of next words, and keys of context and next word.
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
 
-    A context holds frequent words only, all of the same text; the next word is frequent or the end.
+
+def _hashed(values: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """XXH64 of longs, as Spark's ``xxhash64`` takes them one after the other."""
+    h = seed + _P5 + np.uint64(8)
+    h = _rotated(h ^ (_rotated(values * _P2, 31) * _P1), 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a context one word longer: ``xxhash64(context, word)`` of Spark."""
+    return _hashed(word, _hashed(context, np.uint64(SEED)))
+
+
+def word_key(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+END_KEY = np.uint64(word_key(ENDS))
+
+
+def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all tokens of the texts, one after the other, ends included, and where each text begins."""
+    known: dict[bytes, int] = {ENDS: int(END_KEY)}
+    out, sizes = [], []
+    for text in texts:
+        own = words_of(text)
+        own.append(ENDS)
+        for w in own:
+            key = known.get(w)
+            if key is None:
+                key = known[w] = word_key(w)
+            out.append(key)
+        sizes.append(len(own))
+    return np.array(out, np.uint64), np.cumsum([0, *sizes])
+
+
+def contexts_of(tokens: np.ndarray):
+    """For contexts of 1, 2, … words: positions of the tokens after them, and their keys.
+
+    A context lies within a text; the token after it may be the end.
     """
-    wide = symbols.astype(np.uint64)
-    inside = symbols > END
-    key, good, out = wide, inside, []
+    inside = tokens != END_KEY
+    key, good = tokens, inside
     for n in range(1, DEPTH + 1):
-        key = (key[:-1] << np.uint64(BITS)) | wide[n:]
-        ready = good[:-1] & (symbols[n:] > OTHER)
-        at = np.flatnonzero(ready)
-        out.append((at + n, key[at]))
-        good = good[:-1] & inside[n:]
-    return out
+        at = np.flatnonzero(good[:len(tokens) - n])
+        yield at + n, key[at]
+        if n < DEPTH:
+            key = longer(key[:-1], tokens[n:])
+            good = good[:-1] & inside[n:]
+
+
+class Filter:
+    """Tells which keys are surely not among those it was made of; two bits of a fixed array a key."""
+
+    def __init__(self, rows: pa.Table | None = None):
+        self.words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        if rows is not None and rows.num_rows:
+            self.words[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        self.empty = not self.words.any()
+
+    @classmethod
+    def of(cls, keys: DataFrame, key: str = "key") -> Filter:
+        """Spark sets the bits; at most 2 ** 20 words of 64 bits reach the driver."""
+        probe = F.explode(F.array(F.shiftrightunsigned(key, 64 - FILTER_BITS), F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))))
+        place, bit = F.shiftright("p", 6).alias("place"), F.col("p").bitwiseAND(F.lit(63)).cast("int")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        return cls(keys.select(probe.alias("p")).groupBy(place).agg(F.bit_or(one).alias("bits")).toArrow())
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        if self.empty:
+            return ~out
+        for at in (keys >> np.uint64(64 - FILTER_BITS), keys & np.uint64((1 << FILTER_BITS) - 1)):
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
 
 
 class Lookup:
@@ -80,112 +149,55 @@ class Lookup:
 
 
 @dataclass
-class SuffixTree:
-    """States and their edges, by context length, as sorted keys.
+class TreeHead:
+    """The most frequent states and edges of all lengths, and filters of the others.
 
-    ``back[d]``: log10 of the share a state leaves to its suffix state; ``gain[d]``: log10 of an
-    edge's probability over the root's.
+    ``back``: log10 of the share a state leaves to its suffix state; ``gain``: log10 of an edge's
+    probability over the root's.
     """
 
-    states: list[np.ndarray]
-    back: list[np.ndarray]
-    edges: list[np.ndarray]
-    gain: list[np.ndarray]
+    states: np.ndarray
+    back: np.ndarray
+    edges: np.ndarray
+    gain: np.ndarray
+    other_states: Filter
+    other_edges: Filter
 
-    def prepare(self) -> SuffixTree:
-        self.find_state = [Lookup(k) for k in self.states]
-        self.find_edge = [Lookup(k) for k in self.edges]
+    def prepare(self) -> TreeHead:
+        self.find_state, self.find_edge = Lookup(self.states), Lookup(self.edges)
         return self
 
-    def gains(self, symbols: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability over the root's, by its longest suffix state."""
-        out = np.zeros(len(symbols))
-        done = np.zeros(len(symbols), bool)
-        inside = symbols > END
-        wide = symbols.astype(np.uint64)
-        context, good = wide, inside
-        levels = []
-        for n in range(1, DEPTH + 1):
-            # contexts of n words end before the token, whatever the token is
-            at = np.flatnonzero(good[:len(symbols) - n])
-            levels.append((at + n, context[at]))
-            if n < DEPTH:
-                context = (context[:-1] << np.uint64(BITS)) | wide[n:]
-                good = good[:-1] & inside[n:]
-        for d in range(DEPTH - 1, -1, -1):
-            at, keys = levels[d]
+    def gains(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """log10 of each token's probability over the root's, by its longest suffix state.
+
+        Also the positions this cannot tell, because a state or an edge may be among the others, with
+        gain 0, and for them the keys of the contexts by length (0: there is none).
+        """
+        out = np.zeros(len(tokens))
+        done, open_ = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
+        levels = list(contexts_of(tokens))
+        full = [longer(keys, tokens[at]) for at, keys in levels]
+        for (at, keys), edge in zip(levels, full):
+            open_[at] |= self.other_states.maybe(keys) | self.other_edges.maybe(edge)
+        for (at, keys), edges in zip(reversed(levels), reversed(full)):
             keep = ~done[at]
-            at, keys = at[keep], keys[keep]
-            hit, place = self.find_state[d].find(keys)
-            at, keys = at[hit], keys[hit]
-            full = (keys << np.uint64(BITS)) | wide[at]
-            known, edge = self.find_edge[d].find(full)
-            known_ok = symbols[at[known]] > OTHER
-            known, edge = known[known_ok], edge[known_ok]
+            at, keys, edges = at[keep], keys[keep], edges[keep]
+            hit, place = self.find_state.find(keys)
+            at, edges = at[hit], edges[hit]
+            known, edge = self.find_edge.find(edges)
             left = np.ones(len(at), bool)
             left[known] = False
-            out[at[known]] += self.gain[d][edge]
+            out[at[known]] += self.gain[edge]
             done[at[known]] = True
-            out[at[left]] += self.back[d][place[left]]
-        return out
-
-
-def build_tree(counts: list[dict[int, int]], single: np.ndarray, tokens: int, distinct: int, divergence: float,
-               types: float = 0.5) -> SuffixTree:
-    """The tree from counts of strings: ``counts[d]`` by key of d + 2 words, ``single`` by word.
-
-    A context with counted next words becomes a state if the Kullback-Leibler divergence of its
-    next words, those not counted taken together, from its suffix state's is ``divergence`` nats
-    or more.
-    """
-    mask = (1 << BITS) - 1
-    root = (single + 1.0) / (tokens + distinct + 1)
-    states: list[dict[int, tuple[float, float]]] = []
-    edges: list[dict[int, float]] = []
-
-    def probability(d: int, context: int, symbol: int) -> float:
-        """By the longest state among the suffixes of a context of ``d`` words."""
-        while d:
-            context &= (1 << (BITS * d)) - 1
-            if context in states[d - 1]:
-                found = edges[d - 1].get(context << BITS | symbol)
-                if found is not None:
-                    return found
-                return states[d - 1][context][0] * probability(d - 1, context, symbol)
-            d -= 1
-        return float(root[symbol])
-
-    for d, strings in enumerate(counts, 1):
-        states.append({})
-        edges.append({})
-        follow: dict[int, list[int]] = {}
-        for key in strings:
-            follow.setdefault(key >> BITS, []).append(key & mask)
-        for context, symbols in follow.items():
-            n = float(single[context]) if d == 1 else float(counts[d - 2].get(context, 0))
-            seen = sum(strings[context << BITS | x] for x in symbols)
-            n = max(n, float(seen))
-            lower = {x: probability(d - 1, context, x) for x in symbols}
-            rest, lower_rest = (n - seen) / n, max(1e-12, 1 - sum(lower.values()))
-            gain = rest * math.log(rest / lower_rest) if rest > 0 else 0.0
-            for x in symbols:
-                p = strings[context << BITS | x] / n
-                gain += p * math.log(p / lower[x])
-            if gain >= divergence:
-                left = n - seen + types * len(symbols)
-                total = n + types * len(symbols)
-                states[-1][context] = left / total, total
-                for x in symbols:
-                    edges[-1][context << BITS | x] = (strings[context << BITS | x] + left * lower[x]) / total
-    tree = SuffixTree([], [], [], [])
-    for own, out in zip(states, edges):
-        keys = np.array(sorted(own), np.uint64)
-        tree.states.append(keys)
-        tree.back.append(np.log10([own[int(k)][0] for k in keys]) if len(keys) else np.zeros(0))
-        keys = np.array(sorted(out), np.uint64)
-        tree.edges.append(keys)
-        tree.gain.append(np.array([math.log10(out[int(k)] / root[int(k) & mask]) for k in keys]))
-    return tree
+            out[at[left]] += self.back[place[left]]
+        where = np.flatnonzero(open_)
+        out[where] = 0
+        keys = []
+        for at, own in levels:
+            whole = np.zeros(len(tokens), np.uint64)
+            whole[at] = own
+            keys.append(whole[where])
+        return out, where, keys
 
 
 @dataclass
@@ -193,9 +205,10 @@ class WordModel:
     """Word counts, and what the score of a text needs besides."""
 
     words: DataFrame  # word binary, n: count in the training tokens
-    letters: dict[bytes, int]
     frequent: dict[bytes, int]  # counts of the most frequent words
-    tree: SuffixTree
+    states: list[DataFrame]  # per context length: key, back
+    edges: list[DataFrame]  # per context length: key (of context and next word), gain
+    head: TreeHead
     train_tokens: int
     train_texts: int
     distinct: int
@@ -206,26 +219,69 @@ class WordModel:
         return -math.log10(self.train_tokens + self.distinct + 1)
 
 
-def _symbols(texts: list[bytes], letters: dict[bytes, int]) -> tuple[np.ndarray, list[int]]:
-    tokens: list[bytes] = []
-    sizes = []
-    for text in texts:
-        own = words_of(text)
-        tokens += own
-        tokens.append(ENDS)
-        sizes.append(len(own) + 1)
-    get = letters.get
-    return np.fromiter((get(w, OTHER) for w in tokens), np.uint32, len(tokens)), sizes
-
+def with_gain(rows: DataFrame, states: list[DataFrame], edges: list[DataFrame]) -> DataFrame:
+    """``rows`` with ``gain`` by the longest state among the contexts ``s1``, ``s2``, … before the word ``x``.
 
-def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_share: float = 1e-6, least_count: int = 4,
-          most_strings: int = 1_000_000, divergence: float = 0.05, frequent: int = 65_536) -> WordModel:
+    The edges of the longest context come first; where it has none for the word, its share goes to
+    the next shorter one.  Null contexts have no state.
+    """
+    gain = F.lit(0.0)
+    for d, (state, edge) in enumerate(zip(states, edges), 1):
+        rows = rows.join(state.select(F.col("key").alias(f"_s{d}"), F.col("back").alias(f"_back{d}")),
+                         F.col(f"s{d}") == F.col(f"_s{d}"), "left")
+        rows = rows.withColumn(f"_full{d}", F.when(F.col(f"_s{d}").isNotNull(), F.xxhash64(f"s{d}", "x"))).join(
+            edge.select(F.col("key").alias(f"_e{d}"), F.col("gain").alias(f"_gain{d}")), F.col(f"_full{d}") == F.col(f"_e{d}"), "left")
+        gain = F.coalesce(F.col(f"_gain{d}"), F.coalesce(F.col(f"_back{d}"), F.lit(0.0)) + gain)
+    drop = [f"_{what}{d}" for d in range(1, len(states) + 1) for what in ("s", "back", "full", "e", "gain")]
+    return rows.withColumn("gain", gain).drop(*drop)
+
+
+def tree_level(counts: DataFrame, contexts: DataFrame, root: DataFrame, states: list[DataFrame], edges: list[DataFrame],
+               divergence: float, types: float) -> tuple[DataFrame, DataFrame]:
+    """States ``key, back, n`` and edges ``key, gain, n`` of one context length.
+
+    ``counts``: ``ctx, x, n``; ``contexts``: ``ctx, total, s1, …`` with the keys of the shorter
+    contexts; ``root``: ``x, log_root``.  A context becomes a state if the Kullback-Leibler
+    divergence of its next words, those not counted taken together, from its suffix state's is
+    ``divergence`` nats or more.
+    """
+    rows = with_gain(counts.join(contexts, "ctx").join(root, "x"), states, edges)
+    p, lower = F.col("n") / F.col("total"), F.pow(F.lit(10.0), F.col("log_root") + F.col("gain"))
+    rows = written(rows.select("ctx", "x", "n", "total", "log_root", lower.alias("lower"), (p * F.log(p / lower)).alias("term")), "level")
+    per = rows.groupBy("ctx").agg(F.first("total").alias("total"), F.sum("n").alias("seen"), F.count("*").alias("kinds"),
+                                  F.sum("lower").alias("lower"), F.sum("term").alias("term"))
+    rest, lower_rest = (F.col("total") - F.col("seen")) / F.col("total"), F.greatest(F.lit(1e-12), 1 - F.col("lower"))
+    far = F.col("term") + F.when(rest > 0, rest * F.log(rest / lower_rest)).otherwise(0.0)
+    left, whole = F.col("total") - F.col("seen") + types * F.col("kinds"), F.col("total") + types * F.col("kinds")
+    state = written(per.filter(far >= divergence).select("ctx", "total", left.alias("left"), whole.alias("whole")), "states")
+    share = (F.col("n") + F.col("left") * F.col("lower")) / F.col("whole")
+    edge = rows.drop("total").join(state, "ctx").select(
+        F.xxhash64("ctx", "x").alias("key"), (F.log10(share) - F.col("log_root")).alias("gain"), "n")
+    return (state.select(F.col("ctx").alias("key"), F.log10(F.col("left") / F.col("whole")).alias("back"), F.col("total").alias("n")),
+            written(edge, "edges"))
+
+
+def _head(rows: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Keys and values of the ``most`` rows of largest ``n``, by key, and the other rows."""
+    top = rows.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    keys, n = top.column("key").to_numpy(), top.column("n").to_numpy()
+    if len(keys) < most:
+        others = rows.filter("false")
+    else:
+        others = rows.filter((F.col("n") < int(n[-1])) | ((F.col("n") == int(n[-1])) & (F.col("key") > int(keys[-1]))))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], top.column(value).to_numpy()[order], others
+
+
+def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_context: int = 50, least_count: int = 5,
+          divergence: float = 0.05, types: float = 0.5, frequent: int = 65_536, head: int = 1_000_000) -> WordModel:
     """Learns from all rows where ``is_training`` holds; nothing is sampled.
 
-    Strings of two words and more count for the tree if they hold ``least_share`` of all tokens
-    and occur ``least_count`` times; of more than ``most_strings`` the most frequent are kept.
-    So at most that many strings, and the ``LETTERS`` and ``frequent`` first words, reach the
-    driver.  A null text counts as empty; without training rows every word is unknown.
+    Contexts that occur ``least_context`` times are tested, with the next words that follow them
+    ``least_count`` times; both numbers are the same for every corpus, so states and edges grow with
+    it.  The ``frequent`` first words and the ``head`` first states and edges reach the driver, and
+    filters of a fixed size; all else stays in tables.  A null text counts as empty, repeated rows
+    count as often as they stand; without training rows every word is unknown.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(is_training, F.lit(False)).alias("_train"), whole_text(text_col).cast("binary").alias("_text"))
@@ -251,105 +307,98 @@ def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_sh
     words = written(learned.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
     sums = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
     tokens, distinct = sums.tokens or 0, sums.types
-    top = words.orderBy(F.desc("n"), "word").limit(max(frequent, LETTERS + 1)).toArrow()
-    names, numbers = top.column("word").to_pylist(), top.column("n").to_pylist()
-    counted = dict(zip(names, numbers))
-    texts = counted.get(ENDS) or (words.filter(F.col("word") == F.lit(bytearray(ENDS))).agg(F.sum("n")).first()[0] or 0)
-    least = max(least_count, math.ceil(least_share * tokens))
-    letters = {w: i for i, w in enumerate([w for w in names if w != ENDS and counted[w] >= least][:LETTERS], END + 1)}
-    single = np.zeros(len(letters) + 2)
-    single[END] = texts
-    for w, i in letters.items():
-        single[i] = counted[w]
-    letters[ENDS] = END
-    shared = spark.sparkContext.broadcast(letters)
-
-    def chunks(batches):
-        parts, size = [], 0
-        for batch in batches:
-            for start, end in slices(batch, "_text"):
-                symbols, _ = _symbols(batch.column(0).slice(start, end - start).to_pylist(), shared.value)
-                parts.append(symbols)
-                size += len(symbols)
-                if size > 3 * CHUNK:
-                    yield np.concatenate(parts)
-                    parts, size = [], 0
-        if size:
-            yield np.concatenate(parts)
-
-    def candidates(batches):
-        for symbols in chunks(batches):
-            least_here = math.ceil(least * len(symbols) / tokens)
-            for d, (_, keys) in enumerate(keys_of(symbols)):
-                keys, n = np.unique(keys, return_counts=True)
-                often = n >= least_here
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(often.sum(), d), pa.int32()), pa.array(keys[often].view(np.int64)),
-                     pa.array(n[often], pa.int64())], ["d", "key", "n"])
-
-    # tasks of a chunk each: in smaller ones chance alone makes strings frequent
-    chunked = learned.coalesce(max(1, tokens // CHUNK))
-    found = chunked.mapInArrow(candidates, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "d", "key").limit(most_strings).toArrow()
-    level, key = top.column("d").to_numpy(), top.column("key").to_numpy().view(np.uint64)
-    wanted = spark.sparkContext.broadcast([np.sort(key[level == d]) for d in range(DEPTH)])
-
-    def exact(batches):
-        look = [Lookup(k) for k in wanted.value]
-        totals = [np.zeros(len(k), np.int64) for k in wanted.value]
-        for symbols in chunks(batches):
-            for d, (_, keys) in enumerate(keys_of(symbols)):
-                place = look[d].find(keys)[1]
-                totals[d] += np.bincount(place, minlength=len(totals[d]))
-        for d, total in enumerate(totals):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), d), pa.int32()), pa.array(at, pa.int64()), pa.array(total[at])], ["d", "at", "n"])
-
-    counts: list[dict[int, int]] = [{} for _ in range(DEPTH)]
-    if len(key):
-        often = chunked.mapInArrow(exact, "d int, at long, n long").groupBy("d", "at").agg(F.sum("n").alias("n")).filter(
-            F.col("n") >= least).toArrow()
-        level, at, n = (often.column(c).to_numpy() for c in ("d", "at", "n"))
-        for d in range(DEPTH):
-            own = level == d
-            counts[d] = dict(zip(wanted.value[d][at[own]].tolist(), n[own].tolist()))
-    tree = build_tree(counts, single, tokens, distinct, divergence)
-    return WordModel(words.filter(F.col("word") != F.lit(bytearray(ENDS))), letters,
-                     dict(zip(names[:frequent], numbers[:frequent])) | {ENDS: texts}, tree, tokens, texts, distinct)
+    top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    common = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
+    is_end = F.col("word") == F.lit(bytearray(ENDS))
+    texts = common.get(ENDS) or (words.filter(is_end).agg(F.sum("n")).first()[0] or 0)
+
+    def pairs(depth: int, contexts: Filter) -> DataFrame:
+        """``ctx, x, n``: how often a word follows a context of ``depth`` words the filter lets through."""
+        shared = spark.sparkContext.broadcast(contexts)
+
+        def run(batches):
+            held, size = [], 0
+
+            def table():
+                ctx, x = (np.concatenate(c) for c in zip(*held))
+                _, first, n = np.unique(longer(ctx, x), return_index=True, return_counts=True)
+                return pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(x[first].view(np.int64)),
+                                                   pa.array(n.astype(np.int64))], ["ctx", "x", "n"])
+
+            for batch in batches:
+                for start, end in slices(batch, "_text"):
+                    keys, _ = token_keys(batch.column(0).slice(start, end - start).to_pylist())
+                    at, ctx = list(contexts_of(keys))[depth - 1]
+                    may = shared.value.maybe(ctx)
+                    held.append((ctx[may], keys[at[may]]))
+                    size += int(may.sum())
+                    if size > PAIRS:
+                        yield table()
+                        held, size = [], 0
+            if size:
+                yield table()
+
+        found = learned.mapInArrow(run, "ctx long, x long, n long").groupBy("ctx", "x").agg(F.sum("n").alias("n"))
+        return written(found.filter(F.col("n") >= least_count), "pairs")
+
+    hashed = words.select(F.xxhash64("word").alias("x"), "n", is_end.alias("end"))
+    root = hashed.select("x", F.log10((F.col("n") + 1.0) / float(tokens + distinct + 1)).alias("log_root"))
+    contexts = hashed.filter(~F.col("end") & (F.col("n") >= least_context)).select(F.col("x").alias("ctx"), F.col("n").alias("total"))
+    states: list[DataFrame] = []
+    edges: list[DataFrame] = []
+    for depth in range(1, DEPTH + 1):
+        contexts = written(contexts, "contexts")
+        counts = pairs(depth, Filter.of(contexts, "ctx"))
+        state, edge = tree_level(counts, contexts, root, states, edges, divergence, types)
+        # contexts one word longer: what follows often enough, with the keys of their own suffixes
+        shorter = [F.col("x").alias("s1"), *[F.xxhash64(f"s{d}", "x").alias(f"s{d + 1}") for d in range(1, depth)]]
+        contexts = counts.filter((F.col("n") >= least_context) & (F.col("x") != int(END_KEY.astype(np.int64)))).join(
+            contexts.drop("total"), "ctx").select(F.xxhash64("ctx", "x").alias("ctx"), F.col("n").alias("total"), *shorter)
+        states.append(state)
+        edges.append(edge)
+    state_keys, back, other_states = _head(_all(states), "back", head)
+    edge_keys, gain, other_edges = _head(_all(edges), "gain", head)
+    tree = TreeHead(state_keys, back, edge_keys, gain, Filter.of(other_states), Filter.of(other_edges))
+    return WordModel(words.filter(~is_end), common | {ENDS: texts}, states, edges, tree, tokens, texts, distinct)
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
 
 
 def score(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, n_known, base_score, score`` for every row of ``docs``.
 
-    The most frequent words, most of any text, are looked up where the text is read, so no word
-    that many texts share is shuffled; the others are joined with the word table.  What the tree
-    adds to the base score needs no count of rare words and is summed in the same pass.
-    Repeated rows give repeated results; a null text counts as empty, an empty text has its end
-    as only token.
+    The most frequent words, states and edges are looked up where the text is read, so nothing that
+    many texts share is shuffled; other words are joined with the word table, and tokens whose state
+    or edge may be among the others with those tables.  What the tree adds to the base score needs no
+    count of rare words.  Repeated rows give repeated results; a null text counts as empty, an empty
+    text has its end as only token.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
     unknown = model.unknown
     logs = {w: (math.log10(n + 1.0) + unknown, int(n > 0)) for w, n in model.frequent.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((logs, model.letters, model.tree))
+    shared = docs.sparkSession.sparkContext.broadcast((logs, model.head))
+    contexts = [f"s{d}" for d in range(1, DEPTH + 1)]
 
     def split(batches):
-        known_words, letters, tree = shared.value
+        known_words, tree = shared.value
         tree.prepare()
         for batch in batches:
             for start, end in slices(batch, "_text"):
                 texts = batch.column(1).slice(start, end - start).to_pylist()
-                symbols, sizes = _symbols(texts, letters)
-                bounds = np.cumsum([0, *sizes])
-                gains = np.add.reduceat(tree.gains(symbols), bounds[:-1]).tolist()
-                row, word, times, own, keys = [], [], [], [], []
-                for i, (text, gain) in enumerate(zip(texts, gains)):
+                ids = batch.column(0).slice(start, end - start)
+                tokens, bounds = token_keys(texts)
+                gains, unsure, keys = tree.gains(tokens)
+                sums = np.add.reduceat(gains, bounds[:-1]).tolist()
+                row, word, times, own, text_keys = [], [], [], [], []
+                for i, (text, gain) in enumerate(zip(texts, sums)):
                     found = Counter(words_of(text))
                     found[ENDS] = 1
                     n = known = 0
                     base = 0.0
                     key = xxhash.xxh64_intdigest(text) - (1 << 63)
-                    keys.append(key)
+                    text_keys.append(key)
                     for w, k in found.items():
                         n += k
                         hit = known_words.get(w)
@@ -365,20 +414,35 @@ def score(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: s
                 def part(j, t):
                     return pa.array([None if s is None else s[j] for s in own], t)
 
+                def empty(t):
+                    return pa.nulls(len(row), t)
+
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start).take(at), pa.array(keys, pa.int64()).take(at),
+                    [ids.take(at), pa.array(text_keys, pa.int64()).take(at),
                      pa.array(word, pa.binary()), pa.array(times, pa.int32()), part(0, pa.int64()), part(1, pa.int64()),
-                     part(2, pa.float64()), part(3, pa.float64())],
-                    [id_col, "_key", "word", "k", "tokens", "known", "own_base", "gain"])
-
-    rows = docs.select(F.col(id_col), whole_text(text_col).cast("binary").alias("_text")).mapInArrow(
-        split, f"`{id_col}` {kind}, _key long, word binary, k int, tokens long, known long, own_base double, gain double")
+                     part(2, pa.float64()), part(3, pa.float64()), *[empty(pa.int64())] * (DEPTH + 1)], columns)
+                if len(unsure):
+                    at = pa.array(np.searchsorted(bounds, unsure, "right") - 1)
+                    none = [pa.nulls(len(unsure), t) for t in (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(at), pa.array(text_keys, pa.int64()).take(at), *none, pa.array(tokens[unsure].view(np.int64)),
+                         *[pa.array(k.view(np.int64), mask=k == 0) for k in keys]], columns)
+
+    columns = [id_col, "_key", "word", "k", "tokens", "known", "own_base", "gain", "x", *contexts]
+    rows = written(docs.select(named(id_col), whole_text(text_col).cast("binary").alias("_text")).mapInArrow(
+        split, f"`{id_col}` {kind}, _key long, word binary, k int, tokens long, known long, own_base double, gain double, "
+        + ", ".join(f"{c} long" for c in ("x", *contexts))), "scored")
     k, n, zero = F.col("k"), F.coalesce("n", F.lit(0)), F.lit(0)
-    grouped = rows.join(model.words, "word", "left").groupBy(id_col, "_key").agg(
-        F.count("tokens").alias("copies"), F.sum("tokens").alias("n_tokens"),
-        F.sum(F.coalesce("known", zero) + F.when(n > 0, k).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce(F.col("own_base"), k * (F.log10(n + 1.0) + F.lit(unknown)))).alias("base_score"),
-        F.sum("gain").alias("gain"))
+    by_word = rows.filter("x IS NULL").join(model.words, "word", "left").select(
+        id_col, "_key", "tokens", (F.coalesce("known", zero) + F.when(n > 0, k).otherwise(0)).alias("known"),
+        F.coalesce(F.col("own_base"), k * (F.log10(n + 1.0) + F.lit(unknown))).alias("base"), "gain")
+    joined = with_gain(rows.filter("x IS NOT NULL").select(id_col, "_key", "x", *contexts), model.states, model.edges)
+    null = F.lit(None)
+    by_word = by_word.unionByName(joined.select(
+        id_col, "_key", null.cast("long").alias("tokens"), null.cast("long").alias("known"), null.cast("double").alias("base"), "gain"))
+    grouped = by_word.groupBy(id_col, "_key").agg(
+        F.count("tokens").alias("copies"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
     copies = F.col("copies")
     return grouped.select(
         id_col, (F.col("n_tokens") / copies).cast("long").alias("n_tokens"), (F.col("n_known") / copies).cast("long").alias("n_known"),
