@@ -186,14 +186,16 @@ def test_top_k(spark, size, slices, k):
     rng = np.random.default_rng(size + k)
     vectors = rng.integers(-size, size + 1, (150, 8)).tolist()
     vectors[5:40] = [vectors[4]] * 35  # many equal rows: ties
-    rows = [(i, v, "x") for i, v in enumerate(vectors)] + [(900, None, "x"), (None, [1] * 8, "x"), (3, vectors[3], "x")]
+    rows = [(i, v, "x") for i, v in enumerate(vectors)] + [(900, None, "x"), (None, [1] * 8, "x")]
+    rows += [(3, vectors[3], "x"), (3, vectors[7], "x"), (10, vectors[60], "x"), (10, vectors[60], "x")]
     df = spark.createDataFrame(rows, "vec_id long, vector array<bigint>, score string")
     got = exact_topk.top_k(df, F.col("vec_id") % 10 == 0, k, slices=slices, query_rows=7, block_rows=40).collect()
-    plain = set()
-    for q in range(0, 150, 10):
-        scored = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in enumerate(vectors) if i != q))[:k]
-        plain |= {(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)}
-    assert {tuple(r) for r in got} == plain and len(got) == len(plain)
+    plain, known = [], [(i, v) for i, v, _ in rows if i is not None and v is not None]
+    for at, (q, own) in enumerate(known):
+        if q % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for j, (i, v) in enumerate(known) if j != at)[:k]
+            plain += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, got)) == sorted(plain)
 
 
 def test_top_k_edges(spark):
@@ -201,6 +203,9 @@ def test_top_k_edges(spark):
     assert exact_topk.top_k(spark.createDataFrame([], kinds), F.col("vec_id") == 0).count() == 0
     one = spark.createDataFrame([(0, [1, 2])], kinds)
     assert exact_topk.top_k(one, F.lit(True)).count() == 0
+    twice = spark.createDataFrame([(1, [5, 0]), (1, [9, 0]), (2, [1, 0])], kinds)
+    got = exact_topk.top_k(twice, F.col("vec_id") == 2).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 9), (2, 1, 5)]
     few = spark.createDataFrame([(0, [1, 2]), (1, [3]), (2, [])], kinds)
     assert {tuple(r) for r in exact_topk.top_k(few, F.col("vec_id") == 0).collect()} == {(0, 1, 1, 3), (0, 2, 2, 0)}
     odd = spark.createDataFrame([(1, [1.0, float("nan")]), (2, [None, 1.0]), (3, None), (4, [float("inf")]), (5, [1.0])],

@@ -21,10 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnsieve.llm.common import written
+from vulnsieve.llm.common import named, written
 
 TILE = 1 << 21  # scores worked on at once
-PAIR = "query_id long, vec_id long, score long"
+COLUMNS = ("query", "query_id", "vec_id", "row", "score")
+PAIR = ", ".join(f"{c} long" for c in COLUMNS)
 
 
 def usable(vector: Column) -> Column:
@@ -69,26 +70,28 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 def _group(queries: pa.Table, vectors: pa.Table, k: int, slices: int, cutoffs: bool) -> pa.Table:
     """Entries of one block of queries against one block of candidates."""
-    empty = pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
+    empty = pa.table({n: pa.array([], pa.int64()) for n in COLUMNS})
     if not queries.num_rows or not vectors.num_rows:
         return empty
-    width = max(pc.max(pc.list_value_length(t.column("vector"))).as_py() or 0 for t in (queries, vectors))
-    ids = vectors.column("vec_id").to_numpy()
-    order = np.argsort(ids, kind="stable")  # smaller positions are smaller ids
-    ids = ids[order]
-    c = _matrix(vectors.column("vector"), width)[order]
-    q, q_ids = _matrix(queries.column("vector"), width), queries.column("vec_id").to_numpy()
+    asked, held = queries.column("query_vector"), vectors.column("vector")
+    width = max(pc.max(pc.list_value_length(v)).as_py() or 0 for v in (asked, held))
+    ids, rows = (vectors.column(c).to_numpy() for c in ("vec_id", "row"))
+    order = np.lexsort((rows, ids))  # smaller positions are smaller ids
+    ids, rows = ids[order], rows[order]
+    c = _matrix(held, width)[order]
+    q = _matrix(asked, width)
+    q_ids, q_rows = (queries.column(c).to_numpy() for c in ("query_id", "query"))
     kind = _kind(q, c)
     q, c = q.astype(kind), c.astype(kind)
     cuts = np.linspace(0, width, slices + 1).astype(int)
     floor = queries.column("cutoff").to_numpy() if cutoffs else None
     least_id = queries.column("cutoff_id").to_numpy() if cutoffs else None
     lowest = -np.inf if kind is not object else -(1 << 200)
-    out: list[list[np.ndarray]] = [[], [], []]
+    out: list[list[np.ndarray]] = [[] for _ in COLUMNS]
     step = max(1, TILE // len(ids))
     for i in range(0, len(q), step):
         lists = [q[i:i + step, a:b] @ c[:, a:b].T for a, b in zip(cuts, cuts[1:])]
-        own = q_ids[i:i + step, None] == ids[None, :]
+        own = q_rows[i:i + step, None] == rows[None, :]
         total = sum(lists[1:], lists[0])
         if cutoffs:
             share = floor[i:i + step, None]
@@ -121,15 +124,15 @@ def _group(queries: pa.Table, vectors: pa.Table, k: int, slices: int, cutoffs: b
             value = total[row, place]
             if slices == 1:
                 value = (q[i + row] * c[place]).sum(axis=1)
-        for store, part in zip(out, (q_ids[i + row], ids[place], value)):
+        for store, part in zip(out, (q_rows[i + row], q_ids[i + row], ids[place], rows[place], value)):
             store.append(np.asarray(part, dtype=np.int64))
-    return pa.table({n: pa.array(np.concatenate(x)) for n, x in zip(("query_id", "vec_id", "score"), out)})
+    return pa.table({n: pa.array(np.concatenate(x)) for n, x in zip(COLUMNS, out)})
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import Window
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -138,35 +141,38 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products of every query.
 
     ``vector_col`` holds arrays of integers; ``is_query`` picks the queries among the rows, each
-    of which is held against every row with another id.  Ties go to the smaller id; fewer
-    candidates give fewer rows.  Null vectors and null ids take no part; of rows that repeat an
-    id the one with the least vector counts; shorter vectors count as filled with zeros.
+    of which is held against every other row.  Ties go to the smaller id; fewer candidates give
+    fewer rows.  Null vectors and null ids take no part.  Rows that repeat an id are rows of
+    their own: each is a candidate of the others and, where asked, a query with ranks of its
+    own.  Shorter vectors count as filled with zeros; an empty table gives no row.
 
-    Queries and candidates are cut into blocks by hash, a block of queries meets a block of
-    candidates in one task, and no block grows with the table.
+    Queries and candidates are cut into blocks by hash of a row number, a block of queries meets
+    a block of candidates in one task, and no block grows with the table.
     """
-    rows = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<bigint>").alias("vector"),
-                                  is_query.alias("asks")).filter("vec_id IS NOT NULL AND vector IS NOT NULL")
-                   .groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks")), "vectors")
+    rows = written(vectors.select(
+        named(id_col).cast("long").alias("vec_id"), named(vector_col).cast("array<bigint>").alias("vector"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row")).filter(
+        "vec_id IS NOT NULL AND vector IS NOT NULL"), "vectors")
     n, n_queries = rows.agg(F.count("*"), F.count_if("asks")).first()
     n_blocks, n_sets = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / query_rows))
-    numbered = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    asked = rows.filter("asks").select("vec_id", "vector", numbered(n_sets).alias("set"))
+    numbered = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+    asked = rows.filter("asks").select(
+        F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"), numbered(n_sets).alias("set"))
 
     def spread(df: DataFrame, name: str, parts: int) -> DataFrame:
         return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-    blocks = spread(rows.select("vec_id", "vector", numbered(n_blocks).alias("block")), "set", n_sets)
+    blocks = spread(rows.select("row", "vec_id", "vector", numbered(n_blocks).alias("block")), "set", n_sets)
 
     def entries(queries: DataFrame, cutoffs: bool) -> DataFrame:
         both = spread(queries, "block", n_blocks).groupBy("set", "block").cogroup(blocks.groupBy("set", "block"))
         return both.applyInArrow(lambda q, c: _group(q, c, k, slices, cutoffs), PAIR)
 
     best = _ranked(entries(asked, False), k)
-    cutoff = best.groupBy("query_id").agg(
+    cutoff = best.groupBy("query").agg(
         F.when(F.count("*") == k, F.min("score")).alias("cutoff"), F.max_by("vec_id", "rank").alias("cutoff_id"))
     lowest = F.lit(-(1 << 62))
-    bounded = written(asked.join(cutoff, asked["vec_id"] == cutoff["query_id"], "left").select(
-        "vec_id", "vector", "set", F.coalesce("cutoff", lowest).alias("cutoff"),
+    bounded = written(asked.join(cutoff, "query", "left").select(
+        "query", "query_id", "query_vector", "set", F.coalesce("cutoff", lowest).alias("cutoff"),
         F.when(F.col("cutoff").isNotNull(), F.col("cutoff_id")).otherwise(F.lit((1 << 63) - 1)).alias("cutoff_id")), "cutoffs")
     return _ranked(entries(bounded, True), k).select("query_id", "rank", "vec_id", "score")

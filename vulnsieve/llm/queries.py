@@ -56,13 +56,13 @@ def op2(spark, d):
 
 @query("op3_exact_topk", """
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS vector FROM embeddings
+      SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS vector FROM embeddings
       WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (
-      SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vector::DOUBLE[], c.vector::DOUBLE[])::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+      SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.vector::DOUBLE[], c.vector::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
     ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+      SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""")
 def op3(spark, d):
     rows = table(spark, d, "embeddings").filter(exact_topk.usable(F.col("embedding")))
