@@ -1,46 +1,45 @@
 """The 11 vulnerability classes: names, CWE and OWASP ids, severity, guidance.
 
-Fixed values.  ``owasp`` abbreviates the category by its number and is expanded
-from ``OWASP_2021``.
+Fixed values, each row with the whole text of its OWASP Top 10 (2021) category.
 """
 
 from __future__ import annotations
 
-# ── fixed values: OWASP Top 10 (2021) categories used by the classes ────────
-OWASP_2021 = {
-    "A01": "A01:2021 — Broken Access Control",
-    "A02": "A02:2021 — Cryptographic Failures",
-    "A03": "A03:2021 — Injection",
-    "A06": "A06:2021 — Vulnerable and Outdated Components",
-    "A07": "A07:2021 — Identification and Authentication Failures",
-    "A08": "A08:2021 — Software and Data Integrity Failures",
-    "A10": "A10:2021 — Server-Side Request Forgery",
-}
-
 # ── fixed values: class id, name, CWE id, CWE name, OWASP, severity ─────────
 _CLASS_ROWS = [
     (0, "SQL Injection", "CWE-89",
-     "Improper Neutralization of Special Elements used in an SQL Command", "A03", "critical"),
+     "Improper Neutralization of Special Elements used in an SQL Command",
+     "A03:2021 — Injection", "critical"),
     (1, "Cross-Site Scripting (XSS)", "CWE-79",
-     "Improper Neutralization of Input During Web Page Generation", "A03", "high"),
+     "Improper Neutralization of Input During Web Page Generation",
+     "A03:2021 — Injection", "high"),
     (2, "Command Injection", "CWE-78",
-     "Improper Neutralization of Special Elements used in an OS Command", "A03", "critical"),
+     "Improper Neutralization of Special Elements used in an OS Command",
+     "A03:2021 — Injection", "critical"),
     (3, "Path Traversal", "CWE-22",
-     "Improper Limitation of a Pathname to a Restricted Directory", "A01", "high"),
+     "Improper Limitation of a Pathname to a Restricted Directory",
+     "A01:2021 — Broken Access Control", "high"),
     (4, "Hardcoded Credentials", "CWE-798",
-     "Use of Hard-coded Credentials", "A07", "high"),
+     "Use of Hard-coded Credentials",
+     "A07:2021 — Identification and Authentication Failures", "high"),
     (5, "Insecure Deserialization", "CWE-502",
-     "Deserialization of Untrusted Data", "A08", "critical"),
+     "Deserialization of Untrusted Data",
+     "A08:2021 — Software and Data Integrity Failures", "critical"),
     (6, "Weak Cryptography", "CWE-327",
-     "Use of a Broken or Risky Cryptographic Algorithm", "A02", "medium"),
+     "Use of a Broken or Risky Cryptographic Algorithm",
+     "A02:2021 — Cryptographic Failures", "medium"),
     (7, "Buffer Overflow", "CWE-120",
-     "Buffer Copy without Checking Size of Input", "A06", "critical"),
+     "Buffer Copy without Checking Size of Input",
+     "A06:2021 — Vulnerable and Outdated Components", "critical"),
     (8, "Server-Side Request Forgery (SSRF)", "CWE-918",
-     "Server-Side Request Forgery", "A10", "high"),
+     "Server-Side Request Forgery",
+     "A10:2021 — Server-Side Request Forgery", "high"),
     (9, "Sensitive Data Exposure", "CWE-200",
-     "Exposure of Sensitive Information to an Unauthorized Actor", "A02", "high"),
+     "Exposure of Sensitive Information to an Unauthorized Actor",
+     "A02:2021 — Cryptographic Failures", "high"),
     (10, "Insecure Randomness", "CWE-330",
-     "Use of Insufficiently Random Values", "A02", "medium"),
+     "Use of Insufficiently Random Values",
+     "A02:2021 — Cryptographic Failures", "medium"),
 ]
 
 # ── fixed values: remediation steps per class, in order of advice ───────────
@@ -134,7 +133,7 @@ SEVERITY_ORDER = ("critical", "high", "medium", "low")
 NUM_CLASSES = len(_CLASS_ROWS)
 
 CLASS_ROWS = [
-    (cid, name, cwe, cwe_name, OWASP_2021[owasp], severity, *_PROSE[cid], _REMEDIATION[cid])
+    (cid, name, cwe, cwe_name, owasp, severity, *_PROSE[cid], _REMEDIATION[cid])
     for cid, name, cwe, cwe_name, owasp, severity in _CLASS_ROWS
 ]
 CLASS_NAMES = {row[0]: row[1] for row in CLASS_ROWS}
