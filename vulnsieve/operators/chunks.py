@@ -2,69 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnsieve.catalog import patterns as P
 from vulnsieve.functions import matching as M
 from vulnsieve.functions import text as X
+from vulnsieve.functions.matching import sql_rlike
 
-CHUNK_TYPE = "array<struct<code:string,start_line:int,end_line:int>>"
 
+#: White space that may stand before a definition, beyond what ``\\s`` covers.
+_BLANKS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-def line_spans(lines: list[str], size: int, overlap_lines: int) -> Iterator[tuple[int, int]]:
-    """Half-open line ranges of the chunks of one text.
 
-    A chunk is closed once it holds ``size`` characters: before the last line that
-    opens a definition among the lines looked back at, else before its last line.
-    The next chunk starts a few lines earlier.
-    """
-    opens = tuple(P.CHUNK_BOUNDARIES)
-    start, chars = 0, 0
-    for end, line in enumerate(lines, 1):
-        chars += len(line) + 1
-        if chars < size:
-            continue
-        last = end - 1
-        earliest = max(start, end - P.CHUNK_LOOKBACK - 1)
-        cut = next((i for i in range(last, earliest, -1) if lines[i].strip().startswith(opens)), last)
-        yield start, cut
-        start = max(start, cut - overlap_lines)
-        chars = sum(len(text) + 1 for text in lines[start:end])
-    if start < len(lines):
-        yield start, len(lines)
-
-
-def chunk_array(content: Column, max_chunk_size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> Column:
-    """Chunks of a text with their line ranges; chunks without any line are dropped.
-
-    The cut depends on the running chunk, a fold over lines that column expressions
-    cannot state in linear time, so the texts pass through an Arrow-batched function.
-    """
-    overlap_lines = overlap // P.CHUNK_CHARS_PER_LINE
-
-    def pieces(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
-        lines = text.split("\n")
-        spans = [(0, len(lines))] if len(text) <= max_chunk_size else line_spans(lines, max_chunk_size, overlap_lines)
-        return [
-            {"code": "\n".join(lines[a:b]), "start_line": a + 1, "end_line": b} for a, b in spans if b > a
-        ]
+def _spans(lines: str, size: int, overlap_lines: int) -> str:
+    """SQL: half-open line ranges of the chunks of a text, a fold over the lengths of its lines.
 
-    @F.pandas_udf(CHUNK_TYPE)
-    def split_texts(texts: pd.Series) -> pd.Series:
-        return texts.map(pieces)
-
-    return split_texts(content)
+    A chunk is closed once it holds ``size`` characters: before the last line that opens a
+    definition among the lines looked back at, else before its last line.  The next chunk
+    starts a few lines earlier.  The state is the start of the running chunk, its characters
+    and the ranges so far; only lengths and flags are carried, no text.
+    """
+    opens = "|".join(re.escape(word) for word in P.CHUNK_BOUNDARIES)
+    opening = sql_rlike("line", f"(?d)^{_BLANKS}*(?:{opens})")
+    ahead = f"greatest(acc.first, e.at - {P.CHUNK_LOOKBACK})"
+    # e.at numbers the line just added, from 0
+    cut = (f"CASE WHEN {ahead} < e.at THEN coalesce(array_max(filter(sequence({ahead} + 1, e.at), i -> get(_marks, i).opens)), e.at) "
+           "ELSE e.at END")
+    start = "named_struct('first', 0, 'chars', 0L, 'out', cast(array() as array<struct<a:int,b:int>>))"
+    grown = "named_struct('first', acc.first, 'chars', acc.chars + e.chars, 'out', acc.out)"
+    begin = f"greatest(acc.first, c - {overlap_lines})"
+    closed = (f"transform(array({cut}), c -> named_struct('first', {begin}, 'chars', "
+              f"aggregate(slice(_marks, {begin} + 1, e.at + 1 - {begin}), 0L, (n, m) -> n + m.chars), "
+              "'out', concat(acc.out, array(named_struct('a', acc.first, 'b', c)))))[0]")
+    fold = f"aggregate(_marks, {start}, (acc, e) -> CASE WHEN acc.chars + e.chars < {size} THEN {grown} ELSE {closed} END)"
+    marks = (f"transform({lines}, (line, i) -> named_struct('at', i, 'chars', cast(length(line) + 1 as bigint), 'opens', {opening}))")
+    # the marks are bound once: they stand in the fold more than once
+    return (f"transform(array({marks}), _marks -> transform(array({fold}), f -> CASE WHEN f.first < size(_marks) "
+            "THEN concat(f.out, array(named_struct('a', f.first, 'b', size(_marks)))) ELSE f.out END)[0])[0]")
+
+
+def chunk_array(content: str = "content", max_chunk_size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> Column:
+    """Chunks of a text column with their line ranges; chunks without any line are dropped."""
+    whole = "array(named_struct('a', 0, 'b', size(_lines)))"
+    spans = _spans("_lines", max_chunk_size, overlap // P.CHUNK_CHARS_PER_LINE)
+    return F.expr(f"""CASE WHEN {content} IS NOT NULL THEN transform(array(split({content}, '\n', -1)), _lines -> transform(
+        filter(CASE WHEN length({content}) <= {max_chunk_size} THEN {whole} ELSE {spans} END, s -> s.b > s.a),
+        s -> named_struct('code', array_join(slice(_lines, s.a + 1, s.b - s.a), '\n'), 'start_line', s.a + 1, 'end_line', s.b)))[0] END""")
 
 
 def chunk(files: DataFrame, max_chunk_size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> DataFrame:
     """``file_id, chunk_no, code, start_line, end_line``."""
-    chunks = files.select("file_id", chunk_array(F.col("content"), max_chunk_size, overlap).alias("_chunks"))
+    chunks = files.select("file_id", chunk_array("content", max_chunk_size, overlap).alias("_chunks"))
     return chunks.select("file_id", F.posexplode("_chunks").alias("chunk_no", "c")).select("file_id", "chunk_no", "c.*")
 
 
@@ -115,7 +106,7 @@ def preprocess(files: DataFrame, max_chunk_size: int = P.CHUNK_SIZE, overlap: in
         "language": X.detect_language(F.col("path"), "content"),
         "frameworks": X.detect_frameworks("content"),
     })
-    return X.with_counts(known.withColumn("chunks", chunk_array(F.col("content"), max_chunk_size, overlap)))
+    return X.with_counts(known.withColumn("chunks", chunk_array("content", max_chunk_size, overlap)))
 
 
 def preprocessed_functions(files: DataFrame) -> DataFrame:

@@ -125,9 +125,35 @@ def vocab_info(spark, d):
 
 # ── chunks, functions, preprocessing ────────────────────────────────────────
 
-@query("chunk")
+def _chunk_ctes(corpus: str) -> str:
+    """The fold over lines as a recursion: one step a line, with running lengths and the last opening line so far."""
+    opens = " OR ".join(f"starts_with(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)), {lit(w)})" for w in P.CHUNK_BOUNDARIES)
+    size, back, over = P.CHUNK_SIZE, P.CHUNK_LOOKBACK, P.CHUNK_OVERLAP // P.CHUNK_CHARS_PER_LINE
+    return f"""cut AS (SELECT file_id, length(content) AS chars, string_split(content, chr(10)) AS ls FROM {corpus}),
+line AS (SELECT file_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM cut WHERE chars > {size}),
+marked AS (SELECT file_id, i, sum(length(line) + 1) OVER w AS upto, coalesce(max(CASE WHEN {opens} THEN i END) OVER w, -1) AS opened
+  FROM line WINDOW w AS (PARTITION BY file_id ORDER BY i)),
+lists AS (SELECT file_id, count(*) AS n, list_concat([0], list(upto ORDER BY i)) AS us, list(opened ORDER BY i) AS os FROM marked GROUP BY 1),
+fold AS (
+  SELECT file_id, 0::BIGINT AS e, 0::BIGINT AS first, -1::BIGINT AS a, -1::BIGINT AS b FROM lists
+  UNION ALL SELECT file_id, e + 1, CASE WHEN closed THEN greatest(first, cut - {over}) ELSE first END,
+    CASE WHEN closed THEN first ELSE -1 END, CASE WHEN closed THEN cut ELSE -1 END
+  FROM (SELECT f.*, us[e + 2] - us[first + 1] >= {size} AS closed,
+      CASE WHEN os[e + 1] > greatest(first, e - {back}) THEN os[e + 1] ELSE e END AS cut
+    FROM fold f JOIN lists USING (file_id) WHERE e < n)),
+spans AS (
+  SELECT file_id, a, b FROM fold WHERE b > a
+  UNION ALL SELECT f.file_id, first, e FROM fold f JOIN lists l ON l.file_id = f.file_id AND f.e = l.n WHERE first < e
+  UNION ALL SELECT file_id, 0, len(ls) FROM cut WHERE chars <= {size})"""
+
+
+_CODE_RECURSIVE = "RECURSIVE " + B.CODE_SQL
+
+
+@query("chunk", S.with_ctes(_CODE_RECURSIVE, _chunk_ctes("code"), select="""SELECT s.file_id,
+  (row_number() OVER (PARTITION BY s.file_id ORDER BY a, b) - 1)::INT AS chunk_no, array_to_string(ls[a + 1:b], chr(10)) AS code,
+  (a + 1)::INT AS start_line, b::INT AS end_line FROM spans s JOIN cut USING (file_id)"""))
 def chunk(spark, d):
-    """A fold over lines; the tests compare it with a plain statement of the rule."""
     return chunks.chunk(B.code(spark, d))
 
 
@@ -169,7 +195,10 @@ def preprocess(spark, d):
     return chunks.preprocess(B.code(spark, d)).drop("chunks", "path").withColumn("frameworks", F.concat_ws(",", "frameworks"))
 
 
-@query("preprocess_chunks")
+@query("preprocess_chunks", S.with_ctes(
+    _CODE_RECURSIVE, f"n AS (SELECT file_id, path, {S.normalize('content')} AS content FROM code)", _chunk_ctes("n"),
+    select=f"""SELECT file_id, coalesce({S.PATH_LANGUAGE_SQL}, {S.content_language('content')}) AS language, c.n_chunks
+FROM n JOIN (SELECT file_id, count(*)::INT AS n_chunks FROM spans GROUP BY 1) c USING (file_id)"""))
 def preprocess_chunks(spark, d):
     return chunks.preprocess(B.code(spark, d)).select("file_id", "language", F.size("chunks").alias("n_chunks"))
 
