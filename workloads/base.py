@@ -323,16 +323,17 @@ ADVISORIES_SQL = """advisories AS (
   FROM (SELECT *, unnest(range(1, s_nationkey % 3 + 1)) AS i FROM supplier))"""
 
 # ── manifests ───────────────────────────────────────────────────────────────
-# @ID@ becomes the document id, @TEXT@ the document text; ten kinds in turn.
+# @ID@ becomes the document id, @TEXT@ the document text, @EQ@ the text with = for blanks, @QUOTED@ its lines in quotes,
+# @WORDS@ its words as members of a JSON object; ten kinds in turn.
 MANIFEST_TEMPLATES = [
     (0, "requirements.txt", "requirements.txt", "# pinned\nflask==2.@ID@.1\nrequests >= 2.0\n-r more.txt\n\nnumpy\nFlask~=1.0\n@TEXT@\n"),
-    (1, "Pipfile", "Pipfile", "[source]\nurl = \"x\"\n\n[packages]\nflask = \"==2.@ID@\"\n\"django\" = \"*\"\nplain\n[dev-packages]\npytest = \"*\"\n"),
-    (2, "pyproject.toml", "pyproject.toml", "[project]\nname = \"p@ID@\"\ndependencies = [\n  \"flask>=2.@ID@\",\n  \"click\",\n]\n[tool.x]\n\"none==1\"\n[project.optional-dependencies]\ndev = [\"black\"]\n  \"ruff==0.1\"\n"),
-    (3, "package.json", "package.json", "{\"name\": \"p\", \"dependencies\": {\"left-pad\": \"^1.3.@ID@\", \"any\": \"*\"}, \"devDependencies\": {\"jest\": \">=1.0 <2.0\", \"left-pad\": \"1.0.0\"}}"),
-    (4, "go.mod", "go.mod", "module m@ID@\n\ngo 1.21\n\nrequire github.com/a/b v1.@ID@.0\n\nrequire (\n\tgithub.com/c/d v0.1.2\n\tgithub.com/e/f v2.0.0 // indirect\n)\n\nreplace x => y\n"),
-    (5, "Cargo.toml", "Cargo.toml", "[package]\nversion = \"0.1.@ID@\"\n\n[dependencies]\nserde = \"1.0.@ID@\"\ntokio = { version = \"1.2\", features = [\"full\"] }\n\n[dependencies.extra]\npath = \"../x\"\n[dev-dependencies]\ncriterion = \"0.5\"\n[profile]\nopt = 3\n"),
+    (1, "Pipfile", "Pipfile", "[source]\nurl = \"x\"\n\n[packages]\nflask = \"==2.@ID@\"\n\"django\" = \"*\"\nplain\n@EQ@\n[dev-packages]\npytest = \"*\"\n"),
+    (2, "pyproject.toml", "pyproject.toml", "[project]\nname = \"p@ID@\"\ndependencies = [\n  \"flask>=2.@ID@\",\n  \"click\",\n@QUOTED@\n]\n[tool.x]\n\"none==1\"\n[project.optional-dependencies]\ndev = [\"black\"]\n  \"ruff==0.1\"\n"),
+    (3, "package.json", "package.json", "{\"name\": \"p\", \"dependencies\": {\"left-pad\": \"^1.3.@ID@\", \"any\": \"*\", @WORDS@}, \"devDependencies\": {\"jest\": \">=1.0 <2.0\", \"left-pad\": \"1.0.0\"}}"),
+    (4, "go.mod", "go.mod", "module m@ID@\n\ngo 1.21\n\nrequire github.com/a/b v1.@ID@.0\n\nrequire (\n\tgithub.com/c/d v0.1.2\n@TEXT@\n\tgithub.com/e/f v2.0.0 // indirect\n)\n\nreplace x => y\n"),
+    (5, "Cargo.toml", "Cargo.toml", "[package]\nversion = \"0.1.@ID@\"\n\n[dependencies]\nserde = \"1.0.@ID@\"\ntokio = { version = \"1.2\", features = [\"full\"] }\n@EQ@\n\n[dependencies.extra]\npath = \"../x\"\n[dev-dependencies]\ncriterion = \"0.5\"\n[profile]\nopt = 3\n"),
     (6, "Gemfile", "Gemfile", "source 'https://rubygems.org'\ngem 'rails', '~> 7.@ID@'\ngem \"puma\"\n  gem 'pg' , \">= 1.0\"\n# gem 'no'\n@TEXT@\n"),
-    (7, "composer.json", "composer.json", "{\"require\": {\"php\": \">=8\", \"ext-json\": \"*\", \"a/b\": \"^2.@ID@\"}, \"require-dev\": {\"phpunit/phpunit\": \"~9.5\"}}"),
+    (7, "composer.json", "composer.json", "{\"require\": {\"php\": \">=8\", \"ext-json\": \"*\", \"a/b\": \"^2.@ID@\", @WORDS@}, \"require-dev\": {\"phpunit/phpunit\": \"~9.5\"}}"),
     (8, "package.json", "web/package.json", "{\"dependencies\": {\"broken@ID@\": "),
     (9, "requirements.txt", "web/requirements.txt", "Flask==0.@ID@\nflask==9.9\n@TEXT@"),
 ]
@@ -342,7 +343,14 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     kinds = spark.createDataFrame(MANIFEST_TEMPLATES, "kind int, file_name string, path string, template string")
     docs = table(spark, d, "documents").select("doc_id", "text")
     n = len(MANIFEST_TEMPLATES)
-    filled = F.replace(F.replace("template", F.lit("@ID@"), F.col("doc_id").cast("string")), F.lit("@TEXT@"), F.col("text"))
+    words = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))),
+                        lambda w: F.concat(F.lit('"'), w, F.lit('": "^'), F.length(w), F.lit('.0"')))
+    filled = F.col("template")
+    for mark, value in (
+            ("@ID@", F.col("doc_id").cast("string")), ("@EQ@", F.replace("text", F.lit(" "), F.lit("="))),
+            ("@QUOTED@", F.concat(F.lit('"'), F.replace("text", F.lit("\n"), F.lit('"\n"')), F.lit('"'))),
+            ("@WORDS@", F.array_join(F.concat(F.array(F.lit('"zz": "1"')), words), ", ")), ("@TEXT@", F.col("text"))):
+        filled = F.replace(filled, F.lit(mark), value)
     return docs.join(F.broadcast(kinds), F.col("doc_id") % n == F.col("kind")).select(
         F.concat(F.lit("p"), F.floor(F.col("doc_id") / n)).alias("project"), "path", "file_name", filled.alias("content"))
 
@@ -350,7 +358,10 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
 MANIFESTS_SQL = values("kinds", "kind, file_name, path, template", MANIFEST_TEMPLATES) + f""",
 manifests AS (
   SELECT 'p' || (doc_id // {len(MANIFEST_TEMPLATES)}) AS project, path, file_name,
-    replace(replace(template, '@ID@', doc_id::VARCHAR), '@TEXT@', text) AS content
+    replace(replace(replace(replace(replace(template, '@ID@', doc_id::VARCHAR), '@EQ@', replace(text, ' ', '=')),
+      '@QUOTED@', '"' || replace(text, chr(10), '"' || chr(10) || '"') || '"'),
+      '@WORDS@', array_to_string(list_concat(['"zz": "1"'], list_transform(list_distinct(regexp_extract_all(text, '[a-z]+')),
+        lambda w: '"' || w || '": "^' || length(w) || '.0"')), ', ')), '@TEXT@', text) AS content
   FROM documents JOIN kinds ON doc_id % {len(MANIFEST_TEMPLATES)} = kind)"""
 
 # ── scores and labels ───────────────────────────────────────────────────────
