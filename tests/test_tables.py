@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from vulnsieve.operators.prefix import interval_join, running_sums
 from vulnsieve.plans.deps import scan_dependencies
 from vulnsieve.plans.train import train_and_evaluate
 from vulnsieve.sources import feeds
+from vulnsieve.sources.store import store_feed
 from vulnsieve.sources.dimensions import vuln_classes
 from vulnsieve.sources.samples import labelled_corpus
 
@@ -192,6 +194,44 @@ def test_matching_pairs_only_what_matches(spark):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def scanned_rows(df):
+    """Rows the scans of an executed plan gave."""
+    df.collect()
+    plan, rows = df._jdf.queryExecution().executedPlan(), 0
+    nodes = [plan.executedPlan() if plan.nodeName().startswith("Adaptive") else plan]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            rows += node.metrics().apply("numOutputRows").value()
+        children = [node.plan()] if "QueryStage" in node.getClass().getSimpleName() else [
+            node.children().apply(i) for i in range(node.children().size())]
+        nodes += children
+    return rows
+
+
+def test_look_ups_read_the_row_groups_that_matter(spark, tmp_path):
+    n = 60_000
+    feed = spark.range(n).select(
+        F.concat(F.lit("CVE-2001-"), F.col("id")).alias("cve_id"), F.sha2(F.col("id").cast("string"), 512).alias("description"),
+        F.lit("2001-01-01").alias("published"))
+    table = store_feed(feed, "cve_id", str(tmp_path / "cve"), group_bytes=200_000)
+    ids = [f"CVE-2001-{i}" for i in range(0, n, n // 12)] + ["CVE-1999-1"]
+    found = intel.get_cve(table, *ids)
+    assert "In(cve_id" in found._jdf.queryExecution().executedPlan().toString()
+    groups = sum(pq.ParquetFile(f).metadata.num_row_groups for f in (tmp_path / "cve").glob("*.parquet"))
+    assert groups > 20
+    assert sorted(r.cve_id for r in found.collect()) == sorted(ids[:-1])
+    one = intel.get_cve(table, "CVE-2001-777")
+    assert 0 < scanned_rows(one) < n / 5 and one.count() == 1
+    absent = intel.get_cve(table, "CVE-2001-77x")
+    assert scanned_rows(absent) == 0 and absent.count() == 0
+    assert intel.get_cve(table).count() == 0
+    kev = spark.createDataFrame([("cve-1", "2001"), ("CVE-1", "2000"), (None, "1999"), ("CVE-2", "2002")], "cve_id string, date_added string")
+    table = store_feed(intel.with_kev_id(kev), intel.KEV_ID, str(tmp_path / "kev"))
+    for catalogue in (kev, table):
+        assert [(r.cve_id, r.date_added) for r in intel.kev_lookup(catalogue, "Cve-1", "cve-9").collect()] == [("CVE-1", "2000")]
+
+
 def test_kev_enrichment(spark):
     found = spark.createDataFrame([(1, "low", "m", "CWE-89"), (2, "low", "m", "CWE-79"), (3, "low", "m", "Unknown")],
                                   "file_id long, severity string, message string, cwe_id string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vulnsieve.functions.urls import version_key
 from vulnsieve.operators.prefix import interval_join, running_sums
 from vulnsieve.scratch import written
+from vulnsieve.sources.store import has_id
 
 
 def top_n(df: DataFrame, n: int, order: list[Column], per: list[str] | None = None) -> DataFrame:
@@ -43,8 +44,8 @@ def search_cve_cwe(cve: DataFrame, cwe: str, n: int = 10) -> DataFrame:
 
 
 def get_cve(cve: DataFrame, *cve_ids: str) -> DataFrame:
-    """The newest record of each of the named CVEs."""
-    return top_n(cve.filter(F.col("cve_id").isin(*cve_ids)), 1, _newest(), per=["cve_id"])
+    """The newest record of each of the named CVEs; from a stored feed only row groups that can hold one."""
+    return top_n(cve.filter(has_id("cve_id", cve_ids)), 1, _newest(), per=["cve_id"])
 
 
 def recent_cve(cve: DataFrame, days: int, as_of: str, severity: str | None = None, n: int = 20) -> DataFrame:
@@ -81,9 +82,21 @@ def recent_kev(kev: DataFrame, days: int, as_of: str) -> DataFrame:
 
 
 def kev_lookup(kev: DataFrame, *cve_ids: str) -> DataFrame:
-    """The first catalogue entry of each of the named CVEs, whatever their case."""
-    found = kev.withColumn("_id", F.upper("cve_id")).filter(F.col("_id").isin(*[c.upper() for c in cve_ids]))
-    return top_n(found, 1, [F.col("date_added"), F.col("cve_id")], per=["_id"]).drop("_id")
+    """The first catalogue entry of each of the named CVEs, whatever their case.
+
+    A catalogue prepared by ``with_kev_id`` and stored is read where its row groups can hold one.
+    """
+    keyed = kev if KEV_ID in kev.columns else with_kev_id(kev)
+    found = keyed.filter(has_id(KEV_ID, [c.upper() for c in cve_ids]))
+    return top_n(found, 1, [F.col("date_added"), F.col("cve_id")], per=[KEV_ID]).drop(KEV_ID)
+
+
+KEV_ID = "kev_id"
+
+
+def with_kev_id(kev: DataFrame) -> DataFrame:
+    """The catalogue with its ids in upper case as a column of their own, to be stored by."""
+    return kev.withColumn(KEV_ID, F.upper("cve_id"))
 
 
 def kev_stats(kev: DataFrame, as_of: str, days: int = 30) -> DataFrame:

@@ -11,6 +11,7 @@ from vulnsieve.plans.repos import scan_repositories
 from vulnsieve.plans.scan import scan, scan_by_file
 from vulnsieve.sources import feeds
 from vulnsieve.sources.dimensions import vuln_classes
+from vulnsieve.sources.store import store_feed
 
 from workloads import base as B
 from workloads import checksql as S
@@ -156,6 +157,18 @@ def advisories(spark, d):
     return feeds.flatten_advisories(B.advisory_raw(spark, d))
 
 
+_STORED: dict = {}
+
+
+def stored(spark, d, name):
+    """The flattened feed as a table in order of its ids, written once a session and input folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        _STORED[key] = store_feed(cve(spark, d), "cve_id") if name == "cve" else store_feed(
+            intel.with_kev_id(kev(spark, d)), intel.KEV_ID)
+    return _STORED[key]
+
+
 _CVE_COLUMNS = "cve_id, description, round(cvss_score, 6) AS cvss_score, cvss_severity, cvss_vector, cwe_id AS cwe_ids, published"
 
 
@@ -230,7 +243,8 @@ def search_cve_cwe(spark, d):
 
 @query("get_cve", f"WITH {B.CVE_SQL} SELECT {_CVE_COLUMNS} FROM cve WHERE cve_id IN ({', '.join(map(lit, _IDS))})")
 def get_cve(spark, d):
-    return _cve_out(intel.get_cve(cve(spark, d), *_IDS))
+    """From the stored feed: parsed once, then looked up by id."""
+    return _cve_out(intel.get_cve(stored(spark, d, "cve"), *_IDS))
 
 
 @query("recent_cve", f"""WITH {B.CVE_SQL} SELECT {_CVE_COLUMNS} FROM cve WHERE published BETWEEN '1998-11-01' AND '1998-12-01'
@@ -263,7 +277,7 @@ def recent_kev(spark, d):
 
 @query("kev_lookup", f"WITH {B.KEV_SQL} SELECT {_KEV_COLUMNS} FROM kev WHERE upper(cve_id) IN ({', '.join(map(lit, _IDS))})")
 def kev_lookup(spark, d):
-    return intel.kev_lookup(kev(spark, d), *_IDS)
+    return intel.kev_lookup(stored(spark, d, "kev"), *_IDS)
 
 
 @query("kev_stats", f"""WITH {B.KEV_SQL} SELECT count(*) AS total_known_exploited,
