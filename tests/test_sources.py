@@ -135,6 +135,28 @@ def test_stream_equals_batch(spark, tmp_path, files_of):
     assert len(seen) == 2 and sum(seen.values()) == streamed.count()
 
 
+def test_stream_of_code_files(spark, tmp_path):
+    """Files that arrive in two batches, a restart between them: the findings of one batch scan, none lost or doubled."""
+    tree, sink, point = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "cp")
+    tree.mkdir()
+    write(tree, "a.py", "os.system(x)\r\neval(input())")
+    write(tree, "sub/b.c", "strcpy(a, b);")
+    write(tree, "node_modules/skipped.js", "eval(x)")
+    write(tree, "notes.txt", "eval(x)")
+
+    def run():
+        scan_stream(src.read_code_file_stream(spark, str(tree)), sink, point).awaitTermination(120)
+        return spark.read.parquet(sink).select("path", "line", "vuln_class", "message").collect()
+
+    first = run()
+    assert {os.path.basename(r.path) for r in first} == {"a.py", "b.c"}
+    assert sorted(run()) == sorted(first)  # a restart without new files
+    write(tree, "sub/c.py", "import pickle\npickle.loads(input())")
+    streamed = run()
+    batch = scan(src.read_code_files(spark, str(tree))).select("path", "line", "vuln_class", "message").collect()
+    assert sorted(streamed) == sorted(batch) and len(batch) > len(first)
+
+
 def test_checkpoint_folder_is_the_named_one(spark):
     assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert spark.sparkContext.getCheckpointDir().removeprefix("file:").startswith(checkpoint_dir(spark))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from vulnsieve.catalog import patterns as P
 from vulnsieve.functions.text import fold_line_ends
@@ -21,8 +22,11 @@ def _local_path() -> Column:
         F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")), F.lit("^[a-z0-9]+:/+"), F.lit("/")))
 
 
-def _listing(spark: SparkSession, path: str, glob: str | None, recursive: bool) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+_FILE = "path string, modificationTime timestamp, length long, content binary"  # fixed: the binary file source
+
+
+def _listing(reader: DataFrameReader | DataStreamReader, path: str, glob: str | None, recursive: bool) -> DataFrame:
+    reader = reader.format("binaryFile").schema(_FILE).option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path)
@@ -44,7 +48,7 @@ def read_code_files(
     ``max_bytes`` leaves larger files out (``skipped_files`` lists them), ``max_files`` keeps
     the first files in path order, part by part, for which the listing is sorted once.
     """
-    files = _code_listing(spark, path, recursive, extensions)
+    files = _code_listing(spark.read, path, recursive, extensions)
     if max_bytes is not None:
         files = files.filter(F.col("_metadata.file_size") <= max_bytes)
     if max_files is not None:
@@ -52,24 +56,44 @@ def read_code_files(
         parts = F.split(_local_path(), "/", -1)
         last = files.select(parts.alias("p")).orderBy("p").limit(max_files).agg(F.max("p")).first()[0]
         files = files.filter(parts <= F.array(*[F.lit(x) for x in last or [""]]))
+    return _numbered(files, decode)
+
+
+def _numbered(files: DataFrame, decode: bool) -> DataFrame:
     numbered = files.select(
         F.xxhash64(_local_path()).alias("file_id"), _local_path().alias("path"), "content")
     return decode_content(numbered) if decode else numbered
 
 
+def read_code_file_stream(
+    spark: SparkSession, path: str, recursive: bool = True, extensions: Collection[str] | None = None,
+    max_files_per_trigger: int | None = None, decode: bool = True,
+) -> DataFrame:
+    """``read_code_files`` as a stream: every file once, when it has appeared in the tree.
+
+    A file is known by its path; one that is changed in place is not read again.
+    """
+    reader = spark.readStream
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return _numbered(_code_listing(reader, path, recursive, extensions), decode)
+
+
 def skipped_files(
     spark: SparkSession, path: str, max_bytes: int, recursive: bool = True, extensions: Collection[str] | None = None,
 ) -> DataFrame:
     """``path, size, reason`` of the code files that ``max_bytes`` leaves out; no content is read."""
     size = F.col("_metadata.file_size")
-    return _code_listing(spark, path, recursive, extensions).filter(size > max_bytes).select(
+    return _code_listing(spark.read, path, recursive, extensions).filter(size > max_bytes).select(
         _local_path().alias("path"), size.alias("size"), F.lit(f"larger than {max_bytes} bytes").alias("reason"))
 
 
-def _code_listing(spark: SparkSession, path: str, recursive: bool, extensions: Collection[str] | None) -> DataFrame:
+def _code_listing(
+    reader: DataFrameReader | DataStreamReader, path: str, recursive: bool, extensions: Collection[str] | None,
+) -> DataFrame:
     wanted = sorted(extensions or set(P.EXTENSION_LANGUAGE))
     glob = "*{" + ",".join(_any_case(e) for e in wanted) + "}"
-    listed = _listing(spark, path, glob, recursive)
+    listed = _listing(reader, path, glob, recursive)
     root = path.rstrip("/")
     below = F.substring(_local_path(), len(root.split(":", 1)[-1].replace("//", "/")) + 1, 1 << 20)
     skipped = F.arrays_overlap(
@@ -94,7 +118,7 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     names = "{" + ",".join(name for name, _ in P.MANIFEST_FILES) + "}"
     base = root.rstrip("/")
     # two levels are listed, not the tree below them
-    listed = [_listing(spark, f"{base}/{level}", names, recursive=False) for level in ("", "*/")]
+    listed = [_listing(spark.read, f"{base}/{level}", names, recursive=False) for level in ("", "*/")]
     local = base.split(":", 1)[-1].replace("//", "/")
     below = F.split(F.substring(_local_path(), len(local) + 2, 1 << 20), "/", -1)
     at_root = F.size(below) == 1
