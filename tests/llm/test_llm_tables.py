@@ -264,7 +264,7 @@ def test_suffix_lm(spark, docs_of, monkeypatch):
     texts = random_texts(7, 150, 40) + ["one fixed line of words that comes again", None, "", "Never Seen Wörter"] * 20
     docs = docs_of(*texts, (None, "x"), (3, texts[3]), extra=True)
     monkeypatch.setattr(suffix_lm, "FLUSH", 50)
-    model = suffix_lm.train(docs, fold("doc_id", 7) != 2, least_context=10)
+    model = suffix_lm.train(docs, fold("doc_id", 7) != 2, least_context=10, least_count=4)
     rows = suffix_lm.score(docs, model).collect()
     assert len(rows) == len(texts) + 2
     ids = [*range(len(texts)), None, 3]
@@ -284,7 +284,7 @@ def test_suffix_lm(spark, docs_of, monkeypatch):
     line = by_id[150]
     assert line.score > 0.7 * line.base_score  # a repeated line is far likelier than its words
     # few words looked up in the task: the same result through the join
-    small = suffix_lm.train(docs, fold("doc_id", 7) != 2, least_context=10, frequent=1)
+    small = suffix_lm.train(docs, fold("doc_id", 7) != 2, least_context=10, least_count=4, frequent=1)
     again = {r.doc_id: r for r in suffix_lm.score(docs, small).collect()}
     assert all(math.isclose(again[i].base_score, by_id[i].base_score, rel_tol=1e-9) for i in by_id)
     assert suffix_lm.score(docs.limit(0), model).count() == 0
@@ -381,7 +381,7 @@ def test_states_grow_with_the_corpus(spark, docs_of):
     rng = random.Random(6)
     pool = [f"v{i}" for i in range(300)]
     texts = [" ".join(f"{w} then{w}" for w in rng.choices(pool, [1 / (i + 1) for i in range(300)], k=40)) for _ in range(160)]
-    sizes = [sum(s.count() for s in suffix_lm.train(docs_of(*texts[:n]), F.lit(True)).states) for n in (40, 160)]
+    sizes = [sum(s.count() for s in suffix_lm.train(docs_of(*texts[:n]), F.lit(True), least_context=50, least_count=5).states) for n in (40, 160)]
     assert sizes[1] > 2.5 * sizes[0] > 0
 
 
@@ -393,8 +393,10 @@ def test_keys_are_those_of_spark(spark):
     assert [rows[i] for i in range(5)] == mine.view(np.int64).tolist()
     pairs = spark.createDataFrame([(int(a), int(b)) for a, b in zip(mine.view(np.int64), mine[::-1].view(np.int64))], "a long, b long")
     assert [r.k for r in pairs.selectExpr("xxhash64(a, b) AS k").collect()] == suffix_lm.longer(mine, mine[::-1]).view(np.int64).tolist()
-    tokens, bounds = suffix_lm.token_keys([b"B a", b"", b"a  b\n"])
-    assert bounds.tolist() == [0, 3, 4, 7] and tokens[1] == tokens[4] and tokens[2] == tokens[3] == suffix_lm.END_KEY
+    found = suffix_lm.Tokens.of([b"B a", b"", b"a  b\n"])
+    tokens = found.stream
+    assert found.bounds.tolist() == [0, 3, 4, 7] and tokens[1] == tokens[4] and tokens[2] == tokens[3] == suffix_lm.END_KEY
+    assert [found.words[c] for c in found.codes] == [b"b", b"a", b"", b"", b"a", b"b", b""]
     assert [(at.tolist(), len(k)) for at, k in suffix_lm.contexts_of(tokens)] == [([1, 2, 5, 6], 4), ([2, 6], 2), ([], 0)]
 
 

@@ -16,7 +16,6 @@ number) are looked up on the spot; what a filter finds possibly among the others
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,9 +29,10 @@ from vulnsieve.llm.common import named, slices, whole_text, written
 
 DEPTH = 3  # words in the longest context
 SEED = 42  # of Spark's xxhash64
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 ENDS = b""  # no word is empty: stands for the end
 FLUSH = 400_000
-PAIRS = 2_000_000  # occurrences counted in a task before they are handed on
+PAIRS = 4_000_000  # occurrences counted in a task before they are handed on
 FILTER_BITS = 26
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (  # fixed values: the primes of XXH64
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -68,33 +68,51 @@ def word_key(word: bytes) -> int:
 END_KEY = np.uint64(word_key(ENDS))
 
 
-def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all tokens of the texts, one after the other, ends included, and where each text begins."""
-    known: dict[bytes, int] = {ENDS: int(END_KEY)}
-    out, sizes = [], []
-    for text in texts:
-        own = words_of(text)
-        own.append(ENDS)
-        for w in own:
-            key = known.get(w)
-            if key is None:
-                key = known[w] = word_key(w)
-            out.append(key)
-        sizes.append(len(own))
-    return np.array(out, np.uint64), np.cumsum([0, *sizes])
+@dataclass
+class Tokens:
+    """The tokens of some texts, one after the other, ends included."""
+
+    words: list[bytes]  # the distinct ones; the last is the end
+    keys: np.ndarray  # of the distinct words
+    codes: np.ndarray  # of all tokens: places among the distinct words
+    bounds: np.ndarray  # where each text begins, and the end
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Tokens:
+        """As ``words_of`` cuts every text, over all texts at once."""
+        data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+        solid = ~SPACE[data]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]])))
+        starts, stops = edges[::2], edges[1::2]
+        offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+        words = [*found.dictionary.to_pylist(), ENDS]
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        before = np.searchsorted(starts, ends)  # words up to the end of each text
+        bounds = np.concatenate([[0], before + np.arange(1, len(texts) + 1)])
+        codes = np.full(len(starts) + len(texts), len(words) - 1, np.int64)
+        inside = np.ones(len(codes), bool)
+        inside[bounds[1:] - 1] = False
+        codes[inside] = found.indices.to_numpy(zero_copy_only=False)
+        return cls(words, np.fromiter(map(word_key, words), np.uint64, len(words)), codes, bounds)
+
+    @property
+    def stream(self) -> np.ndarray:
+        return self.keys[self.codes]
 
 
-def contexts_of(tokens: np.ndarray):
-    """For contexts of 1, 2, … words: positions of the tokens after them, and their keys.
+def contexts_of(tokens: np.ndarray, depth: int = DEPTH):
+    """For contexts of 1, 2, … ``depth`` words: positions of the tokens after them, and their keys.
 
     A context lies within a text; the token after it may be the end.
     """
     inside = tokens != END_KEY
     key, good = tokens, inside
-    for n in range(1, DEPTH + 1):
+    for n in range(1, depth + 1):
         at = np.flatnonzero(good[:len(tokens) - n])
         yield at + n, key[at]
-        if n < DEPTH:
+        if n < depth:
             key = longer(key[:-1], tokens[n:])
             good = good[:-1] & inside[n:]
 
@@ -273,8 +291,8 @@ def _head(rows: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarra
     return keys.view(np.uint64)[order], top.column(value).to_numpy()[order], others
 
 
-def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_context: int = 50, least_count: int = 5,
-          divergence: float = 0.05, types: float = 0.5, frequent: int = 65_536, head: int = 1_000_000) -> WordModel:
+def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_context: int = 1000, least_count: int = 16,
+          divergence: float = 0.05, types: float = 0.5, frequent: int = 65_536, head: int = 2_000_000) -> WordModel:
     """Learns from all rows where ``is_training`` holds; nothing is sampled.
 
     Contexts that occur ``least_context`` times are tested, with the next words that follow them
@@ -288,20 +306,20 @@ def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_co
     learned = rows.filter("_train").select("_text")
 
     def count(batches):
-        found, texts = Counter(), 0
+        found: dict[bytes, int] = {}
 
         def table():
-            found[ENDS] = texts
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(words_of(text))
-                texts += 1
+            for start, end in slices(batch, "_text"):
+                tokens = Tokens.of(batch.column(0).slice(start, end - start).to_pylist())
+                for word, n in zip(tokens.words, np.bincount(tokens.codes, minlength=len(tokens.words)).tolist()):
+                    found[word] = found.get(word, 0) + n
                 if len(found) > FLUSH:
                     yield table()
-                    found, texts = Counter(), 0
+                    found = {}
         yield table()
 
     words = written(learned.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
@@ -312,43 +330,64 @@ def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_co
     is_end = F.col("word") == F.lit(bytearray(ENDS))
     texts = common.get(ENDS) or (words.filter(is_end).agg(F.sum("n")).first()[0] or 0)
 
-    def pairs(depth: int, contexts: Filter) -> DataFrame:
-        """``ctx, x, n``: how often a word follows a context of ``depth`` words the filter lets through."""
-        shared = spark.sparkContext.broadcast(contexts)
+    def runs(depth: int, contexts: Filter, followers: Filter, only: Filter | None, counted: bool):
+        """A task's keys of strings, with counts (``key, n``) or with what they are made of (``ctx, x``)."""
+        shared = spark.sparkContext.broadcast((contexts, followers, only))
 
         def run(batches):
+            contexts, followers, only = shared.value
             held, size = [], 0
 
             def table():
-                ctx, x = (np.concatenate(c) for c in zip(*held))
-                _, first, n = np.unique(longer(ctx, x), return_index=True, return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(x[first].view(np.int64)),
-                                                   pa.array(n.astype(np.int64))], ["ctx", "x", "n"])
+                ctx, x, key = (np.concatenate(c) for c in zip(*held))
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                if counted:
+                    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
+                return pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(x[first].view(np.int64))], ["ctx", "x"])
 
             for batch in batches:
                 for start, end in slices(batch, "_text"):
-                    keys, _ = token_keys(batch.column(0).slice(start, end - start).to_pylist())
-                    at, ctx = list(contexts_of(keys))[depth - 1]
-                    may = shared.value.maybe(ctx)
-                    held.append((ctx[may], keys[at[may]]))
-                    size += int(may.sum())
+                    tokens = Tokens.of(batch.column(0).slice(start, end - start).to_pylist())
+                    stream, often = tokens.stream, followers.maybe(tokens.keys)[tokens.codes]
+                    *_, (at, ctx) = contexts_of(stream, depth)
+                    may = often[at]
+                    may[may] = contexts.maybe(ctx[may])
+                    ctx, x = ctx[may], stream[at[may]]
+                    key = longer(ctx, x)
+                    if only is not None:
+                        may = only.maybe(key)
+                        ctx, x, key = ctx[may], x[may], key[may]
+                    none = ctx[:0]
+                    held.append((none, none, key) if counted else (ctx, x, key))
+                    size += len(key)
                     if size > PAIRS:
                         yield table()
                         held, size = [], 0
             if size:
                 yield table()
 
-        found = learned.mapInArrow(run, "ctx long, x long, n long").groupBy("ctx", "x").agg(F.sum("n").alias("n"))
-        return written(found.filter(F.col("n") >= least_count), "pairs")
+        return learned.mapInArrow(run, "key long, n int" if counted else "ctx long, x long")
+
+    def pairs(depth: int, contexts: Filter, followers: Filter) -> DataFrame:
+        """``ctx, x, n``: how often a word follows a context of ``depth`` words, from ``least_count`` times on.
+
+        Most strings are rare, so they are counted by their key alone, half as wide; what the frequent
+        ones are made of is then read off the texts again.
+        """
+        counts = written(runs(depth, contexts, followers, None, True).groupBy("key").agg(F.sum("n").alias("n")).filter(
+            F.col("n") >= least_count), "strings")
+        parts = runs(depth, contexts, followers, Filter.of(counts), False).distinct()
+        return written(parts.withColumn("key", F.xxhash64("ctx", "x")).join(counts, "key").select("ctx", "x", "n"), "pairs")
 
     hashed = words.select(F.xxhash64("word").alias("x"), "n", is_end.alias("end"))
     root = hashed.select("x", F.log10((F.col("n") + 1.0) / float(tokens + distinct + 1)).alias("log_root"))
     contexts = hashed.filter(~F.col("end") & (F.col("n") >= least_context)).select(F.col("x").alias("ctx"), F.col("n").alias("total"))
+    followers = Filter.of(hashed.filter(F.col("n") >= least_count), "x")
     states: list[DataFrame] = []
     edges: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         contexts = written(contexts, "contexts")
-        counts = pairs(depth, Filter.of(contexts, "ctx"))
+        counts = pairs(depth, Filter.of(contexts, "ctx"), followers)
         state, edge = tree_level(counts, contexts, root, states, edges, divergence, types)
         # contexts one word longer: what follows often enough, with the keys of their own suffixes
         shorter = [F.col("x").alias("s1"), *[F.xxhash64(f"s{d}", "x").alias(f"s{d + 1}") for d in range(1, depth)]]
@@ -384,49 +423,40 @@ def score(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: s
     def split(batches):
         known_words, tree = shared.value
         tree.prepare()
+        none = (0.0, 0)
         for batch in batches:
             for start, end in slices(batch, "_text"):
                 texts = batch.column(1).slice(start, end - start).to_pylist()
                 ids = batch.column(0).slice(start, end - start)
-                tokens, bounds = token_keys(texts)
-                gains, unsure, keys = tree.gains(tokens)
-                sums = np.add.reduceat(gains, bounds[:-1]).tolist()
-                row, word, times, own, text_keys = [], [], [], [], []
-                for i, (text, gain) in enumerate(zip(texts, sums)):
-                    found = Counter(words_of(text))
-                    found[ENDS] = 1
-                    n = known = 0
-                    base = 0.0
-                    key = xxhash.xxh64_intdigest(text) - (1 << 63)
-                    text_keys.append(key)
-                    for w, k in found.items():
-                        n += k
-                        hit = known_words.get(w)
-                        if hit is None:
-                            row.append(i), word.append(w), times.append(k), own.append(None)
-                        else:
-                            base += k * hit[0]
-                            known += k * hit[1]
-                    # the text's own row: its key holds a blank, which no word does
-                    row.append(i), word.append(b" %d" % key), times.append(0), own.append((n, known, base, gain))
-                at = pa.array(row, pa.int64())
-
-                def part(j, t):
-                    return pa.array([None if s is None else s[j] for s in own], t)
-
-                def empty(t):
-                    return pa.nulls(len(row), t)
-
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), pa.array(text_keys, pa.int64()).take(at),
-                     pa.array(word, pa.binary()), pa.array(times, pa.int32()), part(0, pa.int64()), part(1, pa.int64()),
-                     part(2, pa.float64()), part(3, pa.float64()), *[empty(pa.int64())] * (DEPTH + 1)], columns)
+                tokens = Tokens.of(texts)
+                stream, bounds = tokens.stream, tokens.bounds
+                gains, unsure, keys = tree.gains(stream)
+                values = [known_words.get(w) for w in tokens.words]
+                logs = np.array([(v or none)[0] for v in values])
+                known = np.array([(v or none)[1] for v in values], np.int64)
+                base, n_known, gain = (np.add.reduceat(x, bounds[:-1]) for x in (logs[tokens.codes], known[tokens.codes], gains))
+                text_keys = pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], pa.int64())
+                count, rows = len(texts), np.repeat(np.arange(len(texts)), np.diff(bounds))
+
+                def batch_of(at, **own):
+                    kinds = {"word": pa.binary(), "k": pa.int32(), "tokens": pa.int64(), "known": pa.int64(), "own_base": pa.float64(),
+                             "gain": pa.float64(), **{c: pa.int64() for c in ("x", *contexts)}}
+                    at = pa.array(at, pa.int64())
+                    return pa.RecordBatch.from_arrays([ids.take(at), text_keys.take(at), *[
+                        own.get(name, pa.nulls(len(at), kind)) for name, kind in kinds.items()]], columns)
+
+                # the text's own row: its word holds a blank, which no word does
+                yield batch_of(np.arange(count), word=pa.array([b" %d" % k for k in text_keys.to_pylist()], pa.binary()),
+                               k=pa.array(np.zeros(count, np.int32)), tokens=pa.array(np.diff(bounds)), known=pa.array(n_known),
+                               own_base=pa.array(base), gain=pa.array(gain))
+                rare = np.array([v is None for v in values])[tokens.codes]
+                own, times = np.unique(rows[rare] * len(values) + tokens.codes[rare], return_counts=True)
+                if len(own):
+                    yield batch_of(own // len(values), word=pa.array(tokens.words, pa.binary()).take(pa.array(own % len(values))),
+                                   k=pa.array(times.astype(np.int32)))
                 if len(unsure):
-                    at = pa.array(np.searchsorted(bounds, unsure, "right") - 1)
-                    none = [pa.nulls(len(unsure), t) for t in (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(at), pa.array(text_keys, pa.int64()).take(at), *none, pa.array(tokens[unsure].view(np.int64)),
-                         *[pa.array(k.view(np.int64), mask=k == 0) for k in keys]], columns)
+                    yield batch_of(rows[unsure], x=pa.array(stream[unsure].view(np.int64)),
+                                   **{c: pa.array(k.view(np.int64), mask=k == 0) for c, k in zip(contexts, keys)})
 
     columns = [id_col, "_key", "word", "k", "tokens", "known", "own_base", "gain", "x", *contexts]
     rows = written(docs.select(named(id_col), whole_text(text_col).cast("binary").alias("_text")).mapInArrow(
