@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vulnsieve.llm.common import named, row_of, whole_text
 
 UNKNOWN = "und"
-PIECE = 1_000_000  # characters worked on at once
+PIECE = 1 << 18  # characters worked on at once
 _MIX = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F)]
 _BLANK = np.uint32(32)
 
