@@ -152,6 +152,23 @@ def test_maximal_segments(scores):
     assert np.allclose([x for *_, x in found], [x for *_, x in plain])
 
 
+def test_every_passage_is_found():
+    """A passage that comes again is listed again; the evidence of the text takes its words once."""
+    model = toxicity.ToxicityModel({"vile ": 6.0, "foul ": 5.0, "grim ": 1.5}, drift=0.5, decay=1.0, log_k=0.0)
+    calm, bad = "all is quiet here " * 40, "vile foul "
+    one, twice = model.read(calm + bad + calm), model.read(calm + bad + calm + bad + calm)
+    assert [e - s for s, e, _ in one[1]] == [2] and [e - s for s, e, _ in twice[1]] == [2, 2]
+    assert [s for s, *_ in twice[1]] == [160, 322]
+    assert twice[0] == pytest.approx(one[0] - math.log(484 / 322))  # only the length differs
+    # repeats within one segment add nothing, so many of a weak word are no passage
+    assert model.read(calm + "grim " * 30 + calm)[1] == []
+    assert model.read("") == (0.0, []) and model.read(calm) == (0.0, [])
+    tokens = (calm + bad + "vile " + calm + "foul vile").split()
+    plain = [(s, e) for s, e, x in plain_segments(model.token_scores(" ".join(tokens))[1]) if x - math.log(len(tokens)) > -math.log(0.05)]
+    assert [(s, e) for s, e, _ in model.read(" ".join(tokens))[1]] == [
+        (s, e) for s, e in plain if sum(model.odds.get(w + " ", 0) - 0.5 for w in dict.fromkeys(tokens[s:e])) > math.log(len(tokens) / 0.05) + 0.5]
+
+
 def test_toxicity_learns_stems(spark, docs_of):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))

@@ -29,7 +29,7 @@ CACHED = 300_000
 
 def stems(word: str) -> list[str]:
     """Prefixes of a word, short to long, and the whole word, closed by a blank."""
-    return [*(word[:n] for n in STEM_LENGTHS if n < len(word)), word[:40] + " "]
+    return [*(word[:n] for n in STEM_LENGTHS if n < len(word)), word + " "]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -98,31 +98,51 @@ class ToxicityModel:
             best = value if best is None else max(best, value)
         return (best or 0.0) - self.drift
 
-    def token_scores(self, text: str) -> np.ndarray:
+    def token_scores(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The tokens of a text and the score of each occurrence."""
         if self._cache is None:
             self._cache = _Scores(self)
         tokens = text.split()
-        scores = np.fromiter(map(self._cache.__getitem__, tokens), np.float64, len(tokens))
-        # a token that comes again says nothing new
-        seen: set[str] = set()
+        return tokens, np.fromiter(map(self._cache.__getitem__, tokens), np.float64, len(tokens))
+
+    def _once(self, tokens: list[str], scores: np.ndarray) -> np.ndarray:
+        """The scores with every token that comes again worth no more than ordinary text."""
+        out, seen = scores, set()
         for i in np.flatnonzero(scores > 0).tolist():
             if tokens[i] in seen:
-                scores[i] = -self.drift
+                out = scores.copy() if out is scores else out
+                out[i] = -self.drift
             seen.add(tokens[i])
-        return scores
+        return out
+
+    def _significant(self, scores: np.ndarray, most_expected: float) -> list[tuple[int, int, float]]:
+        chance = self.log_k + math.log(len(scores))
+        found = ((s, e, self.decay * x - chance) for s, e, x in maximal_segments(scores))
+        return [x for x in found if x[2] > -math.log(most_expected)]
 
-    def passages(self, text: str, most_expected: float = 0.05) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of tokens, and the significant segments ``(start, end, evidence)`` in tokens.
+    def read(self, text: str, most_expected: float = 0.05) -> tuple[float, list[tuple[int, int, float]]]:
+        """The evidence of a text, and all its significant segments ``(start, end, evidence)`` in tokens.
 
-        ``evidence`` is the log of how rarely clean text of that length holds such a segment; a
-        segment is significant when fewer than ``most_expected`` are expected by chance.
+        The evidence of a segment is the log of how rarely clean text of that length holds such a
+        segment; a segment is significant when fewer than ``most_expected`` are expected by chance.
+        Every occurrence of a token counts when segments are searched, so a passage that comes again
+        is found again; a token that comes again within one segment adds nothing to it.  The evidence of
+        the text takes every token once, so saying a thing twice makes no text more toxic.
         """
-        scores = self.token_scores(text)
+        tokens, scores = self.token_scores(text)
         if not len(scores):
-            return 0, []
-        chance = self.log_k + math.log(len(scores))
-        found = ((s, e, self.decay * x - chance) for s, e, x in maximal_segments(scores))
-        return len(scores), [x for x in found if x[2] > -math.log(most_expected)]
+            return 0.0, []
+        once = self._once(tokens, scores)
+        segments = self._significant(once, most_expected)
+        total = sum(x for *_, x in segments)
+        if once is scores:
+            return total, segments
+        chance, out = self.log_k + math.log(len(scores)), []
+        for s, e, _ in self._significant(scores, most_expected):
+            own = self.decay * float(self._once(tokens[s:e], scores[s:e]).sum()) - chance
+            if own > -math.log(most_expected):
+                out.append((s, e, own))
+        return total, out
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.intercept + self.slope * math.log1p(evidence)))))
@@ -237,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             out = []
             for is_toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                scores = own.token_scores(text)
+                scores = own._once(*own.token_scores(text))
                 best = max((x for _, _, x in maximal_segments(scores)), default=0.0)
                 seen, n = (None, None) if is_toxic else np.unique(np.round(scores, 2), return_counts=True)
                 out.append((is_toxic, len(scores), best, [] if is_toxic else seen.tolist(), [] if is_toxic else n.tolist()))
@@ -264,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def weigh(batches):
         for batch in batches:
-            found = [sum(x[2] for x in tuned.value.passages(t)[1]) for t in batch.column(1).to_pylist()]
+            found = [tuned.value.read(t)[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["toxic", "evidence"])
 
     points = rows.filter("calibrates").select("toxic", "text").mapInArrow(weigh, "toxic boolean, evidence double").toArrow()
@@ -277,9 +297,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def toxic_passages(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score, evidence, passages`` for every row of ``docs``.
 
-    ``passages`` lists each significant segment as ``start, end`` (tokens, end exclusive) and
-    ``evidence``; their sum gives ``score``, 0 to 1.  A null text counts as empty; an empty text
-    has no passage and the score of no evidence.
+    ``passages`` lists each significant segment as ``start, end`` (tokens, end exclusive) and its
+    evidence; ``evidence``, that of the text with every token taken once, gives ``score``, 0 to 1.
+    A null text counts as empty; an empty text has no passage and the score of no evidence.  Repeated
+    rows give repeated results.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -288,8 +309,8 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def run(batches):
         own = shared.value
         for batch in batches:
-            found = [own.passages(text)[1] for text in batch.column(1).to_pylist()]
-            total = [sum(x[2] for x in f) for f in found]
+            read = [own.read(text) for text in batch.column(1).to_pylist()]
+            total, found = [t for t, _ in read], [f for _, f in read]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([own.score(t) for t in total], pa.float64()), pa.array(total, pa.float64()),
                  pa.array([[{"start": s, "end": e, "evidence": x} for s, e, x in f] for f in found], spans)],
