@@ -223,7 +223,7 @@ class WordModel:
     """Word counts, and what the score of a text needs besides."""
 
     words: DataFrame  # word binary, n: count in the training tokens
-    frequent: dict[bytes, int]  # counts of the most frequent words
+    frequent: tuple[np.ndarray, np.ndarray]  # keys and counts of the most frequent words and the end, by key
     states: list[DataFrame]  # per context length: key, back
     edges: list[DataFrame]  # per context length: key (of context and next word), gain
     head: TreeHead
@@ -292,7 +292,7 @@ def _head(rows: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarra
 
 
 def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_context: int = 1000, least_count: int = 16,
-          divergence: float = 0.05, types: float = 0.5, frequent: int = 65_536, head: int = 2_000_000) -> WordModel:
+          divergence: float = 0.05, types: float = 0.5, frequent: int = 1_000_000, head: int = 2_000_000) -> WordModel:
     """Learns from all rows where ``is_training`` holds; nothing is sampled.
 
     Contexts that occur ``least_context`` times are tested, with the next words that follow them
@@ -326,24 +326,23 @@ def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_co
     sums = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
     tokens, distinct = sums.tokens or 0, sums.types
     top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    common = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
+    common = dict(zip(map(word_key, top.column("word").to_pylist()), top.column("n").to_pylist()))
     is_end = F.col("word") == F.lit(bytearray(ENDS))
-    texts = common.get(ENDS) or (words.filter(is_end).agg(F.sum("n")).first()[0] or 0)
+    texts = common.get(int(END_KEY)) or (words.filter(is_end).agg(F.sum("n")).first()[0] or 0)
 
-    def runs(depth: int, contexts: Filter, followers: Filter, only: Filter | None, counted: bool):
-        """A task's keys of strings, with counts (``key, n``) or with what they are made of (``ctx, x``)."""
-        shared = spark.sparkContext.broadcast((contexts, followers, only))
+    def pairs(depth: int, contexts: Filter, followers: Filter) -> DataFrame:
+        """``ctx, x, n``: how often a word follows a context of ``depth`` words, from ``least_count`` times on."""
+        shared = spark.sparkContext.broadcast((contexts, followers))
 
         def run(batches):
-            contexts, followers, only = shared.value
+            contexts, followers = shared.value
             held, size = [], 0
 
             def table():
                 ctx, x, key = (np.concatenate(c) for c in zip(*held))
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
-                if counted:
-                    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
-                return pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(x[first].view(np.int64))], ["ctx", "x"])
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                return pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(x[first].view(np.int64)),
+                                                   pa.array(n.astype(np.int64))], ["ctx", "x", "n"])
 
             for batch in batches:
                 for start, end in slices(batch, "_text"):
@@ -353,31 +352,16 @@ def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_co
                     may = often[at]
                     may[may] = contexts.maybe(ctx[may])
                     ctx, x = ctx[may], stream[at[may]]
-                    key = longer(ctx, x)
-                    if only is not None:
-                        may = only.maybe(key)
-                        ctx, x, key = ctx[may], x[may], key[may]
-                    none = ctx[:0]
-                    held.append((none, none, key) if counted else (ctx, x, key))
-                    size += len(key)
+                    held.append((ctx, x, longer(ctx, x)))
+                    size += len(ctx)
                     if size > PAIRS:
                         yield table()
                         held, size = [], 0
             if size:
                 yield table()
 
-        return learned.mapInArrow(run, "key long, n int" if counted else "ctx long, x long")
-
-    def pairs(depth: int, contexts: Filter, followers: Filter) -> DataFrame:
-        """``ctx, x, n``: how often a word follows a context of ``depth`` words, from ``least_count`` times on.
-
-        Most strings are rare, so they are counted by their key alone, half as wide; what the frequent
-        ones are made of is then read off the texts again.
-        """
-        counts = written(runs(depth, contexts, followers, None, True).groupBy("key").agg(F.sum("n").alias("n")).filter(
-            F.col("n") >= least_count), "strings")
-        parts = runs(depth, contexts, followers, Filter.of(counts), False).distinct()
-        return written(parts.withColumn("key", F.xxhash64("ctx", "x")).join(counts, "key").select("ctx", "x", "n"), "pairs")
+        found = learned.mapInArrow(run, "ctx long, x long, n long").groupBy("ctx", "x").agg(F.sum("n").alias("n"))
+        return written(found.filter(F.col("n") >= least_count), "pairs")
 
     hashed = words.select(F.xxhash64("word").alias("x"), "n", is_end.alias("end"))
     root = hashed.select("x", F.log10((F.col("n") + 1.0) / float(tokens + distinct + 1)).alias("log_root"))
@@ -398,7 +382,9 @@ def train(docs: DataFrame, is_training: Column, text_col: str = "text", least_co
     state_keys, back, other_states = _head(_all(states), "back", head)
     edge_keys, gain, other_edges = _head(_all(edges), "gain", head)
     tree = TreeHead(state_keys, back, edge_keys, gain, Filter.of(other_states), Filter.of(other_edges))
-    return WordModel(words.filter(~is_end), common | {ENDS: texts}, states, edges, tree, tokens, texts, distinct)
+    common[int(END_KEY)] = texts
+    keys = np.array(sorted(common), np.uint64)
+    return WordModel(words.filter(~is_end), (keys, np.array([common[int(k)] for k in keys], np.int64)), states, edges, tree, tokens, texts, distinct)
 
 
 def _all(levels: list[DataFrame]) -> DataFrame:
@@ -416,14 +402,13 @@ def score(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: s
     """
     kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
     unknown = model.unknown
-    logs = {w: (math.log10(n + 1.0) + unknown, int(n > 0)) for w, n in model.frequent.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((logs, model.head))
+    shared = docs.sparkSession.sparkContext.broadcast((*model.frequent, model.head))
     contexts = [f"s{d}" for d in range(1, DEPTH + 1)]
 
     def split(batches):
-        known_words, tree = shared.value
+        frequent, counts, tree = shared.value
         tree.prepare()
-        none = (0.0, 0)
+        find, log = Lookup(frequent), np.log10(counts + 1.0) + unknown
         for batch in batches:
             for start, end in slices(batch, "_text"):
                 texts = batch.column(1).slice(start, end - start).to_pylist()
@@ -431,28 +416,28 @@ def score(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: s
                 tokens = Tokens.of(texts)
                 stream, bounds = tokens.stream, tokens.bounds
                 gains, unsure, keys = tree.gains(stream)
-                values = [known_words.get(w) for w in tokens.words]
-                logs = np.array([(v or none)[0] for v in values])
-                known = np.array([(v or none)[1] for v in values], np.int64)
+                hit, place = find.find(tokens.keys)
+                logs, known, rare = np.zeros(len(tokens.words)), np.zeros(len(tokens.words), np.int64), np.ones(len(tokens.words), bool)
+                logs[hit], known[hit], rare[hit] = log[place], counts[place] > 0, False
                 base, n_known, gain = (np.add.reduceat(x, bounds[:-1]) for x in (logs[tokens.codes], known[tokens.codes], gains))
                 text_keys = pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], pa.int64())
                 count, rows = len(texts), np.repeat(np.arange(len(texts)), np.diff(bounds))
 
                 def batch_of(at, **own):
-                    kinds = {"word": pa.binary(), "k": pa.int32(), "tokens": pa.int64(), "known": pa.int64(), "own_base": pa.float64(),
+                    types = {"word": pa.binary(), "k": pa.int32(), "tokens": pa.int64(), "known": pa.int64(), "own_base": pa.float64(),
                              "gain": pa.float64(), **{c: pa.int64() for c in ("x", *contexts)}}
                     at = pa.array(at, pa.int64())
                     return pa.RecordBatch.from_arrays([ids.take(at), text_keys.take(at), *[
-                        own.get(name, pa.nulls(len(at), kind)) for name, kind in kinds.items()]], columns)
+                        own.get(name, pa.nulls(len(at), kind)) for name, kind in types.items()]], columns)
 
                 # the text's own row: its word holds a blank, which no word does
                 yield batch_of(np.arange(count), word=pa.array([b" %d" % k for k in text_keys.to_pylist()], pa.binary()),
                                k=pa.array(np.zeros(count, np.int32)), tokens=pa.array(np.diff(bounds)), known=pa.array(n_known),
                                own_base=pa.array(base), gain=pa.array(gain))
-                rare = np.array([v is None for v in values])[tokens.codes]
-                own, times = np.unique(rows[rare] * len(values) + tokens.codes[rare], return_counts=True)
+                rare, kinds = rare[tokens.codes], len(tokens.words)
+                own, times = np.unique(rows[rare] * kinds + tokens.codes[rare], return_counts=True)
                 if len(own):
-                    yield batch_of(own // len(values), word=pa.array(tokens.words, pa.binary()).take(pa.array(own % len(values))),
+                    yield batch_of(own // kinds, word=pa.array(tokens.words, pa.binary()).take(pa.array(own % kinds)),
                                    k=pa.array(times.astype(np.int32)))
                 if len(unsure):
                     yield batch_of(rows[unsure], x=pa.array(stream[unsure].view(np.int64)),
