@@ -5,6 +5,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 from vulnsieve.functions import matching as M
+from vulnsieve.operators import intel
+from vulnsieve.operators.prefix import interval_join
 from workloads import QUERIES
 
 
@@ -39,3 +41,28 @@ def test_word_bits_say_what_contains_says(spark):
         {"_low": F.lower("content"), "_words": tests.column(F.col("content"))})
     for row in rows.select(F.expr(f"array({', '.join(plain)})").alias("plain"), F.expr(f"array({', '.join(bits)})").alias("bits")).collect():
         assert row.plain == row.bits
+
+
+def test_first_matches_hold_all_that_a_project_list_shows(spark):
+    deps = spark.createDataFrame(
+        [(p, n, v, "PyPI") for p in ("p", "q") for n, v in (("a", "1.0"), ("a", None), ("b", "2.5"), ("c", "9"))],
+        "project string, name string, version string, ecosystem string")
+    osv = spark.createDataFrame(
+        [(f"V{i:03d}", n, "PyPI", ["C"], "s", "HIGH", [(None, f"{i % 4}.0")]) for i in range(60) for n in ("a", "b")],
+        "vuln_id string, package string, ecosystem string, cve_ids array<string>, summary string, severity string, "
+        "affected_ranges array<struct<introduced:string,fixed:string>>")
+    everything, first = intel.match_osv(deps, osv), intel.match_osv(deps, osv, 5)
+    assert first.count() < everything.count()
+    columns = ["project", "name", "vuln_id"]
+    assert sorted(map(tuple, intel.first_vulns(first, 5).select(columns).collect())) == sorted(
+        map(tuple, intel.first_vulns(everything, 5).select(columns).collect()))
+
+
+def test_pairs_of_an_interval_join_are_not_broadcast(spark):
+    points = spark.range(300).select(F.lit("k").alias("k"), F.col("id").alias("at"))
+    spans = spark.range(200).select(F.lit("k").alias("k"), F.col("id").alias("lo"), (F.col("id") + 150).alias("hi"))
+    joined = interval_join(points, spans, ["k"], "at", "lo", "hi")
+    assert joined.columns == ["k", "at", "lo", "hi"]
+    assert joined.count() == points.join(spans, "k").filter("lo <= at AND at < hi").count()
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
