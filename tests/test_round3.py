@@ -4,8 +4,9 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from vulnsieve.catalog import lexicon as L
 from vulnsieve.functions import matching as M
-from vulnsieve.operators import intel
+from vulnsieve.operators import intel, tokens as T
 from vulnsieve.operators.prefix import interval_join
 from workloads import QUERIES
 
@@ -66,3 +67,23 @@ def test_pairs_of_an_interval_join_are_not_broadcast(spark):
     assert joined.count() == points.join(spans, "k").filter("lo <= at AND at < hi").count()
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=merge)" in plan
+
+
+def test_encode_looks_tokens_up_outside_lambdas(spark, files_of):
+    """The ids and types are those of the plain expressions; no lambda is evaluated token by token."""
+    texts = ["def f(x):\n  return 'é' + x  # end", "", "  \n", "... . .5 1e3 @a $b_c _ 'q' \" != <= é世 /* c */ //d", None, "import os " * 700]
+    files = files_of(*[(f"f{i}", t) for i, t in enumerate(texts)])
+    encoded = T.encode(files, padding=False, max_length=64)
+    assert "transform(" not in encoded._jdf.queryExecution().optimizedPlan().toString()  # texts go to one helper
+    tokens = T.tokenize(files.filter("content IS NOT NULL")).collect()
+    words = {w: i for i, w in enumerate(L.vocabulary_words())}
+    for row in encoded.collect():
+        if texts[row.file_id] is None:
+            assert row.input_ids is None
+            continue
+        own = sorted((t for t in tokens if t.file_id == row.file_id), key=lambda t: t.pos)[:62]
+        unk = words["[UNK]"]
+        pieces = [([words[t.token]] if t.token in words else [words.get(c, unk) if " " <= c <= "~" else unk for c in t.token[:64]], t.type) for t in own]
+        ids = [words["[CLS]"], *[i for p, _ in pieces for i in p], words["[SEP]"]][:64]
+        types = [9, *[k for p, k in pieces for _ in p], 9][:64]
+        assert row.input_ids == ids and row.token_type_ids == types

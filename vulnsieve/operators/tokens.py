@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,19 +84,59 @@ def lookup_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
 
 
-BUCKETS = 1 << 13
-
-
-def _word_ids(words: Sequence[str]) -> Column:
-    """The vocabulary as a literal: words and their ids, in buckets by the checksum of the word.
-
-    Stated as JSON, which the optimizer folds to an array once; a literal array of many thousand
-    structs would be planned element by element.  Of equal words the last has the id.
-    """
-    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
-    for word, i in {word: i for i, word in enumerate(words)}.items():
-        buckets[zlib.crc32(word.encode()) % BUCKETS].append({"w": word, "i": i})
-    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<w:string,i:int>>>")
+KEPT_PIECES = 200_000  # tokens whose pieces a task keeps; it starts anew when they are that many
+
+
+def _type_of(token: str) -> int:
+    """``sql_token_type`` of one token."""
+    first = token[:1]
+    if first in ("\"", "'") and len(token) > 1:
+        return _TYPE["string"]
+    if first == "#" or token[:2] in ("//", "/*"):
+        return _TYPE["comment"]
+    if "0" <= first <= "9" or first == "." and "0" <= token[1:2] <= "9":
+        return _TYPE["number"]
+    if first and first in "+-*/%&|^~<>!=?:" or token == "...":
+        return _TYPE["operator"]
+    if first and first in "(){}[];,.@":
+        return _TYPE["delimiter"]
+    if "a" <= first <= "z" or "A" <= first <= "Z" or first in ("_", "$"):
+        return _TYPE["keyword"] if token in _KEYWORDS else _TYPE["identifier"]
+    return _TYPE["unknown"]
+
+
+_KEYWORDS = frozenset(L.ALL_KEYWORDS)
+
+
+def _pieces(tokens: Column, ids: dict[str, int], unk: int, max_length: int) -> Column:
+    """``struct<ids, types>`` of an array of tokens, at most ``max_length`` each: a known word has one id, others
+    one for each character."""
+    def piece(token: str) -> tuple[list[int], list[int]]:
+        known = ids.get(token)
+        own = [known] if known is not None else [
+            ids.get(c, unk) if " " <= c <= "~" else unk for c in token[:max_length]]
+        return own, [_type_of(token)] * len(own)
+
+    def encoded(lists: pa.Array) -> pa.Array:
+        kept: dict[str, tuple[list[int], list[int]]] = {}
+        out: tuple[list, list] = ([], [])
+        for words in lists.to_pylist():
+            numbers, types = (None, None) if words is None else ([], [])
+            for token in words or ():
+                if len(numbers) >= max_length:
+                    break
+                if (found := kept.get(token)) is None:
+                    if len(kept) >= KEPT_PIECES:
+                        kept.clear()
+                    found = kept[token] = piece(token)
+                numbers += found[0]
+                types += found[1]
+            out[0].append(numbers and numbers[:max_length])
+            out[1].append(types and types[:max_length])
+        return pa.StructArray.from_arrays([pa.array(column, pa.list_(pa.int32())) for column in out], ["ids", "types"])
+
+    encoded.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(encoded, "ids array<int>, types array<int>")(tokens)
 
 
 def _word_list(words: Sequence[str]) -> Column:
@@ -112,32 +152,23 @@ def encode(
 ) -> DataFrame:
     """``file_id, input_ids, token_type_ids, attention_mask`` (arrays of int).
 
-    Words outside the vocabulary become one id per character.  Everything happens inside the row: a
-    token's id is looked up in the literal vocabulary, so no token is exploded, joined or regrouped.
+    Words outside the vocabulary become one id per character.  Everything happens inside the row: no token
+    is exploded, joined or regrouped.
     """
     words = L.vocabulary_words() if words is None else list(words)
     ids = {word: i for i, word in enumerate(words)}
     pad, unk, cls, sep = (ids[t] for t in L.SPECIAL_TOKENS[:4])
     unknown_type = _TYPE["unknown"]
-    letters = F.array(*[F.lit(ids.get(chr(c), unk)) for c in range(32, 127)])
     kept = max_length - 2 if add_special_tokens else max_length
-    rows = files.select("file_id", F.slice(token_array(F.col("content")), 1, kept).alias("_tokens"),
-                        _word_ids(words).alias("_words"), letters.alias("_letters"))
-    # a token is known, or its characters are looked up one by one
-    known = f"get(filter(get(_words, cast(crc32(cast(token AS binary)) % {BUCKETS} AS int)), e -> e.w = token), 0).i"
-    by_char = (f"transform(split(substring(token, 1, {max_length}), '', -1), c -> "
-               f"CASE WHEN ascii(c) BETWEEN 32 AND 126 THEN get(_letters, ascii(c) - 32) ELSE {unk} END)")
-    piece = (f"transform(array({known}), id -> named_struct('ids', CASE WHEN id IS NULL THEN {by_char} ELSE array(id) END, "
-             f"'type', {sql_token_type('token')}))[0]")
-    pieces = rows.select("file_id", F.expr(f"transform(_tokens, token -> {piece})").alias("_pieces"))
+    tokens = F.slice(token_array(F.col("content")), 1, kept)
+    pieces = files.select("file_id", _pieces(tokens, ids, unk, max_length).alias("_pieces"))
 
     def framed(middle: str, head: int, tail: int) -> Column:
         whole = f"concat(array({head}), {middle}, array({tail}))" if add_special_tokens else middle
         return F.expr(f"slice({whole}, 1, {max_length})")
 
-    out = pieces.select(
-        "file_id", framed("flatten(transform(_pieces, p -> p.ids))", cls, sep).alias("input_ids"),
-        framed("flatten(transform(_pieces, p -> array_repeat(p.type, size(p.ids))))", unknown_type, unknown_type).alias("token_type_ids"))
+    out = pieces.select("file_id", framed("_pieces.ids", cls, sep).alias("input_ids"),
+                        framed("_pieces.types", unknown_type, unknown_type).alias("token_type_ids"))
     mask = F.array_repeat(F.lit(1), F.size("input_ids"))
     if not padding:
         return out.withColumn("attention_mask", mask)
