@@ -35,7 +35,7 @@ class _Library:
     needs ids in the order of the merges, else they go to tokenizers like all other texts.
     """
 
-    CACHED = 600_000
+    CACHED = 150_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def run(batches):
         tool = library(tokenizer_path)
         for batch in batches:
-            for first, last in slices(batch, "_text"):
+            for first, last in slices(batch, "_text", 1_000_000):
                 rows = []
                 texts = batch.column(1).slice(first, last - first).to_pylist()
                 for row, ids in enumerate(tool.encode(texts), first):
