@@ -115,6 +115,11 @@ ALL_KEYWORDS = sorted({word for words in KEYWORDS.values() for word in words})
 SENSITIVE_WORDS = sorted(SENSITIVE)
 BLANKS = " \t\n\r\f\x0b"
 
+# ``TOKEN_PATTERN`` for extraction: group 1 is the token, blanks after it are passed over.  Words come first: no
+# other alternative but the last starts like one, so the order among them does not matter.
+_WORD = r"[a-zA-Z_$][a-zA-Z0-9_$]*"
+EXTRACT_PATTERN = "(?md)(" + _WORD + "+|" + TOKEN_PATTERN.removeprefix("(?md)").replace(f"|{_WORD}|\\s+|.", r"|\S") + r")\s*+"
+
 
 def vocabulary_words(identifiers: list[str] = (), size: int = VOCABULARY_SIZE) -> list[str]:
     """The vocabulary in id order, padded with placeholders to ``size``.

@@ -14,6 +14,7 @@ from vulnsieve.catalog.classes import NUM_CLASSES
 from vulnsieve.operators import metrics
 from vulnsieve.operators.split import split_dataset
 from vulnsieve.operators.tokens import token_array
+from vulnsieve.scratch import written
 
 FEATURES = 1 << 14
 
@@ -84,8 +85,9 @@ def train(
     Returns the models and the test part.  ``samples``: key, content and ``labels``.
     """
     parts = split_dataset(samples.select(key, content, "labels"), key, seed=seed)
-    data = featurize(parts, content, features).persist()
+    data = featurize(parts, content, features).select("labels", "part", "features").persist()
     try:
+        data.count()  # tokenises every text once, before jobs side by side could do it on several executors
         fit_rows, val_rows = data.filter("part = 'train'"), data.filter("part = 'val'")
         weights = {r.class_id: r.weight for r in metrics.class_weights(fit_rows).collect()}  # one row per class
         losses, candidates = {}, {}
@@ -101,7 +103,8 @@ def train(
 def score(classifier: ClassifierSet, df: DataFrame, content: str = "content", keep: tuple[str, ...] = ("file_id", "path")) -> DataFrame:
     """Long scores: ``keep…, class_id, prob, confidence``, eleven rows per text."""
     scored = _probabilities(classifier.models, featurize(df.select(*keep, content), content, classifier.features))
-    return scored.select(*keep, F.posexplode("probs").alias("class_id", "prob")).withColumn(
+    # the array is never empty; a plain posexplode has Spark test that on every text read, tokenising it twice more
+    return scored.select(*keep, F.posexplode_outer("probs").alias("class_id", "prob")).withColumn(
         "confidence", F.greatest(F.col("prob"), 1 - F.col("prob")))
 
 
@@ -115,5 +118,6 @@ def labelled_scores(classifier: ClassifierSet, samples: DataFrame, key: str = "s
 
 
 def evaluate(scores: DataFrame, classes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The metrics table with AUC."""
+    """The metrics table with AUC.  The scores are computed once, however many metrics read them."""
+    scores = written(scores.select("class_id", "prob", "label"), "scores")
     return metrics.metrics_table(metrics.per_class_metrics(scores, threshold), classes, metrics.roc_auc(scores))

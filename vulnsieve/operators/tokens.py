@@ -17,10 +17,7 @@ _TYPE = {name: i for i, name in enumerate(L.TOKEN_TYPES)}
 
 def token_array(content: Column) -> Column:
     """The tokens of a text in order, blanks dropped."""
-    first = lambda t: F.substring(t, 1, 1)
-    return F.filter(
-        F.regexp_extract_all(content, F.lit(L.TOKEN_PATTERN), F.lit(0)),
-        lambda t: ~first(t).isin(list(L.BLANKS)))
+    return F.regexp_extract_all(content, F.lit(L.EXTRACT_PATTERN), F.lit(1))
 
 
 def sql_token_type(token: str) -> str:
