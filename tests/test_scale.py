@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from vulnsieve.catalog import lexicon as L
-from vulnsieve.operators import learn, tokens
+from vulnsieve.operators import intel, learn, manifests as man, tokens
 from vulnsieve.sources.dimensions import vuln_classes
+from workloads import base as B
 
 
 def _plan(df):
@@ -41,3 +42,41 @@ def test_token_array_is_the_lexer_without_blanks(spark):
     assert rows.filter(~plain.eqNullSafe(tokens.token_array(F.col("t")))).count() == 0
     # blanks are passed over by the matching itself
     assert "filter(" not in _plan(rows.select(tokens.token_array(F.col("t"))))
+
+
+def test_versions_are_counted_once_and_without_foreign_packages(spark):
+    kind = "project string, name string, version string, ecosystem string"
+    deps = spark.createDataFrame(
+        [("p", "a", "1.0", "PyPI"), ("q", "a", "3.0", "PyPI"), ("p", "b", None, "PyPI"), ("p", "c", "1.0", "PyPI"), ("p", "a", "1.0", "npm"),
+         ("q", "a", "1.0", None), ("q", None, "1.0", "PyPI"), ("q", None, None, None)], kind)
+    osv = spark.createDataFrame(
+        [("V1", "a", "PyPI", [(None, "2.0")]), ("V2", "a", "PyPI", [(None, "4.0")]), ("V3", "b", "PyPI", [(None, "9")]),
+         ("V4", None, "PyPI", [(None, "9")]), ("V5", "a", None, [(None, "9")])],
+        "vuln_id string, package string, ecosystem string, affected_ranges array<struct<introduced:string,fixed:string>>")
+    marked = intel.annotate_deps(deps, osv)
+    assert "Window" not in _plan(marked)  # the counts are a table, whoever reads the dependencies
+    found = {(r.project, r.name, r.ecosystem): r.n_vulnerabilities for r in marked.collect()}
+    assert len(found) == 8 and {k: n for k, n in found.items() if n} == {("p", "a", "PyPI"): 2, ("q", "a", "PyPI"): 1, ("p", "b", "PyPI"): 1}
+
+
+def test_a_json_manifest_is_parsed_once(spark):
+    texts = ['{"dependencies": {"a": "^1.2", "b": "*", "c": null}, "devDependencies": {"a": "x"}}', '{"dependencies": 5, "devDependencies": {"d": "3"}}',
+             '{"devDependencies": {"e": {"f": 1}}, "dependencies": {', '{"devDependencies": {"g": "~7"}}', "[]", "", "no", None]
+    rows = spark.createDataFrame([(f"p{i}", "package.json", "package.json", t) for i, t in enumerate(texts)],
+                                 "project string, path string, file_name string, content string")
+    parsed = man.parse_manifests(rows, ["package.json"])
+    assert _plan(parsed).count("from_json") == 1
+    assert sorted(map(str, (tuple(r) for r in parsed.select("project", "line_no", "name", "version", "dep_type").collect()))) == sorted(map(str, [
+        ("p0", 0, "a", "1.2", "dependencies"), ("p0", 1, "b", None, "dependencies"), ("p0", 2, "c", None, "dependencies"),
+        ("p0", man.PIECE, "a", None, "devDependencies"), ("p1", man.PIECE, "d", "3", "devDependencies"),
+        ("p3", man.PIECE, "g", "7", "devDependencies")]))
+
+
+def test_manifest_texts_hold_the_words_where_they_are_named(spark, tmp_path):
+    texts = ["ab cd ab", "x @WORDS@ y", None, ""]
+    rows = [(10 * t + k, text) for t, text in enumerate(texts) for k in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.project, r.path): r.content for r in B.manifests(spark, str(tmp_path)).collect()}
+    assert len(found) == 40 and all((v is None) == (p == "p2") for (p, _), v in found.items())
+    assert '"zz": "1", "ab": "^2.0", "cd": "^2.0"}' in found["p0", "package.json"]
+    assert found["p1", "Cargo.toml"].count('x="zz": "1", "x": "^1.0", "y": "^1.0"=y') == 1 and "@WORDS@" in found["p1", "Gemfile"]
