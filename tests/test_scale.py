@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from vulnsieve.catalog import lexicon as L
@@ -32,6 +33,32 @@ def test_scores_and_metrics_tokenise_a_text_once(spark, tmp_path):
     assert len(found) == 120 and all(r.n == 11 and r.c == list(range(11)) for r in found)
 
 
+def test_features_are_those_of_hashing_tf(spark, monkeypatch):
+    """Token counts come from a helper that hashes a distinct token once; they equal Spark ML's own."""
+    monkeypatch.setattr(learn, "TOGETHER", 40)  # several cuts a batch
+    texts = ["", " \n", "x=1 // y\r\nz", "'c' \"a\\\nb\" \"\"\"d\n\"\"\" '", "é ü 𝄞x # ж\u0085y\n0x1F 1.5e-3 ??=", "\0a $b_1 \0",
+             "a bc def ghij klmno " * 30, "x" * 32 + " " + "y" * 33 + " " + "z" * 71, "/* öä */ \"ab\\é\" \"x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "i int, t string").coalesce(2)
+    for features in (7, 1 << 14):
+        plain = HashingTF(numFeatures=features, inputCol="w", outputCol="plain").transform(rows.withColumn("w", tokens.token_array(F.col("t"))))
+        both = learn.featurize(plain, "t", features)
+        assert "counted(" in _plan(both)
+        for row in both.collect():
+            assert row.plain == row.features and len(row.plain) == len(row.features)
+    assert learn.featurize(spark.createDataFrame([(None,)], "t string"), "t").first().features is None
+
+
+def test_training_on_features_is_training_on_texts(spark):
+    """A query may count the tokens of its texts once, for training and scores; the test part is not counted for training."""
+    samples = _labelled(spark)
+    counted = learn.featurize(samples, "code", 1 << 8).drop("code")
+    (a, rest), (b, left) = (learn.train(s, content=c, regs=(0.1,), max_iter=3, features=1 << 8) for s, c in ((samples, "code"), (counted, "features")))
+    assert sorted(r.sample_id for r in rest.collect()) == sorted(r.sample_id for r in left.collect())
+    texts = {r[:2]: r.prob for r in learn.score(a, samples, "code", ("sample_id",)).collect()}
+    own = learn.score(b, counted, "features", ("sample_id",))
+    assert {r[:2] for r in own.collect()} == set(texts) and all(abs(texts[r[:2]] - r.prob) < 1e-9 for r in own.collect())
+
+
 def test_token_array_is_the_lexer_without_blanks(spark):
     random.seed(5)
     parts = ['"', "'", '"""', "'''", "\\", "//", "#", "/*", "*/", "0x1F", "0b", "0o7", "1.5e-3", ".5", "...", "?.", "->", "<<=", "\n", "\r",

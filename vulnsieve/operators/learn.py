@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from vulnsieve.operators.tokens import token_array
 from vulnsieve.scratch import written
 
 FEATURES = 1 << 14
+SHORT = 8  # blocks of four bytes of a token that is hashed together with others
+TOGETHER = 500_000  # tokens, about, that are counted at a time
 
 
 @dataclass
@@ -29,10 +35,69 @@ class ClassifierSet:
     features: int = FEATURES
 
 
+def _mixed(k):
+    """The first steps of Murmur3 on a block, or a column of blocks, of four bytes."""
+    k = k * 0xCC9E2D51 & 0xFFFFFFFF
+    return (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+
+
+def _carried(h):
+    h = (h << 13 | h >> 19) & 0xFFFFFFFF
+    return h * 5 + 0xE6546B64 & 0xFFFFFFFF
+
+
+def _hashes(tokens: list[bytes]) -> np.ndarray:
+    """The signed 32-bit hashes of ``HashingTF``.  Short tokens are hashed side by side, block by block."""
+    lengths = np.fromiter(map(len, tokens), np.uint64, len(tokens))
+    blocks = np.array(tokens, f"S{4 * SHORT}").view("<u4").reshape(len(tokens), SHORT)
+    h = np.full(len(tokens), 42, np.uint64)
+    for j in range(SHORT):
+        at = np.flatnonzero(lengths > 4 * j)
+        mixed = h[at] ^ _mixed(blocks[at, j].astype(np.uint64))
+        h[at] = np.where(lengths[at] >= 4 * j + 4, _carried(mixed), mixed)
+    for at in np.flatnonzero(lengths > 4 * SHORT):
+        token, one = tokens[at], 42
+        whole = len(token) & ~3
+        for (k,) in struct.iter_unpack("<I", token[:whole]):
+            one = _carried(one ^ _mixed(k))
+        h[at] = one ^ _mixed(int.from_bytes(token[whole:], "little"))
+    h ^= lengths
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return (h ^ h >> 16).astype(np.uint32).view(np.int32)
+
+
+def _vectors(lists: pa.Array, features: int) -> pa.Array:
+    """Sparse vectors of the token counts, as the fields of ``VectorUDT``; a null list has none."""
+    n, lengths = len(lists), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    tokens = lists.flatten().dictionary_encode()
+    places = _hashes(tokens.dictionary.cast(pa.binary()).to_pylist()) % features
+    keys = np.repeat(np.arange(n) * features, lengths) + places[tokens.indices.to_numpy()]
+    keys, times = np.unique(keys, return_counts=True)
+    ends = np.searchsorted(keys, np.arange(n + 1) * features).astype(np.int32)
+    fields = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, features, np.int32)),
+              pa.ListArray.from_arrays(ends, (keys % features).astype(np.int32)),
+              pa.ListArray.from_arrays(ends, times.astype(np.float64))]
+    return pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"], mask=lists.is_null())
+
+
+def _token_counts(tokens: Column, features: int) -> Column:
+    """What ``HashingTF`` makes of arrays of tokens, of which a token is hashed once for many rows."""
+    def counted(lists: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        cuts = [0, *np.flatnonzero(np.diff(ends // TOGETHER)) + 1, len(lists)]
+        return pa.concat_arrays([_vectors(lists.slice(a, b - a), features) for a, b in zip(cuts, cuts[1:])])
+
+    counted.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(counted, VectorUDT())(tokens)
+
+
 def featurize(df: DataFrame, content: str, features: int = FEATURES) -> DataFrame:
-    """Adds ``features``: hashed token counts (no vocabulary pass, so no extra job)."""
-    tokens = df.withColumn("_tokens", token_array(F.col(content)))
-    return HashingTF(numFeatures=features, inputCol="_tokens", outputCol="features").transform(tokens).drop("_tokens")
+    """Adds ``features``: hashed token counts (no vocabulary pass, so no extra job).  A ``content`` that is such counts
+    already, of as many features, is taken as it is."""
+    if isinstance(df.schema[content].dataType, VectorUDT):
+        return df.withColumn("features", F.col(content))
+    return df.withColumn("features", _token_counts(token_array(F.col(content)), features))
 
 
 def _label(class_id: int) -> Column:
@@ -82,10 +147,11 @@ def train(
 ) -> tuple[ClassifierSet, DataFrame]:
     """Trains on the train part, picks the regularisation by validation loss.
 
-    Returns the models and the test part.  ``samples``: key, content and ``labels``.
+    Returns the models and the test part.  ``samples``: key, content (a text or its features) and ``labels``.
     """
     parts = split_dataset(samples.select(key, content, "labels"), key, seed=seed)
-    data = featurize(parts, content, features).select("labels", "part", "features").persist()
+    used = featurize(parts.filter("part != 'test'"), content, features)
+    data = used.select("labels", "part", "features").persist()
     try:
         data.count()  # tokenises every text once, before jobs side by side could do it on several executors
         fit_rows, val_rows = data.filter("part = 'train'"), data.filter("part = 'val'")

@@ -10,6 +10,7 @@ from vulnsieve.catalog.classes import CLASS_NAMES
 from vulnsieve.catalog.snippets import TEMPLATES, fill_names, template_rows
 from vulnsieve.functions import text as X
 from vulnsieve.operators import chunks, learn, metrics, split, tokens
+from vulnsieve.scratch import written
 from vulnsieve.sources.dimensions import vuln_classes
 from vulnsieve.sources.samples import labelled_corpus, labelled_pairs
 
@@ -371,9 +372,11 @@ def labelled_texts(spark, d):
 
 @query("train_and_score")
 def train_and_score(spark, d):
-    """Trains on the labelled documents and scores every document."""
-    classifier, _ = learn.train(labelled_texts(spark, d))
-    return learn.score(classifier, B.documents(spark, d))
+    """Trains on the labelled documents and scores every document; a text is tokenised once for both."""
+    counted = written(learn.featurize(B.documents(spark, d), "content").select("file_id", "path", "features"), "features")
+    labels = B.labelled(spark, d).withColumnRenamed("doc_id", "file_id")
+    classifier, _ = learn.train(counted.join(labels, "file_id"), "file_id", "features")
+    return learn.score(classifier, counted, "features")
 
 
 @query("train_and_evaluate")
