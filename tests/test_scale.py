@@ -6,6 +6,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from vulnsieve.catalog import lexicon as L
+from vulnsieve.llm import packing
 from vulnsieve.operators import intel, learn, manifests as man, tokens
 from vulnsieve.sources.dimensions import vuln_classes
 from workloads import base as B
@@ -59,6 +60,17 @@ def test_training_on_features_is_training_on_texts(spark):
     assert {r[:2] for r in own.collect()} == set(texts) and all(abs(texts[r[:2]] - r.prob) < 1e-9 for r in own.collect())
 
 
+def test_packing_hands_its_workers_small_batches(spark, monkeypatch):
+    """Whole texts lie in an executor several times a batch, so packing builds small ones; the session keeps its setting."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    was = spark.conf.get(name)
+    monkeypatch.setattr(packing, "written", lambda df, _: seen.append(int(spark.conf.get(name))) or df)
+    monkeypatch.setattr(packing, "pieces", lambda docs, *_: docs)
+    monkeypatch.setattr(packing, "pack", lambda parts, *_: parts)
+    rows = packing.pack_documents(spark.range(3), "no file")
+    assert rows.count() == 3 and seen == [packing.ROWS_TOGETHER] and seen[0] <= 1000 and spark.conf.get(name) == was
+
+
 def test_token_array_is_the_lexer_without_blanks(spark):
     random.seed(5)
     parts = ['"', "'", '"""', "'''", "\\", "//", "#", "/*", "*/", "0x1F", "0b", "0o7", "1.5e-3", ".5", "...", "?.", "->", "<<=", "\n", "\r",

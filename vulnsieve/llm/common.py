@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -95,6 +96,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it Spark hands Python at most ``rows`` rows at a time: whole texts lie in the executor and in its worker
+    as often as a batch is built, sent and read.  Only for jobs that end within it; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if not 0 < int(was) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch holding about ``limit`` bytes of text each, so that what is
     derived from them stays small however long the texts are."""

@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnsieve.llm.bpe import PATTERN, byte_of_char
-from vulnsieve.llm.common import slices, whole_text, written
+from vulnsieve.llm.common import slices, small_batches, whole_text, written
 
 PIECE_TYPES = "piece int, start long, length long, ids_crc32 long, ids binary"
+ROWS_TOGETHER = 1_000  # texts that a task hands its worker at a time
 
 
 class _Library:
@@ -35,7 +36,7 @@ class _Library:
     needs ids in the order of the merges, else they go to tokenizers like all other texts.
     """
 
-    CACHED = 150_000
+    CACHED = 50_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -104,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def run(batches):
         tool = library(tokenizer_path)
         for batch in batches:
-            for first, last in slices(batch, "_text", 1_000_000):
+            for first, last in slices(batch, "_text", 250_000):
                 rows = []
                 texts = batch.column(1).slice(first, last - first).to_pylist()
                 for row, ids in enumerate(tool.encode(texts), first):
@@ -324,5 +325,6 @@ def pack(parts: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), capacity
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048,
                    end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its place; see ``pieces`` and ``pack``.  No token is lost."""
-    parts = written(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids), "pieces")
+    with small_batches(docs.sparkSession, ROWS_TOGETHER):
+        parts = written(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids), "pieces")
     return pack(parts, (id_col, "piece"), capacity)
