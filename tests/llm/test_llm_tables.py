@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
@@ -432,6 +433,28 @@ def test_pieces_and_places(spark, docs_of):
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
 
 
+def test_a_text_is_asked_for_once(monkeypatch):
+    """Whole texts go to tiktoken, also with blanks in a row; looking their words up one by one takes longer."""
+    asked, own = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: asked.append(text) or own(self, text))
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(20)] + ["a  b", "\0 a b", ""]
+    tool = packing._Library(PATH)
+    assert tool.encode(texts) == tool._whole(texts) and asked == texts and not tool.known
+
+
+def test_ids_are_those_of_the_tokenizers_library(monkeypatch):
+    odd = ["", " ", "  ", "\n\n", " \t\n", "\u00a0", "\u0085", "\x1c", "\u2028", "\u3000", "\0", "<|endoftext|>", "'s", "'LL", "é", "e\u0301",
+           "ß", "١", "²", "漢字", "\U0001f600", "\u200d", "word", "X", "12", ".,", "_"]
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["\n" * 1_500_000 + "a", "a" + " \u2003\t" * 500_000, "b" * 1_200_000, "-" * 1_200_000, "7 " * 100_000]
+    tool = packing._Library(PATH)
+    expected = tool._whole(texts)
+    assert tool.encode(texts) == expected
+    monkeypatch.setattr(tool, "plain", tool._by_words)  # a file whose ids are not in the order of its merges
+    assert [tool.encode([t])[0] for t in texts[:300]] == expected[:300] and tool.encode(texts[:3000]) == expected[:3000]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_holds_every_piece(seed):
     rng = np.random.default_rng(seed)
