@@ -1,11 +1,15 @@
 """Lists of first matches, files of their own and reports that were rewritten to scale."""
 
+import hashlib
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from vulnsieve.operators import intel
 from vulnsieve.operators.prefix import alike, first_intervals
+from vulnsieve.sources import files as src
+from workloads import QUERIES, sinks
 
 OSV = ("vuln_id string, package string, ecosystem string, cve_ids array<string>, summary string, severity string, "
        "affected_ranges array<struct<introduced:string,fixed:string>>")
@@ -62,3 +66,37 @@ def test_dependencies_are_counted_alike_with_few_and_many_packages(spark, monkey
         counts.append(sorted(map(str, marked.collect())))
         matches.append(sorted((r.project, r.vuln_id) for r in intel.match_osv(deps, osv).collect()))
     assert counts[0] == counts[1] and len(counts[0]) == 6 and matches[0] == matches[1] == [("p", "V1"), ("q", "V1")]
+
+
+def _files(folder):
+    return {os.path.relpath(os.path.join(at, name), folder) for at, _, names in os.walk(folder) for name in names}
+
+
+def test_a_document_is_one_file_and_nothing_else(spark, tmp_path, monkeypatch):
+    rows = [(7, "a"), (-3, "é\n"), (7, "a"), (None, "d\r\ne"), (9, ""), (10, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(sinks, "_scratch", lambda spark, name: f"file:{tmp_path}/{name}")
+    found = QUERIES["read_code_files"](spark, str(tmp_path)).collect()
+    texts = [(i, (t or "").replace("\r\n", "\n") + "\n") for i, t in rows]
+    assert sorted(map(str, ((r.doc_id, r.digest, r.chars) for r in found))) == sorted(
+        map(str, ((i, hashlib.md5(t.encode()).hexdigest(), len(t)) for i, t in texts)))
+    assert len(_files(tmp_path / "files")) == len(rows)  # no checksum and no marker beside a file
+
+
+def test_files_are_written_alike_where_arrow_knows_no_file_system(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("0", "1-0.txt", "x"), ("0", "2-1.txt", None), ("1", "-7.txt", "a\nb")], "folder string, name string, content string")
+    src.write_files(rows, str(tmp_path / "own"))
+    assert _files(tmp_path / "own") == {"0/1-0.txt", "0/2-1.txt", "1/-7.txt"}
+    monkeypatch.setattr(src.fs, "FileSystem", type("None", (), {"from_uri": staticmethod(lambda uri: int(uri))}))
+    src.write_files(rows, str(tmp_path / "spark"))
+    read = [sorted(r.content for r in src.read_code_files(spark, str(tmp_path / at), extensions=[".txt"]).collect()) for at in ("own", "spark")]
+    assert read[0] == read[1] == ["\n", "a\nb\n", "x\n"]
+
+
+def test_small_files_are_read_many_to_a_task(spark, tmp_path):
+    rows = spark.range(9000).select((F.col("id") % 4).cast("string").alias("folder"), F.concat("id", F.lit(".txt")).alias("name"),
+                                    F.col("id").cast("string").alias("content"))
+    src.write_files(rows, str(tmp_path / "t"))
+    files = src.read_code_files(spark, str(tmp_path / "t"), extensions=[".txt"])
+    assert files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert files.select(F.sum(F.btrim("content", F.lit("\n")).cast("long"))).first()[0] == 9000 * 8999 // 2

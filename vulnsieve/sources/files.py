@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+import posixpath
+from collections.abc import Collection, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
@@ -48,7 +52,8 @@ def read_code_files(
     ``max_bytes`` leaves larger files out (``skipped_files`` lists them), ``max_files`` keeps
     the first files in path order, part by part, for which the listing is sorted once.
     """
-    files = _code_listing(spark.read, path, recursive, extensions)
+    listed = _listed(spark.read, path, recursive, extensions)
+    tasks, files = _tasks(listed), _code_files(listed, path)
     if max_bytes is not None:
         files = files.filter(F.col("_metadata.file_size") <= max_bytes)
     if max_files is not None:
@@ -56,7 +61,25 @@ def read_code_files(
         parts = F.split(_local_path(), "/", -1)
         last = files.select(parts.alias("p")).orderBy("p").limit(max_files).agg(F.max("p")).first()[0]
         files = files.filter(parts <= F.array(*[F.lit(x) for x in last or [""]]))
-    return _numbered(files, decode)
+    return _numbered(files if tasks is None else files.coalesce(tasks), decode)
+
+
+#: Input splits that one task may read; of small files each holds some.
+SPLITS_A_TASK = 256
+
+
+def _tasks(listed: DataFrame) -> int | None:
+    """How many tasks read the files, where Spark's own splits are far too many.
+
+    Spark counts 4 MB for the opening of a file, so small files come a few to a split and a tree of many has
+    far more splits than it has work.  A task takes as many as hold the bytes of one split, all tasks still
+    being some for each core.
+    """
+    spark, splits = listed.sparkSession, listed.select("length").rdd.getNumPartitions()
+    size = int(listed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    tasks = max(-(-size // most), 4 * spark.sparkContext.defaultParallelism, -(-splits // SPLITS_A_TASK))
+    return tasks if tasks < splits else None
 
 
 def _numbered(files: DataFrame, decode: bool) -> DataFrame:
@@ -88,12 +111,20 @@ def skipped_files(
         _local_path().alias("path"), size.alias("size"), F.lit(f"larger than {max_bytes} bytes").alias("reason"))
 
 
-def _code_listing(
+def _listed(
     reader: DataFrameReader | DataStreamReader, path: str, recursive: bool, extensions: Collection[str] | None,
 ) -> DataFrame:
     wanted = sorted(extensions or set(P.EXTENSION_LANGUAGE))
-    glob = "*{" + ",".join(_any_case(e) for e in wanted) + "}"
-    listed = _listing(reader, path, glob, recursive)
+    return _listing(reader, path, "*{" + ",".join(_any_case(e) for e in wanted) + "}", recursive)
+
+
+def _code_listing(
+    reader: DataFrameReader | DataStreamReader, path: str, recursive: bool, extensions: Collection[str] | None,
+) -> DataFrame:
+    return _code_files(_listed(reader, path, recursive, extensions), path)
+
+
+def _code_files(listed: DataFrame, path: str) -> DataFrame:
     root = path.rstrip("/")
     below = F.substring(_local_path(), len(root.split(":", 1)[-1].replace("//", "/")) + 1, 1 << 20)
     skipped = F.arrays_overlap(
@@ -126,3 +157,37 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     return listed[0].filter(at_root).select("*", "_metadata").unionByName(listed[1].filter(one_down).select("*", "_metadata")).select(
         F.lit(local).alias("project"), F.concat_ws("/", below).alias("path"),
         F.element_at(below, -1).alias("file_name"), F.col("content").cast("string").alias("content"))
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Every row of ``folder, name, content`` as a text file ``path/folder/name``: the content and a line end.
+
+    The tasks write through Arrow's file systems: a file costs no folder, no checksum file and no call of a
+    shell.  A file gets its name when it is complete, so a task that runs again or twice leaves the same files.
+    Where Arrow does not know the file system Spark's writer makes ``path/folder=…/name=…/part-…``.
+    """
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (OSError, ValueError):
+        rows.select("folder", "name", "content").write.partitionBy("folder", "name").text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(uri)
+        attempt, made, n = TaskContext.get().taskAttemptId(), set(), 0
+        for batch in batches:
+            for folder, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                inside = posixpath.join(root, folder)
+                if folder not in made:
+                    files.create_dir(inside, recursive=True)
+                    made.add(folder)
+                with files.open_output_stream(draft := posixpath.join(inside, f".{name}.{attempt}")) as out:
+                    out.write((content or b"") + b"\n")
+                files.move(draft, posixpath.join(inside, name))
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]}, pa.schema([("n", pa.int64())]))
+
+    rows.select("folder", "name", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
