@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from vulnsieve.operators import intel
+from vulnsieve.operators import intel, reports
 from vulnsieve.operators.prefix import alike, first_intervals
 from vulnsieve.sources import files as src
 from workloads import QUERIES, sinks
@@ -68,6 +68,26 @@ def test_dependencies_are_counted_alike_with_few_and_many_packages(spark, monkey
     assert counts[0] == counts[1] and len(counts[0]) == 6 and matches[0] == matches[1] == [("p", "V1"), ("q", "V1")]
 
 
+def test_crowded_classes_meet_in_tiles(spark, tmp_path, monkeypatch):
+    """600 versions of few classes by 40 records: no pair is shuffled, each is there once, in the packed report too."""
+    monkeypatch.setattr(intel, "TILE", 7)
+    deps = spark.createDataFrame(
+        [(f"p{i}", "hot", f"{i % 5}.{i}" if i % 50 else None, "E") for i in range(600)] + [("p1", "hot", "1.1", "E"), ("p1", None, "1", "E")],
+        "project string, name string, version string, ecosystem string")
+    osv = spark.createDataFrame([(f"V{j % 39:03d}", "hot", "E", [], "s", "HIGH", [(None, f"{j % 7}.0")]) for j in range(40)], OSV)
+    rows = intel.match_osv(deps, osv)
+    plain = sorted((r.project, f"V{j % 39:03d}") for r in deps.filter("name = 'hot'").collect() for j in range(40)
+                   if r.version is None or int(r.version.split(".")[0]) < j % 7)
+    assert sorted((r.project, r.vuln_id) for r in rows.collect()) == plain and len(plain) > 10_000
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_row" in plan and "_column" in plan
+    done = type("Done", (), {"dependencies": deps, "vulnerabilities": rows, "summary": deps.select("project").distinct()})
+    reports.write_dep_json(done, str(tmp_path / "deps"), "gzip")
+    assert all(f.endswith((".json.gz", "_SUCCESS", ".crc")) for f in _files(tmp_path / "deps"))
+    read = spark.read.json(str(tmp_path / "deps" / "vulnerabilities"))
+    assert sorted((r.project, r.vuln_id) for r in read.collect()) == plain
+
+
 def _files(folder):
     return {os.path.relpath(os.path.join(at, name), folder) for at, _, names in os.walk(folder) for name in names}
 
