@@ -4,9 +4,10 @@ import hashlib
 import os
 import random
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from vulnsieve.operators import intel, reports
+from vulnsieve.operators import intel, learn, reports
 from vulnsieve.operators.prefix import alike, first_intervals
 from vulnsieve.sources import files as src
 from workloads import QUERIES, sinks
@@ -120,3 +121,12 @@ def test_small_files_are_read_many_to_a_task(spark, tmp_path):
     files = src.read_code_files(spark, str(tmp_path / "t"), extensions=[".txt"])
     assert files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert files.select(F.sum(F.btrim("content", F.lit("\n")).cast("long"))).first()[0] == 9000 * 8999 // 2
+
+
+def test_models_score_after_something_was_observed(spark):
+    seen = Observation("before")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    rows = spark.createDataFrame([(i, "eval x" if i % 2 else "print y", [0] if i % 2 else []) for i in range(40)], "sample_id long, code string, labels array<int>")
+    classifier, _ = learn.train(rows, regs=(0.01,), max_iter=3, features=64)
+    assert learn.score(classifier, rows, "code", ("sample_id",)).filter("prob > 0").count() == 40

@@ -113,9 +113,12 @@ def _fit(rows: DataFrame, weights: dict[int, float], reg: float, max_iter: int)
             continue
         weighted = rows.withColumns({
             "label": _label(c), "w": F.when(_label(c) == 1.0, F.lit(weights.get(c, 1.0))).otherwise(F.lit(1.0))})
-        models.append(LogisticRegression(
+        model = LogisticRegression(
             weightCol="w", regParam=reg, maxIter=max_iter,
-            probabilityCol=f"_p{c}", rawPredictionCol=f"_r{c}", predictionCol=f"_y{c}").fit(weighted))
+            probabilityCol=f"_p{c}", rawPredictionCol=f"_r{c}", predictionCol=f"_y{c}").fit(weighted)
+        # its summary holds the session, which cannot be sent to tasks once something was observed in it
+        model._java_obj.setSummary(rows.sparkSession._jvm.scala.Option.empty())
+        models.append(model)
     return models
 
 
